@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.exact import pct_1dp
+from tessera.functions.exact import isclose, pct_1dp
+from tessera.functions.quantiles import exact_quantiles
 
 
 def _long(df: DataFrame, cols: list[str], as_type: str = "string") -> DataFrame:
     """(column, value) rows for the given columns; one narrow projection."""
     stacked = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast(as_type).alias("value"))
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(as_type).alias("value"))
         for c in cols]))
-    return df.select(stacked.alias("kv")).select("kv.column", "kv.value")
+    return df.select(stacked.alias("kv")).select("kv.column_name", "kv.value")
 
 
 # ---------------------------------------------------------------- AG1 / AG2
@@ -29,12 +30,12 @@ def value_counts(df: DataFrame, cols: list[str], normalize: bool = False) -> Dat
 
     Output: column, value, count[, share], rank (1 = most frequent; ties -> value).
     """
-    counts = _long(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    w_tot = Window.partitionBy("column")
+    counts = _long(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    w_tot = Window.partitionBy("column_name")
     out = counts
     if normalize:
         out = out.withColumn("share", F.col("count") / F.sum("count").over(w_tot))
-    w_rank = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
+    w_rank = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc_nulls_last("value"))
     return out.withColumn("rank", F.row_number().over(w_rank))
 
 
@@ -62,18 +63,23 @@ def class_distribution(df: DataFrame, target: str, classes: list[str]) -> DataFr
 
 # ---------------------------------------------------------------- AG5
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """AG5: count, mean, sample std, min, quartiles (linear interpolation), max per column."""
+    """AG5: count, mean, sample std, min, quartiles (linear), max per column.
+
+    Moments come from one aggregate over the unpivoted columns; quartiles from
+    ``exact_quantiles`` (exact, no single-task group).
+    """
     lf = _long(df, cols, "double")
-    return lf.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.percentile("value", 0.25).alias("q25"),
-        F.percentile("value", 0.5).alias("q50"),
-        F.percentile("value", 0.75).alias("q75"),
-        F.max("value").alias("max"),
-    )
+    mom = lf.groupBy("column_name").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"))
+    q = exact_quantiles(lf, "value", [0.25, 0.5, 0.75], ["column_name"])
+    qw = q.groupBy("column_name").agg(
+        F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q25"),
+        F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("q50"),
+        F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q75"))
+    return mom.join(qw, "column_name", "left").select("column_name", "count", "mean", "std", "min",
+                                                  "q25", "q50", "q75", "max")
 
 
 # ---------------------------------------------------------------- AG6-AG9
@@ -94,7 +100,7 @@ def column_checks(df: DataFrame, cols: list[str], threshold: float = 50.0) -> Da
         ]
     wide = df.agg(*aggs)
     rows = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"),
+        F.struct(F.lit(c).alias("column_name"),
                  F.coalesce(F.col(f"{c}__null"), F.lit(0)).alias("null_count"),
                  F.coalesce(F.col(f"{c}__nan"), F.lit(0)).alias("nan_count"),
                  F.col(f"{c}__zero").alias("zero_count"),
@@ -110,7 +116,7 @@ def shape_and_types(df: DataFrame) -> DataFrame:
                                                   for i, f in enumerate(df.schema.fields)]
     wide = df.agg(*aggs)
     rows = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
                  F.lit(f.dataType.simpleString()).alias("data_type"),
                  F.col(f"__nn{i}").alias("non_null"), F.col("__rows").alias("rows"))
         for i, f in enumerate(df.schema.fields)]))
@@ -137,3 +143,128 @@ def duplicate_rows(df: DataFrame, cols: list[str] | None = None,
     hi = F.least(lo + chunk - 1, F.col("copies")).cast("long")
     return chunks.select(*cols, "copies",
                          F.explode(F.sequence(lo.cast("long"), hi)).alias("copy_no"))
+
+
+# ---------------------------------------------------------------- AG12
+def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AG12: Pearson correlation of every column pair (pairwise-complete), long form.
+
+    One aggregate with one ``corr`` per unordered pair; mirrored afterwards.
+    """
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    wide = df.agg(*[(F.lit(1.0) if a == b else F.corr(a, b)).alias(f"c{i}")
+                    for i, (a, b) in enumerate(pairs)])
+    items = []
+    for i, (a, b) in enumerate(pairs):
+        items.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr")))
+        if a != b:
+            items.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"c{i}").alias("corr")))
+    return wide.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+
+
+# ---------------------------------------------------------------- AG13-AG15
+def column_means(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AG13: mean per column (long form)."""
+    return _long(df, cols, "double").groupBy("column_name").agg(F.avg("value").alias("mean"))
+
+
+def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AG14: most frequent value per column; ties -> smallest value.
+
+    Counts per (column, value) with partial aggregation, then a top-1 per column
+    (a hot value collapses map-side; no group is held in one task).
+    """
+    lf = _long(df, cols, "double").where(F.col("value").isNotNull())
+    c = lf.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("column_name").agg(
+        F.min_by(F.col("value"), F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+
+
+def column_medians(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AG15: exact median per column."""
+    q = exact_quantiles(_long(df, cols, "double"), "value", [0.5], ["column_name"])
+    return q.select("column_name", F.col("value").alias("median"))
+
+
+# ---------------------------------------------------------------- AG20
+def integer_only(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AG20: does the column hold only (close to) integers -> input step 1 else 0.1."""
+    lf = _long(df, cols, "double").where(F.col("value").isNotNull())
+    r = lf.groupBy("column_name").agg(
+        F.bool_and(isclose(F.col("value"), F.rint("value"))).alias("integer_only"))
+    return r.withColumn("step", F.when(F.col("integer_only"), F.lit(1.0)).otherwise(F.lit(0.1)))
+
+
+# ---------------------------------------------------------------- AG21
+def box_stats(df: DataFrame, cols: list[str], by: str) -> DataFrame:
+    """AG21: per (column, class): quartiles, 1.5*IQR whiskers (most extreme data
+    points inside the fences), outlier count, n."""
+    lf = df.select(F.col(by).alias("grp"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv")
+    ).select("grp", "kv.column_name", "kv.value").where(F.col("value").isNotNull())
+    q = exact_quantiles(lf, "value", [0.25, 0.5, 0.75], ["column_name", "grp"])
+    qw = q.groupBy("column_name", "grp").agg(
+        F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
+        F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
+        F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
+    qw = qw.withColumn("iqr", F.col("q3") - F.col("q1"))
+    fence_lo = F.col("q1") - 1.5 * F.col("iqr")
+    fence_hi = F.col("q3") + 1.5 * F.col("iqr")
+    # stats table is (columns x classes) rows: broadcast-sized by construction
+    j = lf.join(F.broadcast(qw), ["column_name", "grp"])
+    inside = (F.col("value") >= fence_lo) & (F.col("value") <= fence_hi)
+    agg = j.groupBy("column_name", "grp").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
+        F.sum((~inside).cast("long")).alias("outliers"))
+    return qw.join(agg, ["column_name", "grp"]).withColumnRenamed("grp", by)
+
+
+# ---------------------------------------------------------------- AG22 / AG23
+def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
+    """AG22 (numeric): equal-width bins over [min, max]; the max falls in the last bin.
+
+    Output: bin, lo, hi, count. Strings use ``value_counts``; binary columns use
+    bins=2. The one-row range is read first and inlined as literals.
+    """
+    x = F.col(col).cast("double")
+    base = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    r = base.agg(F.min("x").alias("mn"), F.max("x").alias("mx")).first()
+    if r["mn"] is None:
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, count long")
+    mn, mx = float(r["mn"]), float(r["mx"])
+    w = (mx - mn) / bins if mx > mn else 1.0
+    b = F.least(F.floor((F.col("x") - F.lit(mn)) / F.lit(w)), F.lit(bins - 1)).cast("int")
+    h = base.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return h.select("bin", (F.lit(mn) + F.col("bin") * F.lit(w)).alias("lo"),
+                    (F.lit(mn) + (F.col("bin") + 1) * F.lit(w)).alias("hi"), "count")
+
+
+def kde_curve(df: DataFrame, col: str, bins: int = 64, grid: int = 200, cut: float = 3.0) -> DataFrame:
+    """AG23: Gaussian KDE (Scott bandwidth) on ``grid`` points, computed from bin
+    counts: O(grid x bins) after one histogram pass, not O(grid x n).
+
+    bw = std_sample * n^(-1/5); grid spans [min - cut*bw, max + cut*bw];
+    density(g) = sum_b count_b * phi((g - centre_b)/bw) / (n * bw).
+    """
+    x = F.col(col).cast("double")
+    base = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    st = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
+                  F.stddev_samp("x").alias("sd")).first()
+    if not st["n"] or st["n"] < 2 or not st["sd"]:
+        return df.sparkSession.createDataFrame([], "gi int, gx double, density double")
+    n, mn, mx, sd = int(st["n"]), float(st["mn"]), float(st["mx"]), float(st["sd"])
+    bw = sd * n ** -0.2
+    w = (mx - mn) / bins if mx > mn else 1.0
+    b = F.least(F.floor((F.col("x") - F.lit(mn)) / F.lit(w)), F.lit(bins - 1)).cast("int")
+    h = base.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    h = h.withColumn("centre", F.lit(mn) + (F.col("bin") + 0.5) * F.lit(w))
+    g0 = mn - cut * bw
+    step = (mx - mn + 2 * cut * bw) / (grid - 1)
+    e = h.select("c", "centre", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
+    e = e.withColumn("gx", F.lit(g0) + F.col("gi") * F.lit(step))
+    z = (F.col("gx") - F.col("centre")) / F.lit(bw)
+    e = e.withColumn("k", F.col("c") * F.exp(F.lit(-0.5) * z * z))
+    norm = n * bw * (2 * 3.141592653589793) ** 0.5
+    return e.groupBy("gi", "gx").agg((F.sum("k") / F.lit(norm)).alias("density"))

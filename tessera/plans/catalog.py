@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_core
+from tessera.plans import q_core, q_profile
 
-_MODULES = [q_core]
+_MODULES = [q_core, q_profile]
 
 
 def queries() -> dict:
