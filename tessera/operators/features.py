@@ -94,12 +94,17 @@ class Preprocessor:
         out = df
         if label and s.target in df.columns:
             out = encode_labels(out, s.target, self.classes, "label", strict=strict)
+        have = set(df.columns)
         for c in s.numeric + s.binary:
-            out = out.withColumn(c, F.col(c).cast("double"))
+            if c in have:
+                out = out.withColumn(c, F.col(c).cast("double"))
         for c, lv in s.ordinal:
-            out = encode_ordinal(out, c, lv)
+            if c in have:
+                out = encode_ordinal(out, c, lv)
         for c in s.nominal:
-            out = encode_labels(out, c, self.nominal[c], unknown=None if strict else -1.0, strict=strict)
+            if c in have:
+                out = encode_labels(out, c, self.nominal[c], unknown=None if strict else -1.0,
+                                    strict=strict)
         return out
 
     def scale(self, df: DataFrame, suffix: str = "") -> DataFrame:
