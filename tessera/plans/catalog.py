@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_core, q_features, q_profile
+from tessera.plans import q_core, q_features, q_profile, q_segments
 
-_MODULES = [q_core, q_profile, q_features]
+_MODULES = [q_core, q_profile, q_features, q_segments]
 
 
 def queries() -> dict:
