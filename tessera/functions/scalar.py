@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions.exact import isclose  # noqa: F401  (SC8 re-export)
 
 
+def fixed(x, decimals: int) -> Column:
+    """Fixed-point text like Python's ``f"{x:.{d}f}"``: half-to-even on the exact
+    binary value (Java DecimalFormat), no grouping separators."""
+    c = x if isinstance(x, Column) else F.col(x)
+    return F.regexp_replace(F.format_number(c, decimals), ",", "")
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -46,7 +53,7 @@ def strip_prefix(x, prefix: str) -> Column:
 def format_value(x, integer: bool) -> Column:
     """SC4: blank -> 'Imputed'; integer types plain; floats with 2 decimals."""
     c = _c(x)
-    txt = c.cast("long").cast("string") if integer else F.format_string("%.2f", c)
+    txt = c.cast("long").cast("string") if integer else fixed(c, 2)
     return F.when(c.isNull() | (F.isnan(c) if not integer else F.lit(False)), F.lit("Imputed")).otherwise(txt)
 
 

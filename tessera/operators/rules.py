@@ -77,7 +77,8 @@ def entered_text(c: str, missing: Column | None = None) -> Column:
 
 
 def _fmt(x: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", x)
+    from tessera.functions.scalar import fixed
+    return fixed(x, decimals)
 
 
 def render(template: str, values: dict[str, Column]) -> Column:
@@ -172,7 +173,7 @@ def probability_rows(df: DataFrame, classes: list[str], id_col: str,
     ex = ex.withColumn("class_name", F.element_at(names, F.col("code") + 1))
     return ex.select(id_col, "code", "class_name", "probability",
                      F.when(F.col("class_name") == F.col(predicted_col), "Predicted").otherwise("Other").alias("flag"),
-                     F.format_string("%.1f%%", F.col("probability") * 100).alias("label"))
+                     F.concat(_fmt(F.col("probability") * 100, 1), F.lit("%")).alias("label"))
 
 
 # ---------------------------------------------------------------- DR5
