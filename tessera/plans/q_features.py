@@ -149,3 +149,65 @@ tr AS (SELECT e.* FROM enc e JOIN split s USING (row_id) WHERE s.split = 'train'
 st AS (SELECT {_stats} FROM tr), fl AS (SELECT {_fill_cols} FROM tr),
 te AS (SELECT e.* FROM enc e JOIN split s USING (row_id) WHERE s.split = 'test')
 SELECT row_id, {_missing} AS missing_columns, {_imputed}, {_scaled2} FROM te CROSS JOIN st CROSS JOIN fl""")(_fe8)
+
+
+# SM5 / JN5 -------------------------------------------------------------------
+def balanced_train(spark, sf):
+    """Encoded, imputed train split oversampled with SMOTE-NC."""
+    from tessera.operators.smotenc import smotenc
+    tr = op_split(spark, sf).where(F.col("split") == "train")
+    pre = FE.fit_preprocessor(tr, S)
+    enc = pre.impute(pre.encode(tr.select("row_id", "stage", *S.features), strict=True, label=False),
+                     missing_col=None)
+    return smotenc(enc, "stage", "row_id", list(S.numeric), list(S.categorical), k_max=5, seed=42)
+
+
+def _sm5_sql() -> str:
+    cont, cat = list(S.numeric), list(S.categorical)
+    imputed = ", ".join(f"COALESCE({c}, (SELECT AVG({c}) FROM tr0)) AS {c}" for c in S.features)
+    d2 = None
+    for c in cont:
+        t = f"((a.{c} - b.{c}) * (a.{c} - b.{c}))"
+        d2 = t if d2 is None else f"({d2} + {t})"
+    for c in cat:
+        t = f"(CASE WHEN a.{c} <> b.{c} THEN (SELECT med2 FROM md) ELSE 0.0 END)"
+        d2 = f"({d2} + {t})"
+    hx = "CAST('0x' || substr(md5(concat_ws('|', stage, CAST(j AS VARCHAR), '{s}')), 1, {n}) AS BIGINT)"
+    modes = ", ".join(
+        f"(SELECT {c} FROM nn n2 WHERE n2.q_id = p.q_id AND n2.stage = p.stage GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1) AS {c}"
+        for c in cat)
+    return f"""{WS}, enc AS ({_encoded_sql('order_profile')}),
+tr0 AS (SELECT e.* FROM enc e JOIN split s USING (row_id) WHERE s.split = 'train'),
+tr AS (SELECT row_id, stage, {imputed} FROM tr0),
+ccnt AS (SELECT stage, COUNT(*) AS n FROM tr GROUP BY stage),
+prm AS (SELECT MAX(n) AS nmax, LEAST(5, MIN(n) - 1) AS kk, arg_min(stage, n * 1000000 + 0) AS smallest FROM ccnt),
+sm AS (SELECT stage FROM ccnt ORDER BY n, stage LIMIT 1),
+sds AS ({" UNION ALL ".join(f"SELECT STDDEV_POP({c}) AS sd FROM tr WHERE stage = (SELECT stage FROM sm)" for c in cont)}),
+md AS (SELECT quantile_cont(COALESCE(sd, 0.0), 0.5) * quantile_cont(COALESCE(sd, 0.0), 0.5) AS med2 FROM sds),
+rk AS (SELECT tr.*, ROW_NUMBER() OVER (PARTITION BY stage ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '42')), row_id) AS rank FROM tr),
+gen AS (SELECT stage, n, UNNEST(generate_series(0, (SELECT nmax FROM prm) - n - 1)) AS j FROM ccnt WHERE n < (SELECT nmax FROM prm)),
+gen2 AS (SELECT stage, j, ({hx.format(s='42s', n=15)} % n) + 1 AS rank,
+                ({hx.format(s='42n', n=15)} % (SELECT kk FROM prm)) + 1 AS nn_rank,
+                CAST({hx.format(s='42u', n=13)} AS DOUBLE) / {float(16 ** 13)!r} AS u FROM gen),
+seeds AS (SELECT g.stage, g.j, g.nn_rank, g.u, r.row_id AS q_id, {", ".join(f"r.{c}" for c in cont)} FROM gen2 g JOIN rk r USING (stage, rank)),
+qd AS (SELECT DISTINCT stage, q_id FROM seeds),
+pairs AS (SELECT q.stage, q.q_id, b.row_id AS b_id, {d2} AS d2, {", ".join(f"b.{c}" for c in S.features)}
+          FROM qd q JOIN tr a ON a.row_id = q.q_id AND a.stage = q.stage JOIN tr b ON b.stage = q.stage AND b.row_id <> q.q_id),
+nn AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY stage, q_id ORDER BY d2, b_id) AS nn_rank FROM pairs) x
+       WHERE nn_rank <= (SELECT kk FROM prm)),
+p AS (SELECT DISTINCT stage, q_id FROM nn),
+mo AS (SELECT p.stage, p.q_id, {modes} FROM p),
+syn AS (SELECT s.stage, -(s.j + 1) AS row_id, {", ".join(f"s.{c} + s.u * (n.{c} - s.{c}) AS {c}" for c in cont)},
+               {", ".join(f"CAST(mo.{c} AS DOUBLE) AS {c}" for c in cat)}, true AS synthetic
+        FROM seeds s JOIN nn n ON n.stage = s.stage AND n.q_id = s.q_id AND n.nn_rank = s.nn_rank
+        JOIN mo ON mo.stage = s.stage AND mo.q_id = s.q_id)
+SELECT stage, row_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in S.features)}, false AS synthetic FROM tr
+UNION ALL SELECT stage, row_id, {", ".join(S.features)}, synthetic FROM syn"""
+
+
+reg("sm5_jn5_smotenc", _sm5_sql())(balanced_train)
+
+reg("sm5_class_counts", _sm5_sql().replace("UNION ALL SELECT stage, row_id,", "UNION ALL SELECT stage, row_id,")
+    .rsplit("SELECT stage, row_id, ", 2)[0] + f"""SELECT stage, synthetic, COUNT(*) AS n FROM (
+SELECT stage, false AS synthetic FROM tr UNION ALL SELECT stage, synthetic FROM syn) u GROUP BY 1, 2""")(
+    lambda spark, sf: balanced_train(spark, sf).groupBy("stage", "synthetic").agg(F.count(F.lit(1)).alias("n")))
