@@ -30,7 +30,7 @@ def hash_unit(id_col: str | Column, seed: int | str, start: int = 1) -> Column:
 
 
 def exact_rank(df: DataFrame, group_cols: list[str], order_col: str, id_col: str,
-               rank_col: str = "rank", digits: int = 3) -> DataFrame:
+               rank_col: str = "rank", digits: int = 3, with_counts: bool = False):
     """1-based rank of each row within ``group_cols`` ordered by (order_col, id_col).
 
     ``order_col`` must be a hex string (``hash_order``). Cost: one histogram
@@ -46,8 +46,12 @@ def exact_rank(df: DataFrame, group_cols: list[str], order_col: str, id_col: str
                           F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
     joined = with_b.join(offsets, on=[*group_cols, b], how="inner")
     w_loc = Window.partitionBy(*group_cols, b).orderBy(F.col(order_col), F.col(id_col))
-    return (joined.withColumn(rank_col, F.col("__off") + F.row_number().over(w_loc))
-                  .drop(b, "__off"))
+    ranked = (joined.withColumn(rank_col, F.col("__off") + F.row_number().over(w_loc))
+                    .drop(b, "__off"))
+    if with_counts:
+        # group sizes from the same histogram (the exchange is reused in one plan)
+        return ranked, hist.groupBy(*group_cols).agg(F.sum("__n").alias("n"))
+    return ranked
 
 
 def exact_rank_global(df: DataFrame, order_col: str, id_col: str,

@@ -40,10 +40,9 @@ def stratified_split(df: DataFrame, target: str, id_col: str, test_size: float =
     Per class the first test_quota rows in hash order go to test. Class proportions
     are preserved to within one row; no class is ever sorted in one task.
     """
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    ranked, counts = exact_rank(df.withColumn("__h", hash_order(id_col, seed)), [target], "__h", id_col,
+                                rank_col="__rank", with_counts=True)
     quotas = _group_quotas_train_first(counts, target, test_size).select(target, "test_quota")
-    ranked = exact_rank(df.withColumn("__h", hash_order(id_col, seed)), [target], "__h", id_col,
-                        rank_col="__rank")
     out = ranked.join(quotas, target, "inner")
     return (out.withColumn(split_col, F.when(F.col("__rank") <= F.col("test_quota"), "test")
                            .otherwise("train"))

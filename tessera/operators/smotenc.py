@@ -134,6 +134,7 @@ def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str
 
     Synthetic ids are negative: -(j + 1) within their class.
     """
+    df = df.persist()  # read by several passes (counts, spreads, ranks, neighbours)
     counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
     if not counts:
         return df.withColumn("synthetic", F.lit(False))
@@ -163,12 +164,15 @@ def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str
     q = seeds.select(cls, id_col, *cont, *cat).dropDuplicates([cls, id_col])
     nn = knn_within_class(q, df.select(cls, id_col, *cont, *cat), cls, id_col, cont, cat, med2, k, grid, cell_size)
     nn = nn.cache()
-    # categorical value = mode over the k neighbours (ties -> smallest)
+    # categorical value = mode over the k neighbours (ties -> smallest), all columns
+    # in one pass: (seed, column, value) counts -> top-1 per (seed, column) -> pivot
     modes = None
-    for c in cat:
-        m = (nn.groupBy(cls, "q_id", c).agg(F.count(F.lit(1)).alias("cnt"))
-               .groupBy(cls, "q_id").agg(F.min_by(F.col(c), F.struct(-F.col("cnt"), F.col(c))).alias(c)))
-        modes = m if modes is None else modes.join(m, [cls, "q_id"])
+    if cat:
+        kv = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in cat]))
+        m = (nn.select(cls, "q_id", kv.alias("kv")).select(cls, "q_id", "kv.col", "kv.v")
+               .groupBy(cls, "q_id", "col", "v").agg(F.count(F.lit(1)).alias("cnt"))
+               .groupBy(cls, "q_id", "col").agg(F.min_by(F.col("v"), F.struct(-F.col("cnt"), F.col("v"))).alias("v")))
+        modes = m.groupBy(cls, "q_id").pivot("col", cat).agg(F.first("v"))
     pick = seeds.select(cls, "j", F.col(id_col).alias("q_id"), *[F.col(c).alias("s_" + c) for c in cont],
                         (F.pmod(_hash_int(F.col(cls), F.col("j"), seed=f"{seed}n"), F.lit(k)) + 1).alias("nn_rank"),
                         _hash_u(F.col(cls), F.col("j"), seed=f"{seed}u").alias("u"))
