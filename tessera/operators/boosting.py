@@ -13,6 +13,7 @@ Lineage is cut with reliable checkpoints every ``checkpoint_every`` rounds.
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -269,3 +270,115 @@ class SoftmaxBooster:
         out = SoftmaxBoosterModel(features, splits, trees, n_classes, self.eta)
         out.gain_log = gain_log
         return out
+
+
+class ExtraTreesModel:
+    """Leaves: dict (tree, node) -> class distribution; splits: (tree, node) -> (f, thr)."""
+
+    def __init__(self, features, splits, leaves, n_classes, n_trees):
+        self.features, self.splits, self.leaves = features, splits, leaves
+        self.n_classes, self.n_trees = n_classes, n_trees
+
+    def leaf_table(self):
+        from tessera.operators.explain import LeafTable, leaves_from_nodes
+        out = []
+        for t in range(self.n_trees):
+            nodes = {}
+            for (tt, n), (f, thr) in self.splits.items():
+                if tt == t:
+                    nodes[n] = {"feature": f, "threshold": thr, "left": 2 * n + 1, "right": 2 * n + 2, "stats": []}
+            for (tt, n), dist in self.leaves.items():
+                if tt == t:
+                    nodes[n] = {"feature": -1, "threshold": 0.0, "left": -1, "right": -1, "stats": dist}
+            out += leaves_from_nodes(nodes, t, self.n_classes, 1.0 / self.n_trees, normalise=True)
+        return LeafTable(out, self.n_classes)
+
+    def predict_frame(self, df: DataFrame, features: list[str], id_col: str = "row_id") -> DataFrame:
+        from tessera.operators.explain import model_output
+        fx = model_output(df, self.features, self.leaf_table(), id_col)
+        sc = fx.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("class", "fx"))).alias("cf"))
+        sc = sc.select(id_col, F.transform("cf", lambda s: s["fx"]).alias("probability"))
+        pos = F.array_position(F.col("probability"), F.array_max("probability")) - 1
+        return df.join(sc.withColumn("prediction", pos.cast("double")), id_col)
+
+    def feature_importances(self) -> dict[str, float]:
+        gains = {f: 0.0 for f in self.features}
+        for f, g in getattr(self, "gain_log", []):
+            gains[self.features[f]] += g
+        tot = sum(gains.values())
+        return {f: (g / tot if tot else 0.0) for f, g in gains.items()}
+
+
+class ExtraTrees:
+    """Extremely randomised trees, grown level-wise for all trees at once.
+
+    State = one row per (example, tree) with its current node. Per level: node
+    feature ranges (partial aggregate), hash-drawn ``max_features`` candidate
+    features and one uniform threshold each inside the node range, class counts
+    left of the threshold (partial aggregate), weighted Gini decrease, best
+    candidate per node (children need >= min_leaf rows). Split tables stay
+    distributed and are joined to the state; only the model reaches the driver.
+    """
+
+    def __init__(self, n_trees=250, min_leaf=10, max_features="sqrt", seed=42, max_depth=40):
+        self.n_trees, self.min_leaf, self.max_features = n_trees, min_leaf, max_features
+        self.seed, self.max_depth = seed, max_depth
+
+    def fit(self, df: DataFrame, features: list[str], label_col: str = "label", id_col: str = "row_id"):
+        spark = df.sparkSession
+        checkpoint_dir(spark)
+        nf = len(features)
+        k = max(1, int(math.sqrt(nf))) if self.max_features == "sqrt" else int(self.max_features)
+        n_classes = int(df.agg(F.max(label_col)).first()[0]) + 1
+        rows = df.select(F.col(id_col).alias("rid"), F.col(label_col).cast("int").alias("y"),
+                         F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+        state = rows.select("rid", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))).alias("t"),
+                            F.lit(0).alias("node")).checkpoint(eager=True)
+        splits, leaves, gain_log = {}, {}, []
+        for depth in range(self.max_depth + 1):
+            ex = state.select("t", "node", "y", F.posexplode("x").alias("f", "v"))
+            rng = ex.groupBy("t", "node", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                                  F.count(F.lit(1)).alias("n"))
+            draw = F.md5(F.concat_ws("|", F.col("t").cast("string"), F.col("node").cast("string"),
+                                     F.col("f").cast("string"), F.lit(f"{self.seed}f")))
+            w = Window.partitionBy("t", "node").orderBy(draw, "f")
+            cand = rng.where(F.col("hi") > F.col("lo")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+            u = _hash_unit(F.col("t"), F.col("node"), F.col("f"), seed=f"{self.seed}u")
+            cand = cand.withColumn("thr", F.col("lo") + u * (F.col("hi") - F.col("lo"))).select("t", "node", "f", "thr")
+            cnt = (ex.join(cand, ["t", "node", "f"])
+                     .groupBy("t", "node", "f", "thr", "y")
+                     .agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("v") <= F.col("thr")).cast("long")).alias("cl")))
+            per = cnt.groupBy("t", "node", "f", "thr").agg(
+                F.sum("c").alias("n"), F.sum("cl").alias("nl"),
+                F.sum(F.col("c") * F.col("c")).alias("sc2"), F.sum(F.col("cl") * F.col("cl")).alias("sl2"),
+                F.sum((F.col("c") - F.col("cl")) * (F.col("c") - F.col("cl"))).alias("sr2"))
+            n, nl = F.col("n").cast("double"), F.col("nl").cast("double")
+            nr = n - nl
+            # weighted Gini decrease: n*g - nl*gl - nr*gr with g = 1 - sum p^2
+            dec = (n - F.col("sc2") / n) - (nl - F.col("sl2") / nl) - (nr - F.col("sr2") / nr)
+            per = per.where((F.col("nl") >= self.min_leaf) & (n - nl >= self.min_leaf)).withColumn("dec", dec)
+            bw = Window.partitionBy("t", "node").orderBy(F.desc("dec"), "f")
+            best = per.withColumn("r", F.row_number().over(bw)).where(F.col("r") == 1).select("t", "node", "f", "thr", "dec")
+            best = best.checkpoint(eager=True)
+            # node class counts (leaf distributions) for every open node
+            dist = state.groupBy("t", "node", "y").agg(F.count(F.lit(1)).alias("c")).collect()
+            split_rows = best.collect()
+            for r in split_rows:
+                splits[(r["t"], r["node"])] = (r["f"], r["thr"])
+                gain_log.append((r["f"], r["dec"]))
+            node_counts: dict = {}
+            for r in dist:
+                node_counts.setdefault((r["t"], r["node"]), [0.0] * n_classes)[r["y"]] += r["c"]
+            for key, dvec in node_counts.items():
+                if key not in splits:
+                    leaves[key] = dvec
+            if os.environ.get("TESSERA_DEBUG"):
+                print("level", depth, "splits", len(split_rows), "leaves", len(leaves), flush=True)
+            if not split_rows:
+                break
+            nxt = state.join(best.select("t", "node", "f", "thr"), ["t", "node"], "inner")
+            nxt = nxt.select("rid", "y", "x", "t", (2 * F.col("node") + 1 + (F.element_at("x", F.col("f") + 1) > F.col("thr")).cast("int")).alias("node"))
+            state = nxt.checkpoint(eager=True)  # reliable checkpoint per level
+        m = ExtraTreesModel(features, splits, leaves, n_classes, self.n_trees)
+        m.gain_log = gain_log
+        return m
