@@ -28,20 +28,25 @@ S = ORDER_SPEC
 FEATS = list(S.numeric)  # total_price, price_sum, price_max, disc_sum, tax_sum, part_size_max, acct_bal
 TF = {"total_price": FEATS.index("total_price"), "price_sum": FEATS.index("price_sum"),
       "acct_bal": FEATS.index("acct_bal")}
-# The literal tree (three splits, four leaves, one value per class).
+# The literal trees: fixed splits; leaf values from a rule (fractional parts of
+# multiples of sqrt(2)) so that no SHAP value sits on a decimal rounding tie.
+
+
+def _leaf_values(tree: int, leaf: int, n: int = 5) -> list[float]:
+    import math
+    return [round((math.sqrt(2.0) * (97 * tree + 11 * leaf + c + 1)) % 1.0, 12) for c in range(n)]
+
+
 TREES = {
     "tree_a": ({0: (TF["price_sum"], 150000.0, 1, 2), 1: (TF["acct_bal"], 2500.0, 3, 4),
                 2: (TF["total_price"], 200000.0, 5, 6)},
-               {3: [0.1031, 0.2987, 0.0512, 0.2493, 0.2977], 4: [0.0517, 0.2023, 0.0981, 0.3517, 0.2962],
-                5: [0.1493, 0.0511, 0.5027, 0.1983, 0.0986], 6: [0.3011, 0.0203, 0.4791, 0.1507, 0.0488]}),
+               {n: _leaf_values(0, n) for n in (3, 4, 5, 6)}),
     "tree_b": ({0: (TF["total_price"], 180000.0, 1, 2), 1: (TF["price_sum"], 90000.0, 3, 4),
                 2: (TF["acct_bal"], 0.0, 5, 6)},
-               {3: [0.05, 0.25, 0.10, 0.30, 0.30], 4: [0.20, 0.05, 0.40, 0.25, 0.10],
-                5: [0.10, 0.10, 0.30, 0.30, 0.20], 6: [0.25, 0.05, 0.45, 0.20, 0.05]}),
+               {n: _leaf_values(1, n) for n in (3, 4, 5, 6)}),
     "tree_c": ({0: (TF["acct_bal"], 5000.0, 1, 2), 1: (TF["price_sum"], 200000.0, 3, 4),
                 2: (TF["price_sum"], 60000.0, 5, 6)},
-               {3: [0.10, 0.20, 0.20, 0.30, 0.20], 4: [0.30, 0.05, 0.45, 0.15, 0.05],
-                5: [0.05, 0.35, 0.05, 0.20, 0.35], 6: [0.20, 0.05, 0.40, 0.25, 0.10]}),
+               {n: _leaf_values(2, n) for n in (3, 4, 5, 6)}),
 }
 N_EVAL, N_BG = 200, 50
 
