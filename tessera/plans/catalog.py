@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_core, q_explain, q_features, q_profile, q_rules, q_segments
+from tessera.plans import q_core, q_explain, q_features, q_models, q_profile, q_rules, q_segments
 
-_MODULES = [q_core, q_profile, q_features, q_segments, q_rules, q_explain]
+_MODULES = [q_core, q_profile, q_features, q_segments, q_rules, q_explain, q_models]
 
 
 def queries() -> dict:
