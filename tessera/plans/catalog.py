@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import (q_core, q_explain, q_features, q_models, q_profile, q_rules, q_segments,
+from tessera.plans import (q_core, q_explain, q_features, q_io, q_models, q_profile, q_rules, q_segments,
                            q_stream)
 
-_MODULES = [q_core, q_profile, q_features, q_segments, q_rules, q_explain, q_models, q_stream]
+_MODULES = [q_core, q_profile, q_features, q_io, q_segments, q_rules, q_explain, q_models, q_stream]
 
 
 def queries() -> dict:
