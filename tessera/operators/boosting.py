@@ -333,7 +333,7 @@ class ExtraTrees:
         rows = df.select(F.col(id_col).alias("rid"), F.col(label_col).cast("int").alias("y"),
                          F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
         state = rows.select("rid", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))).alias("t"),
-                            F.lit(0).alias("node")).checkpoint(eager=True)
+                            F.lit(0).cast("long").alias("node")).checkpoint(eager=True)
         splits, leaves, gain_log = {}, {}, []
         for depth in range(self.max_depth + 1):
             ex = state.select("t", "node", "y", F.posexplode("x").alias("f", "v"))
