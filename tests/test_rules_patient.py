@@ -66,3 +66,15 @@ def test_personalisation_note(spark):
     out = R.personalisation_note(df, PATIENT_RULES, n).first()["personalisation_note"]
     missing = len(COLS) - 1
     assert out.startswith(f"Patient-specific priorities use the {n - missing} values")
+
+
+def test_stage_texts_and_combined_notes(spark):
+    df = spark.createDataFrame([("Type 2", "elevated_glucose"), ("Type 1", "healthy"), ("Unknown", None),
+                                ("No Diabetes", None)], "predicted string, segment_key string")
+    out = R.combined_note(R.stage_texts(df, PATIENT_RULES), PATIENT_RULES).collect()
+    by = {r["predicted"]: r for r in out}
+    assert by["Type 2"]["combined_note"].startswith("Both the stage result and the segment point strongly")
+    assert by["Type 1"]["combined_note"].startswith("For a Type 1 pattern")
+    assert by["Unknown"]["combined_note"].startswith("The stage prediction estimates")
+    assert by["No Diabetes"]["combined_note"].startswith("The stage prediction estimates")
+    assert len(by["Type 2"]["guidance"]) == 3 and len(by["Unknown"]["meaning"]) == 2
