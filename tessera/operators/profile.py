@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.exact import isclose, pct_1dp
+from tessera.functions.ordering import exact_rank
 from tessera.functions.quantiles import exact_quantiles
 
 
@@ -28,15 +29,24 @@ def _long(df: DataFrame, cols: list[str], as_type: str = "string") -> DataFrame:
 def value_counts(df: DataFrame, cols: list[str], normalize: bool = False) -> DataFrame:
     """AG1/AG2: per column, count (and share) of each value; one pass for all columns.
 
-    Output: column, value, count[, share], rank (1 = most frequent; ties -> value).
+    Output: column_name, value, count[, share], rank (1 = most frequent; ties -> value,
+    nulls last). The rank never sorts a whole column in one task: values with a
+    higher count are counted from a (column, count) histogram, and ties inside one
+    count are ranked with prefix-bucketed exact ranks.
     """
     counts = _long(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
-    w_tot = Window.partitionBy("column_name")
     out = counts
     if normalize:
-        out = out.withColumn("share", F.col("count") / F.sum("count").over(w_tot))
-    w_rank = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc_nulls_last("value"))
-    return out.withColumn("rank", F.row_number().over(w_rank))
+        out = out.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("column_name")))
+    # values with a strictly higher count (distinct counts per column are few)
+    cc = counts.groupBy("column_name", "count").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("column_name").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
+    cc = cc.select("column_name", "count", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("__above"))
+    # tie order by value, nulls last: order key = '1'+value, or '2' for null
+    key = F.when(F.col("value").isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col("value")))
+    ranked = exact_rank(out.withColumn("__k", key), ["column_name", "count"], "__k", "__k", "__r", digits=4)
+    return (ranked.join(cc, ["column_name", "count"])
+                  .withColumn("rank", F.col("__above") + F.col("__r")).drop("__k", "__r", "__above"))
 
 
 # ---------------------------------------------------------------- AG3
