@@ -245,3 +245,27 @@ def project(df: DataFrame, features: list[str], comps: list[list[float]], means:
         e = sum(((F.col(f) - F.lit(m)) * F.lit(w) for f, m, w in zip(features, means, comp)), F.lit(0.0))
         out = out.withColumn(f"{prefix}{j + 1}", e)
     return out
+
+
+# ---------------------------------------------------------------- SG6
+def cluster_meaning(profiles: DataFrame, keys: DataFrame, baselines: dict[str, float],
+                    labels: list[tuple[str, str, str, int]], summaries: dict[str, str],
+                    summary_default: str, intro: str, size_text: str,
+                    cluster_col: str = "cluster") -> DataFrame:
+    """SG6: per cluster a summary (by segment key, with default) and detail sentences:
+    the intro, the size sentence ({n} with thousands separators), then one sentence
+    per profile column: '<prefix> <value>[ unit], which is <position> compared with
+    the training median of <baseline>.' ``labels`` = (column, prefix, unit, decimals)."""
+    from tessera.functions.scalar import fixed
+    j = profiles.join(keys.select(cluster_col, "segment_key"), cluster_col, "left")
+    smap = F.create_map(*[x for k, v in summaries.items() for x in (F.lit(k), F.lit(v))])
+    pre, _, post = size_text.partition("{n}")
+    details = [F.lit(intro),
+               F.concat(F.lit(pre), F.format_number(F.col("cluster_size").cast("long"), 0), F.lit(post))]
+    for c, prefix, unit, d in labels:
+        b = F.lit(float(baselines[c]))
+        details.append(F.concat(F.lit(prefix + " "), fixed(F.col(c), d), F.lit(unit), F.lit(", which is "),
+                                describe_position(F.col(c), b), F.lit(" compared with the training median of "),
+                                fixed(b, d), F.lit(".")))
+    return j.select(cluster_col, F.coalesce(smap[F.col("segment_key")], F.lit(summary_default)).alias("summary"),
+                    F.array(*details).alias("details"))

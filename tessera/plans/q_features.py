@@ -211,3 +211,11 @@ reg("sm5_class_counts", _sm5_sql().replace("UNION ALL SELECT stage, row_id,", "U
     .rsplit("SELECT stage, row_id, ", 2)[0] + f"""SELECT stage, synthetic, COUNT(*) AS n FROM (
 SELECT stage, false AS synthetic FROM tr UNION ALL SELECT stage, synthetic FROM syn) u GROUP BY 1, 2""")(
     lambda spark, sf: balanced_train(spark, sf).groupBy("stage", "synthetic").agg(F.count(F.lit(1)).alias("n")))
+
+
+# AG18 -------------------------------------------------------------------------
+reg("ag18_min_class_count_guard", f"""{WS} SELECT MIN(n) AS min_class_count, MIN(n) >= 2 AS balancing_possible
+FROM (SELECT stage, COUNT(*) AS n FROM split WHERE split = 'train' GROUP BY stage) c""")(
+    lambda spark, sf: op_split(spark, sf).where(F.col("split") == "train").groupBy("stage")
+    .agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("min_class_count"),
+                                           (F.min("n") >= 2).alias("balancing_possible")))

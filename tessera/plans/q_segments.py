@@ -202,3 +202,42 @@ sz AS (SELECT label, COUNT(*) AS n FROM e GROUP BY label),
 s AS (SELECT e.vec_id, e.label, CASE WHEN sz.n <= 1 THEN 0.0 ELSE (ab.b - ab.a) / GREATEST(ab.a, ab.b) END AS silhouette
       FROM e JOIN sz USING (label) LEFT JOIN ab ON ab.vec_id = e.vec_id)
 SELECT label AS cluster, COUNT(*) AS n, AVG(silhouette) AS mean_silhouette FROM s GROUP BY label""")(_me14)
+
+
+# SG6 ------------------------------------------------------------------------
+# Sentence parts of the cluster meaning for the order binding.
+MEANING_INTRO = "Being assigned to this segment means the current order looks most similar to this group in the training data."
+MEANING_SIZE = "This segment contains {n} training orders with a similar overall pattern."
+MEANING_LABELS = [("acct_bal", "Average account balance is", "", 2), ("disc_sum", "Average discount total is", "", 2),
+                  ("tax_sum", "Average tax total is", "", 2), ("total_price", "Average order total is", "", 2),
+                  ("price_max", "Average largest line is", "", 2)]
+
+
+def _sg6(spark, sf):
+    from tessera.plans.order_rules import ORDER_RULES
+    a_tr, _, _ = clustered(spark, sf)
+    q = exact_quantiles(a_tr.unpivot("row_id", PROF, "feature", "v"), "v", [0.5], ["feature"]).collect()
+    med = {r["feature"]: float(r["value"]) for r in q}
+    m = SG.cluster_meaning(SG.cluster_profiles(a_tr, PROF), keys(spark, sf), med, MEANING_LABELS,
+                           ORDER_RULES.segment_summaries, ORDER_RULES.segment_summary_default,
+                           MEANING_INTRO, MEANING_SIZE)
+    return m.select("cluster", "summary", F.array_join("details", " | ").alias("details"))
+
+
+def _sg6_sql():
+    from tessera.plans.order_rules import ORDER_RULES
+    summ = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ORDER_RULES.segment_summaries.items())
+    pos = ("CASE WHEN {v} IS NULL OR {b} IS NULL OR isnan({v}) OR isnan({b}) THEN 'relative position not available' "
+           "WHEN abs({v} - {b}) <= 1e-8 + 1e-5 * abs({b}) THEN 'around the training median' "
+           "WHEN {v} > {b} THEN 'above the training median' ELSE 'below the training median' END")
+    parts = [f"'{MEANING_INTRO}'",
+             "'" + MEANING_SIZE.split("{n}")[0] + "' || format('{:,}', p.cluster_size) || '" + MEANING_SIZE.split("{n}")[1] + "'"]
+    for c, prefix, unit, d in MEANING_LABELS:
+        b = f"(SELECT quantile_cont({c}, 0.5) FROM assigned)"
+        parts.append(f"'{prefix} ' || printf('%.{d}f', p.{c}) || '{unit}, which is ' || {pos.format(v='p.' + c, b=b)} "
+                     f"|| ' compared with the training median of ' || printf('%.{d}f', {b}) || '.'")
+    return (SEG_SQL + f" SELECT p.cluster, COALESCE(CASE k.segment_key {summ} END, '{ORDER_RULES.segment_summary_default}') AS summary, "
+            f"array_to_string([{', '.join(parts)}], ' | ') AS details FROM prof p LEFT JOIN keys k USING (cluster)")
+
+
+reg("sg6_cluster_meaning", _sg6_sql())(_sg6)
