@@ -60,7 +60,7 @@ def _sqdist(cont: list[str], cat: list[str], med2: float, a: str = "a_", b: str
 
 def knn_within_class(queries: DataFrame, points: DataFrame, cls: str, id_col: str,
                      cont: list[str], cat: list[str], med2: float, k: int,
-                     grid_dims: list[str], cell_size: int = 64) -> DataFrame:
+                     grid_dims: list[str], cell_size: int = 8) -> DataFrame:
     """Exact k nearest same-class neighbours (excluding self) of each query point.
 
     Output: cls, query id (``q_id``), ``nn_rank`` 1..k, neighbour id and features.
@@ -129,7 +129,7 @@ def knn_within_class(queries: DataFrame, points: DataFrame, cls: str, id_col: st
 
 
 def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str],
-            k_max: int = 5, seed: int = 42, cell_size: int = 64) -> DataFrame:
+            k_max: int = 5, seed: int = 42, cell_size: int = 8) -> DataFrame:
     """SM5: originals (synthetic=false) + synthetic rows up to the majority size per class.
 
     Synthetic ids are negative: -(j + 1) within their class.
