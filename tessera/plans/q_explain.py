@@ -298,3 +298,19 @@ def _sh14(spark, sf):
 
 
 reg("sh14_primary_features", _imp_sql() + " SELECT feature, rank FROM imp WHERE rank <= 5")(_sh14)
+
+
+# WN5: top drivers by |phi|, re-sorted by signed value ---------------------------------
+def _wn5(spark, sf):
+    from pyspark.sql import Window
+    loc = _local(spark, sf)
+    w = Window.partitionBy("row_id").orderBy(F.desc("abs_phi"), F.asc("feature"))
+    top = loc.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 5)
+    w2 = Window.partitionBy("row_id").orderBy(F.asc("phi"), F.asc("feature"))
+    return top.select("row_id", "feature", "phi", F.row_number().over(w2).alias("signed_order"))
+
+
+reg("wn5_resorted_top_k", LOCAL_SQL + """,
+t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY abs_phi DESC, feature) AS r FROM loc)
+SELECT row_id, feature, phi, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY phi, feature) AS signed_order
+FROM t WHERE r <= 5""")(_wn5)

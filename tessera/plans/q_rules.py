@@ -306,3 +306,54 @@ SELECT row_id,
   (SELECT string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY v DESC, i) FROM (SELECT UNNEST([disc_sum, tax_sum, CAST(has_open AS DOUBLE)]) AS v, UNNEST([1, 2, 3]) AS i) z) AS sc9_argsort,
   replace(lower(segment), ' ', '_') AS sc10_slug
 FROM b""")(_sc)
+
+
+# DR9 (all feature kinds) ---------------------------------------------------------
+def _dr9_all(spark, sf):
+    from tessera.functions.scalar import fixed
+    tr = op_split(spark, sf).where(F.col("split") == "train")
+    pre = FE.fit_preprocessor(tr, S)
+    enc = pre.encode(tr, strict=True)
+    aggs = [F.avg(c).alias(c) if c in S.numeric else F.mode(c, True).alias(c) for c in S.features]
+    row = enc.agg(*aggs)
+    items = []
+    for c in S.features:
+        v = F.col(c)
+        if c in S.numeric:
+            t = F.concat(F.lit("Average if blank: "), fixed(v, 2))
+        elif c in S.binary:
+            t = F.concat(F.lit("Default if blank: "), F.when(F.round(v) == 1, "Yes").otherwise("No"))
+        else:
+            cats = list(S.ordinal_levels[c]) if c in S.ordinal_levels else pre.nominal[c]
+            i = F.round(v).cast("int")
+            t = F.when((i >= 0) & (i < len(cats)),
+                       F.concat(F.lit("Default if blank: "), F.element_at(F.array(*[F.lit(x) for x in cats]), i + 1))
+                       ).otherwise(F.lit("Default if blank: most common value"))
+        items.append(F.struct(F.lit(c).alias("feature"), t.alias("fallback_text")))
+    return row.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+
+
+def _dr9_all_sql():
+    from tessera.plans.q_features import _encoded_sql
+    parts = []
+    for c in S.features:
+        if c in S.numeric:
+            parts.append(f"SELECT '{c}' AS feature, 'Average if blank: ' || printf('%.2f', (SELECT AVG({c}) FROM etr)) AS fallback_text")
+            continue
+        mode = f"(SELECT {c} FROM etr WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
+        if c in S.binary:
+            parts.append(f"SELECT '{c}', 'Default if blank: ' || CASE WHEN round({mode}) = 1 THEN 'Yes' ELSE 'No' END")
+            continue
+        if c in S.ordinal_levels:
+            cats = "[" + ", ".join(f"'{x}'" for x in S.ordinal_levels[c]) + "]"
+        else:
+            cats = f"(SELECT list_sort(list(DISTINCT {c})) FROM split WHERE split = 'train' AND {c} IS NOT NULL)"
+        parts.append(f"SELECT '{c}', CASE WHEN CAST(round({mode}) AS INTEGER) BETWEEN 0 AND len({cats}) - 1 "
+                     f"THEN 'Default if blank: ' || {cats}[CAST(round({mode}) AS INTEGER) + 1] "
+                     f"ELSE 'Default if blank: most common value' END")
+    return (f"WITH {OP_CTE},{split_ctes()}, enc AS ({_encoded_sql('order_profile')}), "
+            f"etr AS (SELECT e.* FROM enc e JOIN split s USING (row_id) WHERE s.split = 'train') "
+            + " UNION ALL ".join(parts))
+
+
+reg("dr9_fallback_texts", _dr9_all_sql())(_dr9_all)
