@@ -293,11 +293,38 @@ class ExtraTreesModel:
             out += leaves_from_nodes(nodes, t, self.n_classes, 1.0 / self.n_trees, normalise=True)
         return LeafTable(out, self.n_classes)
 
+    def tree_frame(self, spark) -> DataFrame:
+        """One row per tree: node -> split feature / threshold and leaf -> class
+        distribution maps (the model table, broadcast for scoring)."""
+        rows = []
+        for t in range(self.n_trees):
+            sp = {n: v for (tt, n), v in self.splits.items() if tt == t}
+            lv = {n: v for (tt, n), v in self.leaves.items() if tt == t}
+            rows.append((t, {n: f for n, (f, _) in sp.items()}, {n: float(th) for n, (_, th) in sp.items()},
+                         {n: [c / (sum(v) or 1.0) for c in v] for n, v in lv.items()}))
+        return spark.createDataFrame(rows, "t int, fmap map<bigint,int>, tmap map<bigint,double>, "
+                                           "vmap map<bigint,array<double>>")
+
     def predict_frame(self, df: DataFrame, features: list[str], id_col: str = "row_id") -> DataFrame:
-        from tessera.operators.explain import model_output
-        fx = model_output(df, self.features, self.leaf_table(), id_col)
-        sc = fx.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("class", "fx"))).alias("cf"))
-        sc = sc.select(id_col, F.transform("cf", lambda s: s["fx"]).alias("probability"))
+        """Probability = mean over trees of the reached leaf's class distribution.
+        Rows fan out over trees and join the broadcast tree table; the walk runs in
+        one higher-order function (node is a lambda variable)."""
+        spark = df.sparkSession
+        tt = self.tree_frame(spark)
+        depth = max([int(math.log2(n + 1)) for (_, n) in list(self.splits) + list(self.leaves)] + [0]) + 1
+        x = df.select(id_col, F.array(*[F.col(f).cast("double") for f in self.features]).alias("x"),
+                      F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))).alias("t"))
+        j = x.join(F.broadcast(tt), "t")
+
+        def step(nd, _):
+            f = F.col("fmap")[nd]
+            right = F.element_at(F.col("x"), f + 1) > F.col("tmap")[nd]
+            return F.when(f.isNull(), nd).otherwise(2 * nd + 1 + right.cast("long"))
+        node = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0).cast("long"), step)
+        v = j.select(id_col, F.posexplode(F.col("vmap")[node]).alias("class", "p"))
+        sc = v.groupBy(id_col, "class").agg((F.sum("p") / F.lit(float(self.n_trees))).alias("p"))
+        sc = sc.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("class", "p"))).alias("cp"))
+        sc = sc.select(id_col, F.transform("cp", lambda s_: s_["p"]).alias("probability"))
         pos = F.array_position(F.col("probability"), F.array_max("probability")) - 1
         return df.join(sc.withColumn("prediction", pos.cast("double")), id_col)
 
@@ -359,16 +386,23 @@ class ExtraTrees:
             per = per.where((F.col("nl") >= self.min_leaf) & (n - nl >= self.min_leaf)).withColumn("dec", dec)
             bw = Window.partitionBy("t", "node").orderBy(F.desc("dec"), "f")
             best = per.withColumn("r", F.row_number().over(bw)).where(F.col("r") == 1).select("t", "node", "f", "thr", "dec")
-            best = best.checkpoint(eager=True)
-            # node class counts (leaf distributions) for every open node
-            dist = state.groupBy("t", "node", "y").agg(F.count(F.lit(1)).alias("c")).collect()
-            split_rows = best.collect()
+            # one job per level: best splits and node class counts come back together
+            # (both model-sized: one row per open node / per node and class)
+            dist = state.groupBy("t", "node", "y").agg(F.count(F.lit(1)).alias("c"))
+            both = (best.select(F.lit("s").alias("kind"), "t", "node", "f", "thr", "dec",
+                                F.lit(None).cast("int").alias("y"), F.lit(None).cast("long").alias("c"))
+                        .unionByName(dist.select(F.lit("d").alias("kind"), "t", "node", F.lit(None).cast("int").alias("f"),
+                                                 F.lit(None).cast("double").alias("thr"), F.lit(None).cast("double").alias("dec"),
+                                                 "y", "c")))
+            rows_back = both.collect()
+            split_rows = [r for r in rows_back if r["kind"] == "s"]
             for r in split_rows:
                 splits[(r["t"], r["node"])] = (r["f"], r["thr"])
                 gain_log.append((r["f"], r["dec"]))
             node_counts: dict = {}
-            for r in dist:
-                node_counts.setdefault((r["t"], r["node"]), [0.0] * n_classes)[r["y"]] += r["c"]
+            for r in rows_back:
+                if r["kind"] == "d":
+                    node_counts.setdefault((r["t"], r["node"]), [0.0] * n_classes)[r["y"]] += r["c"]
             for key, dvec in node_counts.items():
                 if key not in splits:
                     leaves[key] = dvec
@@ -376,9 +410,18 @@ class ExtraTrees:
                 print("level", depth, "splits", len(split_rows), "leaves", len(leaves), flush=True)
             if not split_rows:
                 break
-            nxt = state.join(best.select("t", "node", "f", "thr"), ["t", "node"], "inner")
-            nxt = nxt.select("rid", "y", "x", "t", (2 * F.col("node") + 1 + (F.element_at("x", F.col("f") + 1) > F.col("thr")).cast("int")).alias("node"))
-            state = nxt.checkpoint(eager=True)  # reliable checkpoint per level
+            sdf = spark.createDataFrame([(r["t"], r["node"], r["f"], r["thr"]) for r in split_rows],
+                                        "t int, node long, f int, thr double")
+            nxt = state.join(sdf, ["t", "node"], "inner")  # rows in leaves drop out
+            nxt = nxt.select("rid", "y", "x", "t", (2 * F.col("node") + 1 +
+                             (F.element_at("x", F.col("f") + 1) > F.col("thr")).cast("int")).alias("node"))
+            prev = state
+            if depth % 4 == 3:
+                state = nxt.checkpoint(eager=True)  # reliable: cuts lineage every 4 levels
+            else:
+                state = nxt.persist()
+                state.count()
+            prev.unpersist()
         m = ExtraTreesModel(features, splits, leaves, n_classes, self.n_trees)
         m.gain_log = gain_log
         return m
