@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import toxicity
+from tessera.llm import bpe, toxicity
 
 QUERIES = {
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
