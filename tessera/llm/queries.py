@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, toxicity
+from tessera.llm import bpe, decontaminate, toxicity
 
 QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_decontamination": decontaminate.OP8_SQL,
+}
