@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, toxicity
+from tessera.llm import bpe, decontaminate, toxicity, url_filter
 
 QUERIES = {
+    "op3_url_filter": url_filter.op3_url_filter,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.OP3_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
 }
