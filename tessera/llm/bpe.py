@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read
 
-MAX_STATES, MAX_PIECES = 150_000, 500_000
+MAX_STATES, MAX_PIECES = 300_000, 1_000_000
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -69,6 +70,7 @@ class Transducer:
         self.child: dict[int, int] = {}  # node * 256 + byte: node
         self.at: list[int] = [-1]  # node: token, if its bytes merge to it
         self.parts: dict[int, tuple[bytes, bytes] | None] = {}  # token: the two parts of its last merge
+        self.edges: tuple[dict, dict] = ({}, {})
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -84,6 +86,10 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
+        """Forget all states, and cut their circles of references."""
+        if getattr(self, "states", None):
+            for state in self.states.values():
+                state.moves = {}
         self.states: dict[tuple, _State] = {}
         self.pairs: dict[int, bool] = {}
         self.start = self._state(-1, ((0, ()),))
@@ -110,11 +116,15 @@ class Transducer:
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, int, int]]:
         """The parts that stand at an edge of the token in the course of its merges, with the ranks between which they do."""
-        spans, until = [], 1 << 60
+        known = self.edges[side].get(token)
+        if known is not None:
+            return known
+        spans, until, of = [], 1 << 60, token
         while True:
             parts = self._last_merge(token)
             spans.append((self.token[token], -1 if parts is None else token, until))
             if parts is None:
+                self.edges[side][of] = spans
                 return spans
             token, until = self.ranks[parts[side]], token
 
@@ -137,26 +147,29 @@ class Transducer:
         return ok
 
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        here, still, child, at, leaf = None, [], self.child, self.at, self.leaf
+        here, still, child, at, leaf, parts, pairs = None, [], self.child, self.at, self.leaf, self.parts, self.pairs
         for node, path in state.open:
             grown = child.get(node << 8 | byte)
             if grown is None:
                 continue
             token = at[grown]
-            if here is None and token >= 0 and self._last_merge(token) != ():
+            if here is None and token >= 0 and (parts[token] if token in parts else self._last_merge(token)) != ():
                 left = path[-1] if path else state.last
-                if left < 0 or self._may_follow(left, token):
+                ok = left < 0 or pairs.get(left << 32 | token)
+                if ok or ok is None and self._may_follow(left, token):
                     here = (*path, token)
             if not leaf[grown]:
                 still.append((grown, path))
         if here is None:
             raise ValueError(f"no token ends with byte {byte}; the vocabulary lacks single bytes")
-        sure = min([len(here), *[len(p) for _, p in still]])
+        sure = len(here)
         for _, p in still:
+            sure = min(sure, len(p))
             while p[:sure] != here[:sure]:
                 sure -= 1
         emitted = here[:sure]
-        open_ = (*[(n, p[sure:]) for n, p in still], (0, here[sure:])) if sure else (*still, (0, here))
+        still.append((0, here))
+        open_ = tuple([(n, p[sure:]) for n, p in still]) if sure else tuple(still)
         move = self._state(emitted[-1] if emitted else state.last, open_), emitted
         state.moves[byte] = move
         return move
@@ -172,7 +185,7 @@ class Transducer:
             move = state.moves.get(byte)
             if move is None:
                 move = self._move(state, byte)
-                if len(self.states) > 2 * self.max_states:  # one very long piece
+                if len(self.states) > self.max_states + 100_000:  # one very long piece
                     keep = move[0]
                     self.clear()
                     move = self._state(keep.last, keep.open), move[1]
@@ -231,6 +244,7 @@ def codec(raw: bytes, pattern: str) -> Codec:
 
 def _rows(shared, pattern: str, batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
     own = codec(shared.value, pattern)
+    gc.disable()  # it would walk through all states again and again; they are let go in ``clear``
     for batch in batches:
         n, sha, back, ids = [], [], [], []
         for text in batch.column(0):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, toxicity, url_filter
+from tessera.llm import bpe, decontaminate, fingerprint, secrets, toxicity, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_fingerprint": fingerprint.op5_fingerprint,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
