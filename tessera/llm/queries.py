@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, fingerprint, secrets, toxicity, url_filter
+from tessera.llm import bpe, decontaminate, fingerprint, licenses, secrets, toxicity, url_filter
 
 QUERIES = {
+    "op2_licenses": licenses.op2_licenses,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secrets": secrets.op4_secrets,
     "op5_fingerprint": fingerprint.op5_fingerprint,
