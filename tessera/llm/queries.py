@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, fingerprint, licenses, secrets, toxicity, url_filter
+from tessera.llm import bpe, decontaminate, fingerprint, html_text, licenses, secrets, toxicity, url_filter
 
 QUERIES = {
     "op2_licenses": licenses.op2_licenses,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_html_text": html_text.op9_html_text,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
