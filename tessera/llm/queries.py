@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, fingerprint, html_text, licenses, secrets, toxicity, url_filter
+from tessera.llm import bpe, decontaminate, fingerprint, html_text, licenses, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op2_licenses": licenses.op2_licenses,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secrets": secrets.op4_secrets,
     "op5_fingerprint": fingerprint.op5_fingerprint,
+    "op6_quality": quality.op6_quality,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_html_text": html_text.op9_html_text,
