@@ -76,12 +76,13 @@ KEYS = ["_id", "_sum"]
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", n: int = WINDOW,
-                  max_literal: int = MAX_LITERAL) -> DataFrame:
+                  max_literal: int = MAX_LITERAL, with_hash: bool = False) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words and is clean; benchmark rows without an id or words
     have no windows. Repeated rows each come out; rows are told apart by id and content.
-    Other columns are ignored.
+    Other columns are ignored. With ``with_hash`` a column text_hash (xxhash64 of the text)
+    tells rows of one id apart.
     """
     grams = benchmark_windows(benchmark, item_col, item_text, n).cache()
     try:
@@ -117,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.col("_id").alias(id_col), F.col("n_words").cast("long").alias("n_words"),
         F.size(positions).cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("_items", lambda i: i.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("_spans") > 0).alias("contaminated"), F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy"))
+        (F.size("_spans") > 0).alias("contaminated"), *([F.col("_sum").alias("text_hash")] if with_hash else []), F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy"))
     return out.drop("_copy")
 
 

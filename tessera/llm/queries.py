@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, fingerprint, html_text, licenses, quality, secrets, toxicity, url_filter
+from tessera.llm import bpe, decontaminate, fingerprint, html_text, jaccard, licenses, quality, secrets, toxicity, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_licenses": licenses.op2_licenses,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_secrets": secrets.op4_secrets,
