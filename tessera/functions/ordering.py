@@ -5,13 +5,17 @@ gets a reproducible position ``md5(concat_ws('|', id, seed))`` with the id as ti
 break; "the first q rows of a group in hash order" is then exact and identical in
 Spark and in SQL.
 
-``exact_rank`` never puts a whole group into one task: the hash prefix splits each
-group into ``16**digits`` buckets, a small histogram gives each bucket its offset
-inside the group, and only rows of one (group, bucket) are sorted together.
+``exact_rank`` never puts a whole group into one task: a prefix of the order column
+splits each group into buckets, a small histogram gives each bucket its offset inside
+the group, and only rows of one (group, bucket) are sorted together. The prefix is as
+long as the data need: its length is found from counts (``prefix_length``).
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +33,52 @@ def hash_unit(id_col: str | Column, seed: int | str, start: int = 1) -> Column:
     return digits / F.lit(float(16 ** 13))
 
 
+BUCKET_ROWS = 200_000
+
+
+def prefix_length(df: DataFrame, group_cols: list[str], order_col: str, rows: int = BUCKET_ROWS, start: int = 3,
+                  most: int = 32) -> int:
+    """Least prefix of the order column whose largest (group, prefix) bucket has at most ``rows`` rows.
+
+    One aggregate for each length that is tried; a bucket of one repeated value can't be
+    split and ends the search.
+    """
+    length = start
+    while length < most:
+        c = F.col(order_col)
+        largest = (df.groupBy(*group_cols, F.substring(c, 1, length).alias("__p"))
+                   .agg(F.count(F.lit(1)).alias("n"), (F.min(c) < F.max(c)).alias("more"))
+                   .where("more").agg(F.max("n")).first()[0])
+        if (largest or 0) <= rows:
+            break
+        length += max(1, math.ceil(math.log(largest / rows, 16)))
+    return min(length, most)
+
+
+def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the key columns come from ``a``."""
+    other = b.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [a[k].eqNullSafe(other[f"__r_{k}"]) for k in keys])
+    return a.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def exact_rank(df: DataFrame, group_cols: list[str], order_col: str, id_col: str,
-               rank_col: str = "rank", digits: int = 3, with_counts: bool = False):
+               rank_col: str = "rank", digits: int | None = None, with_counts: bool = False):
     """1-based rank of each row within ``group_cols`` ordered by (order_col, id_col).
 
-    ``order_col`` must be a hex string (``hash_order``). Cost: one histogram
-    aggregate (partial, small output) plus one shuffle of the rows on
-    (group, bucket); the biggest sort unit is one bucket, about group/16**digits rows.
+    ``order_col`` must be a string (``hash_order`` spreads evenly). Rows with a null group
+    form a group of their own. Cost: an aggregate for the prefix length unless ``digits``
+    gives it, one histogram aggregate and one shuffle of the rows on (group, bucket).
     """
     b = "__bucket"
+    digits = digits or prefix_length(df, group_cols, order_col)
     with_b = df.withColumn(b, F.substring(F.col(order_col), 1, digits))
     hist = with_b.groupBy(*group_cols, b).agg(F.count(F.lit(1)).alias("__n"))
     w_off = (Window.partitionBy(*group_cols).orderBy(b)
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = hist.select(*group_cols, b,
                           F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
-    joined = with_b.join(offsets, on=[*group_cols, b], how="inner")
+    joined = null_safe(with_b, offsets, [*group_cols, b])
     w_loc = Window.partitionBy(*group_cols, b).orderBy(F.col(order_col), F.col(id_col))
     ranked = (joined.withColumn(rank_col, F.col("__off") + F.row_number().over(w_loc))
                     .drop(b, "__off"))
@@ -55,7 +89,7 @@ def exact_rank(df: DataFrame, group_cols: list[str], order_col: str, id_col: str
 
 
 def exact_rank_global(df: DataFrame, order_col: str, id_col: str,
-                      rank_col: str = "rank", digits: int = 3) -> DataFrame:
+                      rank_col: str = "rank", digits: int | None = None) -> DataFrame:
     """Global variant of ``exact_rank`` (one implicit group)."""
     g = "__g"
     return exact_rank(df.withColumn(g, F.lit(0)), [g], order_col, id_col,

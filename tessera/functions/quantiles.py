@@ -23,20 +23,22 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import null_safe
+
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     group_cols: list[str] | None = None, bins: int = 1024,
-                    max_final: int = 200_000, max_targets: int = 200_000,
-                    max_passes: int = 12) -> DataFrame:
-    """Rows: group cols, ``prob``, ``value`` (null for empty groups)."""
+                    max_final: int = 200_000) -> DataFrame:
+    """Rows: group cols, ``prob``, ``value`` (none for empty groups). Rows with a null group
+    are a group of their own. Intervals shrink until each holds at most ``max_final`` rows
+    or one value; the number of passes follows the data."""
     spark = df.sparkSession
-    g = list(group_cols or [])
     x = F.col(value_col).cast("double")
-    base = df.select(*g, x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    base = df.select(*(group_cols or [F.lit(0).alias("__all")]), x.alias("__x"))
+    base = base.where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    g = list(group_cols or ["__all"])
     stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"),
                                  F.max("__x").alias("hi")).collect()
-    if len(stats) * max(1, len(probs)) * 2 > max_targets:
-        raise ValueError("too many quantile targets; raise max_targets")
     # targets: (tid, group..., k, lo, hi, below, cnt)
     targets = []
     wanted = []  # (group tuple, prob, tid_a, tid_b, frac)
@@ -65,15 +67,15 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
         schema = ", ".join(["tid long"] + [f"`{c}` {tp}" for c, tp in schema_g] + ["lo double", "hi double"])
         return spark.createDataFrame(rows, schema)
 
-    for _ in range(max_passes):
+    while True:
         open_ = [t for t in targets if t["value"] is None and t["lo"] < t["hi"] and t["cnt"] > max_final]
         for t in targets:
             if t["value"] is None and t["lo"] == t["hi"]:
                 t["value"] = t["lo"]
         if not open_:
             break
-        tf = F.broadcast(tgt_frame(open_))  # bounded: groups x ranks, checked above
-        j = base.join(tf, g, "inner") if g else base.join(tf, how="inner")
+        tf = F.broadcast(tgt_frame(open_))  # groups x ranks rows
+        j = null_safe(base, tf, g)
         j = j.where((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi")))
         width = (F.col("hi") - F.col("lo")) / F.lit(bins)
         b = F.least(F.floor((F.col("__x") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
@@ -99,7 +101,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     rest = [t for t in rest if t["value"] is None]
     if rest:
         tf = F.broadcast(tgt_frame(rest))
-        j = base.join(tf, g, "inner") if g else base.join(tf, how="inner")
+        j = null_safe(base, tf, g)
         j = j.where((F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi")))
         w = Window.partitionBy("tid").orderBy("__x")
         need = spark.createDataFrame([(t["tid"], t["k"] - t["below"] + 1) for t in rest], "tid long, rn long")
@@ -116,4 +118,4 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
         out.append((*key, float(p), float(val)))
     schema_g = [(c, base.schema[c].dataType.simpleString()) for c in g]
     schema = ", ".join([f"`{c}` {tp}" for c, tp in schema_g] + ["prob double", "value double"])
-    return spark.createDataFrame(out, schema)
+    return spark.createDataFrame(out, schema).drop("__all")

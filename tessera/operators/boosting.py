@@ -13,15 +13,19 @@ Lineage is cut with reliable checkpoints every ``checkpoint_every`` rounds.
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.treewalk import Tree, make_tree, tree_sums
 from tessera.session import checkpoint_dir
 
 
+#: Node numbers of one tree; its class comes above them in a key.
+NODES = 1 << 40
+
+
 def _hash_unit(*parts: Column, seed: str) -> Column:
     h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(seed)))
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
@@ -89,59 +93,39 @@ class SoftmaxBoosterModel:
             cols.append(s)
         return F.array(*cols)
 
-    def tree_frame(self, spark) -> DataFrame:
-        """Dense per-tree arrays (feature, bin, value by node id): the model table."""
-        rows = []
-        size = 2 ** (self.max_depth() + 1)
-        t = 0
+    def walk_trees(self) -> list[Tree]:
+        """Trees over raw features: bin > b is x >= the split point b + 1."""
+        out = []
         for rnd in self.trees:
-            for c in range(self.n_classes):
-                feat, b, val = [-1] * size, [0] * size, [0.0] * size
-                for n, v in rnd[c].items():
-                    if isinstance(v, tuple):
-                        feat[n], b[n] = v
-                    else:
-                        val[n] = float(v)
-                rows.append((t, c, feat, b, val))
-                t += 1
-        return spark.createDataFrame(rows, "tree int, class int, feat array<int>, bin array<int>, value array<double>")
+            for c, tree in enumerate(rnd):
+                splits = {n: (v[0], self.splits[self.features[v[0]]][v[1] + 1], 2 * n + 1, 2 * n + 2)
+                          for n, v in tree.items() if isinstance(v, tuple)}
+                leaves = {n: [float(v) if k == c else 0.0 for k in range(self.n_classes)]
+                          for n, v in tree.items() if not isinstance(v, tuple)}
+                out.append(make_tree(splits, leaves, self.n_classes))
+        return out
 
     def max_depth(self) -> int:
         return max(int(math.log2(n + 1)) for rnd in self.trees for tr in rnd for n in tr)
 
     def predict_frame(self, df: DataFrame, features: list[str], id_col: str = "row_id") -> DataFrame:
-        """Scores = sum of leaf values over trees: rows fan out over the model's trees
-        and join the broadcast tree table (model-sized) on the tree id; no row is
-        compared with another row."""
-        spark = df.sparkSession
-        tt = self.tree_frame(spark)
-        n_trees = len(self.trees) * self.n_classes
-        b = bin_frame(df.select(id_col, *self.features), self.features, self.splits)
-        x = b.select(id_col, "bins", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-        j = x.join(F.broadcast(tt), "tree")
-        def step(nd, _):
-            f = F.element_at(F.col("feat"), nd + 1)
-            right = F.element_at(F.col("bins"), f + 1) > F.element_at(F.col("bin"), nd + 1)
-            return F.when(f < 0, nd).otherwise(2 * nd + 1 + right.cast("int"))
-        node = F.aggregate(F.sequence(F.lit(1), F.lit(self.max_depth() + 1)), F.lit(0), step)
-        j = j.select(id_col, "class", F.element_at(F.col("value"), node + 1).alias("v"))
-        sc = j.groupBy(id_col, "class").agg(F.sum("v").alias("m"))
-        sc = sc.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("class", "m"))).alias("cm"))
-        sc = sc.select(id_col, F.transform("cm", lambda s: s["m"]).alias("rawPrediction"))
+        """rawPrediction (sum of leaf values), probability and prediction of every row, in place."""
+        sc = tree_sums(df, self.features, self.walk_trees(), self.n_classes, "rawPrediction", closed=False)
         mx = F.array_max("rawPrediction")
         ex = F.transform("rawPrediction", lambda v: F.exp(v - mx))
         tot = F.aggregate(ex, F.lit(0.0), lambda a, v: a + v)
         sc = sc.withColumn("probability", F.transform(ex, lambda v: v / tot))
         pos = F.array_position(F.col("probability"), F.array_max("probability")) - 1
-        sc = sc.withColumn("prediction", pos.cast("double"))
-        return df.join(sc, id_col)
+        return sc.withColumn("prediction", pos.cast("double"))
 
     def feature_importances(self) -> dict[str, float]:
-        gains = {f: 0.0 for f in self.features}
+        """Mean gain of a feature's splits, as shares."""
+        gains: dict[str, list[float]] = {f: [] for f in self.features}
         for f, g in getattr(self, "gain_log", []):
-            gains[self.features[f]] += g
-        tot = sum(gains.values())
-        return {f: (g / tot if tot else 0.0) for f, g in gains.items()}
+            gains[self.features[f]].append(g)
+        means = {f: sum(g) / len(g) if g else 0.0 for f, g in gains.items()}
+        tot = sum(means.values())
+        return {f: (g / tot if tot else 0.0) for f, g in means.items()}
 
     def leaf_table(self):
         """Margin leaf table for tree SHAP (threshold: x < s_{b+1} goes left)."""
@@ -204,11 +188,11 @@ class SoftmaxBooster:
             round_trees = [dict() for _ in range(n_classes)]
             open_nodes = {c: {0} for c in range(n_classes)}
             for depth in range(self.max_depth + 1):
-                keys = [c * 1_000_000 + n for c in range(n_classes) for n in open_nodes[c]]
+                keys = [c * NODES + n for c in range(n_classes) for n in open_nodes[c]]
                 ex_c = cur.select("bins", F.posexplode(F.arrays_zip("node", "g", "h")).alias("c", "z"))
                 ex_c = ex_c.select("c", F.col("z.node").alias("node"), F.col("z.g").alias("g"),
                                    F.col("z.h").alias("h"), "bins")
-                ex_c = ex_c.where((F.col("c") * 1_000_000 + F.col("node")).isin(keys))
+                ex_c = ex_c.where((F.col("c").cast("long") * NODES + F.col("node")).isin(keys))
                 can_split = depth < self.max_depth
                 best = {}
                 if can_split:
@@ -253,11 +237,11 @@ class SoftmaxBooster:
                       if isinstance(v, tuple) for (f, b) in [v]]
                 if not sp:
                     break
-                fmap = F.create_map(*[x for c, n, f, b in sp for x in (F.lit(c * 1_000_000 + n), F.lit(f))])
-                bmap = F.create_map(*[x for c, n, f, b in sp for x in (F.lit(c * 1_000_000 + n), F.lit(b))])
+                fmap = F.create_map(*[x for c, n, f, b in sp for x in (F.lit(c * NODES + n), F.lit(f))])
+                bmap = F.create_map(*[x for c, n, f, b in sp for x in (F.lit(c * NODES + n), F.lit(b))])
 
                 def step(nd, c):
-                    k = c * 1_000_000 + nd
+                    k = c.cast("long") * NODES + nd
                     f = fmap[k]
                     right = F.element_at(F.col("bins"), f + 1) > bmap[k]
                     return F.when(f.isNull(), nd).otherwise(2 * nd + 1 + right.cast("int"))
@@ -273,7 +257,8 @@ class SoftmaxBooster:
 
 
 class ExtraTreesModel:
-    """Leaves: dict (tree, node) -> class distribution; splits: (tree, node) -> (f, thr)."""
+    """Leaves: dict (tree, node) -> class distribution; splits: (tree, node) -> (feature, threshold, left
+    node); the right node is the next number."""
 
     def __init__(self, features, splits, leaves, n_classes, n_trees):
         self.features, self.splits, self.leaves = features, splits, leaves
@@ -284,49 +269,31 @@ class ExtraTreesModel:
         out = []
         for t in range(self.n_trees):
             nodes = {}
-            for (tt, n), (f, thr) in self.splits.items():
+            for (tt, n), (f, thr, left) in self.splits.items():
                 if tt == t:
-                    nodes[n] = {"feature": f, "threshold": thr, "left": 2 * n + 1, "right": 2 * n + 2, "stats": []}
+                    nodes[n] = {"feature": f, "threshold": thr, "left": left, "right": left + 1, "stats": []}
             for (tt, n), dist in self.leaves.items():
                 if tt == t:
                     nodes[n] = {"feature": -1, "threshold": 0.0, "left": -1, "right": -1, "stats": dist}
             out += leaves_from_nodes(nodes, t, self.n_classes, 1.0 / self.n_trees, normalise=True)
         return LeafTable(out, self.n_classes)
 
-    def tree_frame(self, spark) -> DataFrame:
-        """One row per tree: node -> split feature / threshold and leaf -> class
-        distribution maps (the model table, broadcast for scoring)."""
-        rows = []
-        for t in range(self.n_trees):
-            sp = {n: v for (tt, n), v in self.splits.items() if tt == t}
-            lv = {n: v for (tt, n), v in self.leaves.items() if tt == t}
-            rows.append((t, {n: f for n, (f, _) in sp.items()}, {n: float(th) for n, (_, th) in sp.items()},
-                         {n: [c / (sum(v) or 1.0) for c in v] for n, v in lv.items()}))
-        return spark.createDataFrame(rows, "t int, fmap map<bigint,int>, tmap map<bigint,double>, "
-                                           "vmap map<bigint,array<double>>")
+    def walk_trees(self) -> list[Tree]:
+        """Trees whose leaves hold class shares."""
+        splits: list[dict] = [{} for _ in range(self.n_trees)]
+        leaves: list[dict] = [{} for _ in range(self.n_trees)]
+        for (t, n), (f, thr, left) in self.splits.items():
+            splits[t][n] = (f, float(thr), left, left + 1)
+        for (t, n), dist in self.leaves.items():
+            leaves[t][n] = [c / (sum(dist) or 1.0) for c in dist]
+        return [make_tree(s, v, self.n_classes) for s, v in zip(splits, leaves)]
 
     def predict_frame(self, df: DataFrame, features: list[str], id_col: str = "row_id") -> DataFrame:
-        """Probability = mean over trees of the reached leaf's class distribution.
-        Rows fan out over trees and join the broadcast tree table; the walk runs in
-        one higher-order function (node is a lambda variable)."""
-        spark = df.sparkSession
-        tt = self.tree_frame(spark)
-        depth = max([int(math.log2(n + 1)) for (_, n) in list(self.splits) + list(self.leaves)] + [0]) + 1
-        x = df.select(id_col, F.array(*[F.col(f).cast("double") for f in self.features]).alias("x"),
-                      F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))).alias("t"))
-        j = x.join(F.broadcast(tt), "t")
-
-        def step(nd, _):
-            f = F.col("fmap")[nd]
-            right = F.element_at(F.col("x"), f + 1) > F.col("tmap")[nd]
-            return F.when(f.isNull(), nd).otherwise(2 * nd + 1 + right.cast("long"))
-        node = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0).cast("long"), step)
-        v = j.select(id_col, F.posexplode(F.col("vmap")[node]).alias("class", "p"))
-        sc = v.groupBy(id_col, "class").agg((F.sum("p") / F.lit(float(self.n_trees))).alias("p"))
-        sc = sc.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("class", "p"))).alias("cp"))
-        sc = sc.select(id_col, F.transform("cp", lambda s_: s_["p"]).alias("probability"))
+        """probability (mean over trees of the reached leaf's class shares) and prediction of every row, in place."""
+        sc = tree_sums(df, self.features, self.walk_trees(), self.n_classes, "probability", closed=True)
+        sc = sc.withColumn("probability", F.transform("probability", lambda p: p / F.lit(float(self.n_trees))))
         pos = F.array_position(F.col("probability"), F.array_max("probability")) - 1
-        return df.join(sc.withColumn("prediction", pos.cast("double")), id_col)
+        return sc.withColumn("prediction", pos.cast("double"))
 
     def feature_importances(self) -> dict[str, float]:
         gains = {f: 0.0 for f in self.features}
@@ -347,7 +314,7 @@ class ExtraTrees:
     distributed and are joined to the state; only the model reaches the driver.
     """
 
-    def __init__(self, n_trees=250, min_leaf=10, max_features="sqrt", seed=42, max_depth=40):
+    def __init__(self, n_trees=250, min_leaf=10, max_features="sqrt", seed=42, max_depth=None):
         self.n_trees, self.min_leaf, self.max_features = n_trees, min_leaf, max_features
         self.seed, self.max_depth = seed, max_depth
 
@@ -362,7 +329,10 @@ class ExtraTrees:
         state = rows.select("rid", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))).alias("t"),
                             F.lit(0).cast("long").alias("node")).checkpoint(eager=True)
         splits, leaves, gain_log = {}, {}, []
-        for depth in range(self.max_depth + 1):
+        depth = -1
+        numbered = 0  # nodes are numbered as they are made, so no depth runs out of numbers
+        while True:
+            depth += 1
             ex = state.select("t", "node", "y", F.posexplode("x").alias("f", "v"))
             rng = ex.groupBy("t", "node", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
                                                   F.count(F.lit(1)).alias("n"))
@@ -394,10 +364,13 @@ class ExtraTrees:
                         .unionByName(dist.select(F.lit("d").alias("kind"), "t", "node", F.lit(None).cast("int").alias("f"),
                                                  F.lit(None).cast("double").alias("thr"), F.lit(None).cast("double").alias("dec"),
                                                  "y", "c")))
+            if depth == self.max_depth:  # open nodes become leaves
+                both = both.where("kind = 'd'")
             rows_back = both.collect()
             split_rows = [r for r in rows_back if r["kind"] == "s"]
-            for r in split_rows:
-                splits[(r["t"], r["node"])] = (r["f"], r["thr"])
+            for r in sorted(split_rows, key=lambda r: (r["t"], r["node"])):
+                splits[(r["t"], r["node"])] = (r["f"], r["thr"], numbered + 1)
+                numbered += 2
                 gain_log.append((r["f"], r["dec"]))
             node_counts: dict = {}
             for r in rows_back:
@@ -406,14 +379,12 @@ class ExtraTrees:
             for key, dvec in node_counts.items():
                 if key not in splits:
                     leaves[key] = dvec
-            if os.environ.get("TESSERA_DEBUG"):
-                print("level", depth, "splits", len(split_rows), "leaves", len(leaves), flush=True)
             if not split_rows:
                 break
-            sdf = spark.createDataFrame([(r["t"], r["node"], r["f"], r["thr"]) for r in split_rows],
-                                        "t int, node long, f int, thr double")
+            sdf = spark.createDataFrame([(r["t"], r["node"], r["f"], r["thr"], splits[(r["t"], r["node"])][2]) for r in split_rows],
+                                        "t int, node long, f int, thr double, left long")
             nxt = state.join(sdf, ["t", "node"], "inner")  # rows in leaves drop out
-            nxt = nxt.select("rid", "y", "x", "t", (2 * F.col("node") + 1 +
+            nxt = nxt.select("rid", "y", "x", "t", (F.col("left") +
                              (F.element_at("x", F.col("f") + 1) > F.col("thr")).cast("int")).alias("node"))
             prev = state
             if depth % 4 == 3:

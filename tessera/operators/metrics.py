@@ -161,7 +161,8 @@ def ovr_auc(scored: DataFrame, classes: list, label_col: str = "label",
     """
     spark = scored.sparkSession
     code_of = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    y = code_of[F.col(label_col)]
+    # a label outside the list is negative for every class
+    y = F.coalesce(F.try_element_at(code_of, F.col(label_col)), F.lit(-1))
     ex = scored.select(y.alias("__y"), F.posexplode(F.col(prob_col)).alias("code", "score"))
     sc = ex.groupBy("code", "score").agg(
         F.sum((F.col("__y") == F.col("code")).cast("long")).alias("pos"),

@@ -8,12 +8,12 @@ small shuffle, not 31 jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.exact import isclose, pct_1dp
-from tessera.functions.ordering import exact_rank
+from tessera.functions.ordering import exact_rank, null_safe
 from tessera.functions.quantiles import exact_quantiles
 
 
@@ -44,7 +44,7 @@ def value_counts(df: DataFrame, cols: list[str], normalize: bool = False) -> Dat
     cc = cc.select("column_name", "count", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("__above"))
     # tie order by value, nulls last: order key = '1'+value, or '2' for null
     key = F.when(F.col("value").isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col("value")))
-    ranked = exact_rank(out.withColumn("__k", key), ["column_name", "count"], "__k", "__k", "__r", digits=4)
+    ranked = exact_rank(out.withColumn("__k", key), ["column_name", "count"], "__k", "__k", "__r")
     return (ranked.join(cc, ["column_name", "count"])
                   .withColumn("rank", F.col("__above") + F.col("__r")).drop("__k", "__r", "__above"))
 
@@ -159,11 +159,19 @@ def duplicate_rows(df: DataFrame, cols: list[str] | None = None,
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """AG12: Pearson correlation of every column pair (pairwise-complete), long form.
 
-    One aggregate with one ``corr`` per unordered pair; mirrored afterwards.
+    One aggregate with three moments per unordered pair; mirrored afterwards. A constant
+    column has no correlation: null, with itself too.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[(F.lit(1.0) if a == b else F.corr(a, b)).alias(f"c{i}")
-                    for i, (a, b) in enumerate(pairs)])
+
+    def corr(a: str, b: str) -> Column:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        if a == b:
+            return F.when(spread > 0, F.lit(1.0))
+        return F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread))
+    wide = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     items = []
     for i, (a, b) in enumerate(pairs):
         items.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr")))
@@ -221,32 +229,36 @@ def box_stats(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     fence_lo = F.col("q1") - 1.5 * F.col("iqr")
     fence_hi = F.col("q3") + 1.5 * F.col("iqr")
     # stats table is (columns x classes) rows: broadcast-sized by construction
-    j = lf.join(F.broadcast(qw), ["column_name", "grp"])
+    j = null_safe(lf, F.broadcast(qw), ["column_name", "grp"])
     inside = (F.col("value") >= fence_lo) & (F.col("value") <= fence_hi)
     agg = j.groupBy("column_name", "grp").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
         F.sum((~inside).cast("long")).alias("outliers"))
-    return qw.join(agg, ["column_name", "grp"]).withColumnRenamed("grp", by)
+    return null_safe(qw, agg, ["column_name", "grp"]).withColumnRenamed("grp", by)
 
 
 # ---------------------------------------------------------------- AG22 / AG23
-def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int | None = 30) -> DataFrame:
     """AG22 (numeric): equal-width bins over [min, max]; the max falls in the last bin.
 
-    Output: bin, lo, hi, count. Strings use ``value_counts``; binary columns use
-    bins=2. The one-row range is read first and inlined as literals.
+    Output: bin, lo, hi, count; empty bins have count 0. Strings use ``value_counts``;
+    binary columns use bins=2; ``bins=None`` chooses Sturges' number, 1 + ceil(log2 n). The
+    one-row range is read first and inlined as literals.
     """
     x = F.col(col).cast("double")
     base = df.select(x.alias("x")).where(F.col("x").isNotNull())
-    r = base.agg(F.min("x").alias("mn"), F.max("x").alias("mx")).first()
+    r = base.agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count(F.lit(1)).alias("n")).first()
     if r["mn"] is None:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, count long")
+    bins = bins or 1 + (r["n"] - 1).bit_length()
     mn, mx = float(r["mn"]), float(r["mx"])
     w = (mx - mn) / bins if mx > mn else 1.0
     b = F.least(F.floor((F.col("x") - F.lit(mn)) / F.lit(w)), F.lit(bins - 1)).cast("int")
     h = base.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    h = every.join(h, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).alias("count"))
     return h.select("bin", (F.lit(mn) + F.col("bin") * F.lit(w)).alias("lo"),
                     (F.lit(mn) + (F.col("bin") + 1) * F.lit(w)).alias("hi"), "count")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.ordering import exact_rank, exact_rank_global, hash_order
+from tessera.functions.ordering import exact_rank, exact_rank_global, hash_order, null_safe
 
 
 def _group_quotas_train_first(counts: DataFrame, key: str, test_size: float) -> DataFrame:
@@ -38,12 +38,13 @@ def stratified_split(df: DataFrame, target: str, id_col: str, test_size: float =
     """SM1: exact stratified train/test split; adds ``split`` = 'train' | 'test'.
 
     Per class the first test_quota rows in hash order go to test. Class proportions
-    are preserved to within one row; no class is ever sorted in one task.
+    are preserved to within one row; no class is ever sorted in one task. Rows without a
+    class are a class of their own, so every row comes out.
     """
     ranked, counts = exact_rank(df.withColumn("__h", hash_order(id_col, seed)), [target], "__h", id_col,
                                 rank_col="__rank", with_counts=True)
     quotas = _group_quotas_train_first(counts, target, test_size).select(target, "test_quota")
-    out = ranked.join(quotas, target, "inner")
+    out = null_safe(ranked, quotas, [target])
     return (out.withColumn(split_col, F.when(F.col("__rank") <= F.col("test_quota"), "test")
                            .otherwise("train"))
                .drop("__h", "__rank", "test_quota"))
@@ -62,7 +63,7 @@ def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame
 
 
 def proportional_group_sample(df: DataFrame, group_col: str, id_col: str,
-                              max_points: int = 12000, seed: int = 42,
+                              max_points: int, seed: int = 42,
                               flag_col: str = "sampled") -> DataFrame:
     """SM3: proportional per-group sample capped at ``max_points`` rows.
 
@@ -79,7 +80,7 @@ def proportional_group_sample(df: DataFrame, group_col: str, id_col: str,
     q = q.withColumn("__over", F.col("__N") > F.lit(max_points))
     ranked = exact_rank(df.withColumn("__h", hash_order(id_col, seed)), [group_col], "__h", id_col,
                         rank_col="__rank")
-    j = ranked.join(q.select(group_col, "quota", "__over"), group_col, "inner")
+    j = null_safe(ranked, q.select(group_col, "quota", "__over"), [group_col])
     keep = j.where((~F.col("__over")) | (F.col("__rank") <= F.col("quota")))
     keep = keep.withColumn(flag_col, F.col("__over")).drop("__h", "__rank", "quota", "__over")
     # second pass: global cap in a second hash order (seed+1)

@@ -188,8 +188,14 @@ def silhouette_sq(df: DataFrame, features: list[str], cluster_col: str = "cluste
     Per cluster c: n_c, S_c = sum x, Q_c = sum |x|^2 (k rows to the driver). Then
     sum_j |x_i - x_j|^2 over c = n_c|x_i|^2 - 2 x_i.S_c + Q_c: a(i) uses the own
     cluster / (n_c - 1), b(i) the minimum mean over other clusters. Singleton -> 0.
-    No pairs are formed. Output: one row per point (id kept) with ``silhouette``.
+    No pairs are formed. Features are centred first, so points far from the origin lose no
+    digits; where both distances are 0 the value is 0. Output: one row per point (id kept)
+    with ``silhouette``.
     """
+    mean = df.agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)]).first()
+    kept = df.columns
+    df = df.select("*", *[(F.col(f) - F.lit(float(mean[f"m_{i}"] or 0.0))).alias(f"__c_{i}") for i, f in enumerate(features)])
+    features = [f"__c_{i}" for i in range(len(features))]
     st = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("n"),
                                      *[F.sum(f).alias(f"s_{i}") for i, f in enumerate(features)],
                                      F.sum(sum((F.col(f) * F.col(f) for f in features), F.lit(0.0))).alias("q")
@@ -210,8 +216,8 @@ def silhouette_sq(df: DataFrame, features: list[str], cluster_col: str = "cluste
     b = F.array_min(F.filter(F.array(*others), lambda v: v.isNotNull())) if len(st) > 1 else F.lit(None)
     out = df.withColumn("__a", a).withColumn("__b", b)
     s = F.when(sizes[F.col(cluster_col)] <= 1, F.lit(0.0)).otherwise(
-        (F.col("__b") - F.col("__a")) / F.greatest(F.col("__a"), F.col("__b")))
-    return out.withColumn("silhouette", s).drop("__a", "__b")
+        F.coalesce(F.try_divide(F.col("__b") - F.col("__a"), F.greatest(F.col("__a"), F.col("__b"))), F.lit(0.0)))
+    return out.withColumn("silhouette", s).select(*kept, "silhouette")
 
 
 # ---------------------------------------------------------------- FE9 / FE10 / SG4

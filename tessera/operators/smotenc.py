@@ -40,11 +40,11 @@ def _hash_u(*parts: Column, seed: str) -> Column:
 def _generate(counts: DataFrame, cls: str, chunk: int = 100_000) -> DataFrame:
     """(cls, j) for j in [0, need) without one task expanding a huge array."""
     nch = F.floor((F.col("need") - 1) / chunk).cast("int")
-    c = counts.where(F.col("need") > 0).select(cls, "need", "n", F.explode(F.sequence(F.lit(0), nch)).alias("ch"))
+    c = counts.where(F.col("need") > 0).select(cls, "need", "n", "base", F.explode(F.sequence(F.lit(0), nch)).alias("ch"))
     c = c.repartition(F.xxhash64(cls, "ch"))
     lo = (F.col("ch") * chunk).cast("long")
     hi = F.least(lo + chunk - 1, F.col("need") - 1).cast("long")
-    return c.select(cls, "n", F.explode(F.sequence(lo, hi)).alias("j"))
+    return c.select(cls, "n", "base", F.explode(F.sequence(lo, hi)).alias("j"))
 
 
 def _sqdist(cont: list[str], cat: list[str], med2: float, a: str = "a_", b: str = "b_") -> Column:
@@ -132,7 +132,8 @@ def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str
             k_max: int = 5, seed: int = 42, cell_size: int = 8) -> DataFrame:
     """SM5: originals (synthetic=false) + synthetic rows up to the majority size per class.
 
-    Synthetic ids are negative: -(j + 1) within their class.
+    Synthetic ids are negative and unique over all classes: -(j + 1) less the number of
+    synthetic rows of the classes before (in order of size, then name).
     """
     df = df.persist()  # read by several passes (counts, spreads, ranks, neighbours)
     counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
@@ -140,7 +141,7 @@ def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str
         return df.withColumn("synthetic", F.lit(False))
     n_min = min(r["n"] for r in counts)
     if n_min < 2:
-        raise ValueError("SMOTE-based balancing requires at least two samples in every class.")
+        raise ValueError("every class needs two rows or more to be oversampled")
     k = min(k_max, n_min - 1)
     n_max = max(r["n"] for r in counts)
     smallest = sorted(counts, key=lambda r: (r["n"], str(r[cls])))[0][cls]
@@ -155,8 +156,12 @@ def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str
         grid = (grid * 2)[:2]
 
     spark = df.sparkSession
-    cnt = spark.createDataFrame([(r[cls], r["n"], n_max - r["n"]) for r in counts],
-                                f"{cls} {df.schema[cls].dataType.simpleString()}, n long, need long")
+    before, base = {}, 0
+    for r in sorted(counts, key=lambda r: (r["n"], str(r[cls]))):
+        before[r[cls]] = base
+        base += n_max - r["n"]
+    cnt = spark.createDataFrame([(r[cls], r["n"], n_max - r["n"], before[r[cls]]) for r in counts],
+                                f"{cls} {df.schema[cls].dataType.simpleString()}, n long, need long, base long")
     gen = _generate(cnt, cls)
     gen = gen.withColumn("rank", (F.pmod(_hash_int(F.col(cls), F.col("j"), seed=f"{seed}s"), F.col("n")) + 1))
     ranked = exact_rank(df.withColumn("__h", hash_order(id_col, seed)), [cls], "__h", id_col, "rank").drop("__h")
@@ -173,14 +178,14 @@ def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str
                .groupBy(cls, "q_id", "col", "v").agg(F.count(F.lit(1)).alias("cnt"))
                .groupBy(cls, "q_id", "col").agg(F.min_by(F.col("v"), F.struct(-F.col("cnt"), F.col("v"))).alias("v")))
         modes = m.groupBy(cls, "q_id").pivot("col", cat).agg(F.first("v"))
-    pick = seeds.select(cls, "j", F.col(id_col).alias("q_id"), *[F.col(c).alias("s_" + c) for c in cont],
+    pick = seeds.select(cls, "j", "base", F.col(id_col).alias("q_id"), *[F.col(c).alias("s_" + c) for c in cont],
                         (F.pmod(_hash_int(F.col(cls), F.col("j"), seed=f"{seed}n"), F.lit(k)) + 1).alias("nn_rank"),
                         _hash_u(F.col(cls), F.col("j"), seed=f"{seed}u").alias("u"))
     syn = pick.join(nn.select(cls, "q_id", "nn_rank", *[F.col(c).alias("n_" + c) for c in cont]),
                     [cls, "q_id", "nn_rank"])
     if modes is not None:
         syn = syn.join(modes, [cls, "q_id"])
-    syn = syn.select(cls, (-(F.col("j") + 1)).alias(id_col),
+    syn = syn.select(cls, (-(F.col("base") + F.col("j") + 1)).alias(id_col),
                      *[(F.col("s_" + c) + F.col("u") * (F.col("n_" + c) - F.col("s_" + c))).alias(c) for c in cont],
                      *[F.col(c).cast("double").alias(c) for c in cat], F.lit(True).alias("synthetic"))
     orig = df.select(cls, id_col, *[F.col(c).cast("double").alias(c) for c in cont + cat], F.lit(False).alias("synthetic"))

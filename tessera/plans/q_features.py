@@ -34,14 +34,14 @@ reg("sm2_sample_rows", f"{W} SELECT row_id, stage FROM order_profile ORDER BY {H
 
 # SM3 -----------------------------------------------------------------------
 reg("sm3_group_sample", f"""{W}, c AS (SELECT stage, COUNT(*) AS n FROM order_profile GROUP BY stage),
-q AS (SELECT stage, LEAST(n, GREATEST(1, CAST(round_even(n * (CAST(3000 AS DOUBLE) / SUM(n) OVER ()), 0) AS BIGINT))) AS quota,
-             SUM(n) OVER () > 3000 AS over_ FROM c),
+q AS (SELECT stage, LEAST(n, GREATEST(1, CAST(round_even(n * (CAST(12000 AS DOUBLE) / SUM(n) OVER ()), 0) AS BIGINT))) AS quota,
+             SUM(n) OVER () > 12000 AS over_ FROM c),
 r AS (SELECT o.row_id, o.stage, ROW_NUMBER() OVER (PARTITION BY o.stage ORDER BY {H.format(seed=42)}, row_id) AS rk
       FROM order_profile o),
 k AS (SELECT r.row_id, r.stage, q.over_ AS sampled FROM r JOIN q USING (stage) WHERE NOT q.over_ OR rk <= quota)
-SELECT row_id, stage, sampled FROM k ORDER BY {H.format(seed=43)}, row_id LIMIT 3000""")(
+SELECT row_id, stage, sampled FROM k ORDER BY {H.format(seed=43)}, row_id LIMIT 12000""")(
     lambda spark, sf: SM.proportional_group_sample(op(spark, sf).select("row_id", "stage"), "stage", "row_id",
-                                                   3000, 42))
+                                                   12000, 42))
 
 # SM4 -----------------------------------------------------------------------
 reg("sm4_stratified_folds", f"""{W} SELECT row_id, stage,
@@ -185,6 +185,7 @@ sm AS (SELECT stage FROM ccnt ORDER BY n, stage LIMIT 1),
 sds AS ({" UNION ALL ".join(f"SELECT STDDEV_POP({c}) AS sd FROM tr WHERE stage = (SELECT stage FROM sm)" for c in cont)}),
 md AS (SELECT quantile_cont(COALESCE(sd, 0.0), 0.5) * quantile_cont(COALESCE(sd, 0.0), 0.5) AS med2 FROM sds),
 rk AS (SELECT tr.*, ROW_NUMBER() OVER (PARTITION BY stage ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '42')), row_id) AS rank FROM tr),
+bases AS (SELECT stage, COALESCE(SUM((SELECT nmax FROM prm) - n) OVER (ORDER BY n, stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM ccnt),
 gen AS (SELECT stage, n, UNNEST(generate_series(0, (SELECT nmax FROM prm) - n - 1)) AS j FROM ccnt WHERE n < (SELECT nmax FROM prm)),
 gen2 AS (SELECT stage, j, ({hx.format(s='42s', n=15)} % n) + 1 AS rank,
                 ({hx.format(s='42n', n=15)} % (SELECT kk FROM prm)) + 1 AS nn_rank,
@@ -197,9 +198,9 @@ nn AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY stage, q_id ORDE
        WHERE nn_rank <= (SELECT kk FROM prm)),
 p AS (SELECT DISTINCT stage, q_id FROM nn),
 mo AS (SELECT p.stage, p.q_id, {modes} FROM p),
-syn AS (SELECT s.stage, -(s.j + 1) AS row_id, {", ".join(f"s.{c} + s.u * (n.{c} - s.{c}) AS {c}" for c in cont)},
+syn AS (SELECT s.stage, CAST(-(bases.base + s.j + 1) AS BIGINT) AS row_id, {", ".join(f"s.{c} + s.u * (n.{c} - s.{c}) AS {c}" for c in cont)},
                {", ".join(f"CAST(mo.{c} AS DOUBLE) AS {c}" for c in cat)}, true AS synthetic
-        FROM seeds s JOIN nn n ON n.stage = s.stage AND n.q_id = s.q_id AND n.nn_rank = s.nn_rank
+        FROM seeds s JOIN bases ON bases.stage = s.stage JOIN nn n ON n.stage = s.stage AND n.q_id = s.q_id AND n.nn_rank = s.nn_rank
         JOIN mo ON mo.stage = s.stage AND mo.q_id = s.q_id)
 SELECT stage, row_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in S.features)}, false AS synthetic FROM tr
 UNION ALL SELECT stage, row_id, {", ".join(S.features)}, synthetic FROM syn"""

@@ -91,6 +91,12 @@ WITH g AS (SELECT l_orderkey, l_linenumber, COUNT(*) AS copies FROM lineitem GRO
 SELECT l_orderkey, l_linenumber, copies, UNNEST(generate_series(2, copies)) AS copy_no FROM g""")(
     lambda spark, sf: P.duplicate_rows(read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")))
 
+reg("ag11_duplicate_whole_rows", """
+WITH g AS (SELECT event_type, user_id % 7 AS visitor, CAST(floor(value / 50) AS BIGINT) AS band, COUNT(*) AS copies FROM events GROUP BY ALL HAVING COUNT(*) > 1)
+SELECT event_type, visitor, band, copies, UNNEST(generate_series(2, copies)) AS copy_no FROM g""")(
+    lambda spark, sf: P.duplicate_rows(read_table(spark, sf, "events").selectExpr(
+        "event_type", "user_id % 7 AS visitor", "CAST(floor(value / 50) AS BIGINT) AS band")))
+
 # AG12 ----------------------------------------------------------------------
 _corr_cols = NUM_COLS + list(S.binary)
 _pairs = [(a, b) for i, a in enumerate(_corr_cols) for b in _corr_cols[i:]]
@@ -142,7 +148,8 @@ reg("ag22_histogram", f"""{W}, b AS (SELECT CAST(price_sum AS DOUBLE) AS x FROM
 r AS (SELECT MIN(x) AS mn, MAX(x) AS mx FROM b),
 w AS (SELECT mn, CASE WHEN mx > mn THEN (mx - mn) / 30 ELSE 1.0 END AS w FROM r),
 h AS (SELECT CAST(LEAST(FLOOR((x - mn) / w), 29) AS INTEGER) AS bin, COUNT(*) AS count FROM b CROSS JOIN w GROUP BY 1)
-SELECT bin, mn + bin * w AS lo, mn + (bin + 1) * w AS hi, count FROM h CROSS JOIN w""")(
+SELECT CAST(i AS INTEGER) AS bin, mn + i * w AS lo, mn + (i + 1) * w AS hi, CAST(COALESCE(count, 0) AS BIGINT) AS count
+FROM range(30) AS t(i) CROSS JOIN w LEFT JOIN h ON bin = i""")(
     lambda spark, sf: P.histogram(op(spark, sf), "price_sum", 30))
 
 reg("ag22_histogram_strings", f"""{W} SELECT 'segment' AS column_name, segment AS value, COUNT(*) AS count,

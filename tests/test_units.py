@@ -73,7 +73,7 @@ def test_smotenc_tiny_classes(spark):
 
 def test_smotenc_guard(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "b", 3.0)], "id long, y string, x double")
-    with pytest.raises(ValueError, match="at least two samples"):
+    with pytest.raises(ValueError, match="two rows or more"):
         smotenc(df, "y", "id", ["x"], [])
 
 
