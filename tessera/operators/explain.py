@@ -143,10 +143,9 @@ def _masks(df: DataFrame, features: list[str], lt: DataFrame, id_col: str | None
 
 def tree_shap(rows: DataFrame, background: DataFrame, features: list[str], model: LeafTable,
               id_col: str) -> DataFrame:
-    """SH1: phi(row, feature, class) for every row and every path feature of the model.
+    """SH1: phi(row, feature, class) for every row, feature and class.
 
-    Output columns: id_col, feature, class (int), phi. Features never on a path
-    get no row (their value is 0).
+    Output columns: id_col, feature, class (int), phi; 0 for features off all paths.
     """
     spark = rows.sparkSession
     lt = model.frame(spark)
@@ -183,6 +182,10 @@ def tree_shap(rows: DataFrame, background: DataFrame, features: list[str], model
                              .alias("phis"))
     out = xm.join(contrib, (xm.tree == contrib.tree) & (xm.leaf == contrib.leaf) & (xm.mask == contrib.mx))
     out = out.select(id_col, "fidx", F.posexplode("phis").alias("class", "p"))
+    # every (row, feature, class) once with 0, so none is missing
+    grid = F.sequence(F.lit(0), F.lit(len(features) - 1)), F.sequence(F.lit(0), F.lit(model.n_classes - 1))
+    zeros = rows.select(id_col, F.explode(grid[0]).alias("fidx")).select("*", F.explode(grid[1]).alias("class"), F.lit(0.0).alias("p"))
+    out = out.unionByName(zeros)
     names = F.array(*[F.lit(f) for f in features])
     return (out.groupBy(id_col, "fidx", "class").agg(F.sum("p").alias("phi"))
                .select(id_col, F.element_at(names, F.col("fidx") + 1).alias("feature"),
@@ -264,23 +267,29 @@ def top_drivers(local: DataFrame, id_col: str, top: int = 10, per_side: int = 3)
     return t.withColumn("side_rank", F.row_number().over(w2)).where(F.col("side_rank") <= per_side)
 
 
-def driver_sentences(drivers: DataFrame, id_col: str, label_col: str = "label") -> DataFrame:
-    """SH7: '<label> (<value>): SHAP <phi 3dp>, <share 1dp>% of impact' per driver."""
-    from tessera.functions.scalar import fixed
-    txt = F.concat(F.col(label_col), F.lit(" ("), F.coalesce(F.col("value").cast("string"), F.lit("Imputed")),
-                   F.lit("): SHAP "), fixed(F.col("phi"), 3), F.lit(", "),
-                   fixed(F.col("impact_share") * 100, 1), F.lit("% of impact"))
+def driver_sentences(drivers: DataFrame, id_col: str, label_col: str = "label", class_col: str = "class_name",
+                     integer: bool = False) -> DataFrame:
+    """SH7: per driver its label, value (SC4), whether it speaks for or against the predicted
+    class, SHAP value (3 decimals) and share of the impact (1 decimal)."""
+    from tessera.functions.scalar import fixed, format_value
+    txt = F.concat(F.col(label_col), F.lit(" at "), format_value("value", integer),
+                   F.when(F.col("phi") >= 0, " speaks for ").otherwise(" speaks against "), F.col(class_col),
+                   F.lit(": SHAP "), fixed(F.col("phi"), 3), F.lit(", "),
+                   fixed(F.col("impact_share") * 100, 1), F.lit("% of the impact"))
     return drivers.withColumn("sentence", txt)
 
 
 # ---------------------------------------------------------------- SH8 / SH9 / SH10
 def waterfall(shap_pred: DataFrame, base: DataFrame, id_col: str, max_display: int = 10) -> DataFrame:
-    """SH8: one row's waterfall: base, the top (max_display-1) contributions by |phi|,
-    the rest collapsed into one 'other features' step; running end value."""
+    """SH8: one row's waterfall: base, the top (max_display-1) contributions by |phi|, the
+    rest collapsed into one 'other features' step unless it is a single one; running end value."""
     w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("phi")), F.asc("feature"))
     r = shap_pred.withColumn("r", F.row_number().over(w))
-    keep = r.where(F.col("r") < max_display).select(id_col, "class", "feature", "phi", "r")
-    other = (r.where(F.col("r") >= max_display).groupBy(id_col, "class")
+    r = r.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+    max_rank = F.when(F.col("n") <= max_display, F.col("n") + 1).otherwise(max_display)
+    r = r.withColumn("cut", max_rank)
+    keep = r.where(F.col("r") < F.col("cut")).select(id_col, "class", "feature", "phi", "r")
+    other = (r.where(F.col("r") >= F.col("cut")).groupBy(id_col, "class")
                .agg(F.sum("phi").alias("phi"), F.count(F.lit(1)).alias("n"))
                .select(id_col, "class", F.format_string("%d other features", F.col("n")).alias("feature"),
                        "phi", F.lit(max_display).alias("r")))

@@ -17,19 +17,6 @@ from pyspark.sql import functions as F
 from tessera.functions.exact import isclose, pct_1dp
 from tessera.operators.models import assemble
 
-# Segment display names and colours.
-SEGMENT_LABELS = {
-    "healthy": "Healthy Patient Cluster",
-    "elevated_glucose": "Elevated Glucose Patient Cluster",
-    "unhealthy": "Unhealthy Patient Cluster",
-}
-SEGMENT_COLORS = {
-    "healthy": "#2f8f68",
-    "elevated_glucose": "#d7a255",
-    "unhealthy": "#c9774c",
-    "unknown": "#91a196",
-}
-
 
 # ---------------------------------------------------------------- ML5
 def kmeans_restarts(df: DataFrame, features: list[str], k: int = 3, seeds: int = 10,
@@ -135,10 +122,10 @@ def argmin_rank_sum(ranked: DataFrame, cols: list[str], cluster_col: str = "clus
     return r, best
 
 
-def segment_keys(profiles: DataFrame, profile: list[tuple[str, bool]],
+def segment_keys(profiles: DataFrame, profile: list[tuple[str, bool]], names: tuple[str, str, str],
                  cluster_col: str = "cluster") -> DataFrame:
-    """SG1: healthy = lowest health rank sum; of the rest, elevated = lowest sum of
-    descending ranks of the last two (risk) columns; others unhealthy."""
+    """SG1: ``names`` = (best, risk, other). Best has the lowest rank sum over all columns;
+    of the rest, risk has the lowest sum of descending ranks of the last two (risk) columns."""
     missing = [c for c, _ in profile if c not in profiles.columns]
     if missing:
         return profiles.sparkSession.createDataFrame([], f"{cluster_col} int, segment_key string, "
@@ -154,21 +141,21 @@ def segment_keys(profiles: DataFrame, profile: list[tuple[str, bool]],
     out = (r1.join(r2, cluster_col, "left")
              .join(best1, F.col(cluster_col) == F.col("best"), "left").withColumnRenamed("best", "b1")
              .join(best2, F.col(cluster_col) == F.col("best"), "left").withColumnRenamed("best", "b2"))
-    key = (F.when(F.col("b1").isNotNull(), "healthy").when(F.col("b2").isNotNull(), "elevated_glucose")
-            .otherwise("unhealthy"))
-    # risk_rank_sum is 0 for the cluster already named healthy (not ranked again)
+    key = F.when(F.col("b1").isNotNull(), names[0]).when(F.col("b2").isNotNull(), names[1]).otherwise(names[2])
+    # risk_rank_sum is 0 for the best cluster (not ranked again)
     return out.select(cluster_col, key.alias("segment_key"), "health_rank_sum",
                       F.coalesce("risk_rank_sum", F.lit(0)).alias("risk_rank_sum"))
 
 
-def segment_display(keys: DataFrame, cluster_col: str = "cluster") -> DataFrame:
-    """SG2: display name (fallback ``Cluster {id}``) and colour (fallback unknown)."""
-    names = F.create_map(*[x for k, v in SEGMENT_LABELS.items() for x in (F.lit(k), F.lit(v))])
-    cols = F.create_map(*[x for k, v in SEGMENT_COLORS.items() for x in (F.lit(k), F.lit(v))])
+def segment_display(keys: DataFrame, labels: dict[str, str], colors: dict[str, str],
+                    cluster_col: str = "cluster") -> DataFrame:
+    """SG2: display name (fallback ``Cluster {id}``) and colour (fallback ``colors['unknown']``)."""
+    names = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
+    cols = F.create_map(*[x for k, v in colors.items() for x in (F.lit(k), F.lit(v))])
     fallback = F.concat(F.lit("Cluster "), F.col(cluster_col).cast("string"))
     return keys.select(cluster_col, "segment_key",
                        F.coalesce(names[F.col("segment_key")], fallback).alias("cluster_name"),
-                       F.coalesce(cols[F.col("segment_key")], F.lit(SEGMENT_COLORS["unknown"])).alias("color"))
+                       F.coalesce(cols[F.col("segment_key")], F.lit(colors["unknown"])).alias("color"))
 
 
 def describe_position(value: Column, baseline: Column) -> Column:

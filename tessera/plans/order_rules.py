@@ -1,83 +1,85 @@
-"""Rule configuration for the driver-table binding (order_profile).
+"""Rules for the order table: one of every kind of rule that the engine knows.
 
-Mirrors the structure of the reference's patient rules (two-tier thresholds, a
-median rule, a two-column rule with '?', a range rule, a text rule, flags,
-segment rules with a floor, stage texts with a default, wildcard notes) on the
-order columns.
+Two-tier thresholds, a median rule, a rule over two columns, a range, a text match,
+flags, segment rules with a floor, texts per stage with a default, and notes.
 """
 
 from tessera.operators.rules import ActionRule, RuleSet, SegmentRule
 
-# Thresholds and sentences of the order scenario.
+#: Keys of the three kinds of segments (best, costly, rest), their names and colours.
+ORDER_SEGMENTS = ("steady", "costly", "strained")
+ORDER_SEGMENT_LABELS = {"steady": "Steady orders", "costly": "Costly orders", "strained": "Strained orders"}
+ORDER_SEGMENT_COLORS = {"steady": "#1b7f4b", "costly": "#b8860b", "strained": "#a33b20", "unknown": "#808080"}
+
 ORDER_RULES = RuleSet(
     actions=[
         ActionRule("tiers", ("acct_bal",), (
-            ("<", 0.0, "Account balance is {v}, which is negative; collections follow-up is one of the clearest priorities."),
-            ("<", 2500.0, "Account balance is {v}, so building it toward 2500 would lower credit exposure."),
+            ("<", 0.0, "Customer owes {v}: hold new credit until paid."),
+            ("<", 2500.0, "Customer balance {v} is under 2500: ask for part payment."),
         )),
         ActionRule("tiers", ("disc_sum",), (
-            ("<", "median", "The discount total is {v}, which is below the training median of {m}; discount terms could be reviewed."),
+            ("<", "median", "Discounts add up to {v}, less than the usual {m}: offer a rebate on the next order."),
         ), 3),
         ActionRule("tiers", ("price_max",), (
-            (">=", 90000.0, "The largest line is {v}, which suggests a concentrated order; splitting shipments may reduce risk."),
-            (">=", 70000.0, "The largest line is {v}, which is above the typical line value."),
+            (">=", 90000.0, "One line costs {v}: ship it separately and insure it."),
+            (">=", 70000.0, "One line costs {v}: check the unit price."),
         )),
         ActionRule("tiers", ("tax_sum",), (
-            (">=", 0.5, "The tax total is {v}, which is raised and should be reviewed."),
+            (">=", 0.5, "Tax rates add up to {v}: have the tax codes checked."),
         )),
         ActionRule("pair", ("price_sum", "total_price"), (
-            ((400000.0, 400000.0), "Order values are {a}/{b}, which are clearly high and need review."),
-            ((300000.0, 300000.0), "Order values are {a}/{b}, which are above typical."),
+            ((400000.0, 400000.0), "Lines and order total come to {a}/{b}: get a manager to sign."),
+            ((300000.0, 300000.0), "Lines and order total come to {a}/{b}: confirm by phone."),
         )),
-        ActionRule("range", ("part_size_max",), ((5.0, 45.0), "The largest part size is {v}, outside the usual 5 to 45 range."), 0),
-        ActionRule("contains", ("priority",), ("urgent", "Urgent priority was reported, so expedited handling should be part of the plan.")),
-        ActionRule("flag", ("has_return",), ("A returned line was reported, which supports a quality review.",)),
-        ActionRule("flag", ("has_open",), ("Open lines were reported, so fulfilment should be tracked.",)),
-        ActionRule("flag", ("neg_balance",), ("A negative balance was reported, which raises credit risk.",)),
+        ActionRule("range", ("part_size_max",), ((5.0, 45.0), "Largest part has size {v}, not between 5 and 45: book special freight."), 0),
+        ActionRule("contains", ("priority",), ("urgent", "Customer is in a hurry: pick this order first.")),
+        ActionRule("flag", ("has_return",), ("Something came back: inspect the batch.",)),
+        ActionRule("flag", ("has_open",), ("Lines are still open: chase the warehouse.",)),
+        ActionRule("flag", ("neg_balance",), ("Account is overdrawn: copy the credit desk.",)),
     ],
     default_ok_class="empty",
-    default_ok_text="The values entered do not show one strong order-specific risk flag, so routine monitoring is enough.",
-    default_other_text="The values entered do not point to one dominant issue, so follow the stage-specific guidance.",
+    default_ok_text="Nothing to do for this order yet.",
+    default_other_text="No rule fired: handle the order by its stage.",
     segment_rules=[
-        SegmentRule("acct_bal", "<", "Increase the account balance toward at least 2500.", floor=2500.0),
-        SegmentRule("disc_sum", "<", "Review discount terms for this segment."),
-        SegmentRule("tax_sum", ">", "Review tax handling for this segment."),
-        SegmentRule("total_price", ">", "Monitor order totals closely and escalate review when needed."),
-        SegmentRule("price_max", ">", "Schedule regular review of large order lines."),
+        SegmentRule("acct_bal", "<", "Ask customers of this segment for a deposit of 2500.", floor=2500.0),
+        SegmentRule("disc_sum", "<", "Plan a discount campaign."),
+        SegmentRule("tax_sum", ">", "Train staff on tax codes."),
+        SegmentRule("total_price", ">", "Set a lower limit for unsigned orders."),
+        SegmentRule("price_max", ">", "Audit the dearest lines every quarter."),
     ],
-    segment_default="Current segment profile is comparatively stable. Maintain the existing pattern.",
+    segment_default="No measure is due for this segment.",
     stage_texts={
-        "empty": {"meaning": ["The order has no lines yet."], "guidance": ["Confirm the order is still expected."],
-                  "next_steps": ["Check back after the first line ships."]},
-        "bulk": {"meaning": ["The order has many lines."], "guidance": ["Plan consolidated shipping."],
-                 "next_steps": ["Review capacity for bulk handling."]},
-        "small": {"meaning": ["The order is small."], "guidance": ["Standard handling applies."],
-                  "next_steps": ["No extra steps."]},
-        "mid": {"meaning": ["The order is mid-sized."], "guidance": ["Standard handling applies."],
-                "next_steps": ["Track delivery as usual."]},
-        "large": {"meaning": ["The order is large."], "guidance": ["Prioritise stock checks."],
-                  "next_steps": ["Confirm stock before shipping."]},
-        "*": {"meaning": ["The stage shows which pattern fits best."], "guidance": ["Use the stage as a guide."],
-              "next_steps": ["Review the result."]},
+        "empty": {"meaning": ["No line has been booked."], "guidance": ["Ask whether the order stands."],
+                  "next_steps": ["Look again in a week."]},
+        "bulk": {"meaning": ["Nine lines or more."], "guidance": ["Ship together."],
+                 "next_steps": ["Reserve a lorry."]},
+        "small": {"meaning": ["Fewer than 30 units."], "guidance": ["Send by parcel."],
+                  "next_steps": ["Print the label."]},
+        "mid": {"meaning": ["30 to 79 units."], "guidance": ["Send by pallet."],
+                "next_steps": ["Order a pickup."]},
+        "large": {"meaning": ["80 units or more."], "guidance": ["Count the stock first."],
+                  "next_steps": ["Reserve the stock."]},
+        "*": {"meaning": ["Stage not known."], "guidance": ["Route by hand."],
+              "next_steps": ["Report the stage."]},
     },
     combined_notes={
-        ("empty", "healthy"): "Both the stage and the segment look stable.",
-        ("empty", "elevated_glucose"): "No lines yet, but the segment shows value pressure.",
-        ("empty", "unhealthy"): "No lines yet, but the segment shows broad strain.",
-        ("small", "healthy"): "Small order in a stable segment.",
-        ("small", "elevated_glucose"): "Small order in a high-value segment.",
-        ("small", "unhealthy"): "Small order in a strained segment.",
-        ("large", "healthy"): "Large order in a stable segment.",
-        ("large", "elevated_glucose"): "Large order in a high-value segment: review promptly.",
-        ("large", "unhealthy"): "Large order in a strained segment: review comprehensively.",
-        ("bulk", "*"): "For bulk orders the stage matters more than the segment.",
-        ("mid", "*"): "For mid-sized orders use the segment as background context.",
-        ("*", "*"): "The stage estimates which pattern fits best, while the segment shows the broader profile.",
+        ("empty", "steady"): "Empty order, sound customers.",
+        ("empty", "costly"): "Empty order among dear ones.",
+        ("empty", "strained"): "Empty order, weak customers.",
+        ("small", "steady"): "Parcel for a sound customer.",
+        ("small", "costly"): "Parcel among dear orders.",
+        ("small", "strained"): "Parcel for a weak customer: prepay.",
+        ("large", "steady"): "Big order, sound customers: go ahead.",
+        ("large", "costly"): "Big and dear: sign off today.",
+        ("large", "strained"): "Big order, weak customers: prepay.",
+        ("bulk", "*"): "Freight decides here.",
+        ("mid", "*"): "Pallet freight, any segment.",
+        ("*", "*"): "Look at stage and segment separately.",
     },
     segment_summaries={
-        "healthy": "This segment has the most stable overall profile.",
-        "elevated_glucose": "This segment is defined mainly by high order values.",
-        "unhealthy": "This segment reflects the broadest burden.",
+        "steady": "Good balances, ordinary totals.",
+        "costly": "Dear orders.",
+        "strained": "Low balances and few discounts.",
     },
-    segment_summary_default="This cluster groups orders with a similar overall pattern.",
+    segment_summary_default="A group without a summary.",
 )

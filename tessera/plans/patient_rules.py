@@ -63,6 +63,21 @@ PATIENT_SEGMENT_RULES = [
     SegmentRule("hba1c", ">", "Schedule regular HbA1c follow-up and reinforce medication adherence if prescribed."),
 ]
 
+# Segment keys (best, risk, other), display names and colours.
+PATIENT_SEGMENTS = ("healthy", "elevated_glucose", "unhealthy")
+PATIENT_SEGMENT_LABELS = {
+    "healthy": "Healthy Patient Cluster",
+    "elevated_glucose": "Elevated Glucose Patient Cluster",
+    "unhealthy": "Unhealthy Patient Cluster",
+}
+PATIENT_SEGMENT_COLORS = {
+    "healthy": "#2f8f68",
+    "elevated_glucose": "#d7a255",
+    "unhealthy": "#c9774c",
+    "unknown": "#91a196",
+}
+
+# Stage texts, notes and summaries of the 31-column schema.
 PATIENT_RULES = RuleSet(
     actions=PATIENT_ACTIONS,
     default_ok_class="No Diabetes",

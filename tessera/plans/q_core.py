@@ -173,3 +173,16 @@ def _me13_sql() -> str:
 
 
 register("me13_compare_models", _me13_sql())(_me13)
+
+
+# ------------------------------------------------------------------ ME11
+def _me11(spark, sf):
+    folds = S.stratified_folds(rule_scored(op(spark, sf), "centre_rule"), "stage", "row_id", 5, 42)
+    scores = folds.groupBy("fold").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("score"))
+    return M.cv_summary(scores)
+
+
+register("me11_cv_summary", f"""WITH {OP_CTE}, scored AS ({rule_scored_sql("centre_rule", "order_profile")}),
+f AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY stage ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '42')), row_id) - 1) % 5 AS fold FROM scored),
+s AS (SELECT fold, AVG(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END) AS score FROM f GROUP BY fold)
+SELECT AVG(score) AS cv_mean, STDDEV_POP(score) AS cv_std FROM s""")(_me11)

@@ -48,7 +48,7 @@ TREES = {
                 2: (TF["price_sum"], 60000.0, 5, 6)},
                {n: _leaf_values(2, n) for n in (3, 4, 5, 6)}),
 }
-N_EVAL, N_BG = 200, 50
+N_EVAL, N_BG = 1000, 500
 
 
 def model(name="tree_a"):
@@ -78,37 +78,40 @@ def predictions(spark, sf, name="tree_a"):
 
 
 # ---------------------------------------------------------------- oracle text
-def _f_sql(name, cls, pre=""):
+def _f_sql(name, cls, side=None):
+    """Tree output for a class; ``side`` names the relation each feature is read from."""
     sp, lv = TREES[name]
 
     def node(n):
         if n in lv:
             return repr(lv[n][cls])
         f, t, l, r = sp[n]
-        return f"(CASE WHEN {pre}{FEATS[f]} <= {t!r} THEN {node(l)} ELSE {node(r)} END)"
+        return f"(CASE WHEN {side(FEATS[f]) + '.' if side else ''}{FEATS[f]} <= {t!r} THEN {node(l)} ELSE {node(r)} END)"
     return node(0)
 
 
 def shap_sql(name="tree_a") -> str:
+    """Shapley sums over all subsets of the tree's features, one pass over (row, background row)."""
     used = sorted({FEATS[f] for f, _, _, _ in TREES[name][0].values()})
     n = len(used)
     import math
     wts = {s: math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n) for s in range(n)}
-    sel = ", ".join(f"CASE WHEN (m >> {i}) & 1 = 1 THEN x.{f} ELSE z.{f} END AS {f}" for i, f in enumerate(used))
-    fcls = ", ".join(f"{_f_sql(name, c)} AS f{c}" for c in range(len(STAGES)))
-    terms = []
+
+    def mixed(mask):
+        return lambda f: "x" if mask >> used.index(f) & 1 else "z"
+    values = ", ".join(f"{_f_sql(name, c, mixed(m))} AS f{m}_{c}" for m in range(2 ** n) for c in range(len(STAGES)))
+    sums, terms = [], []
     for i, f in enumerate(used):
         for c in range(len(STAGES)):
-            terms.append(f"SELECT a.row_id, '{f}' AS feature, {c} AS class, "
-                         f"SUM(CASE bit_count(a.m) {' '.join(f'WHEN {s} THEN {w!r}' for s, w in wts.items())} END "
-                         f"* (b.f{c} - a.f{c})) / {N_BG}.0 AS phi FROM fv a JOIN fv b ON a.row_id = b.row_id AND a.zid = b.zid "
-                         f"AND b.m = a.m | {1 << i} WHERE (a.m >> {i}) & 1 = 0 GROUP BY a.row_id")
+            e = " + ".join(f"{wts[bin(m).count('1')]!r} * (f{m | 1 << i}_{c} - f{m}_{c})" for m in range(2 ** n) if not m >> i & 1)
+            sums.append(f"SUM({e}) / {N_BG}.0 AS p{i}_{c}")
+            terms.append(f"SELECT row_id, '{f}' AS feature, {c} AS class, p{i}_{c} AS phi FROM sums")
+    terms += [f"SELECT row_id, '{f}', {c}, 0.0 FROM x" for f in FEATS if f not in used for c in range(len(STAGES))]
     return f"""WITH {OP_CTE},
 x AS (SELECT row_id, {", ".join(FEATS)} FROM order_profile ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '7')), row_id LIMIT {N_EVAL}),
 z AS (SELECT row_id, {", ".join(FEATS)} FROM order_profile ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '42')), row_id LIMIT {N_BG}),
-sub AS (SELECT UNNEST(generate_series(0, {2 ** n - 1})) AS m),
-pt AS (SELECT x.row_id, z.row_id AS zid, sub.m, {sel} FROM x CROSS JOIN z CROSS JOIN sub),
-fv AS (SELECT row_id, zid, m, {fcls} FROM pt),
+fv AS (SELECT x.row_id, {values} FROM x CROSS JOIN z),
+sums AS (SELECT row_id, {", ".join(sums)} FROM fv GROUP BY row_id),
 phi AS ({" UNION ALL ".join(terms)})"""
 
 
@@ -206,8 +209,8 @@ SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id, side ORDER BY a
 def _sh7(spark, sf):
     from tessera.functions.scalar import feature_label
     d = X.top_drivers(_local(spark, sf), "row_id").withColumn("label", feature_label(F.col("feature")))
-    from tessera.functions.scalar import fixed
-    d = d.withColumn("value", fixed(F.col("value"), 2))
+    names = F.array(*[F.lit(c) for c in STAGES])
+    d = d.join(predictions(spark, sf).select("row_id", F.element_at(names, F.col("prediction") + 1).alias("class_name")), "row_id")
     return X.driver_sentences(d, "row_id").select("row_id", "feature", "side", "side_rank", "sentence")
 
 
@@ -216,11 +219,12 @@ t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY abs_phi DESC, fe
 t2 AS (SELECT *, CASE WHEN phi > 0 THEN 'positive' WHEN phi < 0 THEN 'negative' END AS side FROM t WHERE strength_rank <= 10),
 t3 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id, side ORDER BY abs_phi DESC, feature) AS side_rank FROM t2 WHERE side IS NOT NULL)
 SELECT row_id, feature, side, side_rank,
-  printf('%s (%s): SHAP %.3f, %.1f%% of impact',
+  printf('%s at %s speaks %s %s: SHAP %.3f, %.1f%% of the impact',
          (SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(substr(s, i - 1, 1), '^[A-Za-z]$') THEN upper(substr(s, i, 1)) ELSE lower(substr(s, i, 1)) END, '' ORDER BY i)
           FROM (SELECT replace(feature, '_', ' ') AS s) q, generate_series(1, length(q.s)) g(i)),
-         printf('%.2f', value), phi, impact_share * 100) AS sentence
-FROM t3 WHERE side_rank <= 3""")(_sh7)
+         CASE WHEN value IS NULL THEN 'Imputed' ELSE printf('%.2f', value) END, CASE WHEN phi >= 0 THEN 'for' ELSE 'against' END,
+         [""" + ", ".join(f"'{c}'" for c in STAGES) + """][prediction + 1], phi, impact_share * 100) AS sentence
+FROM t3 JOIN pred USING (row_id) WHERE side_rank <= 3""")(_sh7)
 
 
 # SH8 -----------------------------------------------------------------------
@@ -235,6 +239,7 @@ _base_sql = " UNION ALL ".join(f"SELECT CAST({c} AS INTEGER) AS class, AVG({_f_s
 reg("sh8_waterfall", shap_sql() + _pred_sql + f""", bs AS ({_base_sql}),
 sp AS (SELECT p.row_id, p.feature, p.class, p.phi FROM phi p JOIN pred ON pred.row_id = p.row_id AND pred.prediction = p.class),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, feature) AS r FROM sp),
+-- seven features, so the last five are collapsed
 steps AS (SELECT row_id, class, feature, phi, r FROM r WHERE r < 3
           UNION ALL SELECT row_id, class, printf('%d other features', COUNT(*)), SUM(phi), 3 FROM r WHERE r >= 3 GROUP BY row_id, class)
 SELECT s.row_id, CAST(s.class AS INTEGER) AS class, s.feature, s.phi, s.r, bs.base,
@@ -255,13 +260,13 @@ ROW_NUMBER() OVER (ORDER BY TRY_CAST(mean_abs_shap_large AS DOUBLE) DESC NULLS L
 # SH10 --------------------------------------------------------------------
 def _sh10(spark, sf):
     sp = X.predicted_class_values(shap(spark, sf), predictions(spark, sf), "row_id")
-    return X.beeswarm(sp, _values_long(spark, sf), _imp(spark, sf), "row_id", k=2).select(
+    return X.beeswarm(sp, _values_long(spark, sf), _imp(spark, sf), "row_id", k=15).select(
         "row_id", "feature", "phi", "value", "rank")
 
 
 reg("sh10_beeswarm", _imp_sql() + _pred_sql.replace("pr0 AS", "pr1 AS").replace("FROM pr0", "FROM pr1").replace(", pred AS", ", pred2 AS") + f""",
 vals AS ({_vals}),
-top AS (SELECT feature, ROW_NUMBER() OVER (ORDER BY mean_abs_shap_predicted_class DESC, feature) AS rank FROM imp QUALIFY rank <= 2),
+top AS (SELECT feature, ROW_NUMBER() OVER (ORDER BY mean_abs_shap_predicted_class DESC, feature) AS rank FROM imp QUALIFY rank <= 15),
 sp AS (SELECT p.row_id, p.feature, p.phi FROM phi p JOIN pred ON pred.row_id = p.row_id AND pred.prediction = p.class)
 SELECT sp.row_id, sp.feature, sp.phi, vals.value, top.rank FROM sp JOIN top USING (feature) LEFT JOIN vals USING (row_id, feature)""")(_sh10)
 
@@ -290,6 +295,16 @@ def _sh11_sql():
 reg("sh11_jn1_ag19_model_comparison", _sh11_sql())(_sh11)
 
 
+# SH12 ------------------------------------------------------------------------
+def _sh12(spark, sf):
+    views = X.importance_views(_imp(spark, sf), [*STAGES, "no such class"])
+    return spark.createDataFrame(list(enumerate(views)), "position int, view string")
+
+
+_views = ", ".join(f"({i}, '{v}')" for i, v in enumerate(["mean_abs_shap_all_classes", *(f"mean_abs_shap_{c}" for c in STAGES)]))
+reg("sh12_importance_views", f"WITH {OP_CTE} SELECT * FROM (VALUES {_views}) v(position, view) WHERE (SELECT COUNT(*) FROM order_profile) > 0")(_sh12)
+
+
 # SH14 ----------------------------------------------------------------------
 def _sh14(spark, sf):
     imp = _imp(spark, sf)
@@ -297,6 +312,13 @@ def _sh14(spark, sf):
     return imp.where(F.col("feature").isin(feats)).select("feature", "rank")
 
 
+def _sh14_fallback(spark, sf):
+    feats = X.primary_features(_imp(spark, sf), FEATS, ["acct_bal", "not_a_feature", "price_sum", "total_price"], count=10)
+    return spark.createDataFrame(list(enumerate(feats, 1)), "position int, feature string")
+
+
+reg("sh14_primary_features_fallback", f"WITH {OP_CTE} SELECT * FROM (VALUES (1, 'acct_bal'), (2, 'price_sum'), (3, 'total_price')) v(position, feature) "
+    "WHERE (SELECT COUNT(*) FROM order_profile) > 0")(_sh14_fallback)
 reg("sh14_primary_features", _imp_sql() + " SELECT feature, rank FROM imp WHERE rank <= 5")(_sh14)
 
 

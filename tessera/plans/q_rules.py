@@ -10,7 +10,7 @@ from tessera.operators import features as FE
 from tessera.operators import rules as R
 from tessera.operators import segments as SG
 from tessera.plans.fixtures import STAGES, rule_scored, rule_scored_sql
-from tessera.plans.order_rules import ORDER_RULES
+from tessera.plans.order_rules import ORDER_RULES, ORDER_SEGMENT_COLORS, ORDER_SEGMENT_LABELS
 from tessera.plans.q_core import op, op_split
 from tessera.plans.spec import ORDER_SPEC
 from tessera.plans.sqltext import OP_CTE, split_ctes
@@ -159,7 +159,7 @@ def _stage_list(part):
 
 def _texts(spark, sf):
     d = R.stage_texts(subjects(spark, sf), RS)
-    d = d.withColumn("segment_key", F.when(F.col("has_open") == 1, "unhealthy").when(F.col("has_return") == 1, "healthy"))
+    d = d.withColumn("segment_key", F.when(F.col("has_open") == 1, "strained").when(F.col("has_return") == 1, "steady"))
     d = R.combined_note(d, RS)
     d = R.personalisation_note(d, RS, len(S.features))
     return d.select("row_id", F.array_join("meaning", " | ").alias("meaning"),
@@ -171,7 +171,7 @@ _n = len(S.features)
 _pn = (f"CASE WHEN missing_columns IS NULL THEN '{RS.personal_none}' "
        f"WHEN len(missing_columns) = 0 THEN replace('{RS.personal_all}', '{{n}}', CAST({_n} - len(missing_columns) AS VARCHAR)) "
        f"ELSE replace('{RS.personal_some}', '{{n}}', CAST({_n} - len(missing_columns) AS VARCHAR)) END")
-reg("dr6_dr8_stage_texts_notes", SUBJ_SQL + f""", sk AS (SELECT *, CASE WHEN has_open = 1 THEN 'unhealthy' WHEN has_return = 1 THEN 'healthy' END AS segment_key FROM subj)
+reg("dr6_dr8_stage_texts_notes", SUBJ_SQL + f""", sk AS (SELECT *, CASE WHEN has_open = 1 THEN 'strained' WHEN has_return = 1 THEN 'steady' END AS segment_key FROM subj)
 SELECT row_id, array_to_string({_stage_list('meaning')}, ' | ') AS meaning,
        array_to_string({_stage_list('guidance')}, ' | ') AS guidance,
        array_to_string({_stage_list('next_steps')}, ' | ') AS next_steps,
@@ -224,28 +224,36 @@ reg("dr9_fallback_texts_numeric", f"WITH {OP_CTE},{split_ctes()} " + " UNION ALL
 
 def _dr10(spark, sf):
     tr = op_split(spark, sf).where(F.col("split") == "train")
-    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in S.nominal]))
-    d = tr.select(kv.alias("kv")).select("kv.*").where(F.col("value").isNotNull()).distinct()
-    from pyspark.sql import Window
-    d = d.withColumn("code", F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1)
-    return d.select("feature", F.col("code").cast("int").alias("code"), "value")
+    return R.allowed_values(S, FE.fit_preprocessor(tr, S).nominal, spark)
 
 
+_levels = [(c, i, v) for c, levels in S.ordinal for i, v in enumerate(levels)] + [(c, i, str(i)) for c in S.binary for i in (0, 1)]
 reg("dr10_allowed_values", f"WITH {OP_CTE},{split_ctes()} " + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS code, v AS value "
-    f"FROM (SELECT DISTINCT {c} AS v FROM split WHERE split = 'train' AND {c} IS NOT NULL) d" for c in S.nominal))(_dr10)
+    f"FROM (SELECT DISTINCT {c} AS v FROM split WHERE split = 'train' AND {c} IS NOT NULL) d" for c in S.nominal)
+    + f" UNION ALL SELECT * FROM (VALUES {', '.join(f'({c!r}, {i}, {v!r})' for c, i, v in _levels)}) l(feature, code, value)")(_dr10)
 
 
 # DR11 -----------------------------------------------------------------------
+def _segment_texts(spark, sf):
+    """DR5 and SG6 lines of every cluster (one row each)."""
+    from tessera.plans import q_segments
+    meaning = q_segments._sg6(spark, sf).select("cluster", F.col("summary").alias("segment_summary"))
+    return meaning.join(_dr5(spark, sf).select("cluster", F.col("recommendations").alias("segment_recommendations")), "cluster")
+
+
 def _dr11(spark, sf):
     from tessera.plans.q_segments import clustered, keys
     a = actions_df(spark, sf)
     _, a_te, _ = clustered(spark, sf)
-    k = SG.segment_display(keys(spark, sf))
+    k = SG.segment_display(keys(spark, sf), ORDER_SEGMENT_LABELS, ORDER_SEGMENT_COLORS)
     j = a.join(a_te.select("row_id", "cluster"), "row_id").join(k, "cluster")
-    j = R.combined_note(j, RS)
-    return j.select("row_id", "predicted", "confidence", "cluster", "cluster_name", "segment_key",
-                    "combined_note", F.size("actions").alias("n_actions"))
+    j = R.personalisation_note(R.stage_texts(R.combined_note(j, RS), RS), RS, len(S.features))
+    j = j.join(F.broadcast(_segment_texts(spark, sf)), "cluster", "left")
+    lists = [F.array_join(c, " | ").alias(c) for c in ("actions", "meaning", "guidance", "next_steps")]
+    return j.select("row_id", "predicted", "confidence", "runner_up", "gap", "cluster", "cluster_name", "segment_key",
+                    "combined_note", "personalisation_note", F.size("actions").alias("n_actions"), *lists,
+                    "segment_summary", "segment_recommendations")
 
 
 def _dr11_sql():
@@ -255,10 +263,18 @@ def _dr11_sql():
     # both start with the same order_profile / split CTEs; keep the cluster chain and append actions
     extra = acts.split("med AS", 1)[1]
     sub = acts.split("scored AS", 1)[1].split("med AS", 1)[0]
-    return (f"WITH {body}, scored AS {sub} med AS {extra}"
-            f" SELECT a.row_id, a.predicted, a.confidence, t.cluster, d.cluster_name, d.segment_key, "
+    rec = _dr5_sql().split("rr AS", 1)[1].split(") SELECT", 1)[0] + ")"
+    summ = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RS.segment_summaries.items())
+    lists = ", ".join(f"array_to_string({e}, ' | ') AS {n}" for n, e in (
+        ("actions", "a.actions"), ("meaning", _stage_list("meaning")), ("guidance", _stage_list("guidance")),
+        ("next_steps", _stage_list("next_steps"))))
+    return (f"WITH {body}, scored AS {sub} med AS {extra}, rr AS {rec}"
+            f" SELECT a.row_id, a.predicted, a.confidence, a.runner_up, a.gap, {_pn} AS personalisation_note, {lists}, "
+            f"COALESCE(CASE d.segment_key {summ} END, '{RS.segment_summary_default}') AS segment_summary, "
+            f"array_to_string(CASE WHEN len(rr.a) = 0 THEN ['{RS.segment_default}'] ELSE rr.a END, ' | ') AS segment_recommendations, t.cluster, d.cluster_name, d.segment_key, "
             f"{_case_map(chr(39) + chr(39) + ' || a.predicted || ' + chr(39) + '|' + chr(39) + ' || COALESCE(d.segment_key, ' + chr(39) + chr(39) + ')', _exact, _case_map('a.predicted', _bycls, repr(RS.combined_notes[('*', '*')])))} AS combined_note, "
-            f"len(a.actions) AS n_actions FROM act2 a JOIN assigned_test t USING (row_id) JOIN disp d ON d.cluster = t.cluster")
+            f"len(a.actions) AS n_actions FROM act2 a JOIN assigned_test t USING (row_id) JOIN disp d ON d.cluster = t.cluster "
+            f"LEFT JOIN rr ON rr.cluster = t.cluster")
 
 
 reg("dr11_recommendation_record", _dr11_sql())(_dr11)
@@ -310,27 +326,11 @@ FROM b""")(_sc)
 
 # DR9 (all feature kinds) ---------------------------------------------------------
 def _dr9_all(spark, sf):
-    from tessera.functions.scalar import fixed
     tr = op_split(spark, sf).where(F.col("split") == "train")
     pre = FE.fit_preprocessor(tr, S)
-    enc = pre.encode(tr, strict=True)
-    aggs = [F.avg(c).alias(c) if c in S.numeric else F.mode(c, True).alias(c) for c in S.features]
-    row = enc.agg(*aggs)
-    items = []
-    for c in S.features:
-        v = F.col(c)
-        if c in S.numeric:
-            t = F.concat(F.lit("Average if blank: "), fixed(v, 2))
-        elif c in S.binary:
-            t = F.concat(F.lit("Default if blank: "), F.when(F.round(v) == 1, "Yes").otherwise("No"))
-        else:
-            cats = list(S.ordinal_levels[c]) if c in S.ordinal_levels else pre.nominal[c]
-            i = F.round(v).cast("int")
-            t = F.when((i >= 0) & (i < len(cats)),
-                       F.concat(F.lit("Default if blank: "), F.element_at(F.array(*[F.lit(x) for x in cats]), i + 1))
-                       ).otherwise(F.lit("Default if blank: most common value"))
-        items.append(F.struct(F.lit(c).alias("feature"), t.alias("fallback_text")))
-    return row.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    fill = pre.encode(tr, strict=True).agg(
+        *[F.avg(c).alias(c) if c in S.numeric else F.mode(c, True).alias(c) for c in S.features]).first().asDict()
+    return R.fallback_texts(S, fill, fill, pre.nominal, spark)
 
 
 def _dr9_all_sql():

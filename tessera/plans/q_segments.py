@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import exact_quantiles
 from tessera.operators import segments as SG
+from tessera.plans.order_rules import ORDER_RULES, ORDER_SEGMENT_COLORS, ORDER_SEGMENT_LABELS, ORDER_SEGMENTS
 from tessera.plans.q_core import op_split
 from tessera.plans.spec import ORDER_SPEC
 from tessera.plans.sqltext import OP_CTE, split_ctes
@@ -128,31 +129,35 @@ b1 AS (SELECT cluster FROM r1s ORDER BY health_rank_sum, cluster LIMIT 1),
 rest AS (SELECT * FROM prof WHERE cluster NOT IN (SELECT cluster FROM b1)),
 r2 AS (SELECT cluster, {" + ".join(f"DENSE_RANK() OVER (ORDER BY {c} DESC)" for c in _risk)} AS risk_rank_sum FROM rest),
 b2 AS (SELECT cluster FROM r2 ORDER BY risk_rank_sum, cluster LIMIT 1),
-keys AS (SELECT r1s.cluster, CASE WHEN r1s.cluster IN (SELECT cluster FROM b1) THEN 'healthy'
-                  WHEN r1s.cluster IN (SELECT cluster FROM b2) THEN 'elevated_glucose' ELSE 'unhealthy' END AS segment_key,
+keys AS (SELECT r1s.cluster, CASE WHEN r1s.cluster IN (SELECT cluster FROM b1) THEN '{ORDER_SEGMENTS[0]}'
+                  WHEN r1s.cluster IN (SELECT cluster FROM b2) THEN '{ORDER_SEGMENTS[1]}' ELSE '{ORDER_SEGMENTS[2]}' END AS segment_key,
                 r1s.health_rank_sum, COALESCE(r2.risk_rank_sum, 0) AS risk_rank_sum
          FROM r1s LEFT JOIN r2 USING (cluster))"""
 
 
 def keys(spark, sf):
-    return SG.segment_keys(profiles(spark, sf), list(S.profile))
+    return SG.segment_keys(profiles(spark, sf), list(S.profile), ORDER_SEGMENTS)
+
+
+def display(spark, sf):
+    return SG.segment_display(keys(spark, sf), ORDER_SEGMENT_LABELS, ORDER_SEGMENT_COLORS)
 
 
 reg("wn2_sg1_segment_keys", SEG_SQL + " SELECT * FROM keys")(keys)
 
-_names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SG.SEGMENT_LABELS.items())
-_colors = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SG.SEGMENT_COLORS.items())
+_names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ORDER_SEGMENT_LABELS.items())
+_colors = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ORDER_SEGMENT_COLORS.items())
 DISPLAY_SQL = SEG_SQL + f""",
 disp AS (SELECT cluster, segment_key, COALESCE(CASE segment_key {_names} END, 'Cluster ' || CAST(cluster AS VARCHAR)) AS cluster_name,
-                COALESCE(CASE segment_key {_colors} END, '{SG.SEGMENT_COLORS['unknown']}') AS color FROM keys)"""
+                COALESCE(CASE segment_key {_colors} END, '{ORDER_SEGMENT_COLORS['unknown']}') AS color FROM keys)"""
 reg("sg2_segment_display", DISPLAY_SQL + " SELECT * FROM disp")(
-    lambda spark, sf: SG.segment_display(keys(spark, sf)))
+    lambda spark, sf: display(spark, sf))
 
 reg("sg3_segment_sizes", DISPLAY_SQL + """ SELECT p.cluster, p.cluster_size,
 CAST(CAST(FLOOR((2000 * p.cluster_size + SUM(p.cluster_size) OVER ()) / (2 * SUM(p.cluster_size) OVER ())) AS DECIMAL(20,0)) / 10 AS DECIMAL(20,1)) AS percent,
 d.cluster_name FROM prof p JOIN disp d USING (cluster)""")(
     lambda spark, sf: SG.cluster_shares(clustered(spark, sf)[0]).join(
-        SG.segment_display(keys(spark, sf)).select("cluster", "cluster_name"), "cluster"))
+        display(spark, sf).select("cluster", "cluster_name"), "cluster"))
 
 
 def _positions(spark, sf):
@@ -205,16 +210,13 @@ SELECT label AS cluster, COUNT(*) AS n, AVG(silhouette) AS mean_silhouette FROM
 
 
 # SG6 ------------------------------------------------------------------------
-# Sentence parts of the cluster meaning for the order binding.
-MEANING_INTRO = "Being assigned to this segment means the current order looks most similar to this group in the training data."
-MEANING_SIZE = "This segment contains {n} training orders with a similar overall pattern."
-MEANING_LABELS = [("acct_bal", "Average account balance is", "", 2), ("disc_sum", "Average discount total is", "", 2),
-                  ("tax_sum", "Average tax total is", "", 2), ("total_price", "Average order total is", "", 2),
-                  ("price_max", "Average largest line is", "", 2)]
+MEANING_INTRO = "Orders of this kind were grouped by their five main figures."
+MEANING_SIZE = "The group has {n} orders of the training part."
+MEANING_LABELS = [("acct_bal", "Mean balance:", "", 2), ("disc_sum", "Mean discounts:", "", 2), ("tax_sum", "Mean taxes:", "", 2),
+                  ("total_price", "Mean total:", "", 2), ("price_max", "Mean dearest line:", "", 2)]
 
 
 def _sg6(spark, sf):
-    from tessera.plans.order_rules import ORDER_RULES
     a_tr, _, _ = clustered(spark, sf)
     q = exact_quantiles(a_tr.unpivot("row_id", PROF, "feature", "v"), "v", [0.5], ["feature"]).collect()
     med = {r["feature"]: float(r["value"]) for r in q}
@@ -225,7 +227,6 @@ def _sg6(spark, sf):
 
 
 def _sg6_sql():
-    from tessera.plans.order_rules import ORDER_RULES
     summ = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ORDER_RULES.segment_summaries.items())
     pos = ("CASE WHEN {v} IS NULL OR {b} IS NULL OR isnan({v}) OR isnan({b}) THEN 'relative position not available' "
            "WHEN abs({v} - {b}) <= 1e-8 + 1e-5 * abs({b}) THEN 'around the training median' "

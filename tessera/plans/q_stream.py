@@ -42,4 +42,12 @@ def st1(spark, sf):
                              os.path.join(base, "sink"), os.path.join(base, "ckpt")).drop("epoch")
 
 
+def _st1_sql() -> str:
+    """The same scoring over all orders at once."""
+    from tessera.plans.q_rules import ACTIONS_SQL
+    every = ACTIONS_SQL.replace("(SELECT * FROM split WHERE split = 'test')", "order_profile", 1)
+    return every + " SELECT row_id, predicted, confidence, runner_up, gap, array_to_string(actions, ' | ') AS actions FROM act2"
+
+
 QUERIES["st1_stream_scoring"] = st1
+SQL["st1_stream_scoring"] = _st1_sql()

@@ -37,23 +37,30 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
-def require_path(path: str, hint: str) -> str:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store its scheme names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def require_path(spark: SparkSession, path: str, hint: str) -> str:
     """IO6: fail early with an actionable message when a required input is missing."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"Required input not found: {path}. {hint}")
     return path
 
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     """IO7: read the derived table if present, else build it, write it, and read it back."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         write_parquet(build(), path)
     return spark.read.parquet(path)
 
 
 def load_importance(spark: SparkSession, path: str) -> DataFrame | None:
     """IO8: importance table, or None when the file or its ``feature`` column is missing."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return None
     df = spark.read.parquet(path)
     return df if "feature" in df.columns else None

@@ -1,6 +1,7 @@
 """SG1 golden on the stored cluster profiles; k-means step and silhouette invariants."""
 
 from tessera.operators import segments as SG
+from tessera.plans.patient_rules import PATIENT_SEGMENT_COLORS, PATIENT_SEGMENT_LABELS, PATIENT_SEGMENTS
 from tessera.plans.spec import PATIENT_SPEC
 
 # Stored cluster profiles.
@@ -12,7 +13,7 @@ COLS = [c for c, _ in PATIENT_SPEC.profile]
 
 def test_segment_keys_golden(spark):
     df = spark.createDataFrame(PROFILES, ["cluster", *COLS, "cluster_size"])
-    got = {r["cluster"]: r for r in SG.segment_keys(df, list(PATIENT_SPEC.profile)).collect()}
+    got = {r["cluster"]: r for r in SG.segment_keys(df, list(PATIENT_SPEC.profile), PATIENT_SEGMENTS).collect()}
     assert got[1]["segment_key"] == "healthy"
     assert got[0]["segment_key"] == "elevated_glucose"
     assert got[2]["segment_key"] == "unhealthy"
@@ -23,13 +24,13 @@ def test_segment_keys_golden(spark):
 def test_segment_keys_first_index_tie(spark):
     rows = [(0, 1.0, 1.0, 1.0, 1.0, 1.0, 5), (1, 1.0, 1.0, 1.0, 1.0, 1.0, 5), (2, 1.0, 1.0, 1.0, 1.0, 1.0, 5)]
     df = spark.createDataFrame(rows, ["cluster", *COLS, "cluster_size"])
-    got = {r["cluster"]: r["segment_key"] for r in SG.segment_keys(df, list(PATIENT_SPEC.profile)).collect()}
+    got = {r["cluster"]: r["segment_key"] for r in SG.segment_keys(df, list(PATIENT_SPEC.profile), PATIENT_SEGMENTS).collect()}
     assert got == {0: "healthy", 1: "elevated_glucose", 2: "unhealthy"}
 
 
 def test_display_fallback(spark):
     df = spark.createDataFrame([(0, "healthy"), (7, None)], "cluster int, segment_key string")
-    got = {r["cluster"]: r for r in SG.segment_display(df).collect()}
+    got = {r["cluster"]: r for r in SG.segment_display(df, PATIENT_SEGMENT_LABELS, PATIENT_SEGMENT_COLORS).collect()}
     assert got[0]["cluster_name"] == "Healthy Patient Cluster"
     assert got[7]["cluster_name"] == "Cluster 7" and got[7]["color"] == "#91a196"
 

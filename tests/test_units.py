@@ -22,7 +22,7 @@ def test_registry_and_names():
 
 def test_require_path_and_importance_load(spark):
     with pytest.raises(FileNotFoundError, match="Run the fit step"):
-        IO.require_path("/nonexistent/x.parquet", "Run the fit step first.")
+        IO.require_path(spark, "/nonexistent/x.parquet", "Run the fit step first.")
     d = tempfile.mkdtemp(prefix="tessera-test-")
     p = os.path.join(d, "imp")
     spark.createDataFrame([("a", 1.0)], "name string, v double").write.parquet(p)
