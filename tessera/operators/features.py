@@ -9,10 +9,9 @@ scoring a 100 TB table is one narrow map stage.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.spec import TableSpec
@@ -134,20 +133,20 @@ class Preprocessor:
 
     # ---------------------------------------------------------------- persistence (IO5)
     def save(self, path: str) -> None:
-        os.makedirs(path, exist_ok=True)
+        """Written by Spark, so ``path`` may be in any store that the executors share."""
         state = {"classes": self.classes, "nominal": self.nominal, "means": self.means,
                  "stds": self.stds, "fill": self.fill}
-        with open(os.path.join(path, "preprocessor.json"), "w") as f:
-            json.dump(state, f, sort_keys=True)
+        spark = SparkSession.active()
+        one = spark.createDataFrame([(json.dumps(state, sort_keys=True),)], "state string")
+        one.coalesce(1).write.mode("overwrite").parquet(f"{path}/preprocessor")
 
     @classmethod
     def load(cls, path: str, spec: TableSpec) -> "Preprocessor":
-        p = os.path.join(path, "preprocessor.json")
-        if not os.path.exists(p):
+        from tessera.sources.io import exists
+        spark, p = SparkSession.active(), f"{path}/preprocessor"
+        if not exists(spark, p):
             raise FileNotFoundError(f"missing fitted preprocessor: {p}; run the fit step first")
-        with open(p) as f:
-            st = json.load(f)
-        return cls(spec=spec, **st)
+        return cls(spec=spec, **json.loads(spark.read.parquet(p).first()["state"]))
 
 
 def fit_preprocessor(train: DataFrame, spec: TableSpec) -> Preprocessor:

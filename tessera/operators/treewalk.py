@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import workers_import
@@ -20,6 +20,9 @@ from tessera.session import workers_import
 GROUP_BYTES = 64 << 20
 
 
+NODES = "tree int, node int, feature int, threshold double, left int, right int, value array<double>"
+
+
 @dataclass
 class Tree:
     """Node arrays: a row goes right unless x[feature] < threshold (or <=, with ``closed``); feature -1 is a leaf."""
@@ -89,3 +92,20 @@ def tree_sums(df: DataFrame, features: list[str], trees: list[Tree], outputs: in
         sums = _group_sums(spark.sparkContext.broadcast(group), outputs, closed)(*[F.col(f).cast("double") for f in features])
         out = sums if out is None else F.zip_with(out, sums, lambda a, b: a + b)
     return df.withColumn(out_col, out if out is not None else F.array_repeat(F.lit(0.0), outputs))
+
+
+def save_trees(spark: SparkSession, path: str, trees: list[Tree]) -> None:
+    """One row for each node, in any store that the executors share."""
+    rows = [(t, n, int(tree.feature[n]), float(tree.threshold[n]), int(tree.left[n]), int(tree.right[n]), tree.value[n].tolist())
+            for t, tree in enumerate(trees) for n in range(len(tree.feature))]
+    spark.createDataFrame(rows, NODES).write.mode("overwrite").parquet(path)
+
+
+def load_trees(spark: SparkSession, path: str) -> list[Tree]:
+    """Trees as they were saved; the model comes to the driver, as a fitted one is there."""
+    rows: dict[int, list] = {}
+    for r in spark.read.parquet(path).orderBy("tree", "node").collect():
+        rows.setdefault(r["tree"], []).append(r)
+    column = lambda nodes, name, kind: np.array([r[name] for r in nodes], kind)
+    return [Tree(column(n, "feature", np.int32), column(n, "threshold", float), column(n, "left", np.int32),
+                 column(n, "right", np.int32), column(n, "value", float)) for _, n in sorted(rows.items())]

@@ -72,6 +72,15 @@ def test_extra_trees_keep_all_rows(labelled, depth):
         assert (out["prediction"] == out["label"]).mean() > 0.7
 
 
+def test_saved_trees_score_alike(spark, labelled, tmp_path):
+    from tessera.operators.treewalk import load_trees, save_trees, tree_sums
+    model = ExtraTrees(n_trees=2, min_leaf=20).fit(labelled.withColumn("u", F.monotonically_increasing_id()), ["a", "b", "c"], id_col="u")
+    save_trees(spark, f"file://{tmp_path}/trees", model.walk_trees())
+    back = load_trees(spark, f"file://{tmp_path}/trees")
+    sums = [np.stack(tree_sums(labelled, ["a", "b", "c"], t, model.n_classes, "s", True).toPandas()["s"]) for t in (model.walk_trees(), back)]
+    assert np.array_equal(*sums)
+
+
 def test_labels_outside_the_list_are_negative(spark):
     rows = [("a", [0.9, 0.1]), ("b", [0.2, 0.8]), ("z", [0.5, 0.5]), (None, [0.1, 0.9])]
     got = {r["cls"]: r for r in ME.ovr_auc(spark.createDataFrame(rows, "label string, probability array<double>"), ["a", "b"]).collect()}
