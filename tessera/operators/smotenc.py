@@ -9,22 +9,24 @@ differences + Med^2 per categorical mismatch, Med = median of the population
 standard deviations of the continuous features in the smallest class
 (the published SMOTE-NC definition).
 
-Exact k-NN without all pairs: points are placed on a per-class grid over the two
-continuous features with the largest spread (cells hold ~``cell_size`` points).
-Round 1 searches each seed's 3x3 cell block; a seed whose k-th distance is
-strictly inside the block margin is final (any point outside is farther).
-Other seeds search again over every cell within their k-th distance (or their
-whole class if they found fewer than k), which is exact by the same bound.
+Exact k-NN without all pairs: each class is cut into cells of about ``cell_points``
+points by quantiles of the two continuous features with the largest spread, so skewed
+values don't pile up in one cell (many equal points are dealt out by a hash). A seed is
+compared with its own cell first; then it visits every cell whose bounding box is not
+farther than the k-th distance so far. Boxes may overlap, so this is exact for any cells.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ordering import exact_rank, hash_order
+from tessera.session import cut_lineage, workers_import
 
 
 def _hash_int(*parts: Column, seed: str) -> Column:
@@ -47,95 +49,122 @@ def _generate(counts: DataFrame, cls: str, chunk: int = 100_000) -> DataFrame:
     return c.select(cls, "n", "base", F.explode(F.sequence(lo, hi)).alias("j"))
 
 
-def _sqdist(cont: list[str], cat: list[str], med2: float, a: str = "a_", b: str = "b_") -> Column:
-    d = None
-    for c in cont:
-        t = (F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c))
-        d = t if d is None else d + t
-    for c in cat:
-        t = F.when(F.col(a + c) != F.col(b + c), F.lit(med2)).otherwise(F.lit(0.0))
-        d = t if d is None else d + t
-    return d
+VISITS = 16_384
+
+
+def _nearest(q: pd.DataFrame, p: pd.DataFrame, cls: str, cont: list[str], cat: list[str], med2: float, k: int) -> pd.DataFrame:
+    """The k nearest points (by distance, then id) of every query of one cell, not beyond its limit."""
+    out = []
+    ids = p["b_id"].to_numpy()
+    for at in range(0, len(q) if len(p) else 0, 256):
+        part = q.iloc[at : at + 256]
+        d = np.zeros((len(part), len(p)))
+        for c in cont:
+            d += (part["a_" + c].to_numpy(float)[:, None] - p["b_" + c].to_numpy(float)[None, :]) ** 2
+        for c in cat:
+            d += np.where(part["a_" + c].to_numpy()[:, None] != p["b_" + c].to_numpy()[None, :], med2, 0.0)
+        d[part["q_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+        d[d > part["r2"].to_numpy()[:, None]] = np.inf
+        bound = np.partition(d, min(k, len(p)) - 1, axis=1)[:, min(k, len(p)) - 1]
+        row, col = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+        order = np.lexsort((ids[col], d[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        near = p.iloc[col].reset_index(drop=True)[["b_id", *["b_" + c for c in cont + cat]]]
+        near.insert(0, "d2", d[row, col])
+        near.insert(0, "q_id", part["q_id"].to_numpy()[row])
+        near.insert(0, cls, part[cls].to_numpy()[row])
+        out.append(near)
+    columns = [cls, "q_id", "d2", "b_id", *["b_" + c for c in cont + cat]]
+    return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
 
 def knn_within_class(queries: DataFrame, points: DataFrame, cls: str, id_col: str,
                      cont: list[str], cat: list[str], med2: float, k: int,
-                     grid_dims: list[str], cell_size: int = 8) -> DataFrame:
+                     grid_dims: list[str], cell_points: int = 2048) -> DataFrame:
     """Exact k nearest same-class neighbours (excluding self) of each query point.
 
     Output: cls, query id (``q_id``), ``nn_rank`` 1..k, neighbour id and features.
     """
+    workers_import(points.sparkSession)
     g1, g2 = grid_dims
-    st = points.groupBy(cls).agg(F.count(F.lit(1)).alias("n"), F.min(g1).alias("mn1"), F.max(g1).alias("mx1"),
-                                 F.min(g2).alias("mn2"), F.max(g2).alias("mx2"))
-    cells = F.greatest(F.lit(1.0), F.sqrt(F.col("n") / F.lit(float(cell_size))))
-    st = st.select(cls, "mn1", "mn2",
-                   F.greatest((F.col("mx1") - F.col("mn1")) / cells, F.lit(1e-9)).alias("h1"),
-                   F.greatest((F.col("mx2") - F.col("mn2")) / cells, F.lit(1e-9)).alias("h2"))
     feats = cont + cat
-
-    def place(df):
-        j = df.join(F.broadcast(st), cls)  # one row per class
-        return (j.withColumn("cx", F.floor((F.col(g1) - F.col("mn1")) / F.col("h1")).cast("long"))
-                 .withColumn("cy", F.floor((F.col(g2) - F.col("mn2")) / F.col("h2")).cast("long")))
-    p = place(points).select(cls, "cx", "cy", F.col(id_col).alias("b_id"), *[F.col(c).alias("b_" + c) for c in feats])
-    q = place(queries).select(cls, F.col(id_col).alias("q_id"), "cx", "cy", "mn1", "mn2", "h1", "h2",
-                              *[F.col(c).alias("a_" + c) for c in feats])
-
-    def search(qx: DataFrame) -> DataFrame:
-        cand = qx.join(p, [cls, "cx", "cy"]).where(F.col("q_id") != F.col("b_id"))
-        cand = cand.withColumn("d2", _sqdist(cont, cat, med2))
-        w = Window.partitionBy(cls, "q_id").orderBy("d2", "b_id")
-        return cand.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
-
-    # round 1: 3x3 block around the query cell
-    off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                              for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("o")
-    q1 = q.select("*", off).select(cls, "q_id", (F.col("cx") + F.col("o.dx")).alias("cx"),
-                                   (F.col("cy") + F.col("o.dy")).alias("cy"),
-                                   *[F.col("a_" + c) for c in feats])
-    r1 = search(q1).cache()
-    # margin of the 3x3 block in grid units
-    lo1 = F.col("mn1") + (F.col("cx") - 1) * F.col("h1")
-    hi1 = F.col("mn1") + (F.col("cx") + 2) * F.col("h1")
-    lo2 = F.col("mn2") + (F.col("cy") - 1) * F.col("h2")
-    hi2 = F.col("mn2") + (F.col("cy") + 2) * F.col("h2")
-    margin = F.least(F.col("a_" + g1) - lo1, hi1 - F.col("a_" + g1), F.col("a_" + g2) - lo2, hi2 - F.col("a_" + g2))
-    kth = r1.groupBy(cls, "q_id").agg(F.max("d2").alias("dk2"), F.count(F.lit(1)).alias("found"))
-    qm = q.withColumn("margin", margin).join(kth, [cls, "q_id"], "left")
-    done = qm.where((F.col("found") == k) & (F.col("dk2") < F.col("margin") * F.col("margin"))).select(cls, "q_id")
-    todo = qm.join(done, [cls, "q_id"], "left_anti")
-    # round 2: every cell within the k-th distance (whole class when fewer than k were found)
-    r = F.when(F.col("found") == k, F.sqrt("dk2")).otherwise(F.lit(float("inf")))
-    todo = todo.join(F.broadcast(points.groupBy(cls).agg(F.min(g1).alias("pmin1"), F.max(g1).alias("pmax1"),
-                                                         F.min(g2).alias("pmin2"), F.max(g2).alias("pmax2"))), cls)
-    x1lo = F.greatest(F.col("a_" + g1) - r, F.col("pmin1"))
-    x1hi = F.least(F.col("a_" + g1) + r, F.col("pmax1"))
-    x2lo = F.greatest(F.col("a_" + g2) - r, F.col("pmin2"))
-    x2hi = F.least(F.col("a_" + g2) + r, F.col("pmax2"))
-    c1lo = F.floor((x1lo - F.col("mn1")) / F.col("h1")).cast("long")
-    c1hi = F.floor((x1hi - F.col("mn1")) / F.col("h1")).cast("long")
-    c2lo = F.floor((x2lo - F.col("mn2")) / F.col("h2")).cast("long")
-    c2hi = F.floor((x2hi - F.col("mn2")) / F.col("h2")).cast("long")
-    q2 = (todo.select(cls, "q_id", *[F.col("a_" + c) for c in feats],
-                      F.explode(F.sequence(c1lo, F.greatest(c1lo, c1hi))).alias("cx"), c2lo.alias("c2lo"),
-                      F.greatest(c2lo, c2hi).alias("c2hi"))
-              .select(cls, "q_id", "cx", *[F.col("a_" + c) for c in feats],
-                      F.explode(F.sequence("c2lo", "c2hi")).alias("cy")))
-    r2 = search(q2)
-    keep1 = r1.join(done, [cls, "q_id"], "left_semi")
-    out = keep1.unionByName(r2)
+    sizes = {r[cls]: r["n"] for r in points.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    strips = {c: max(1, math.ceil(math.sqrt(n / cell_points))) for c, n in sizes.items()}
+    rows = {c: max(1, math.ceil(n / strips[c] / cell_points)) for c, n in sizes.items()}
+
+    def cut(column: str, parts: dict, by: list[str]) -> DataFrame:
+        """(by, cuts): quantiles that part the column, a number of parts for each class."""
+        exprs = [F.percentile_approx(F.when(F.col(cls) == F.lit(c), F.col(column)), [i / m for i in range(1, m)], 10_000)
+                 for c, m in parts.items() if m > 1]
+        none = F.array().cast("array<double>")
+        return points_at.groupBy(*by).agg(F.coalesce(*[e.cast("array<double>") for e in exprs], none).alias("cuts"))
+
+    def place(df: DataFrame) -> DataFrame:
+        one = df.join(F.broadcast(cuts1), cls).withColumn("strip", _above(F.col(g1))).drop("cuts")
+        two = one.join(small_table(cuts2), [cls, "strip"], "left")
+        return two.withColumn("cell", F.coalesce(_above(F.col(g2)), F.lit(0))).drop("cuts")
+
+    def _above(value: Column) -> Column:
+        return F.size(F.filter("cuts", lambda c: c < value))
+
+    def small_table(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if sum(strips.values()) * 8 * max(rows.values()) < 64 << 20 else df
+
+    points_at = points
+    cuts1 = cut_lineage(cut(g1, strips, [cls]))
+    points_at = points.join(F.broadcast(cuts1), cls).withColumn("strip", _above(F.col(g1))).drop("cuts")
+    cuts2 = cut_lineage(cut(g2, rows, [cls, "strip"]))
+    placed = place(points).select(cls, "strip", "cell", F.col(id_col).alias("b_id"), *[F.col(c).alias("b_" + c) for c in feats])
+    placed = cut_lineage(placed)
+    # a cell of many equal points is dealt out
+    full = placed.groupBy(cls, "strip", "cell").agg(F.ceil(F.count(F.lit(1)) / (4 * cell_points)).cast("int").alias("parts"))
+    cell = [cls, "strip", "cell", "part"]
+    p = cut_lineage(placed.join(full, cell[:3]).withColumn("part", F.pmod(F.xxhash64("b_id"), F.col("parts")).cast("int")).drop("parts"))
+    boxes = cut_lineage(p.groupBy(*cell).agg(F.min("b_" + g1).alias("lo1"), F.max("b_" + g1).alias("hi1"),
+                                             F.min("b_" + g2).alias("lo2"), F.max("b_" + g2).alias("hi2")))
+    q = place(queries).join(full, cell[:3], "left").select(
+        cls, "strip", "cell", F.pmod(F.xxhash64(id_col), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
+        F.col(id_col).alias("q_id"), *[F.col(c).alias("a_" + c) for c in feats])
+    q = cut_lineage(q)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = ", ".join([f"`{cls}` {kinds[cls]}", f"q_id {kinds[id_col]}", "d2 double", f"b_id {kinds[id_col]}",
+                        *[f"`b_{c}` {kinds[c]}" for c in feats]])
+
+    def search(visits: DataFrame) -> DataFrame:
+        """Visits (cell, query, r2) answered cell by cell; a cell with many visits has several groups."""
+        many = visits.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("groups"))
+        v = visits.join(many, cell).withColumn("turn", F.pmod(F.xxhash64("q_id"), F.col("groups")).cast("int")).drop("groups")
+        pts = p.join(many, cell).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+        pts = pts.select(*[F.col(c).alias(c) for c in pts.columns])  # columns of its own beside the visits
+        return v.groupBy(*cell, "turn").cogroup(pts.groupBy(*cell, "turn")).applyInPandas(
+            lambda a, b: _nearest(a, b, cls, cont, cat, med2, k), schema)
+
+    first = cut_lineage(search(q.withColumn("r2", F.lit(float("inf")))))
+    kth = first.groupBy(cls, "q_id").agg(F.when(F.count(F.lit(1)) == k, F.max("d2")).alias("r2"))
+    todo = q.withColumnsRenamed({c: f"own_{c}" for c in cell[1:]}).join(kth, [cls, "q_id"], "left")
+    todo = todo.withColumn("r2", F.coalesce("r2", F.lit(float("inf"))))
+    away = lambda x, lo, hi: F.greatest(F.col(lo) - x, x - F.col(hi), F.lit(0.0))
+    x1, x2 = F.col("a_" + g1).cast("double"), F.col("a_" + g2).cast("double")
+    gap = away(x1, "lo1", "hi1") * away(x1, "lo1", "hi1") + (
+        away(x2, "lo2", "hi2") * away(x2, "lo2", "hi2") if g1 != g2 else F.lit(0.0))
+    own = (F.col("strip") == F.col("own_strip")) & (F.col("cell") == F.col("own_cell")) & (F.col("part") == F.col("own_part"))
+    visits = todo.join(boxes, cls).where(~own & (gap <= F.col("r2"))).select(*cell, "q_id", "r2", *["a_" + c for c in feats])
+    found = first.unionByName(search(visits))
+    w = Window.partitionBy(cls, "q_id").orderBy("d2", "b_id")
+    out = found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
     return out.select(cls, "q_id", "nn_rank", "b_id", *[F.col("b_" + c).alias(c) for c in feats])
 
 
 def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str],
-            k_max: int = 5, seed: int = 42, cell_size: int = 8) -> DataFrame:
+            k_max: int = 5, seed: int = 42, cell_points: int = 2048) -> DataFrame:
     """SM5: originals (synthetic=false) + synthetic rows up to the majority size per class.
 
     Synthetic ids are negative and unique over all classes: -(j + 1) less the number of
     synthetic rows of the classes before (in order of size, then name).
     """
-    df = df.persist()  # read by several passes (counts, spreads, ranks, neighbours)
+    df = cut_lineage(df)  # read by several passes (counts, spreads, ranks, neighbours)
     counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
     if not counts:
         return df.withColumn("synthetic", F.lit(False))
@@ -167,8 +196,8 @@ def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str
     ranked = exact_rank(df.withColumn("__h", hash_order(id_col, seed)), [cls], "__h", id_col, "rank").drop("__h")
     seeds = gen.join(ranked, [cls, "rank"])  # (cls, j, seed row)
     q = seeds.select(cls, id_col, *cont, *cat).dropDuplicates([cls, id_col])
-    nn = knn_within_class(q, df.select(cls, id_col, *cont, *cat), cls, id_col, cont, cat, med2, k, grid, cell_size)
-    nn = nn.cache()
+    nn = knn_within_class(q, df.select(cls, id_col, *cont, *cat), cls, id_col, cont, cat, med2, k, grid, cell_points)
+    nn = cut_lineage(nn)
     # categorical value = mode over the k neighbours (ties -> smallest), all columns
     # in one pass: (seed, column, value) counts -> top-1 per (seed, column) -> pivot
     modes = None

@@ -50,6 +50,23 @@ def test_synthetic_ids_are_unique(spark):
     assert out.count() == out.select("id").distinct().count() == 93
 
 
+@pytest.mark.parametrize("cell_points", [2048, 60])
+def test_neighbours_of_skewed_points_equal_brute_force(spark, cell_points):
+    from tessera.operators.smotenc import knn_within_class
+    rng = np.random.default_rng(5)
+    xs = np.exp(rng.normal(size=(600, 3)) * 2)
+    xs[:150, :2] = 1.0  # many equal points in the cells' features
+    rows = [(i, "ab"[i % 7 == 0], *map(float, x), float(i % 3)) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "id long, y string, p double, q double, r double, c double")
+    got = {}
+    for r in knn_within_class(df, df, "y", "id", ["p", "q", "r"], ["c"], 0.5, 4, ["p", "q"], cell_points).collect():
+        got.setdefault(r["q_id"], {})[r["nn_rank"]] = r["b_id"]
+    for i, y, p, q, r, c in rows:
+        near = sorted(((0.0 + (p - a) ** 2 + (q - b) ** 2 + (r - d) ** 2 + (0.5 if c != e else 0.0)), j)
+                      for j, z, a, b, d, e in rows if z == y and j != i)[:4]
+        assert [got[i][n] for n in (1, 2, 3, 4)] == [j for _, j in near]
+
+
 def test_boosted_scores_of_repeated_ids(labelled):
     model = SoftmaxBooster(rounds=2, max_depth=3).fit(labelled.withColumn("u", F.monotonically_increasing_id()), ["a", "b", "c"], id_col="u")
     out = model.predict_frame(labelled, ["a", "b", "c"])
