@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tessera.operators import features as FE
 from tessera.operators import metrics as M
 from tessera.operators import profile as P
-from tessera.plans.fixtures import STAGES, rule_scored, rule_scored_sql
+from tessera.plans.fixtures import STAGES, rule_scored_sql
 from tessera.plans.q_core import op, op_split, test_scored
 from tessera.plans.spec import ORDER_SPEC
 from tessera.plans.sqltext import OP_CTE, split_ctes
