@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 #: Share of the hash values that the first count covers.
 UNIVERSE = 0.45
 #: Shingles of sets that one task of the verification holds; packed arrays of a task before they are passed on.
-BLOCK_SHINGLES, FLUSH = 2_000_000, 4_000_000
+BLOCK_SHINGLES, FLUSH = 2_000_000, 1_500_000
 #: Members of each part that a block sends to meet those of other blocks.
 ENVOYS = 32
 
