@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read
+from tessera.llm.kernels import tidied
 
 MAX_STATES, MAX_PIECES = 300_000, 1_000_000
 
@@ -199,11 +200,11 @@ class Transducer:
 class Pieces(dict):
     """Ids of pieces as little-endian 32-bit integers; a missing piece is encoded."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], max_states: int, max_pieces: int) -> None:
+        self.transducer, self.max_pieces = Transducer(ranks, max_states), max_pieces
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.max_pieces:
             self.clear()
         ids = np.array(self.transducer.encode(piece.encode()), dtype="<u4").tobytes()
         if len(piece) <= 64:
@@ -212,9 +213,9 @@ class Pieces(dict):
 
 
 class Codec:
-    def __init__(self, raw: bytes, pattern: str) -> None:
+    def __init__(self, raw: bytes, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> None:
         ranks = parse_ranks(raw)
-        self.pieces, self.findall = Pieces(ranks), split_pattern(pattern).findall
+        self.pieces, self.findall = Pieces(ranks, max_states, max_pieces), split_pattern(pattern).findall
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, r in ranks.items():
             self.bytes_of[r] = t
@@ -231,19 +232,21 @@ class Codec:
         yield machine.decode(b"", final=True)
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(raw: bytes, pattern: str) -> Codec:
-    """One codec for each vocabulary in a worker process."""
-    key = hash(raw), pattern
+def codec(raw: bytes, pattern: str, *limits: int) -> Codec:
+    """The codec of a worker process; another vocabulary or limit takes its place."""
+    key = hash(raw), pattern, limits
     if key not in _codecs:
-        _codecs[key] = Codec(raw, pattern)
+        _codecs.clear()
+        _codecs[key] = Codec(raw, pattern, *limits)
     return _codecs[key]
 
 
-def _rows(shared, pattern: str, batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
-    own = codec(shared.value, pattern)
+def _rows(shared, pattern: str, limits: tuple[int, int], keep: bool, batches: Iterator[pa.RecordBatch],
+          with_ids: bool) -> Iterator[pa.RecordBatch]:
+    own = codec(shared.value, pattern, *limits)
     gc.disable()  # it would walk through all states again and again; they are let go in ``clear``
     for batch in batches:
         n, sha, back, ids = [], [], [], []
@@ -261,14 +264,20 @@ def _rows(shared, pattern: str, batches: Iterator[pa.RecordBatch], with_ids: boo
             [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()),
              *([pa.array(ids, pa.binary())] if with_ids else [])],
             [*batch.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+    if not keep:
+        own.pieces.clear()
+        own.pieces.transducer.clear()
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", with_ids: bool = True,
+           max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES, keep: bool = True) -> DataFrame:
     """``docs`` without the text, plus n_tokens, digests of the ids and of the decoded text, and ``ids``.
 
     ``ids`` are little-endian unsigned 32-bit integers. Null and empty texts have no
     tokens. Columns of ``docs`` with the new columns' names are replaced. ``vocabulary``
-    is a local path on the driver.
+    is a local path on the driver. The limits bound a worker's memory: about 1 KB for each
+    state and 0.2 KB for each piece; they don't change results. With ``keep`` a worker keeps
+    them for its next task.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -277,7 +286,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     schema = wide.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", "binary")
-    return wide.mapInArrow(lambda it: _rows(shared, pattern, it, with_ids), schema)
+    return wide.mapInArrow(lambda it: tidied(_rows(shared, pattern, (max_states, max_pieces), keep, it, with_ids)), schema)
 
 
 def _decoded(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +301,7 @@ def decode(coded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame
     with open(vocabulary, "rb") as f:
         shared = coded.sparkSession.sparkContext.broadcast(f.read())
     wide = coded.select(F.col(ids_col).alias("_ids"), *[c for c in coded.columns if c not in (ids_col, "text")])
-    return wide.mapInArrow(lambda it: _decoded(shared, it), wide.drop("_ids").schema.add("text", "string"))
+    return wide.mapInArrow(lambda it: tidied(_decoded(shared, it)), wide.drop("_ids").schema.add("text", "string"))
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:

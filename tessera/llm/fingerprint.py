@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read
-from tessera.llm.kernels import SPACE_WORDS, hash_words, mix, shingles, stream
+from tessera.llm.kernels import SPACE_WORDS, hash_words, mix, shingles, stream, tidied
 
 EXACT, WIDE, SHINGLE = 4, 128, 3
 _U = np.uint64
@@ -166,7 +166,7 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         placed = placed.unionByName(ghosts)
     ordered = placed.repartition(n, "_bucket").sortWithinPartitions(
         F.col("_bucket"), F.col("_ghost"), F.col("_id").desc_nulls_last(), F.xxhash64("_text"))
-    out = ordered.mapInArrow(_chain, rows.select(
+    out = ordered.mapInArrow(lambda it: tidied(_chain(it)), rows.select(
         "_id", F.lit(0).cast("long").alias("n_chars"), *[F.lit("").alias(c) for c in _OUT[1:4]],
         *[F.lit(0.0).alias(c) for c in _OUT[4:]]).schema)
     return out.withColumnRenamed("_id", id_col)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read
+from tessera.llm.kernels import tidied
 
 WINDOW, LEAST_SHARE, MOST_LINKS = 3, 0.25, 0.5
 
@@ -201,7 +202,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     wide = pages.select(F.col(html_col).cast("string").alias("_html"),
                         *[c for c in pages.columns if c not in (html_col, "text", "n_chars")])
-    return wide.mapInArrow(_rows, wide.drop("_html").schema.add("text", "string").add("n_chars", "long"))
+    return wide.mapInArrow(lambda it: tidied(_rows(it)), wide.drop("_html").schema.add("text", "string").add("n_chars", "long"))
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:

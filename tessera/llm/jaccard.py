@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read, small, stored
-from tessera.llm.kernels import SPACE_WORDS, mix, shingles, word_chunks
+from tessera.llm.kernels import SPACE_WORDS, mix, shingles, tidied, word_chunks
 
 WORDS, PERCENT = 5, 80
 #: Share of the hash values that the first count covers.
@@ -258,10 +258,10 @@ def _prefixes(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 def prefixes(rows: DataFrame, source, percent: int, universe: float) -> DataFrame:
     buckets = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    posted = rows.mapInArrow(lambda it: _post(source, buckets, percent, universe, it), _Packs.schema)
-    shared = posted.repartitionById(buckets, "bucket").mapInArrow(lambda it: _shared(buckets, it), _Packs.schema)
+    posted = rows.mapInArrow(lambda it: tidied(_post(source, buckets, percent, universe, it)), _Packs.schema)
+    shared = posted.repartitionById(buckets, "bucket").mapInArrow(lambda it: tidied(_shared(buckets, it)), _Packs.schema)
     return shared.repartitionById(buckets, "bucket").mapInArrow(
-        lambda it: _prefixes(percent, it), "hi long, lo long, n long, tokens binary, places binary")
+        lambda it: tidied(_prefixes(percent, it)), "hi long, lo long, n long, tokens binary, places binary")
 
 
 # ---------------------------------------------------------------- index lists
@@ -376,12 +376,10 @@ class _Parts:
 
     def __init__(self, labels: np.ndarray) -> None:
         _, self.of = np.unique(labels, return_inverse=True)
-        self.members = {int(p): np.flatnonzero(self.of == p) for p in np.unique(self.of)} if len(labels) < 64 else None
         self.count = int(self.of.max()) + 1 if len(labels) else 0
-        if self.members is None:
-            order = np.argsort(self.of, kind="stable")
-            edges = np.searchsorted(self.of[order], np.arange(self.count + 1))
-            self.members = {p: order[edges[p] : edges[p + 1]] for p in range(self.count)}
+        order = np.argsort(self.of, kind="stable")
+        edges = np.searchsorted(self.of[order], np.arange(self.count + 1))
+        self.members = {p: order[edges[p] : edges[p + 1]] for p in range(self.count)}
 
     def join(self, i: int, others: np.ndarray) -> None:
         parts = np.unique(np.append(self.of[others], self.of[i]))
@@ -479,7 +477,7 @@ def _verified(rows: DataFrame, percent: int, visitors: bool = False) -> DataFram
     """Edges between labels for rows (cluster, block, k, label, ask, shingles)."""
     cols = ["cluster", "block", "k", "label", "ask", "shingles"]
     dealt = rows.select(*cols).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "k")
-    return dealt.mapInArrow(lambda it: _verify_groups(percent, visitors, it), "a long, b long")
+    return dealt.mapInArrow(lambda it: tidied(_verify_groups(percent, visitors, it)), "a long, b long")
 
 
 def linked(sets: DataFrame, clusters: DataFrame, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -539,7 +537,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wide = docs.select(text.alias("_text"), F.col(id_col).alias("_id"))
     kind = wide.schema["_id"].dataType.simpleString()
     named = docs.select(text.alias("_text"), F.struct(F.col(id_col).alias("i"), F.xxhash64(text).alias("h")).alias("_id"))
-    rows = stored(named.mapInArrow(lambda it: _describe(words, False, it), f"_id struct<i:{kind},h:bigint>, n long, hi long, lo long")
+    rows = stored(named.mapInArrow(lambda it: tidied(_describe(words, False, it)), f"_id struct<i:{kind},h:bigint>, n long, hi long, lo long")
                   .select(F.col("_id.i").alias("_id"), F.col("_id.h").alias("text_hash"), "n", "hi", "lo"))
     classes = stored(rows.filter("n > 0").groupBy("hi", "lo").agg(
         F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies")))
@@ -548,13 +546,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the texts of the sets that stay, one of each class
     reps = small(near.join(classes, ["hi", "lo"]).select(F.col("least").alias("_least")).distinct())
     texts = wide.join(reps, F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
-    sets = texts.mapInArrow(lambda it: _describe(words, True, it), f"_id {kind}, n long, hi long, lo long, shingles binary")
+    sets = texts.mapInArrow(lambda it: tidied(_describe(words, True, it)), f"_id {kind}, n long, hi long, lo long, shingles binary")
     sets = sets.join(small(near), ["hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"]).drop("_id")
     sets = stored(sets.withColumn("k", F.monotonically_increasing_id()))  # written once, so the numbers stay
     full = prefixes(sets.select("k", "shingles"), _set_source, percent, 1.0)
     buckets = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    lists = full.select("hi", "n", "tokens", "places").mapInArrow(lambda it: _lists_out(buckets, it), _Packs.schema)
-    edges = lists.repartitionById(buckets, "bucket").mapInArrow(lambda it: _candidates(percent, it), "a long, b long")
+    lists = full.select("hi", "n", "tokens", "places").mapInArrow(lambda it: tidied(_lists_out(buckets, it)), _Packs.schema)
+    edges = lists.repartitionById(buckets, "bucket").mapInArrow(lambda it: tidied(_candidates(percent, it)), "a long, b long")
     clusters = components(edges)
     found = linked(sets.select("k", "n", "shingles"), clusters, percent, block_shingles)
     named = sets.select("k", "hi", "lo").join(found.withColumnRenamed("a", "k"), "k").join(classes, ["hi", "lo"])

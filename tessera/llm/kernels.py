@@ -7,6 +7,7 @@ is cut at separators only, so no word is split and memory stays bounded by the c
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,3 +146,18 @@ def shingles(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
             h += np.where(ok, words[np.minimum(at, len(words) - 1)] * constants[j], _U(0x632BE59BD9B4E019 + j))
         h = mix(h)
     return h, out_counts
+
+
+def tidied(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task; memory it has freed then goes back to the system.
+
+    Python workers are kept for later tasks, and an idle one should hold little.
+    """
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass

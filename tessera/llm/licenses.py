@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read
-from tessera.llm.kernels import ALNUM_WORDS, hash_words, word_chunks
+from tessera.llm.kernels import ALNUM_WORDS, hash_words, tidied, word_chunks
 
 #: The base phrases and their labels.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -241,7 +241,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", base=BASE, templates=
     schema = wide.drop("_text").schema
     for c, kind in NEW.items():
         schema = schema.add(c, {pa.int64(): "long", pa.string(): "string", pa.float64(): "double"}[kind])
-    return wide.mapInArrow(lambda it: _rows(base, templates, it), schema)
+    return wide.mapInArrow(lambda it: tidied(_rows(base, templates, it)), schema)
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_remainder, read, small, stored
-from tessera.llm.kernels import ALNUM_WORDS, SPACE_WORDS, hash_words, text_buffer, word_chunks
+from tessera.llm.kernels import ALNUM_WORDS, SPACE_WORDS, hash_words, text_buffer, tidied, word_chunks
 
 TREES, DEPTH, PENALTY, SEED = 16, 4, 5e-4, 17
 
@@ -93,7 +93,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = wide.drop("_text").schema
     for c in new:
         schema = schema.add(c, "double")
-    return wide.mapInArrow(_rows, schema)
+    return wide.mapInArrow(lambda it: tidied(_rows(it)), schema)
 
 
 Rule = tuple[tuple[int, str, float], ...]  # (statistic, "<=" or ">", bound), ...

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read
+from tessera.llm.kernels import tidied
 
 MAX_INFLATED = 1 << 22
 
@@ -246,7 +247,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", with_text: bool = True
     for n, kind in NEW.items():
         if with_text or n != "redacted":
             schema = schema.add(n, "long" if kind == pa.int64() else "string")
-    return wide.mapInArrow(lambda it: _rows(it, with_text), schema)
+    return wide.mapInArrow(lambda it: tidied(_rows(it, with_text)), schema)
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
