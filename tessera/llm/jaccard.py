@@ -396,7 +396,7 @@ class _Parts:
 def verify(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks: np.ndarray | None = None) -> np.ndarray:
     """Part numbers after joining all sets that link; sets with equal labels are joined from the start.
 
-    With ``asks``, only links of those sets are looked for.
+    With ``asks``, only links of those sets to the others (at home) are looked for.
     """
     size = len(sets)
     parts = _Parts(labels)
@@ -420,8 +420,12 @@ def verify(sets: list[np.ndarray], labels: np.ndarray, percent: int, asks: np.nd
     todo = np.ones(size, bool) if asks is None else asks.copy()
     base, answers = -1, None  # a set that was done before and its overlaps with all
     while parts.count > 1:
-        largest = max(parts.members, key=lambda p: len(parts.members[p]))
-        open_ = np.flatnonzero(todo & (parts.of != largest))
+        if asks is None:  # whoever is outside the largest part asks, so its own sets needn't
+            done = max(parts.members, key=lambda p: len(parts.members[p]))
+        else:  # sets at home never ask: one that asks has nothing to find only if all of them are in its part
+            home = np.unique(parts.of[~asks])
+            done = int(home[0]) if len(home) == 1 else -1
+        open_ = np.flatnonzero(todo & (parts.of != done))
         if not len(open_):
             break
         if base >= 0:  # most similar to the last one first: its answers need the fewest changes

@@ -72,6 +72,23 @@ def test_verify_of_a_group_equals_all_pairs():
     assert ((of[:, None] == of[None, :]) == reach).all()
 
 
+def _chain(rng, n, step, size=100):
+    """Sets of ``size`` of which each shares all but ``step`` with the one before."""
+    tokens = rng.integers(0, 1 << 60, size + step * n).astype(np.uint64)
+    return [np.unique(tokens[step * i : step * i + size]) for i in range(n)]
+
+
+def test_visitors_ask_even_when_their_part_is_the_largest_in_the_group():
+    rng = np.random.default_rng(2)
+    a = _chain(rng, 40, 10)
+    y = a[20].copy()
+    y[:10] = rng.integers(0, 1 << 60, 10).astype(np.uint64)  # linked with a[20] and its neighbours only
+    z = rng.integers(0, 1 << 60, 100).astype(np.uint64)
+    sets, labels = [*a, np.unique(y), np.unique(z)], np.array([0] * 40 + [1, 2])
+    of = jaccard.verify(sets, labels, 80, np.array([True] * 40 + [False] * 2))
+    assert of[40] == of[0] and of[41] != of[0]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (100, 102)], "a long, b long")
     roots = {r["a"]: r["root"] for r in jaccard.components(edges).collect()}
