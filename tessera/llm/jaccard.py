@@ -484,6 +484,12 @@ def _verified(rows: DataFrame, percent: int, visitors: bool = False) -> DataFram
     return dealt.mapInArrow(lambda it: tidied(_verify_groups(percent, visitors, it)), "a long, b long")
 
 
+def _dealt(rows: DataFrame, name: str, block_shingles: int, seed: int) -> DataFrame:
+    """``rows`` with a column ``name`` that deals each cluster's sets out, ``block_shingles`` to a number on average."""
+    need = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("_need"))
+    return rows.join(small(stored(need)), "cluster").withColumn(name, F.pmod(F.xxhash64("k", F.lit(seed)), F.col("_need")).cast("int")).drop("_need")
+
+
 def linked(sets: DataFrame, clusters: DataFrame, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(a, root): components of the sets (k, n, shingles) of clusters (a, root)."""
     rows = sets.join(clusters.select(F.col("a").alias("k"), F.col("root").alias("cluster")), "k")
@@ -497,25 +503,30 @@ def linked(sets: DataFrame, clusters: DataFrame, percent: int, block_shingles: i
         return components(edges)
     # clusters of several blocks: parts, then envoys of parts, then whoever is outside the largest part
     large = stored(rows.filter("blocks > 1"))
-    for step in ("envoys", "visitors"):
-        found = components(edges)
-        labelled = large.join(found.select(F.col("a").alias("k"), F.col("root").alias("label")), "k", "left").withColumn(
+
+    def labelled(found: DataFrame) -> DataFrame:
+        return large.join(found.select(F.col("a").alias("k"), F.col("root").alias("label")), "k", "left").withColumn(
             "label", F.coalesce("label", "k"))
-        if step == "envoys":
-            rank = F.row_number().over(_window("cluster", "block", "label").orderBy(F.xxhash64("k")))
-            chosen = labelled.withColumn("rank", rank).filter(F.col("rank") <= ENVOYS)
-            chosen = chosen.withColumn("block", F.lit(-1)).withColumn("ask", F.lit(True))
-            # envoys of very many parts are dealt out again
-            chosen = chosen.withColumn("block", -1 - F.pmod(F.xxhash64("rank", "cluster"), F.ceil(F.col("blocks") / 32)).cast("int"))
-            edges = stored(edges.union(_verified(chosen, percent)))
-        else:
-            counts = labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
-            largest = counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
-            marked = labelled.join(largest, "cluster").withColumn("ask", F.col("label") != F.col("largest"))
-            home = marked.withColumn("ask", F.lit(False))
-            away = marked.filter("ask").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            away = away.filter("to <> block").withColumn("block", F.col("to")).drop("to")
-            edges = edges.union(_verified(home.unionByName(away), percent, visitors=True))
+
+    rank = F.row_number().over(_window("cluster", "block", "label").orderBy(F.xxhash64("k")))
+    envoys = labelled(components(edges)).withColumn("rank", rank).filter(F.col("rank") <= ENVOYS).withColumn("ask", F.lit(True))
+    envoys = _dealt(stored(envoys.drop("rank")), "block", block_shingles, 1)
+    edges = stored(edges.union(_verified(envoys, percent)))
+    now = stored(labelled(components(edges)))
+    counts = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
+    # outsiders go in packs, and each pair of a pack and a block is a group of its own
+    outside = _dealt(stored(now.join(largest, "cluster").filter("label <> largest").drop("largest")), "pack", block_shingles, 2)
+    outside = stored(outside)
+    packs = outside.groupBy("cluster").agg(F.max("pack").alias("last"))
+    home = now.join(small(stored(packs)), "cluster").withColumn("ask", F.lit(False)).withColumn(
+        "pack", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    away = outside.withColumn("ask", F.lit(True)).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    away = away.filter("to <> block").withColumn("block", F.col("to"))
+    cols = ["cluster", "pack", "block", "k", "label", "ask", "shingles"]
+    pairs = home.select(*cols).unionByName(away.select(*cols)).withColumn(  # one number for (pack, block)
+        "block", F.col("pack").cast("long") * (1 << 31) + F.col("block"))
+    edges = edges.union(_verified(pairs, percent, visitors=True))
     return components(stored(edges))
 
 

@@ -89,6 +89,27 @@ def test_visitors_ask_even_when_their_part_is_the_largest_in_the_group():
     assert of[40] == of[0] and of[41] != of[0]
 
 
+def test_groups_of_a_loose_cluster_are_bounded(spark, monkeypatch):
+    """A cluster of one candidate chain that verification leaves in single sets, and two pairs."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, 50).astype(np.uint64)) for _ in range(240)]
+    for i in (7, 100):
+        sets[i + 1] = np.unique(np.append(sets[i][:48], rng.integers(0, 1 << 60, 2).astype(np.uint64)))
+    rows = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "k long, n long, shingles binary")
+    clusters = spark.createDataFrame([(i, 0) for i in range(240)], "a long, root long")
+    groups, plain = [], jaccard._verified
+
+    def seen(rows, *args, **kw):
+        groups.extend(r["s"] for r in rows.selectExpr("cluster", "block", "octet_length(shingles) / 8 as n")
+                      .groupBy("cluster", "block").agg({"n": "sum"}).toDF("c", "b", "s").collect())
+        return plain(rows, *args, **kw)
+
+    monkeypatch.setattr(jaccard, "_verified", seen)
+    found = {r["a"]: r["root"] for r in jaccard.linked(rows, clusters, 80, block_shingles=1200).collect()}
+    assert max(groups) < 3.5 * 1200  # of 12,000: a block and a pack, by a hash
+    assert {k: v for k, v in found.items() if k != v} == {8: 7, 101: 100}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (100, 102)], "a long, b long")
     roots = {r["a"]: r["root"] for r in jaccard.components(edges).collect()}
