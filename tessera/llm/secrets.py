@@ -4,8 +4,13 @@ A text is scanned, then every run that looks encoded is unwrapped and the result
 the worklist as a layer of its own: percent escapes, backslash-u and backslash-x escapes,
 base64 (either alphabet) and, below base64 or hex, zlib or gzip data. Layers are scanned
 in turn until none is left. A layer that was seen before is not opened again (cycles and
-repeats end there), every layer is shorter than what it was unwrapped from except for
-decompression, which is bounded by ``MAX_INFLATED``, so the worklist is finite.
+repeats end there), and every layer is shorter than what it was unwrapped from except for
+decompression, whose cycles are found by a digest.
+
+Nothing is cut off a compressed layer: all members are inflated chunk by chunk into a file
+(in memory up to ``IN_MEMORY``), compressions in compressions likewise. Its text is scanned
+in pieces of about a chunk that end where no find or encoded run can go on, so that memory
+holds a few chunks or the longest unbroken run.
 
 Spans are code points of the original text: a find in escapes maps to the escapes it came
 from, a find in a base64 or compressed layer to the whole encoded run.
@@ -17,10 +22,14 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
+import io
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +38,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read
 from tessera.llm.kernels import tidied
 
-MAX_INFLATED = 1 << 22
+#: Bytes that are inflated or scanned at once; bytes of an inflated layer before it goes to a temporary file.
+CHUNK, IN_MEMORY = 1 << 20, 1 << 23
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,6 +50,9 @@ _NAMES = ("password", "passwd", "secret", "token", "api")
 
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Ends where no find or encoded run can go on, however often it is unwrapped: characters that none of
+#: them has, and a space between letters that aren't part of an escape.
+_BREAK = re.compile(r"""[^A-Za-z0-9+/_.=%\\"'\x20:-]|(?<=\x20)[A-Za-z]+\x20(?=[A-Za-z])""")
 _HEX_BLOB = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 
 
@@ -101,32 +114,97 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    machine = zlib.decompressobj(wbits=47)
+def _compressed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def _inflated(source: BinaryIO) -> tuple[BinaryIO | None, bool]:
+    """What all members of zlib or gzip data hold (None: it is neither), and whether the first one is complete."""
+    data = source.read(CHUNK)
+    if not _compressed(data):
+        return None, False
+    out, whole = tempfile.SpooledTemporaryFile(IN_MEMORY), False
+    machine, piece = zlib.decompressobj(wbits=47), b""
     try:
-        return machine.decompress(raw, MAX_INFLATED)
+        while data or len(piece) == CHUNK:
+            piece = machine.decompress(data, CHUNK)
+            out.write(piece)
+            data = machine.unconsumed_tail
+            if machine.eof:
+                whole, data = True, machine.unused_data
+                while len(data := data.lstrip(b"\0")) < 3 and (more := source.read(CHUNK)):  # padding, then the next member
+                    data += more
+                if not _compressed(data):
+                    break
+                machine, piece = zlib.decompressobj(wbits=47), b""
+            elif not data:
+                data = source.read(CHUNK)
     except zlib.error:
-        return None
+        pass  # what came out before still counts
+    out.seek(0)
+    return out, whole
+
 
+def _decoded_chunks(source: BinaryIO, whole: bool) -> Iterator[str]:
+    """The bytes as UTF-8 text; the last character may be cut off if they aren't ``whole``."""
+    source.seek(0)
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    while raw := source.read(CHUNK):
+        yield decoder.decode(raw)
+    yield decoder.decode(b"", final=whole)
 
-def _unpacked(raw: bytes) -> str | None:
+
+def _pieces(source: BinaryIO, whole: bool = True) -> Iterator[str]:
+    """The text of a readable layer, in pieces that break no find and no encoded run."""
+    size = odd = 0
+    try:
+        for text in _decoded_chunks(source, whole):
+            size += len(text)
+            odd += 0 if text.isprintable() else sum(not (c.isprintable() or c in "\t\r\n") for c in text)
+    except UnicodeDecodeError:
+        return
+    if not size or odd * 20 > size:
+        return
+    held: list[str] = []
+    for text in _decoded_chunks(source, whole):
+        if len(text) > 4096 and sum(map(len, held)):
+            ends = [m.end() for m in _BREAK.finditer(text, len(text) - 4096)] or [m.end() for m in _BREAK.finditer(text)]
+            if ends:
+                yield "".join([*held, text[: ends[-1]]])
+                held, text = [], text[ends[-1] :]
+        held.append(text)
+    yield "".join(held)
+
+
+def _unpacked(raw: bytes) -> Iterator[str]:
     """Text of decoded bytes, below any number of compressions."""
-    for _ in range(8):
-        inner = _inflate(raw)
+    if not _compressed(raw):
+        text = _readable(raw)
+        if text is not None:
+            yield text
+        return
+    source, whole, marks = io.BytesIO(raw), True, set()
+    while True:
+        inner, complete = _inflated(source)
+        if not complete:  # perhaps a text that begins like compressed data
+            yield from _pieces(source, whole)
         if inner is None:
-            return _readable(raw)
-        raw = inner
-    return None
+            return
+        mark = hashlib.file_digest(inner, "sha256").digest()
+        if mark in marks:
+            return
+        marks.add(mark)
+        inner.seek(0)
+        source, whole = inner, complete
 
 
-def _decoded(run: str) -> str | None:
+def _decoded(run: str) -> Iterator[str]:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     try:
-        return _unpacked(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
+        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
+        return
+    yield from _unpacked(raw)
 
 
 class _Layer:
@@ -168,30 +246,35 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
                 ends.append(b)
             yield _Layer("".join(out), starts, ends, layer.whole)
     for m in _BASE64.finditer(text):
-        inner = _decoded(m[0])
-        if inner is not None:
+        for inner in _decoded(m[0]):
             yield _Layer(inner, whole=layer.origin(*m.span()))
     for m in _HEX_BLOB.finditer(text):
-        inner = _unpacked(bytes.fromhex(m[0]))
-        if inner is not None:
+        for inner in _unpacked(bytes.fromhex(m[0])):
             yield _Layer(inner, whole=layer.origin(*m.span()))
 
 
+def _mark(layer: _Layer) -> tuple:
+    return hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.whole
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of a text, each (start, end, kind) by start, then kind, then end; no span twice."""
     rank = {kind: i for i, (kind, *_) in enumerate(KINDS)}
     order = lambda s: (s[0], rank[s[2]], s[1])
     base = sorted(find(text), key=order)
-    spans, seen, work = set(base), {text}, list(_unwrapped(_Layer(text)))
-    while work:
-        layer = work.pop()
-        mark = layer.text if layer.whole is None else (layer.text, layer.whole)
+    spans, seen, work = set(base), {_mark(_Layer(text))}, [_unwrapped(_Layer(text))]
+    while work:  # layers are unwrapped one at a time, the last one's first
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = _mark(layer)
         if mark in seen:
             continue
         seen.add(mark)
         for start, end, kind in find(layer.text):
             spans.add((*layer.origin(start, end), kind))
-        work += _unwrapped(layer)
+        work.append(_unwrapped(layer))
     return base, sorted(spans, key=order)
 
 
