@@ -7,7 +7,8 @@ article (where the page marks one) have length 0, as have lines that are mostly
 where it doesn't. Lengths are summed over windows of ``WINDOW`` lines: where the sum
 leaves 0 is a surge point, where it has come back to 0 a dive point, and the text between
 is kept. Where the page marks no article, stretches far smaller than the largest are left
-out.
+out, unless they share a block (the page itself only if it holds them or the block around
+them) or a heading level with it, or hold the page's first heading level.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ RAW = frozenset("script style noscript template iframe svg math object canvas te
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr "
                   "ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold other blocks.
+HOLDERS = BLOCK - HEADINGS - {"p", "pre", "html", "body", "hr", "li", "dd", "dt", "tr", "td", "th", "tbody", "thead", "tfoot",
+                              "summary", "legend", "figcaption"}
 ASIDE = frozenset("nav footer aside form dialog menu button select fieldset head".split())
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -68,10 +73,14 @@ def _marked(attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool, bool]:
-    """Lines as (text, characters in links, boilerplate, in the article), and whether the page marks an article or main."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, str]] = []  # element, boilerplate, "article" or "main" or ""
+def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, tuple]], bool, bool]:
+    """Lines as (text, characters in links, boilerplate, in the article, in main, kin), and whether the page marks an article or main.
+
+    ``kin`` are the starts of the blocks around the line (-1: the page, if no more than one
+    block is between) and the heading that it is.
+    """
+    out: list[tuple[str, int, bool, bool, bool, tuple]] = []
+    stack: list[tuple[str, bool, str, int]] = []  # element, boilerplate, "article" or "main" or "", where it starts
     text: list[str] = []
     linked = 0
     dull = 0  # open boilerplate elements
@@ -82,13 +91,15 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool, bool]:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            out.append((line, linked, dull > 0, home["article"] > 0, home["main"] > 0))
+            around = [s[3] for s in stack if s[0] in HOLDERS]
+            kin = (*around, *[s[0] for s in stack if s[0] in HEADINGS], *((-1,) if len(around) < 2 else ()))
+            out.append((line, linked, dull > 0, home["article"] > 0, home["main"] > 0, kin))
         text.clear()
         linked = 0
 
     def leave() -> None:
         nonlocal dull
-        _, was_dull, part = stack.pop()
+        _, was_dull, part, _ = stack.pop()
         dull -= was_dull
         if part:
             home[part] -= 1
@@ -151,7 +162,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool, bool]:
         part = name if name in home and not is_dull and not dull else ""
         if is_dull and name not in BLOCK:
             text.append(" ")
-        stack.append((name, is_dull, part))
+        stack.append((name, is_dull, part, at))
         dull += is_dull
         if part:
             home[part] += 1
@@ -164,7 +175,7 @@ def main_text(page: str, window: int = WINDOW) -> str:
     """Lines between surge and dive points, joined by line ends."""
     rows, article, main = lines(page)
     lengths = []
-    for line, linked, dull, in_article, in_main in rows:
+    for line, linked, dull, in_article, in_main, _ in rows:
         size = len(line.replace(" ", ""))
         home = in_article if article else in_main if main else True
         links = not article and not main and linked > MOST_LINKS * size
@@ -181,8 +192,10 @@ def main_text(page: str, window: int = WINDOW) -> str:
             i += 1
         stretches.append((surge, i, sum(lengths[surge:i])))
     if not article and not main and stretches:
-        least = LEAST_SHARE * max(s[2] for s in stretches)
-        stretches = [s for s in stretches if s[2] >= least]
+        kin = [{x for j in range(surge, dive) if lengths[j] for x in rows[j][5]} for surge, dive, _ in stretches]
+        most = max(range(len(stretches)), key=lambda i: stretches[i][2])
+        least, of = LEAST_SHARE * stretches[most][2], kin[most] | {"h1"}
+        stretches = [s for s, k in zip(stretches, kin) if s[2] >= least or k & of]
     return "\n".join(rows[j][0] for surge, dive, _ in stretches for j in range(surge, dive) if lengths[j])
 
 
