@@ -1,4 +1,4 @@
-"""Operations of a training-data pipeline: ten operators and the queries that apply them.
+"""Operations of a training-data pipeline: thirteen operators and the queries that apply them.
 
 Nothing outside this package imports it; ``queries.py`` registers one query per operator.
 """

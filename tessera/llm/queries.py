@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, fingerprint, html_text, jaccard, licenses, quality, secrets, toxicity, url_filter
+from tessera.llm import (bpe, conversations, decontaminate, fingerprint, html_text, jaccard, licenses, merkle, quality, secrets,
+                         toxicity, url_filter, warc)
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -15,9 +16,15 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_html_text": html_text.op9_html_text,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_warc": warc.op12_warc,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
     "op3_url_filter": url_filter.OP3_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
