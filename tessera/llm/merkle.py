@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc32_sql, read, small, stored
 from tessera.llm.kernels import tidied
 
+#: Children of a node (a fixed value), and the levels that a superblock reduces.
 FAN, LEVELS = 16, 2
-BLOCK = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,13 +76,13 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
         "tree", (F.col("before") + F.col("place")).alias("pos"), "total", *rest)
 
 
-def reduced(nodes: list[str], whole: bool) -> list[list[str]]:
+def reduced(nodes: list[str], whole: bool, depth: int = LEVELS) -> list[list[str]]:
     """Levels of a superblock, the last of one node. ``whole``: the superblock is the whole tree.
 
     A superblock of a larger tree goes through all its levels, even from one node.
     """
     levels = [nodes]
-    while len(levels[-1]) > 1 or not whole and len(levels) <= LEVELS:
+    while len(levels[-1]) > 1 or not whole and len(levels) <= depth:
         below = levels[-1]
         levels.append([digest("".join(below[i : i + FAN])) for i in range(0, len(below), FAN)])
     return levels
@@ -111,55 +111,56 @@ def proof_hash(path: str) -> str:
     return digest(path.replace(":", "").replace(",", ""))
 
 
-def _reduce(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
+def _reduce(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
+    rows, block = rows.sort_values("pos"), FAN**depth
     tree, pos, total = rows["tree"].iat[0], int(rows["pos"].iat[0]), int(rows["total"].iat[0])
-    top = reduced(rows["hash"].tolist(), total <= BLOCK)[-1][0]
-    return pd.DataFrame({"tree": [tree], "pos": [pos // BLOCK], "total": [-(-total // BLOCK)], "hash": [top]})
+    top = reduced(rows["hash"].tolist(), total <= block, depth)[-1][0]
+    return pd.DataFrame({"tree": [tree], "pos": [pos // block], "total": [-(-total // block)], "hash": [top]})
 
 
-def _block() -> Column:
-    return F.expr(f"pos div {BLOCK}").alias("block")
+def _block(depth: int) -> Column:
+    return F.expr(f"pos div {FAN**depth}").alias("block")
 
 
-def climb(leaves: DataFrame) -> list[DataFrame]:
+def climb(leaves: DataFrame, depth: int = LEVELS) -> list[DataFrame]:
     """Levels of superblocks' nodes (tree, pos, total, hash) from ``leaves`` up; the last has one node a tree."""
     most = leaves.agg(F.max("total")).first()[0] or 0
     levels = [leaves]
     while len(levels) < 2 or most > 1:
         nodes = levels[-1].select("tree", "pos", "total", "hash")
-        levels.append(stored(nodes.groupBy("tree", _block()).applyInPandas(_reduce, "tree string, pos long, total long, hash string")))
-        most = -(-most // BLOCK)
+        levels.append(stored(nodes.groupBy("tree", _block(depth)).applyInPandas(
+            lambda rows: _reduce(rows, depth), "tree string, pos long, total long, hash string")))
+        most = -(-most // FAN**depth)
     return levels
 
 
-def _inherit(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _inherit(nodes: pd.DataFrame, outer: pd.DataFrame, depth: int) -> pd.DataFrame:
     """Nodes of a superblock with their path, subroot and root; ``outer`` is the row of the superblock's own node."""
     nodes = nodes.sort_values("pos").reset_index(drop=True)
-    levels = reduced(nodes["hash"].tolist(), int(nodes["total"].iat[0]) <= BLOCK)
+    levels = reduced(nodes["hash"].tolist(), int(nodes["total"].iat[0]) <= FAN**depth, depth)
     above, start = outer["path"].iat[0], int(nodes["pos"].iat[0])
     nodes["path"] = [local_path(levels, p - start) + above for p in nodes["pos"]]
     nodes["subroot"], nodes["root"] = outer["subroot"].iat[0], outer["root"].iat[0]
     return nodes
 
 
-def _meet(nodes: DataFrame, outer: DataFrame):
-    return nodes.groupBy("tree", _block()).cogroup(outer.groupBy("tree", F.col("pos").alias("block")))
+def _meet(nodes: DataFrame, outer: DataFrame, depth: int):
+    return nodes.groupBy("tree", _block(depth)).cogroup(outer.groupBy("tree", F.col("pos").alias("block")))
 
 
-def descend(levels: list[DataFrame], outer: DataFrame) -> DataFrame:
+def descend(levels: list[DataFrame], outer: DataFrame, depth: int = LEVELS) -> DataFrame:
     """Paths of all nodes of the lowest of ``levels``, from those of the level above the highest."""
     for nodes in reversed(levels):
-        outer = _meet(nodes, outer).applyInPandas(
-            _inherit, nodes.select("*", *[F.lit("").alias(c) for c in ("path", "subroot", "root")]).schema)
+        outer = _meet(nodes, outer, depth).applyInPandas(
+            lambda a, b: _inherit(a, b, depth), nodes.select("*", *[F.lit("").alias(c) for c in ("path", "subroot", "root")]).schema)
     return outer
 
 
 _OUT = ["id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "proof"]
 
 
-def _prove(with_proof: bool, rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    rows = _inherit(rows, outer)
+def _prove(with_proof: bool, rows: pd.DataFrame, outer: pd.DataFrame, depth: int) -> pd.DataFrame:
+    rows = _inherit(rows, outer, depth)
     rows["proof_sha256"] = [proof_hash(p) for p in rows["path"]]
     rows["folded_root"] = [folded(t or h, p) for t, h, p in zip(rows["tampered"], rows["hash"], rows["path"])]
     rows["verified"] = rows["folded_root"] == rows["root"]
@@ -167,7 +168,8 @@ def _prove(with_proof: bool, rows: pd.DataFrame, outer: pd.DataFrame) -> pd.Data
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", source_col: str = "source",
-             claimed: dict[str, Column] | None = None, when: Column | None = None, with_proof: bool = False) -> DataFrame:
+             claimed: dict[str, Column] | None = None, when: Column | None = None, with_proof: bool = False,
+             depth: int = LEVELS) -> DataFrame:
     """Per row: id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     ``claimed`` replaces fields before the row is checked against its proof, where ``when``
@@ -187,15 +189,15 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
     rows = docs.select(F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("tree"),
                        F.col(id_col).alias("id"), leaf_hash(own).alias("hash"), tampered.alias("tampered"))
     leaves = placed(rows, ["id", "hash"]).withColumn("id", F.col("id").cast("string"))  # null numbers are floats in pandas
-    levels = climb(leaves)
+    levels = climb(leaves, depth)
     roots = placed(levels[-1].select(F.lit("r").alias("tree"), F.col("tree").alias("name"), "hash"), ["name"])
-    upper = climb(roots)
+    upper = climb(roots, depth)
     start = upper[-1].select("tree", "pos", F.lit("").alias("path"), F.lit("").alias("subroot"), F.col("hash").alias("root"))
-    subroots = descend(upper[:-1], start).select(
+    subroots = descend(upper[:-1], start, depth).select(
         F.col("name").alias("tree"), F.lit(0).cast("long").alias("pos"), "path", F.col("hash").alias("subroot"), "root")
     kinds = [f"{c} {'boolean' if c == 'verified' else 'string'}" for c in (_OUT if with_proof else _OUT[:-1])]
-    out = _meet(leaves, descend(levels[1:-1], stored(subroots))).applyInPandas(
-        lambda rows, outer: _prove(with_proof, rows, outer), ", ".join(kinds))
+    out = _meet(leaves, descend(levels[1:-1], stored(subroots), depth), depth).applyInPandas(
+        lambda rows, outer: _prove(with_proof, rows, outer, depth), ", ".join(kinds))
     return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 

@@ -3,7 +3,7 @@
 ARC files (version 1 and 2) are parsed by their own version line: the first record, a
 ``filedesc``, names the version and the fields of the header lines that follow; the last
 field of each line is the length of the block after it. Every record becomes an equivalent
-WARC record: identifier made from archive, place and digest, so a task that runs again
+WARC record: identifier made from path, place and digest, so a task that runs again
 makes the same one; the 14 digits of the archive date as a timestamp; the type told by the
 block (an HTTP message is a response, else a resource, the ``filedesc`` a warcinfo);
 sha1 digests of block and payload. Of responses with equal payloads of at least
@@ -88,7 +88,7 @@ def write_archives(chunks: DataFrame) -> str:
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def _stream(data: bytes) -> io.BufferedIOBase:
@@ -195,12 +195,10 @@ def _parse(with_payload: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
     for batch in batches:
-        for data in batch.column(0):
-            held, size, archive = [], 0, ""
+        for path, data in zip(batch.column(0), batch.column(1)):
+            held, size, archive = [], 0, path.as_py()
             for r in arc_records(data.as_py()):
                 block = r["block"]
-                if not r["offset"] and not r["damaged"]:
-                    archive = r["URL"].removeprefix("filedesc://")
                 http = http_parts(block)
                 kind = ("metadata" if r["damaged"] else "warcinfo" if r["URL"].startswith("filedesc:")
                         else "response" if http else "resource")
@@ -219,8 +217,8 @@ def _parse(with_payload: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def parsed_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of ARC files (``content`` binary)."""
-    return archives.mapInArrow(lambda it: tidied(_parse(with_payload, it)), _PARSED)
+    """Records of ARC files (``path`` string, ``content`` binary); a record is told by path and offset."""
+    return archives.select("path", "content").mapInArrow(lambda it: tidied(_parse(with_payload, it)), _PARSED)
 
 
 # ---------------------------------------------------------------- WARC
@@ -253,9 +251,10 @@ def converted(kind: str, url: str, archive: str, offset: int, date: str, mime: s
     fields = [("WARC-Type", "revisit" if first else kind), ("WARC-Record-ID", record_id(archive, offset, digest)),
               ("WARC-Date", when)]
     if kind == "warcinfo":
-        block = (f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\nconverted-from: {archive}\r\n"
+        name = url.removeprefix("filedesc://")
+        block = (f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\nconverted-from: {name}\r\n"
                  "arc-header: " + payload.decode("utf-8", "replace").replace("\n", " ").strip() + "\r\n").encode()
-        return warc_record([*fields, ("WARC-Filename", archive.removesuffix(".arc") + ".warc"),
+        return warc_record([*fields, ("WARC-Filename", name.removesuffix(".arc") + ".warc"),
                             ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}")], block)
     fields += [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if first:
@@ -284,7 +283,7 @@ def _to_warc(chunk_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def convert(archives: DataFrame, min_bytes: int = 0, item_type: str = "string", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """WARC archives (``archive`` binary, a row a file) of ARC archives (``content`` binary).
+    """WARC archives (``archive`` binary, a row a file) of ARC archives (``path``, ``content``).
 
     Of responses with equal payloads the one of the smallest item id stays a response; of
     equal ids the first by archive and place, so repeated rows are revisits of one another
@@ -340,7 +339,7 @@ _READ = "item string, payload_bytes long, payload_digest string, record_type str
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [part.split()[0] for part in _READ.split(", ")]
     for batch in batches:
-        for data in batch.column(0):
+        for data in batch.column(1):
             rows = []
             for fields, block in warc_records(data.as_py()):
                 kind = fields["warc-type"]
@@ -359,8 +358,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
-    """Responses and revisits of WARC files (``content`` binary), their digests checked anew (``intact``)."""
-    return archives.mapInArrow(lambda it: tidied(_read_back(it)), _READ)
+    """Responses and revisits of WARC files (``path``, ``content``), their digests checked anew (``intact``)."""
+    return archives.select("path", "content").mapInArrow(lambda it: tidied(_read_back(it)), _READ)
 
 
 def archived_pages(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
