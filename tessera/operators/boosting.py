@@ -1,36 +1,27 @@
-"""Multiclass softmax gradient boosting (ML3) and extra trees (ML4) as level-wise
-DataFrame jobs.
-
-Spark ML's GBT is binary only. The booster keeps one row per training example
-with its binned features, label and class scores. Per level, ONE partial
-aggregation ``groupBy(class, node, feature, bin).agg(sum g, sum h)`` serves all
-classes' trees; the split table (<= classes x 2^depth rows) is chosen from the
-histogram on the executors and only that small table reaches the driver, which
-turns it into literal maps for the next level. Rows never leave the executors.
-Lineage is cut with reliable checkpoints every ``checkpoint_every`` rounds.
+"""Multiclass softmax gradient boosting (ML3) as Spark jobs.
+
+Spark ML's GBT is binary only. ``SoftmaxBooster`` grows the trees of all classes (and of
+all cross-validation folds) level by level from mergeable histograms over packed blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.blocks import (BLOCK, BLOCK_ROWS, PRIME, Block, Written, blocks_of, key_unit, packed, row_key,
+                                      steady_session, with_score)
 from tessera.operators.treewalk import Tree, make_tree, tree_sums
 from tessera.session import checkpoint_dir
 
 
-#: Node numbers of one tree; its class comes above them in a key.
-NODES = 1 << 40
-
-
-def _hash_unit(*parts: Column, seed: str) -> Column:
-    h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(seed)))
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
-
-
 def _py_unit(*parts, seed: str) -> float:
     import hashlib
     h = hashlib.md5("|".join([str(p) for p in parts] + [seed]).encode()).hexdigest()
@@ -48,6 +39,17 @@ def fit_bins(df: DataFrame, features: list[str], max_bins: int = 64, rel_err: fl
     return out
 
 
+def width_bins(df: DataFrame, features: list[str], bins: int = 64) -> dict[str, list[float]]:
+    """Per feature: ``bins`` intervals of equal width between its least and greatest value (one aggregate)."""
+    ends = df.agg(*[g(F.col(f).cast("double")).alias(f"{n}{i}") for i, f in enumerate(features) for n, g in (("a", F.min), ("b", F.max))]).first()
+    out = {}
+    for i, f in enumerate(features):
+        lo, hi = ends[f"a{i}"], ends[f"b{i}"]
+        inner = [] if lo is None else sorted({lo + (hi - lo) * k / bins for k in range(1, bins)})
+        out[f] = [-math.inf, *inner, math.inf]
+    return out
+
+
 def bin_frame(df: DataFrame, features: list[str], splits: dict[str, list[float]]) -> DataFrame:
     """Adds ``bins`` array<int>: bucket i covers [s_i, s_{i+1})."""
     b = Bucketizer(splitsArray=[splits[f] for f in features], inputCols=list(features),
@@ -149,250 +151,295 @@ class SoftmaxBoosterModel:
         return LeafTable(leaves, self.n_classes, kind="margin")
 
 
+#: Gradients are summed as whole multiples of 1 / SCALE, so sums are exact and no order of tasks changes a fit.
+SCALE = 1 << 24
+#: Histograms that one task adds up, about.
+MERGE_BYTES = 32 << 20
+
+
+def _fixed(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * SCALE + 0.5)
+
+
+class _Growing:
+    """A tree while it grows, as arrays over node numbers (children of n: 2n + 1, 2n + 2)."""
+
+    def __init__(self, max_depth: int) -> None:
+        size = 2 ** (max_depth + 1) - 1
+        self.feature, self.bin, self.value = np.full(size, -1, np.int16), np.zeros(size, np.int16), np.zeros(size)
+
+    def walk(self, bins: np.ndarray, depth: int) -> np.ndarray:
+        """The node of each row after at most ``depth`` steps."""
+        node = np.zeros(len(bins), np.int32)
+        at = np.arange(len(bins))
+        for _ in range(depth):
+            at = at[self.feature[node[at]] >= 0]
+            here = node[at]
+            node[at] = 2 * here + 1 + (bins[at, self.feature[here]] > self.bin[here])
+        return node
+
+
+@dataclass(frozen=True)
+class _Pass:
+    """What a pass over the blocks needs: sizes, the round's sample, and the trees so far (one for each fit and class)."""
+
+    nf: int
+    n_bins: int
+    n_classes: int
+    fits: int
+    subsample: float
+    draw: int
+
+
+def _gradients(block: Block, how: _Pass) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(g, h) by row, fit and class, and whether a row counts for a fit: in the round's sample and not in the fit's fold."""
+    score = block.score.reshape(block.n, how.fits, how.n_classes)
+    e = np.exp(score - score.max(axis=2, keepdims=True))
+    p = e / e.sum(axis=2, keepdims=True)
+    h = _fixed(np.maximum(2.0 * p * (1.0 - p), 1e-16))
+    p[np.arange(block.n), :, block.y] -= 1.0
+    used = np.repeat((key_unit(block.key, how.draw) < how.subsample)[:, None], how.fits, axis=1)
+    for m in range(1, how.fits):  # fit 0 has all rows, fit m all but those of fold m - 1
+        used[:, m] &= block.fold != m - 1
+    return _fixed(p), h, used
+
+
+def _histograms(how: _Pass, trees: list[_Growing], depth: int, wanted: dict[int, list[int]],
+                batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task and wanted node: the sums of g and h by feature and bin."""
+    slots = {}
+    for t, nodes in wanted.items():
+        slots[t] = np.full(2 ** (depth + 1) - 1, -1, np.int64)
+        slots[t][nodes] = np.arange(len(nodes))
+    cells = how.nf * how.n_bins
+    sums = {t: np.zeros((2, len(nodes) * cells), np.int64) for t, nodes in wanted.items()}
+    for _, _, block in blocks_of(batches, how.nf, True):
+        g, h, used = _gradients(block, how)
+        place = np.arange(how.nf) * how.n_bins + block.x.astype(np.int64)
+        for t, nodes in wanted.items():
+            fit, c = divmod(t, how.n_classes)
+            slot = slots[t][trees[t].walk(block.x, depth)]
+            at = np.flatnonzero((slot >= 0) & used[:, fit])
+            cell = (slot[at, None] * cells + place[at]).ravel()
+            for k, values in enumerate((g, h)):
+                # a block's sums are below 2^53 and so exact
+                sums[t][k] += np.bincount(cell, np.repeat(values[at, fit, c], how.nf), len(nodes) * cells).astype(np.int64)
+    rows = [(t, node, sums[t][:, i * cells : (i + 1) * cells].tobytes()) for t, nodes in wanted.items() for i, node in enumerate(nodes)]
+    yield _node_rows(rows)
+
+
+_HIST = "tree int, node int, hist binary"
+_BEST = _HIST + ", feature int, bin int, gain double, g long, h long, gl long, hl long"
+
+
+def _node_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["tree", "node", "hist"])
+
+
+def best_split(hist: np.ndarray, allowed: np.ndarray, reg_lambda: float, min_child_weight: float) -> tuple:
+    """(feature, bin, gain, g, h, gl, hl) of the best split of a node; feature -1 if none gains.
+
+    ``hist`` is (2, features, bins) of sums; rows in bins up to the split's go left. Of
+    equal gains the first feature and bin wins.
+    """
+    total = hist[:, 0, :].sum(axis=1) if hist.shape[1] else np.zeros(2, np.int64)
+    left = np.cumsum(hist, axis=2)
+    gl, hl = left[0] / SCALE, left[1] / SCALE
+    g, h = total[0] / SCALE, total[1] / SCALE
+    gr, hr = (total[0] - left[0]) / SCALE, (total[1] - left[1]) / SCALE
+    gain = 0.5 * (gl * gl / (hl + reg_lambda) + gr * gr / (hr + reg_lambda) - g * g / (h + reg_lambda))
+    gain = np.where((hl >= min_child_weight) & (hr >= min_child_weight) & allowed[:, None], gain, -np.inf)
+    f, b = np.unravel_index(int(np.argmax(gain)), gain.shape) if gain.size else (0, 0)
+    if not gain.size or not gain[f, b] > 0:
+        return -1, 0, 0.0, int(total[0]), int(total[1]), 0, 0
+    return int(f), int(b), float(gain[f, b]), int(total[0]), int(total[1]), int(left[0][f, b]), int(left[1][f, b])
+
+
+def _merged(shape: tuple[int, int], depth: int, allowed: np.ndarray, reg_lambda: float, min_child_weight: float,
+            batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summed histograms and best splits; rows of a node and its parent come to one task.
+
+    The parent's histogram (of the level before) less the child's is its sibling's.
+    """
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    parents: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for tree, node, hist in zip(*(batch.column(i) for i in range(3))):
+            key, values = (tree.as_py(), node.as_py()), np.frombuffer(hist.as_buffer(), np.int64)
+            if depth and node.as_py() < 2**depth - 1:
+                parents[key] = values
+            else:
+                sums[key] = sums[key] + values if key in sums else values
+    for (tree, node), values in parents.items():
+        built, other = (2 * node + 1, 2 * node + 2) if (tree, 2 * node + 1) in sums else (2 * node + 2, 2 * node + 1)
+        sums[tree, other] = values - sums[tree, built]
+    rows = [(tree, node, hist.tobytes(), *best_split(hist.reshape(2, *shape), allowed[tree], reg_lambda, min_child_weight))
+            for (tree, node), hist in sorted(sums.items(), key=lambda x: x[0])]
+    if rows:
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.float64(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                         [part.split()[0] for part in _BEST.split(", ")])
+
+
+def _scored(how: _Pass, trees: list[_Growing], depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the round's leaf values added to their scores."""
+    for batch, i, block in blocks_of(batches, how.nf, True):
+        score = block.score.copy()
+        for t, tree in enumerate(trees):
+            score[:, t] += tree.value[tree.walk(block.x, depth)]
+        yield with_score(batch, i, score)
+
+
+def _held_out(how: _Pass, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (fold, label, predicted) by the fit that has not seen the fold."""
+    for _, _, block in blocks_of(batches, how.nf, True):
+        at = np.flatnonzero((block.fold >= 0) & (block.fold < how.fits - 1))
+        score = block.score.reshape(block.n, how.fits, how.n_classes)[at, block.fold[at] + 1]
+        found, n = np.unique(np.column_stack([block.fold[at], block.y[at], score.argmax(axis=1)]), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i].astype(np.int32)) for i in range(3)), pa.array(n.astype(np.int64))],
+                                         ["fold", "label", "prediction", "n"])
+
+
 class SoftmaxBooster:
     """Multiclass softmax boosting: g = p - y, h = max(2p(1-p), 1e-16); split gain
-    G_L^2/(H_L+l) + G_R^2/(H_R+l) - G^2/(H+l); children need H >= min_child_weight;
-    leaf = -eta G/(H+l); row subsample per round and column subsample per tree by hash."""
+    G_L^2/(H_L+l) + G_R^2/(H_R+l) - G^2/(H+l), halved; children need H >= min_child_weight;
+    leaf = -eta G/(H+l); row subsample per round and column subsample per tree by hash.
+
+    Rows are packed blocks (``blocks.py``) with their scores. A level is one job for the
+    trees of all classes, and of all folds in a cross-validation: every task sums one
+    histogram for each open node over its blocks, histograms are added up by node, and the
+    sibling of a node is its parent less the node, so only the child with the smaller H is
+    counted. What the driver sees is one row for each node. After a round the scores are
+    updated once and kept on the executors; every ``checkpoint_every`` rounds blocks are
+    written to the shared folder, so a lost executor repeats that many rounds at most.
+    """
 
     def __init__(self, rounds=300, max_depth=6, eta=0.05, subsample=0.8, colsample=0.8,
-                 min_child_weight=5.0, reg_lambda=1.0, seed=42, max_bins=64, checkpoint_every=5):
+                 min_child_weight=5.0, reg_lambda=1.0, seed=42, max_bins=64, checkpoint_every=20):
         self.rounds, self.max_depth, self.eta = rounds, max_depth, eta
         self.subsample, self.colsample = subsample, colsample
         self.min_child_weight, self.reg_lambda, self.seed = min_child_weight, reg_lambda, seed
-        self.max_bins, self.checkpoint_every = max_bins, checkpoint_every
+        self.max_bins, self.checkpoint_every = min(max_bins, 255), checkpoint_every
 
-    def fit(self, df: DataFrame, features: list[str], label_col: str = "label", id_col: str = "row_id"):
-        spark = df.sparkSession
-        n_classes = int(df.agg(F.max(label_col)).first()[0]) + 1
-        splits = fit_bins(df, features, self.max_bins)
-        data = bin_frame(df.select(id_col, label_col, *features), features, splits).select(
-            id_col, F.col(label_col).cast("int").alias("y"), "bins",
-            F.array_repeat(F.lit(0.0), n_classes).alias("score"))
-        checkpoint_dir(spark)
-        data = data.checkpoint(eager=True)
-        trees, gain_log = [], []
-        lam, mcw = self.reg_lambda, self.min_child_weight
-        nf = len(features)
-        for rnd in range(self.rounds):
-            mx = F.array_max("score")
-            ex = F.transform("score", lambda v: F.exp(v - mx))
-            tot = F.aggregate(ex, F.lit(0.0), lambda a, v: a + v)
-            cur = data.withColumn("p", F.transform(ex, lambda v: v / tot))
-            cur = cur.withColumn("g", F.transform("p", lambda p, c: p - F.when(F.col("y") == c, 1.0).otherwise(0.0)))
-            cur = cur.withColumn("h", F.transform("p", lambda p: F.greatest(2.0 * p * (1.0 - p), F.lit(1e-16))))
-            cur = cur.where(_hash_unit(F.col(id_col), F.lit(rnd), seed=f"{self.seed}r") < self.subsample)
-            cur = cur.withColumn("node", F.array_repeat(F.lit(0), n_classes))
-            # column sample per (round, class) tree, decided on the driver by hash
-            allowed = {c: [f for f in range(nf) if _py_unit(rnd, c, f, seed=f"{self.seed}c") < self.colsample] or [0]
-                       for c in range(n_classes)}
-            round_trees = [dict() for _ in range(n_classes)]
-            open_nodes = {c: {0} for c in range(n_classes)}
-            for depth in range(self.max_depth + 1):
-                keys = [c * NODES + n for c in range(n_classes) for n in open_nodes[c]]
-                ex_c = cur.select("bins", F.posexplode(F.arrays_zip("node", "g", "h")).alias("c", "z"))
-                ex_c = ex_c.select("c", F.col("z.node").alias("node"), F.col("z.g").alias("g"),
-                                   F.col("z.h").alias("h"), "bins")
-                ex_c = ex_c.where((F.col("c").cast("long") * NODES + F.col("node")).isin(keys))
-                can_split = depth < self.max_depth
-                best = {}
-                if can_split:
-                    # ONE job per level: histogram -> prefix sums -> best split + node totals
-                    hist = (ex_c.select("c", "node", "g", "h", F.posexplode("bins").alias("f", "b"))
-                                .groupBy("c", "node", "f", "b").agg(F.sum("g").alias("sg"), F.sum("h").alias("sh")))
-                    w = Window.partitionBy("c", "node", "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-                    hist = hist.withColumn("GL", F.sum("sg").over(w)).withColumn("HL", F.sum("sh").over(w))
-                    tw = Window.partitionBy("c", "node", "f")
-                    hist = hist.withColumn("G", F.sum("sg").over(tw)).withColumn("H", F.sum("sh").over(tw))
-                    gl, hl, g, h = F.col("GL"), F.col("HL"), F.col("G"), F.col("H")
-                    gr, hr = g - gl, h - hl
-                    gain = 0.5 * (gl * gl / (hl + lam) + gr * gr / (hr + lam) - g * g / (h + lam))
-                    allow = F.create_map(*[x for c, fs in allowed.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in fs]))])
-                    ok = (hl >= mcw) & (hr >= mcw) & F.array_contains(allow[F.col("c")], F.col("f"))
-                    cand = hist.withColumn("gain", F.when(ok, gain))
-                    bw = Window.partitionBy("c", "node").orderBy(F.desc_nulls_last("gain"), "f", "b")
-                    res = (cand.withColumn("r", F.row_number().over(bw)).where(F.col("r") == 1)
-                               .select("c", "node", "f", "b", "gain", "G", "H").collect())
-                    tots = {(r["c"], r["node"]): (r["G"], r["H"]) for r in res}
-                    for r in res:
-                        if r["gain"] is not None and r["gain"] > 0:
-                            best[(r["c"], r["node"])] = (r["f"], r["b"], r["gain"])
-                else:
-                    tots = {(r["c"], r["node"]): (r["G"], r["H"]) for r in
-                            ex_c.groupBy("c", "node").agg(F.sum("g").alias("G"), F.sum("h").alias("H")).collect()}
-                for (c, node), (G, H) in tots.items():
-                    if node not in open_nodes[c]:
-                        continue
-                    if (c, node) in best:
-                        f, b, gn = best[(c, node)]
-                        round_trees[c][node] = (f, b)
-                        gain_log.append((f, gn))
-                    else:
-                        round_trees[c][node] = -self.eta * G / (H + lam)
-                open_nodes = {c: {2 * n + 1 + k for n, v in round_trees[c].items() if isinstance(v, tuple)
-                                  and n in open_nodes[c] for k in (0, 1)} for c in range(n_classes)}
-                if not any(open_nodes.values()):
-                    break
-                # advance rows of split nodes to their children
-                sp = [(c, n, f, b) for c in range(n_classes) for n, v in round_trees[c].items()
-                      if isinstance(v, tuple) for (f, b) in [v]]
-                if not sp:
-                    break
-                fmap = F.create_map(*[x for c, n, f, b in sp for x in (F.lit(c * NODES + n), F.lit(f))])
-                bmap = F.create_map(*[x for c, n, f, b in sp for x in (F.lit(c * NODES + n), F.lit(b))])
-
-                def step(nd, c):
-                    k = c.cast("long") * NODES + nd
-                    f = fmap[k]
-                    right = F.element_at(F.col("bins"), f + 1) > bmap[k]
-                    return F.when(f.isNull(), nd).otherwise(2 * nd + 1 + right.cast("int"))
-                cur = cur.withColumn("node", F.transform("node", step))
-            trees.append(round_trees)
-            model = SoftmaxBoosterModel(features, splits, [round_trees], n_classes, self.eta)
-            data = data.withColumn("score", F.zip_with("score", model.margins(data), lambda a, b: a + b))
-            if (rnd + 1) % self.checkpoint_every == 0:
-                data = data.checkpoint(eager=True)  # reliable: cuts lineage, survives executor loss
-        out = SoftmaxBoosterModel(features, splits, trees, n_classes, self.eta)
-        out.gain_log = gain_log
-        return out
+    def fit(self, df: DataFrame, features: list[str], label_col: str = "label", id_col: str = "row_id",
+            splits: dict[str, list[float]] | None = None) -> SoftmaxBoosterModel:
+        """A model of all rows. ``splits`` are split points (``fit_bins``, ``width_bins``) if not quantiles."""
+        return self._fit(df, features, label_col, id_col, None, 0, splits)[0][0]
 
+    def fit_folds(self, df: DataFrame, features: list[str], label_col: str, id_col: str, fold_col: str, k: int):
+        """(models: of all rows, then without fold 0 to k - 1; counts of fold, label, prediction on the folds left out).
 
-class ExtraTreesModel:
-    """Leaves: dict (tree, node) -> class distribution; splits: (tree, node) -> (feature, threshold, left
-    node); the right node is the next number."""
+        All k + 1 fits share each pass. Split points come from all rows.
+        """
+        return self._fit(df, features, label_col, id_col, fold_col, k, None)
 
-    def __init__(self, features, splits, leaves, n_classes, n_trees):
-        self.features, self.splits, self.leaves = features, splits, leaves
-        self.n_classes, self.n_trees = n_classes, n_trees
+    def draw(self, rnd: int) -> int:
+        """The multiplier of a round's row sample."""
+        return 1 + int(_py_unit(rnd, seed=f"{self.seed}r") * (PRIME - 2))
 
-    def leaf_table(self):
-        from tessera.operators.explain import LeafTable, leaves_from_nodes
-        out = []
-        for t in range(self.n_trees):
-            nodes = {}
-            for (tt, n), (f, thr, left) in self.splits.items():
-                if tt == t:
-                    nodes[n] = {"feature": f, "threshold": thr, "left": left, "right": left + 1, "stats": []}
-            for (tt, n), dist in self.leaves.items():
-                if tt == t:
-                    nodes[n] = {"feature": -1, "threshold": 0.0, "left": -1, "right": -1, "stats": dist}
-            out += leaves_from_nodes(nodes, t, self.n_classes, 1.0 / self.n_trees, normalise=True)
-        return LeafTable(out, self.n_classes)
-
-    def walk_trees(self) -> list[Tree]:
-        """Trees whose leaves hold class shares."""
-        splits: list[dict] = [{} for _ in range(self.n_trees)]
-        leaves: list[dict] = [{} for _ in range(self.n_trees)]
-        for (t, n), (f, thr, left) in self.splits.items():
-            splits[t][n] = (f, float(thr), left, left + 1)
-        for (t, n), dist in self.leaves.items():
-            leaves[t][n] = [c / (sum(dist) or 1.0) for c in dist]
-        return [make_tree(s, v, self.n_classes) for s, v in zip(splits, leaves)]
-
-    def predict_frame(self, df: DataFrame, features: list[str], id_col: str = "row_id") -> DataFrame:
-        """probability (mean over trees of the reached leaf's class shares) and prediction of every row, in place."""
-        sc = tree_sums(df, self.features, self.walk_trees(), self.n_classes, "probability", closed=True)
-        sc = sc.withColumn("probability", F.transform("probability", lambda p: p / F.lit(float(self.n_trees))))
-        pos = F.array_position(F.col("probability"), F.array_max("probability")) - 1
-        return sc.withColumn("prediction", pos.cast("double"))
-
-    def feature_importances(self) -> dict[str, float]:
-        gains = {f: 0.0 for f in self.features}
-        for f, g in getattr(self, "gain_log", []):
-            gains[self.features[f]] += g
-        tot = sum(gains.values())
-        return {f: (g / tot if tot else 0.0) for f, g in gains.items()}
+    def columns(self, rnd: int, c: int, nf: int) -> list[int]:
+        """The features that a tree may use."""
+        return [f for f in range(nf) if _py_unit(rnd, c, f, seed=f"{self.seed}c") < self.colsample] or [0]
 
-
-class ExtraTrees:
-    """Extremely randomised trees, grown level-wise for all trees at once.
-
-    State = one row per (example, tree) with its current node. Per level: node
-    feature ranges (partial aggregate), hash-drawn ``max_features`` candidate
-    features and one uniform threshold each inside the node range, class counts
-    left of the threshold (partial aggregate), weighted Gini decrease, best
-    candidate per node (children need >= min_leaf rows). Split tables stay
-    distributed and are joined to the state; only the model reaches the driver.
-    """
-
-    def __init__(self, n_trees=250, min_leaf=10, max_features="sqrt", seed=42, max_depth=None):
-        self.n_trees, self.min_leaf, self.max_features = n_trees, min_leaf, max_features
-        self.seed, self.max_depth = seed, max_depth
-
-    def fit(self, df: DataFrame, features: list[str], label_col: str = "label", id_col: str = "row_id"):
+    def _fit(self, df, features, label_col, id_col, fold_col, k, splits):
         spark = df.sparkSession
         checkpoint_dir(spark)
-        nf = len(features)
-        k = max(1, int(math.sqrt(nf))) if self.max_features == "sqrt" else int(self.max_features)
-        n_classes = int(df.agg(F.max(label_col)).first()[0]) + 1
-        rows = df.select(F.col(id_col).alias("rid"), F.col(label_col).cast("int").alias("y"),
-                         F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-        state = rows.select("rid", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))).alias("t"),
-                            F.lit(0).cast("long").alias("node")).checkpoint(eager=True)
-        splits, leaves, gain_log = {}, {}, []
-        depth = -1
-        numbered = 0  # nodes are numbered as they are made, so no depth runs out of numbers
-        while True:
-            depth += 1
-            ex = state.select("t", "node", "y", F.posexplode("x").alias("f", "v"))
-            rng = ex.groupBy("t", "node", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                                                  F.count(F.lit(1)).alias("n"))
-            draw = F.md5(F.concat_ws("|", F.col("t").cast("string"), F.col("node").cast("string"),
-                                     F.col("f").cast("string"), F.lit(f"{self.seed}f")))
-            w = Window.partitionBy("t", "node").orderBy(draw, "f")
-            cand = rng.where(F.col("hi") > F.col("lo")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-            u = _hash_unit(F.col("t"), F.col("node"), F.col("f"), seed=f"{self.seed}u")
-            cand = cand.withColumn("thr", F.col("lo") + u * (F.col("hi") - F.col("lo"))).select("t", "node", "f", "thr")
-            cnt = (ex.join(cand, ["t", "node", "f"])
-                     .groupBy("t", "node", "f", "thr", "y")
-                     .agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("v") <= F.col("thr")).cast("long")).alias("cl")))
-            per = cnt.groupBy("t", "node", "f", "thr").agg(
-                F.sum("c").alias("n"), F.sum("cl").alias("nl"),
-                F.sum(F.col("c") * F.col("c")).alias("sc2"), F.sum(F.col("cl") * F.col("cl")).alias("sl2"),
-                F.sum((F.col("c") - F.col("cl")) * (F.col("c") - F.col("cl"))).alias("sr2"))
-            n, nl = F.col("n").cast("double"), F.col("nl").cast("double")
-            nr = n - nl
-            # weighted Gini decrease: n*g - nl*gl - nr*gr with g = 1 - sum p^2
-            dec = (n - F.col("sc2") / n) - (nl - F.col("sl2") / nl) - (nr - F.col("sr2") / nr)
-            per = per.where((F.col("nl") >= self.min_leaf) & (n - nl >= self.min_leaf)).withColumn("dec", dec)
-            bw = Window.partitionBy("t", "node").orderBy(F.desc("dec"), "f")
-            best = per.withColumn("r", F.row_number().over(bw)).where(F.col("r") == 1).select("t", "node", "f", "thr", "dec")
-            # one job per level: best splits and node class counts come back together
-            # (both model-sized: one row per open node / per node and class)
-            dist = state.groupBy("t", "node", "y").agg(F.count(F.lit(1)).alias("c"))
-            both = (best.select(F.lit("s").alias("kind"), "t", "node", "f", "thr", "dec",
-                                F.lit(None).cast("int").alias("y"), F.lit(None).cast("long").alias("c"))
-                        .unionByName(dist.select(F.lit("d").alias("kind"), "t", "node", F.lit(None).cast("int").alias("f"),
-                                                 F.lit(None).cast("double").alias("thr"), F.lit(None).cast("double").alias("dec"),
-                                                 "y", "c")))
-            if depth == self.max_depth:  # open nodes become leaves
-                both = both.where("kind = 'd'")
-            rows_back = both.collect()
-            split_rows = [r for r in rows_back if r["kind"] == "s"]
-            for r in sorted(split_rows, key=lambda r: (r["t"], r["node"])):
-                splits[(r["t"], r["node"])] = (r["f"], r["thr"], numbered + 1)
-                numbered += 2
-                gain_log.append((r["f"], r["dec"]))
-            node_counts: dict = {}
-            for r in rows_back:
-                if r["kind"] == "d":
-                    node_counts.setdefault((r["t"], r["node"]), [0.0] * n_classes)[r["y"]] += r["c"]
-            for key, dvec in node_counts.items():
-                if key not in splits:
-                    leaves[key] = dvec
-            if not split_rows:
+        size = df.agg(F.max(label_col).alias("top"), F.count(F.lit(1)).alias("n")).first()
+        n_classes = int(size["top"]) + 1
+        splits = splits or fit_bins(df, features, self.max_bins)
+        edges = [splits[f] for f in features]
+        nf, fits = len(features), k + 1
+        n_bins = max((len(e) for e in edges), default=1)  # bins and one for missing values
+        # thousands of small jobs with fixed numbers of tasks: a session of their own without re-planning
+        store = Written(spark, "boosting", steady_session(spark))
+        # a task for every block at least: smaller ones cost more than they do
+        parts = max(1, -(-size["n"] // BLOCK_ROWS))
+        rows = df.coalesce(parts)
+        state = store.keep(packed(rows, features, F.col(label_col), row_key(df, id_col), F.col(fold_col) if fold_col else None,
+                                  fits * n_classes, edges)).persist()
+        models: list[list] = [[] for _ in range(fits)]
+        gain_logs: list[list] = [[] for _ in range(fits)]
+        older = None
+        for rnd in range(self.rounds):
+            how = _Pass(nf, n_bins, n_classes, fits, self.subsample, self.draw(rnd))
+            allowed = np.zeros((fits * n_classes, nf), bool)
+            for c in range(n_classes):
+                allowed[c::n_classes, self.columns(rnd, c, nf)] = True
+            trees = self._grow(state, parts, how, allowed, gain_logs)
+            if older is not None:
+                older.unpersist()  # the newer scores were made from it in the pass before
+            for fit in range(fits):
+                models[fit].append([_nodes(trees[fit * n_classes + c]) for c in range(n_classes)])
+            older, depth = state, self.max_depth
+            state = state.mapInArrow(lambda it, how=how, trees=trees: _scored(how, trees, depth, it), BLOCK)
+            if (rnd + 1) % self.checkpoint_every == 0:
+                state = store.keep(state)
+            state = state.persist()
+        counts = None
+        if k:
+            how = _Pass(nf, n_bins, n_classes, fits, self.subsample, 1)
+            found = state.mapInArrow(lambda it: _held_out(how, it), "fold int, label int, prediction int, n long")
+            counts = found.groupBy("fold", "label", "prediction").agg(F.sum("n").alias("n"))
+            counts = spark.createDataFrame(counts.collect(), counts.schema)  # folds x classes x classes
+        for frame in (older, state):
+            if frame is not None:
+                frame.unpersist()
+        store.drop()
+        out = []
+        for trees, log in zip(models, gain_logs):
+            out.append(SoftmaxBoosterModel(features, splits, trees, n_classes, self.eta))
+            out[-1].gain_log = log
+        return out, counts
+
+    def _grow(self, state: DataFrame, parts: int, how: _Pass, allowed: np.ndarray, gain_logs: list) -> list[_Growing]:
+        """The trees of a round, a level a job."""
+        trees = [_Growing(self.max_depth) for _ in range(how.fits * how.n_classes)]
+        wanted: dict[int, list[int]] = {t: [0] for t in range(len(trees))}
+        level = before = None
+        for depth in range(self.max_depth):
+            found = state.mapInArrow(lambda it: _histograms(how, trees, depth, wanted, it), _HIST)
+            if before is not None:  # of nodes that were split
+                found = found.unionByName(before.where("feature >= 0").select("tree", "node", "hist"))
+            family = (F.when(F.col("node") >= 2**depth - 1, ((F.col("node") - 1) / 2).cast("int")).otherwise(F.col("node")) if depth
+                      else F.lit(0))
+            moved = sum(map(len, wanted.values())) * how.nf * how.n_bins * 16 * parts
+            tasks = max(1, min(moved // MERGE_BYTES, int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+            met = found.repartition(tasks, "tree", family)
+            lam, mcw, shape = self.reg_lambda, self.min_child_weight, (how.nf, how.n_bins)
+            level = met.mapInArrow(lambda it: _merged(shape, depth, allowed, lam, mcw, it), _BEST).persist()
+            best = level.drop("hist").collect()  # one row for each open node, at most trees x 2^depth
+            if before is not None:
+                before.unpersist()
+            before, wanted = level, {}
+            for r in sorted(best, key=lambda r: (r["tree"], r["node"])):
+                t, node, tree = r["tree"], r["node"], trees[r["tree"]]
+                tree.value[node] = self._leaf(r["g"], r["h"])
+                if r["feature"] < 0:
+                    continue
+                tree.feature[node], tree.bin[node] = r["feature"], r["bin"]
+                gain_logs[t // how.n_classes].append((r["feature"], r["gain"]))
+                left, right = (r["gl"], r["hl"]), (r["g"] - r["gl"], r["h"] - r["hl"])
+                tree.value[2 * node + 1], tree.value[2 * node + 2] = self._leaf(*left), self._leaf(*right)
+                wanted.setdefault(t, []).append(2 * node + 1 + (right[1] < left[1]))
+            if not wanted:
                 break
-            sdf = spark.createDataFrame([(r["t"], r["node"], r["f"], r["thr"], splits[(r["t"], r["node"])][2]) for r in split_rows],
-                                        "t int, node long, f int, thr double, left long")
-            nxt = state.join(sdf, ["t", "node"], "inner")  # rows in leaves drop out
-            nxt = nxt.select("rid", "y", "x", "t", (F.col("left") +
-                             (F.element_at("x", F.col("f") + 1) > F.col("thr")).cast("int")).alias("node"))
-            prev = state
-            if depth % 4 == 3:
-                state = nxt.checkpoint(eager=True)  # reliable: cuts lineage every 4 levels
-            else:
-                state = nxt.persist()
-                state.count()
-            prev.unpersist()
-        m = ExtraTreesModel(features, splits, leaves, n_classes, self.n_trees)
-        m.gain_log = gain_log
-        return m
+        if before is not None:
+            before.unpersist()
+        return trees
+
+    def _leaf(self, g: int, h: int) -> float:
+        return -self.eta * (g / SCALE) / (h / SCALE + self.reg_lambda)
+
+
+def _nodes(tree: _Growing) -> dict:
+    """Splits (feature, bin) and leaf values by node number."""
+    out, todo = {}, [0]
+    while todo:
+        n = todo.pop()
+        if tree.feature[n] >= 0:
+            out[n] = (int(tree.feature[n]), int(tree.bin[n]))
+            todo += [2 * n + 1, 2 * n + 2]
+        else:
+            out[n] = float(tree.value[n])
+    return out

@@ -2,13 +2,14 @@
 
 Tree and forest models are Spark ML estimators (distributed, histogram based).
 Multiclass boosting and extra trees have no Spark class; they live in
-``boosting.py`` as level-wise DataFrame jobs.
+``boosting.py`` and ``extratrees.py`` as jobs over packed blocks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Callable
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, OneVsRest,
@@ -52,7 +53,7 @@ def _ovr_gbt():
 
 
 def _extra():
-    from tessera.operators.boosting import ExtraTrees
+    from tessera.operators.extratrees import ExtraTrees
     return ExtraTrees(n_trees=250, min_leaf=10, max_features="sqrt", seed=42)
 
 
@@ -157,39 +158,79 @@ def feature_importances(model, features: list[str], top: int | None = 10) -> Dat
     return df.where(F.col("rank") <= top) if top else df
 
 
+def _fold_scores(counts: DataFrame, fold_col: str = "fold") -> DataFrame:
+    """Macro F1 and balanced accuracy of each fold from counts (fold, actual, predicted, n)."""
+    folds = sorted(r[0] for r in counts.select(fold_col).distinct().collect())
+    one = [M.label_metrics(counts.where(F.col(fold_col) == f).drop(fold_col)).select(
+        F.lit(f).alias("fold"), F.col("macro_f1").alias("score"), "balanced_accuracy") for f in folds]
+    return reduce(DataFrame.unionByName, one)
+
+
+def fit_and_validate(name: str, data: DataFrame, features: list[str], n_classes: int, fold_col: str = "fold", k: int = 5,
+                     label_col: str = "label", id_col: str = "row_id", with_model: bool = True, **overrides):
+    """(model of all rows, counts of fold, actual, predicted, n of the rows that each fold's fit has not seen).
+
+    The booster's fits share every pass over the data; other models have one job for each
+    fold, some at a time. ``data`` should be stored, it is read by all fits.
+    """
+    spec = model_registry(True)[normalise_model_name(name)]
+    if spec.kind == "softmax":
+        est = spec.build()
+        for key, value in overrides.items():
+            if value is not None and hasattr(est, key):
+                setattr(est, key, value)
+        models, counts = est.fit_folds(data, features, label_col, id_col, fold_col, k)
+        return models[0], counts.select("fold", F.col("label").cast("double").alias("actual"),
+                                        F.col("prediction").cast("double").alias("predicted"), "n")
+
+    def one(f: int):
+        if f < 0:
+            return fit(name, data, features, label_col, **overrides) if with_model else None
+        m = fit(name, data.where(F.col(fold_col) != f), features, label_col, **overrides)
+        sc = predict(m, data.where(F.col(fold_col) == f), features, n_classes)
+        return [(f, *r) for r in M.confusion_counts(sc, label_col, "prediction").collect()]  # classes x classes
+    with ThreadPool(2) as pool:
+        done = pool.map(one, range(-1, k))
+    rows = [(f, float(a), float(p), n) for part in done[1:] for f, a, p, n in part]
+    return done[0], data.sparkSession.createDataFrame(rows, "fold int, actual double, predicted double, n long")
+
+
+def cv_row(counts: DataFrame) -> DataFrame:
+    """Mean and population std over folds, of counts (fold, actual, predicted, n)."""
+    return _fold_scores(counts).agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"),
+                                    F.avg("balanced_accuracy").alias("cv_bal_mean"),
+                                    F.stddev_pop("balanced_accuracy").alias("cv_bal_std"))
+
+
 def cross_validate(name: str, data: DataFrame, features: list[str], classes: list,
-                   fold_col: str = "fold", k: int = 5, label_col: str = "label",
+                   fold_col: str = "fold", k: int = 5, label_col: str = "label", id_col: str = "row_id",
                    **overrides) -> DataFrame:
     """ML11: per-fold macro F1 and balanced accuracy, then mean and population std.
 
-    ``data`` carries a stratified ``fold`` column (SM4). Each fold is one fit on the
-    other folds; the frame should be cached by the caller.
+    ``data`` carries a stratified ``fold`` column (SM4). Each fold is scored by a fit on
+    the other folds; the frame should be stored by the caller.
     """
-    rows = []
-    for f in range(k):
-        tr = data.where(F.col(fold_col) != f)
-        te = data.where(F.col(fold_col) == f)
-        m = fit(name, tr, features, label_col, **overrides)
-        sc = predict(m, te, features, len(classes))
-        lm = M.label_metrics(M.confusion_counts(sc, label_col, "prediction"))
-        rows.append(lm.select(F.lit(f).alias("fold"), F.col("macro_f1").alias("score"),
-                              "balanced_accuracy"))
-    folds = reduce(DataFrame.unionByName, rows)
-    return folds.agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"),
-                     F.avg("balanced_accuracy").alias("cv_bal_mean"),
-                     F.stddev_pop("balanced_accuracy").alias("cv_bal_std"))
+    return cv_row(fit_and_validate(name, data, features, len(classes), fold_col, k, label_col, id_col, with_model=False, **overrides)[1])
 
 
 def run_experiments(names: list[str], train: DataFrame, test: DataFrame, features: list[str],
-                    classes: list, label_col: str = "label", cv_data: DataFrame | None = None,
-                    **overrides) -> DataFrame:
-    """ML10: fit each model, evaluate on test, optional CV; ranked comparison (ME13)."""
-    train = train.cache()
+                    classes: list, label_col: str = "label", fold_col: str | None = None, k: int = 5,
+                    fitted: dict | None = None, **overrides) -> DataFrame:
+    """ML10: fit each model on ``train``, evaluate on ``test``; ranked comparison (ME13).
+
+    With ``fold_col`` every model is also cross-validated over the folds of ``train``.
+    ``fitted`` gives (model, fold counts) of models that are already fitted.
+    """
     rows = []
+    codes = list(range(len(classes))) if isinstance(classes[0], str) else classes
     for n in names:
-        m = fit(n, train, features, label_col, **overrides)
+        if fitted and n in fitted:
+            m, counts = fitted[n]
+        elif fold_col:
+            m, counts = fit_and_validate(n, train, features, len(classes), fold_col, k, label_col, **overrides)
+        else:
+            m, counts = fit(n, train, features, label_col, **overrides), None
         sc = predict(m, test, features, len(classes))
-        cv = cross_validate(n, cv_data, features, classes, **overrides) if cv_data is not None else None
-        rows.append(M.model_metrics(n, sc, list(range(len(classes))) if isinstance(classes[0], str)
-                                    else classes, label_col, "prediction", "probability", cv))
+        rows.append(M.model_metrics(n, sc, codes, label_col, "prediction", "probability",
+                                    cv_row(counts) if counts is not None else None))
     return M.compare_models(rows)

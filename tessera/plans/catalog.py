@@ -20,3 +20,7 @@ def oracle_sql() -> dict:
     for m in _MODULES:
         out.update(m.SQL)
     return out
+
+
+#: Queries that wait for full fits; they come last.
+FULL_FITS = ("ml1_", "ml2_", "ml3_softmax", "ml4_", "ml7_", "ml8_", "ml10_", "ml11_cross_validation_balanced")

@@ -11,7 +11,8 @@ from tessera.functions.quantiles import exact_quantiles
 from tessera.operators import metrics as ME
 from tessera.operators import profile as P
 from tessera.operators import sampling as SM
-from tessera.operators.boosting import ExtraTrees, SoftmaxBooster
+from tessera.operators.boosting import SoftmaxBooster
+from tessera.operators.extratrees import ExtraTrees
 from tessera.operators.segments import silhouette_sq
 from tessera.operators.smotenc import smotenc
 
