@@ -235,7 +235,7 @@ class ExtraTrees:
             for first in range(0, self.n_trees, at_once):
                 self._group(spark, state, range(first, min(self.n_trees, first + at_once)), counts, local, path, nf, n_classes, k)
             store.drop()
-        return ExtraTreesModel(features, path, n_classes, self.n_trees)
+        return ExtraTreesModel(spark, features, path, n_classes, self.n_trees)
 
     def _small(self, spark, blocks, path, nf, n_classes, k) -> None:
         """All rows fit one task: every task has them and grows whole trees."""
@@ -324,11 +324,11 @@ class ExtraTreesModel:
     """The table of packed subtrees (``path``): a row with root 0 is a whole tree, one with root -1 the
     wide part of a tree, others hang below its node ``root``."""
 
-    def __init__(self, features: list[str], path: str, n_classes: int, n_trees: int) -> None:
-        self.features, self.path, self.n_classes, self.n_trees = list(features), path, n_classes, n_trees
+    def __init__(self, spark: SparkSession, features: list[str], path: str, n_classes: int, n_trees: int) -> None:
+        self.spark, self.features, self.path, self.n_classes, self.n_trees = spark, list(features), path, n_classes, n_trees
 
     def table(self) -> DataFrame:
-        return SparkSession.getActiveSession().read.parquet(self.path)
+        return self.spark.read.parquet(self.path)
 
     def _arrays(self, r) -> tuple:
         return (np.frombuffer(r["feature"], np.int32), np.frombuffer(r["threshold"]), np.frombuffer(r["below"], np.int32),
