@@ -5,9 +5,11 @@ paragraphs' vectors, modulo powers of two: paragraphs may come in any order, add
 is an addition and removing one a subtraction. A vector has two parts:
 
 * ``EXACT`` lanes modulo 2**64, a hash of the whole paragraph: equality;
-* ``WIDE`` lanes modulo 2**16: the paragraph's 3-word shingles, each +1 or -1 in a lane of
+* ``WIDE`` lanes modulo 2**32: the paragraph's 3-word shingles, each +1 or -1 in a lane of
   its own hash. Sums of such vectors keep distances, so two fingerprints show how much
-  of their shingles the texts share: 1 - |a - b|^2 / (|a|^2 + |b|^2), not below 0.
+  of their shingles the texts share: 1 - |a - b|^2 / (|a|^2 + |b|^2), not below 0. Lanes
+  are read back as signed numbers; a lane wraps at 2**31 shingles, more than the longest
+  text (2**31 bytes) has, whether they are equal or not.
 
 A fingerprint is order-independent; paragraph boundaries are line ends.
 """
@@ -21,19 +23,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import read
 from tessera.llm.kernels import SPACE_WORDS, hash_words, mix, shingles, stream, tidied
 
 EXACT, WIDE, SHINGLE = 4, 128, 3
+#: Ids a bucket that give the bounds of buckets, where ids are no numbers.
+SAMPLE = 20
 _U = np.uint64
 _LANES = stream(EXACT, 31)
 _EMPTY = np.zeros(EXACT + WIDE, np.uint64)
-_MASK = _U(0xFFFF)
+_MASK = _U(0xFFFFFFFF)
 
 
 def vectors(paragraphs: list[bytes]) -> np.ndarray:
-    """Sum of the paragraphs' vectors, as 64-bit integers (wide lanes modulo 2**16)."""
+    """Sum of the paragraphs' vectors, as 64-bit integers (wide lanes modulo 2**32)."""
     out = _EMPTY.copy()
     if not paragraphs:
         return out
@@ -72,18 +77,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1; 1 for equal fingerprints, also of empty texts."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[EXACT:].astype(np.uint16).astype(np.int16).astype(float) for v in (a, b))
+    x, y = (v[EXACT:].astype(np.uint32).astype(np.int32).astype(float) for v in (a, b))
     size = float(x @ x + y @ y)
     return max(0.0, 1.0 - float((x - y) @ (x - y)) / size) if size else 0.0
 
 
 def written(v: np.ndarray) -> str:
-    return v[:EXACT].astype("<u8").tobytes().hex() + v[EXACT:].astype("<u2").tobytes().hex()
+    return v[:EXACT].astype("<u8").tobytes().hex() + v[EXACT:].astype("<u4").tobytes().hex()
 
 
 def parsed(text: str) -> np.ndarray:
     raw = bytes.fromhex(text)
-    return np.concatenate([np.frombuffer(raw[: 8 * EXACT], "<u8"), np.frombuffer(raw[8 * EXACT :], "<u2").astype(np.uint64)])
+    return np.concatenate([np.frombuffer(raw[: 8 * EXACT], "<u8"), np.frombuffer(raw[8 * EXACT :], "<u4").astype(np.uint64)])
 
 
 def edited(text: str, own: np.ndarray, following: str) -> tuple[str, np.ndarray]:
@@ -133,18 +138,26 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stand in the order of their texts' hashes; null ids come last. Null texts are empty. A
     single row is its own next. Other columns are ignored.
 
-    Rows go to buckets of adjoining ids, whose bounds are quantiles of the ids; one row of
-    each bucket also goes to the bucket before it. So texts are shuffled once and no bucket
-    depends on another. Equal ids share a bucket.
+    Rows go to buckets of adjoining ids, whose bounds are quantiles of the ids (of numbers all,
+    of other ids the ``SAMPLE`` a bucket with the least hashes); one row of each bucket also
+    goes to the bucket before it. So texts are shuffled once and no bucket depends on
+    another. Equal ids share a bucket. Repeated rows are one another's next rows; very long
+    texts are hashed whole, a paragraph's words at a time.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    place = F.col("_id").cast("double")
-    cuts = rows.agg(F.percentile_approx(place, [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts), reverse=True)
+    if isinstance(rows.schema["_id"].dataType, T.NumericType):
+        place = F.col("_id").cast("double")
+        cuts = rows.agg(F.percentile_approx(place, [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
+        cuts = sorted({float(c) for c in cuts}, reverse=True)
+    else:
+        place = F.col("_id")
+        some = rows.where(place.isNotNull()).select("_id", F.xxhash64("_id").alias("h")).distinct().orderBy("h", "_id").limit(SAMPLE * n)
+        ids = [r["_id"] for r in some.orderBy(F.col("_id").desc()).collect()]
+        cuts = ids[SAMPLE::SAMPLE] if len(ids) > SAMPLE * 2 else ids[1::2][: n - 1]
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
     if cuts:  # the number of cuts above the id, by halving
-        above = F.array(*[F.lit(float(c)) for c in cuts])
+        above = F.array(*[F.lit(c) for c in cuts])
         bucket = F.coalesce(F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda a, k: F.when(
             F.coalesce(F.get(above, a + k - 1) > place, F.lit(False)), a + k).otherwise(a)), F.lit(0))
         bucket = F.when(F.col("_id").isNull(), len(cuts)).otherwise(bucket)
