@@ -52,7 +52,7 @@ def base32_sha1(data: bytes) -> str:
 
 
 def member(record: bytes) -> bytes:
-    return gzip.compress(record, 5, mtime=0)
+    return gzip.compress(record, 3, mtime=0)
 
 
 class _Packer:

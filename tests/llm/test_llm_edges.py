@@ -61,3 +61,30 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
         docs = out if n == 4 else spark.createDataFrame(out.collect(), out.schema)
     assert docs.filter("doc_id = 4").count() == 1
     assert {r["doc_id"] for r in docs.collect()} >= {1, 2, 3, 5, 6}
+
+
+CLASHING = ["score", "predicted", "spans", "redacted", "n_hex", "n_assign", "base_sha256", "component_id", "contaminated", "row", "scored",
+            "text_hash", "n_shingles", "a.b"]
+
+
+@pytest.mark.parametrize("n", range(4))
+def test_stages_keep_clashing_columns(spark, odd, n):
+    docs = odd.select("doc_id", "text", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    out = corpus_pipeline.STAGES[n][1](spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+
+
+def test_secrets_are_cut_and_counted(spark):
+    text = "x " * 9 + "password = abcdefghijklmnop9 end"
+    docs = spark.createDataFrame([(1, text, len(text)), (2, None, 7), (3, "plain", 5)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.cut_secrets(spark, docs, SF_SMALL).collect()}
+    assert "abcdefghijklmnop9" not in got[1]["text"] and got[1]["n_chars"] == len(got[1]["text"])
+    assert (got[2]["text"], got[2]["n_chars"], got[3]["text"], got[3]["n_chars"]) == (None, 7, "plain", 5)
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_stages_without_rows(spark, none, n):
+    docs = none.select("doc_id", "text", "lang", "source", F.lit(0).cast("long").alias("n_chars"))
+    assert corpus_pipeline.STAGES[n][1](spark, docs, SF_SMALL).collect() == []
