@@ -129,26 +129,10 @@ class SoftmaxBoosterModel:
         tot = sum(means.values())
         return {f: (g / tot if tot else 0.0) for f, g in means.items()}
 
-    def leaf_table(self):
-        """Margin leaf table for tree SHAP (threshold: x < s_{b+1} goes left)."""
-        from tessera.operators.explain import LeafTable, leaves_from_nodes
-        leaves = []
-        t = 0
-        for rnd in self.trees:
-            for c in range(self.n_classes):
-                nodes = {}
-                for n, v in rnd[c].items():
-                    if isinstance(v, tuple):
-                        f, b = v
-                        thr = math.nextafter(self.splits[self.features[f]][b + 1], -math.inf)
-                        nodes[n] = {"feature": f, "threshold": thr, "left": 2 * n + 1, "right": 2 * n + 2, "stats": []}
-                    else:
-                        st = [0.0] * self.n_classes
-                        st[c] = float(v)
-                        nodes[n] = {"feature": -1, "threshold": 0.0, "left": -1, "right": -1, "stats": st}
-                leaves += leaves_from_nodes(nodes, t, self.n_classes, 1.0, normalise=False)
-                t += 1
-        return LeafTable(leaves, self.n_classes, kind="margin")
+    def tree_model(self):
+        """Margins for tree SHAP."""
+        from tessera.operators.explain import TreeModel
+        return TreeModel(self.walk_trees(), self.n_classes, closed=False, kind="margin")
 
 
 #: Gradients are summed as whole multiples of 1 / SCALE, so sums are exact and no order of tasks changes a fit.

@@ -1,19 +1,20 @@
-"""Relational interventional tree SHAP and explanation tables (SH1-SH14).
-
-A tree ensemble is a bounded leaf table ``(tree, leaf, feats, lo, hi, value[],
-weight)``: each leaf is a box over its path features (x goes left when
-x <= threshold). For a row x and a background row z at a leaf, let A be the path
-features only x satisfies and B those only z satisfies; if a path feature fails
-for both, the leaf contributes nothing; otherwise each f in A gets
-+v (|A|-1)!|B|!/(|A|+|B|)! and each f in B gets -v |A|!(|B|-1)!/(|A|+|B|)!.
-This equals the interventional Shapley value of the leaf indicator.
-
-Plan: rows and background are mapped to (tree, leaf, mask) by a broadcast join
-with the leaf table (size checked: the model, not the data); the background is
-aggregated to (tree, leaf, mask_z, count) and the rows to distinct (tree, leaf,
-mask_x), so mask pairs are joined per leaf - cost follows distinct masks, never
-rows x background. Contributions flow back to rows with an equi-join on
-(tree, leaf, mask_x) and one aggregation.
+"""Interventional tree SHAP by a two-sample tree walk, and explanation tables (SH1-SH14).
+
+For a row x, a background row z and a leaf, let A be the path features that only x
+satisfies and B those that only z satisfies; if a path feature fails for both, the leaf
+contributes nothing; otherwise each f in A gets +v (|A|-1)!|B|!/(|A|+|B|)! and each f
+in B gets -v |A|!(|B|-1)!/(|A|+|B|)!. This equals the interventional Shapley value of
+the leaf indicator.
+
+An Arrow batch of rows and the background walk down a tree together. At a node both are
+split; whoever leaves a box loses the node's feature. A row that has lost a feature which
+all of the background has lost too is dropped, and the other way round, so only nodes
+that some pair is consistent with are visited, and what is kept is one path of the walk.
+At a leaf, rows and background are grouped by the features that they have lost (a mask of
+64 bits). There is no table of rows and leaves, and no limit on leaves.
+
+Trees travel in groups of bounded size, one pass each; the background, a sample, in parts
+of ``BACKGROUND_ROWS``. Models have at most 63 features.
 """
 
 from __future__ import annotations
@@ -21,200 +22,171 @@ from __future__ import annotations
 import math
 import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir
+from tessera.operators.treewalk import Tree, make_tree, tree_groups, tree_sums
+from tessera.session import checkpoint_dir, workers_import
 
-MAX_LEAVES = 500_000
-FACT = [float(math.factorial(i)) for i in range(64)]
+BACKGROUND_ROWS = 10_000
+_FACT = [float(math.factorial(i)) for i in range(64)]
+#: Weights by (|A|, |B|) of a feature in A, in B.
+_IN_A = np.array([[_FACT[a - 1] * _FACT[b] / _FACT[a + b] if a and a + b < 64 else 0.0 for b in range(64)] for a in range(64)])
+_IN_B = np.array([[_FACT[a] * _FACT[b - 1] / _FACT[a + b] if b and a + b < 64 else 0.0 for b in range(64)] for a in range(64)])
 
 
 @dataclass
-class LeafTable:
-    """Leaves of a tree model; ``kind`` 'probability' (tree/forest) or 'margin' (booster)."""
+class TreeModel:
+    """Trees whose leaf values, times ``weight``, add up to the output.
 
-    leaves: list[tuple]  # (tree, leaf, feats, lo, hi, value list, weight)
-    n_classes: int
+    ``closed``: x goes left when x <= threshold, else when x < threshold. ``kind``:
+    'probability' (tree, forest) or 'margin' (booster).
+    """
+
+    trees: list[Tree]
+    outputs: int
+    weight: float = 1.0
+    closed: bool = True
     kind: str = "probability"
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        if len(self.leaves) > MAX_LEAVES:
-            raise ValueError(f"{len(self.leaves)} leaves exceed MAX_LEAVES={MAX_LEAVES}")
-        return spark.createDataFrame(
-            [(t, l, list(f), [float(v) for v in lo], [float(v) for v in hi], [float(v) for v in val], float(w))
-             for t, l, f, lo, hi, val, w in self.leaves],
-            "tree int, leaf int, feats array<int>, lo array<double>, hi array<double>, "
-            "value array<double>, weight double")
-
-
-def leaves_from_nodes(nodes: dict[int, dict], tree: int, n_classes: int, weight: float,
-                      normalise: bool = True) -> list[tuple]:
-    """Walk one tree's node dict {id: {feature, threshold, left, right, stats}} (model-sized)."""
-    out = []
-    stack = [(0, {})]
-    while stack:
-        nid, box = stack.pop()
-        n = nodes[nid]
-        if n["left"] < 0:
-            st = list(n["stats"]) + [0.0] * (n_classes - len(n["stats"]))
-            if normalise:
-                tot = sum(st)
-                st = [v / tot if tot else 0.0 for v in st]
-            feats = sorted(box)
-            out.append((tree, nid, feats, [box[f][0] for f in feats], [box[f][1] for f in feats], st, weight))
-            continue
-        f, t = n["feature"], n["threshold"]
-        lo, hi = box.get(f, (-math.inf, math.inf))
-        lb = dict(box)
-        lb[f] = (lo, min(hi, t))
-        rb = dict(box)
-        rb[f] = (max(lo, t), hi)
-        stack.append((n["left"], lb))
-        stack.append((n["right"], rb))
-    return out
-
-
-def literal_tree(splits: dict[int, tuple], leaves: dict[int, list[float]], n_classes: int) -> LeafTable:
+
+def literal_tree(splits: dict[int, tuple], leaves: dict[int, list[float]], n_classes: int) -> TreeModel:
     """A literal tree: splits {node: (feature_index, threshold, left, right)}, leaves {node: values}."""
-    nodes = {}
-    for nid, (f, t, l, r) in splits.items():
-        nodes[nid] = {"feature": f, "threshold": t, "left": l, "right": r, "stats": []}
-    for nid, v in leaves.items():
-        nodes[nid] = {"feature": -1, "threshold": 0.0, "left": -1, "right": -1, "stats": v}
-    return LeafTable(leaves_from_nodes(nodes, 0, n_classes, 1.0, normalise=False), n_classes)
+    return TreeModel([make_tree(splits, leaves, n_classes)], n_classes)
 
 
-def spark_tree_leaves(model, n_classes: int) -> LeafTable:
-    """Leaf table of a fitted Spark DecisionTree / RandomForest classifier.
+def spark_trees(model, n_classes: int) -> TreeModel:
+    """Trees of a fitted Spark DecisionTree / RandomForest classifier.
 
-    The model is written with Spark ML persistence to the shared checkpoint
-    folder and its node parquet read back; only the model structure (bounded by
-    numTrees x 2^maxDepth) is brought to the driver.
+    The model is written with Spark ML persistence to the shared checkpoint folder and its
+    node table read back; the driver holds the model, as it does after the fit.
     """
     spark = SparkSession.getActiveSession()
     path = os.path.join(checkpoint_dir(spark), "models", uuid.uuid4().hex)
     model.write().overwrite().save(path)
     data = spark.read.parquet(os.path.join(path, "data"))
-    if "treeID" in data.columns:
-        rows = data.select("treeID", "nodeData.*").collect()
-        trees = sorted({r["treeID"] for r in rows})
-        weight = 1.0 / len(trees)
-    else:
-        rows = data.select(F.lit(0).alias("treeID"), "*").collect()
-        trees, weight = [0], 1.0
-    by_tree: dict[int, dict] = {t: {} for t in trees}
-    for r in rows:
-        sp = r["split"]
-        by_tree[r["treeID"]][r["id"]] = {
-            "feature": sp["featureIndex"], "threshold": float(sp["leftCategoriesOrThreshold"][0])
-            if sp["leftCategoriesOrThreshold"] else 0.0,
-            "left": r["leftChild"], "right": r["rightChild"], "stats": list(r["impurityStats"])}
-    leaves = []
-    for t in trees:
-        leaves += leaves_from_nodes(by_tree[t], t, n_classes, weight, normalise=True)
-    return LeafTable(leaves, n_classes)
-
-
-def _pow2(c):
-    """2^c as long (exact for c < 53); c may be a column or lambda variable."""
-    return F.pow(F.lit(2.0), c).cast("long")
-
-
-def _masks(df: DataFrame, features: list[str], lt: DataFrame, id_col: str | None) -> DataFrame:
-    xv = F.array(*[F.col(f).cast("double") for f in features])
-    n_trees = lt.agg(F.max("tree")).first()[0] + 1
-    # fan each row out over the model's trees, then an equi-join on tree with the
-    # broadcast leaf table (model-sized, checked in LeafTable.frame)
-    base = df.select(*([id_col] if id_col else []), xv.alias("__xv"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    j = base.join(F.broadcast(lt.select("tree", "leaf", "feats", "lo", "hi")), "tree")
-    def bit(acc, i):
-        v = F.element_at(F.col("__xv"), F.element_at(F.col("feats"), i + 1) + 1)
-        ok = (F.element_at(F.col("lo"), i + 1) < v) & (v <= F.element_at(F.col("hi"), i + 1))
-        return acc.bitwiseOR(F.when(ok, _pow2(i)).otherwise(F.lit(0).cast("long")))
-    mask = F.aggregate(F.sequence(F.lit(0), F.size("feats") - 1), F.lit(0).cast("long"), bit)
-    mask = F.when(F.size("feats") == 0, F.lit(0).cast("long")).otherwise(mask)
-    return j.select(*([id_col] if id_col else []), "tree", "leaf", F.size("feats").alias("nf"),
-                    mask.alias("mask"))
-
-
-def tree_shap(rows: DataFrame, background: DataFrame, features: list[str], model: LeafTable,
+    nodes = data.select("treeID", "nodeData.*") if "treeID" in data.columns else data.select(F.lit(0).alias("treeID"), "*")
+    splits: dict[int, dict] = {}
+    leaves: dict[int, dict] = {}
+    for r in nodes.select("treeID", "id", "split", "leftChild", "rightChild", "impurityStats").collect():
+        t = r["treeID"]
+        splits.setdefault(t, {}), leaves.setdefault(t, {})
+        if r["leftChild"] < 0:
+            st = list(r["impurityStats"]) + [0.0] * (n_classes - len(r["impurityStats"]))
+            total = sum(st)
+            leaves[t][r["id"]] = [v / total if total else 0.0 for v in st]
+        else:
+            cut = r["split"]["leftCategoriesOrThreshold"]
+            splits[t][r["id"]] = (r["split"]["featureIndex"], float(cut[0]) if cut else 0.0, r["leftChild"], r["rightChild"])
+    return TreeModel([make_tree(splits[t], leaves[t], n_classes) for t in sorted(splits)], n_classes, 1.0 / len(splits))
+
+
+def two_sample_walk(tree: Tree, x: np.ndarray, z: np.ndarray, closed: bool, out: np.ndarray) -> None:
+    """Adds the sum over z of the tree's Shapley values of each row of x to ``out`` (rows x features x outputs)."""
+    bits = np.int64(1) << np.arange(x.shape[1], dtype=np.int64)
+    none = np.zeros(len(z), np.int64)
+    stack = [(0, np.arange(len(x)), np.zeros(len(x), np.int64), np.arange(len(z)), none)] if len(x) and len(z) else []
+    while stack:
+        node, rows, lost_x, back, lost_z = stack.pop()
+        f = tree.feature[node]
+        if f < 0:
+            _leaf(tree.value[node], rows, lost_x, lost_z, bits, out)
+            continue
+        t = tree.threshold[node]
+        left_x, left_z = (x[rows, f] <= t, z[back, f] <= t) if closed else (x[rows, f] < t, z[back, f] < t)
+        for child, in_x, in_z in ((tree.left[node], left_x, left_z), (tree.right[node], ~left_x, ~left_z)):
+            a, b = np.where(in_x, lost_x, lost_x | bits[f]), np.where(in_z, lost_z, lost_z | bits[f])
+            keep = (a & np.bitwise_and.reduce(b)) == 0
+            if not keep.any():
+                continue
+            a, kept = a[keep], rows[keep]
+            stay = (b & np.bitwise_and.reduce(a)) == 0
+            if stay.any():
+                stack.append((child, kept, a, back[stay], b[stay]))
+
+
+def _leaf(value: np.ndarray, rows: np.ndarray, lost_x: np.ndarray, lost_z: np.ndarray, bits: np.ndarray, out: np.ndarray) -> None:
+    if not value.any() or not (lost_x.any() or lost_z.any()):
+        return
+    ux, of = np.unique(lost_x, return_inverse=True)
+    uz, n = np.unique(lost_z, return_counts=True)
+    met = np.where(ux[:, None] & uz[None, :], 0, n)  # pairs without a feature that both have lost
+    na, nb = np.bitwise_count(uz), np.bitwise_count(ux)
+    gain = (met * _IN_A[na[None, :], nb[:, None]]) @ ((uz[:, None] & bits) != 0).astype(float)
+    loss = (met * _IN_B[na[None, :], nb[:, None]]).sum(axis=1)
+    phi = gain - loss[:, None] * ((ux[:, None] & bits) != 0)
+    out[rows] += phi[of][:, :, None] * value
+
+
+def _walked(shared, nf: int, outputs: int, closed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and summed Shapley values (features x outputs, flat) of rows (id, features ...)."""
+    trees, z = shared.value
+    for batch in batches:
+        x = np.column_stack([np.asarray(batch.column(1 + f).to_numpy(zero_copy_only=False), float) for f in range(nf)])
+        out = np.zeros((len(x), nf, outputs))
+        for tree in trees:
+            two_sample_walk(tree, x, z, closed, out)
+        flat = pa.array(out.ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (nf * outputs)), flat)
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "phi"])
+
+
+def tree_shap(rows: DataFrame, background: DataFrame, features: list[str], model: TreeModel,
               id_col: str) -> DataFrame:
     """SH1: phi(row, feature, class) for every row, feature and class.
 
-    Output columns: id_col, feature, class (int), phi; 0 for features off all paths.
+    Output columns: id_col, feature, class (int), phi; 0 for features off all paths. Rows
+    of equal id are added up as one. ``background`` is a sample whose rows are sent to
+    the tasks in parts; cost grows with its size.
     """
+    if len(features) > 63:
+        raise ValueError("tree SHAP takes at most 63 features")
     spark = rows.sparkSession
-    lt = model.frame(spark)
+    workers_import(spark)
+    values = [F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
     nz = background.count()
-    fact = F.array(*[F.lit(v) for v in FACT])
-    xm = _masks(rows, features, lt, id_col)
-    zm = _masks(background, features, lt, None).groupBy("tree", "leaf", "nf", "mask").agg(
-        F.count(F.lit(1)).alias("cz"))
-    xd = xm.select("tree", "leaf", "nf", F.col("mask").alias("mx")).distinct()
-    pairs = xd.join(zm.withColumnRenamed("mask", "mz"), ["tree", "leaf", "nf"])
-    full = _pow2(F.col("nf")) - 1
-    a = F.col("mx").bitwiseAND(F.bitwise_not(F.col("mz"))).bitwiseAND(full)
-    b = F.col("mz").bitwiseAND(F.bitwise_not(F.col("mx"))).bitwiseAND(full)
-    neither = F.bitwise_not(F.col("mx")).bitwiseAND(F.bitwise_not(F.col("mz"))).bitwiseAND(full)
-    pairs = pairs.where((neither == 0) & ((a != 0) | (b != 0)))
-    pairs = pairs.withColumn("na", F.bit_count(a)).withColumn("nb", F.bit_count(b)) \
-                 .withColumn("a", a).withColumn("b", b)
-    den = F.element_at(fact, F.col("na") + F.col("nb") + 1)
-    wa = F.when(F.col("na") > 0, F.element_at(fact, F.greatest(F.col("na"), F.lit(1)))
-                * F.element_at(fact, F.col("nb") + 1) / den)
-    wb = F.when(F.col("nb") > 0, F.element_at(fact, F.col("na") + 1)
-                * F.element_at(fact, F.greatest(F.col("nb"), F.lit(1))) / den)
-    ex = pairs.select("tree", "leaf", "mx", "cz", "a", "b", wa.alias("wa"), wb.alias("wb"),
-                      F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("bit"))
-    inA = F.col("a").bitwiseAND(_pow2(F.col("bit"))) != 0
-    inB = F.col("b").bitwiseAND(_pow2(F.col("bit"))) != 0
-    w = F.when(inA, F.col("wa")).when(inB, -F.col("wb"))
-    contrib = (ex.where(inA | inB).groupBy("tree", "leaf", "mx", "bit")
-                 .agg(F.sum(w * F.col("cz")).alias("wsum")))
-    contrib = contrib.join(F.broadcast(lt.select("tree", "leaf", "feats", "value", "weight")), ["tree", "leaf"])
-    contrib = contrib.select("tree", "leaf", "mx",
-                             F.element_at("feats", F.col("bit") + 1).alias("fidx"),
-                             F.transform("value", lambda v: v * F.col("wsum") * F.col("weight") / F.lit(float(nz)))
-                             .alias("phis"))
-    out = xm.join(contrib, (xm.tree == contrib.tree) & (xm.leaf == contrib.leaf) & (xm.mask == contrib.mx))
-    out = out.select(id_col, "fidx", F.posexplode("phis").alias("class", "p"))
-    # every (row, feature, class) once with 0, so none is missing
-    grid = F.sequence(F.lit(0), F.lit(len(features) - 1)), F.sequence(F.lit(0), F.lit(model.n_classes - 1))
-    zeros = rows.select(id_col, F.explode(grid[0]).alias("fidx")).select("*", F.explode(grid[1]).alias("class"), F.lit(0.0).alias("p"))
-    out = out.unionByName(zeros)
+    parts = max(1, -(-nz // BACKGROUND_ROWS))
+    back = background.select(*values, (F.monotonically_increasing_id() % parts).alias("part"))
+    wide = rows.select(F.col(id_col).alias("id"), *values)
+    found = None
+    for part in range(parts):
+        z = back.where(F.col("part") == part).drop("part").toPandas().to_numpy(float)
+        for group in tree_groups(model.trees):
+            shared = spark.sparkContext.broadcast((group, z))
+            kind = f"id {rows.schema[id_col].dataType.simpleString()}, phi array<double>"
+            one = wide.mapInArrow(lambda it, shared=shared: _walked(shared, len(features), model.outputs, model.closed, it), kind)
+            found = one if found is None else found.unionByName(one)
     names = F.array(*[F.lit(f) for f in features])
-    return (out.groupBy(id_col, "fidx", "class").agg(F.sum("p").alias("phi"))
-               .select(id_col, F.element_at(names, F.col("fidx") + 1).alias("feature"),
-                       F.col("class").cast("int").alias("class"), "phi"))
+    scale = model.weight / max(nz, 1)
+    # parts of a row are added up by place before anything is exploded
+    place = F.col("place")
+    if parts > 1 or len(tree_groups(model.trees)) > 1:
+        found = (found.select("id", F.posexplode("phi").alias("place", "p")).groupBy("id", "place").agg(F.sum("p").alias("p")))
+    else:
+        found = found.select("id", F.posexplode("phi").alias("place", "p"))
+    return found.select(F.col("id").alias(id_col), F.element_at(names, F.floor(place / model.outputs).cast("int") + 1).alias("feature"),
+                        (place % model.outputs).cast("int").alias("class"), (F.col("p") * scale).alias("phi"))
 
 
-def base_values(background: DataFrame, features: list[str], model: LeafTable) -> DataFrame:
+def _outputs(df: DataFrame, features: list[str], model: TreeModel) -> DataFrame:
+    return tree_sums(df, features, model.trees, model.outputs, "__out", model.closed)
+
+
+def base_values(background: DataFrame, features: list[str], model: TreeModel) -> DataFrame:
     """SH2: per class, the mean model output over the background."""
-    spark = background.sparkSession
-    lt = model.frame(spark)
-    nz = background.count()
-    zm = _masks(background, features, lt, None)
-    reach = zm.where(F.col("mask") == _pow2(F.col("nf")) - 1).groupBy("tree", "leaf").agg(
-        F.count(F.lit(1)).alias("cz"))
-    j = reach.join(F.broadcast(lt.select("tree", "leaf", "value", "weight")), ["tree", "leaf"])
-    ex = j.select(F.posexplode("value").alias("class", "v"), "cz", "weight")
-    return ex.groupBy(F.col("class").cast("int").alias("class")).agg(
-        (F.sum(F.col("v") * F.col("cz") * F.col("weight")) / F.lit(float(nz))).alias("base"))
+    ex = _outputs(background, features, model).select(F.posexplode("__out").alias("class", "v"))
+    return ex.groupBy(F.col("class").cast("int").alias("class")).agg((F.avg("v") * F.lit(float(model.weight))).alias("base"))
 
 
-def model_output(rows: DataFrame, features: list[str], model: LeafTable, id_col: str) -> DataFrame:
+def model_output(rows: DataFrame, features: list[str], model: TreeModel, id_col: str) -> DataFrame:
     """f(x) per (row, class): sum over trees of weight * value at the reached leaf."""
-    lt = model.frame(rows.sparkSession)
-    m = _masks(rows, features, lt, id_col)
-    reach = m.where(F.col("mask") == _pow2(F.col("nf")) - 1)
-    j = reach.join(F.broadcast(lt.select("tree", "leaf", "value", "weight")), ["tree", "leaf"])
-    ex = j.select(id_col, F.posexplode("value").alias("class", "v"), "weight")
-    return ex.groupBy(id_col, F.col("class").cast("int").alias("class")).agg(
-        F.sum(F.col("v") * F.col("weight")).alias("fx"))
+    ex = _outputs(rows, features, model).select(id_col, F.posexplode("__out").alias("class", "v"))
+    return ex.select(id_col, F.col("class").cast("int").alias("class"), (F.col("v") * F.lit(float(model.weight))).alias("fx"))
 
 
 # ---------------------------------------------------------------- SH3 / SH4

@@ -377,14 +377,10 @@ class ExtraTreesModel:
             total += np.frombuffer(r["gain"])
         return {f: float(g / total.sum()) if total.sum() else 0.0 for f, g in zip(self.features, total)}
 
-    def leaf_table(self):
-        from tessera.operators.explain import LeafTable, leaves_from_nodes
-        out = []
-        for t, tree in enumerate(self.walk_trees()):
-            nodes = {n: {"feature": int(tree.feature[n]), "threshold": float(tree.threshold[n]), "left": int(tree.left[n]),
-                         "right": int(tree.right[n]), "stats": tree.value[n].tolist()} for n in range(len(tree.feature))}
-            out += leaves_from_nodes(nodes, t, self.n_classes, 1.0 / self.n_trees, normalise=True)
-        return LeafTable(out, self.n_classes)
+    def tree_model(self):
+        """Class shares for tree SHAP."""
+        from tessera.operators.explain import TreeModel
+        return TreeModel(self.walk_trees(), self.n_classes, 1.0 / self.n_trees)
 
 
 def _whole(parts: dict[int, tuple]) -> Tree:

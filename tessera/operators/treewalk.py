@@ -75,10 +75,8 @@ def _group_sums(shared, outputs: int, closed: bool):
     return sums
 
 
-def tree_sums(df: DataFrame, features: list[str], trees: list[Tree], outputs: int, out_col: str, closed: bool) -> DataFrame:
-    """``df`` plus ``out_col``: the sum of all trees' leaf values, an array of doubles."""
-    spark = df.sparkSession
-    workers_import(spark)
+def tree_groups(trees: list[Tree]) -> list[list[Tree]]:
+    """Trees in groups of at most ``GROUP_BYTES``, or of one larger tree."""
     groups: list[list[Tree]] = [[]]
     room = GROUP_BYTES
     for tree in trees:
@@ -87,8 +85,15 @@ def tree_sums(df: DataFrame, features: list[str], trees: list[Tree], outputs: in
             room = GROUP_BYTES
         groups[-1].append(tree)
         room -= tree.size
+    return groups
+
+
+def tree_sums(df: DataFrame, features: list[str], trees: list[Tree], outputs: int, out_col: str, closed: bool) -> DataFrame:
+    """``df`` plus ``out_col``: the sum of all trees' leaf values, an array of doubles."""
+    spark = df.sparkSession
+    workers_import(spark)
     out: Column | None = None
-    for group in groups:
+    for group in tree_groups(trees):
         sums = _group_sums(spark.sparkContext.broadcast(group), outputs, closed)(*[F.col(f).cast("double") for f in features])
         out = sums if out is None else F.zip_with(out, sums, lambda a, b: a + b)
     return df.withColumn(out_col, out if out is not None else F.array_repeat(F.lit(0.0), outputs))
