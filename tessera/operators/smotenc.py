@@ -12,13 +12,18 @@ standard deviations of the continuous features in the smallest class
 Exact k-NN without all pairs: each class is cut into cells of about ``cell_points``
 points by quantiles of the two continuous features with the largest spread, so skewed
 values don't pile up in one cell (many equal points are dealt out by a hash). A seed is
-compared with its own cell first; then it visits every cell whose bounding box is not
-farther than the k-th distance so far. Boxes may overlap, so this is exact for any cells.
+compared with its own cell first; then it visits every cell whose bounding box (over all
+continuous features) is not farther than the k-th distance so far. Boxes may overlap, so
+this is exact for any cells. Seeds find those cells in a tree of boxes: a node has up to
+16 neighbouring cells or nodes, and a seed goes on from a node only to children that are
+near enough, one level a join. So what is compared and shuffled is visits, not seeds
+times cells.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -80,6 +85,52 @@ def _nearest(q: pd.DataFrame, p: pd.DataFrame, cls: str, cont: list[str], cat: l
     return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
 
+#: Nodes of a level of the box tree that are sent to every executor; larger levels are shuffled.
+SENT_NODES = 65_536
+
+
+def near_cells(todo: DataFrame, points: DataFrame, cls: str, cont: list[str], strips: dict, rows: dict) -> DataFrame:
+    """``todo`` (class, r2, a_ features) with each cell (strip, cell, part) whose box is within r2.
+
+    Level 0 of the tree has the cells (of their parts), level k the nodes (strip, cell)
+    shifted by 2 (k - 1) bits, 4 x 4 nodes of the level below, up to one node a class. A
+    level of at most ``SENT_NODES`` nodes, by the numbers of strips and cells, is sent to
+    every executor; the levels below have so many nodes that no node has many visits.
+    """
+    ends = [f for c in cont for f in (F.min("b_" + c).alias(f"lo_{c}"), F.max("b_" + c).alias(f"hi_{c}"))]
+    leaves = cut_lineage(points.groupBy(cls, "strip", "cell", "part").agg(*ends))
+    again = [f for c in cont for f in (F.min(f"lo_{c}").alias(f"lo_{c}"), F.max(f"hi_{c}").alias(f"hi_{c}"))]
+    widest = max(max(strips.values(), default=1), max(rows.values(), default=1))
+    top = math.ceil(math.log(widest, 4))  # its nodes all hang below (0, 0)
+
+    def shifted(column: str, k: int) -> Column:
+        return F.shiftright(F.col(column).cast("int"), 2 * (k - 1))
+
+    def away(c: str) -> Column:
+        x = F.col("a_" + c).cast("double")
+        far = F.greatest(F.col(f"lo_{c}") - x, x - F.col(f"hi_{c}"), F.lit(0.0))
+        return far * far
+    gap = reduce(lambda a, b: a + b, [away(c) for c in cont], F.lit(0.0))
+    ends_of = [f"{e}_{c}" for c in cont for e in ("lo", "hi")]
+    found = todo.withColumn("at_s", F.lit(0)).withColumn("at_c", F.lit(0))  # the top node of the class
+    for k in range(top, -1, -1):
+        if k:
+            nodes = leaves.groupBy(cls, shifted("strip", k).alias("s"), shifted("cell", k).alias("c")).agg(*again)
+            names, above = ["s", "c"], [F.shiftright("s", 2), F.shiftright("c", 2)]
+        else:
+            nodes, names, above = leaves, ["strip", "cell", "part"], [F.col("strip"), F.col("cell")]
+        width = 4 ** max(0, k - 1)
+        size = sum(-(-strips[v] // width) * -(-rows[v] // width) for v in strips) * (1 if k else 4)  # cells of many points have parts
+        nodes = nodes.select(F.col(cls).alias("of"), above[0].alias("up_s"), above[1].alias("up_c"), *names, *ends_of)
+        if size <= SENT_NODES:
+            nodes = F.broadcast(nodes)
+        on = (F.col(cls) == F.col("of")) & (F.col("at_s") == F.col("up_s")) & (F.col("at_c") == F.col("up_c")) & (gap <= F.col("r2"))
+        found = found.join(nodes, on).drop("of", "up_s", "up_c", "at_s", "at_c", *ends_of)
+        if k:
+            found = found.withColumnsRenamed({"s": "at_s", "c": "at_c"})
+    return found
+
+
 def knn_within_class(queries: DataFrame, points: DataFrame, cls: str, id_col: str,
                      cont: list[str], cat: list[str], med2: float, k: int,
                      grid_dims: list[str], cell_points: int = 2048) -> DataFrame:
@@ -122,8 +173,6 @@ def knn_within_class(queries: DataFrame, points: DataFrame, cls: str, id_col: st
     full = placed.groupBy(cls, "strip", "cell").agg(F.ceil(F.count(F.lit(1)) / (4 * cell_points)).cast("int").alias("parts"))
     cell = [cls, "strip", "cell", "part"]
     p = cut_lineage(placed.join(full, cell[:3]).withColumn("part", F.pmod(F.xxhash64("b_id"), F.col("parts")).cast("int")).drop("parts"))
-    boxes = cut_lineage(p.groupBy(*cell).agg(F.min("b_" + g1).alias("lo1"), F.max("b_" + g1).alias("hi1"),
-                                             F.min("b_" + g2).alias("lo2"), F.max("b_" + g2).alias("hi2")))
     q = place(queries).join(full, cell[:3], "left").select(
         cls, "strip", "cell", F.pmod(F.xxhash64(id_col), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
         F.col(id_col).alias("q_id"), *[F.col(c).alias("a_" + c) for c in feats])
@@ -145,12 +194,8 @@ def knn_within_class(queries: DataFrame, points: DataFrame, cls: str, id_col: st
     kth = first.groupBy(cls, "q_id").agg(F.when(F.count(F.lit(1)) == k, F.max("d2")).alias("r2"))
     todo = q.withColumnsRenamed({c: f"own_{c}" for c in cell[1:]}).join(kth, [cls, "q_id"], "left")
     todo = todo.withColumn("r2", F.coalesce("r2", F.lit(float("inf"))))
-    away = lambda x, lo, hi: F.greatest(F.col(lo) - x, x - F.col(hi), F.lit(0.0))
-    x1, x2 = F.col("a_" + g1).cast("double"), F.col("a_" + g2).cast("double")
-    gap = away(x1, "lo1", "hi1") * away(x1, "lo1", "hi1") + (
-        away(x2, "lo2", "hi2") * away(x2, "lo2", "hi2") if g1 != g2 else F.lit(0.0))
     own = (F.col("strip") == F.col("own_strip")) & (F.col("cell") == F.col("own_cell")) & (F.col("part") == F.col("own_part"))
-    visits = todo.join(boxes, cls).where(~own & (gap <= F.col("r2"))).select(*cell, "q_id", "r2", *["a_" + c for c in feats])
+    visits = near_cells(todo, p, cls, cont, strips, rows).where(~own).select(*cell, "q_id", "r2", *["a_" + c for c in feats])
     found = first.unionByName(search(visits))
     w = Window.partitionBy(cls, "q_id").orderBy("d2", "b_id")
     out = found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)

@@ -132,3 +132,38 @@ def test_histogram_has_empty_bins_and_a_number_of_its_own(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (10.0,)], "x double")
     assert [r["count"] for r in P.histogram(df, "x", 5).orderBy("bin").collect()] == [2, 0, 0, 0, 1]
     assert P.histogram(df, "x", None).count() == 1 + math.ceil(math.log2(3))
+
+
+def _visits(spark, n, cell_points, monkeypatch):
+    """Visits of all points of a class, and its cells."""
+    from tessera.operators import smotenc as N
+    rng = np.random.default_rng(n)
+    rows = [(i, "a", *map(float, rng.random(2))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, y string, p double, q double")
+    seen = []
+    real = N.near_cells
+
+    def counted(*args):
+        out = real(*args)
+        seen.append((out.count(), args[1].select("strip", "cell", "part").distinct().count()))
+        return out
+    monkeypatch.setattr(N, "near_cells", counted)
+    got = N.knn_within_class(df, df, "y", "id", ["p", "q"], [], 0.0, 3, ["p", "q"], cell_points)
+    near = {(r["q_id"], r["nn_rank"]): r["b_id"] for r in got.collect()}
+    monkeypatch.setattr(N, "near_cells", real)
+    x = np.array([r[2:] for r in rows])
+    for i in range(0, n, 37):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert [near[i, k] for k in (1, 2, 3)] == np.lexsort((np.arange(n), d))[:3].tolist()
+    return seen[0]
+
+
+def test_visits_grow_with_the_points_not_with_points_times_cells(spark, monkeypatch):
+    from tessera.operators import smotenc as N
+    few, cells_few = _visits(spark, 1500, 12, monkeypatch)
+    many, cells_many = _visits(spark, 6000, 12, monkeypatch)
+    assert cells_many > 3 * cells_few > 100
+    assert few < 1500 * cells_few / 10 and many < 6 * few  # points times cells grow 16 fold
+    monkeypatch.setattr(N, "SENT_NODES", 0)  # levels that are shuffled
+    assert _visits(spark, 1500, 12, monkeypatch)[0] == few
