@@ -94,3 +94,10 @@ def exact_rank_global(df: DataFrame, order_col: str, id_col: str,
     g = "__g"
     return exact_rank(df.withColumn(g, F.lit(0)), [g], order_col, id_col,
                       rank_col, digits).drop(g)
+
+
+def range_bucket(value: Column, cuts: Column, most: int) -> Column:
+    """How many of the ascending ``cuts`` (an array of at most ``most``) are below ``value``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda a, k: F.when(
+        F.coalesce(F.get(cuts, a + k - 1) < value, F.lit(False)), a + k).otherwise(a))

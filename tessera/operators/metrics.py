@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import range_bucket
 from tessera.functions.exact import safe_div
 
 
@@ -148,15 +149,26 @@ def classification_report(counts: DataFrame, classes: list, names: list[str] | N
     return pc.drop("tp").unionByName(summary)
 
 
+def score_buckets(sc: DataFrame, buckets: int) -> DataFrame:
+    """Rows (code, score, ...) with ``bucket``: ranges of the code's scores with about equally many rows."""
+    cuts = sc.groupBy("code").agg(F.array_sort(F.array_distinct(F.percentile_approx(
+        "score", [i / buckets for i in range(1, buckets)], 10 * buckets))).alias("cuts"))
+    # one row a class
+    return sc.join(F.broadcast(cuts), "code").withColumn(
+        "bucket", F.coalesce(range_bucket(F.col("score"), F.col("cuts"), buckets), F.lit(0))).drop("cuts")
+
+
 def ovr_auc(scored: DataFrame, classes: list, label_col: str = "label",
-            prob_col: str = "probability", buckets: int = 1 << 16) -> DataFrame:
+            prob_col: str = "probability", buckets: int = 4096) -> DataFrame:
     """ME9: exact one-vs-rest ROC AUC per class (ties count 1/2).
 
     AUC_c = sum_s pos(s) * (neg_below(s) + neg(s)/2) / (P * N).
     Rows are first reduced to (class, score) -> pos, neg (partial aggregation).
     The "negatives below" prefix sum is split in two levels so no class is sorted
-    in one task: fixed-width score buckets give a small per-class histogram
-    (prefix over buckets), and only scores inside one bucket are ordered together.
+    in one task: ``buckets`` ranges of about equally many different scores, whose bounds
+    are quantiles of each class's scores, give a small per-class histogram (prefix over
+    buckets), and only scores inside one bucket are ordered together. So scores may lie
+    anywhere, however close together. Null and NaN scores count as the least and greatest.
     Output: cls, positives, negatives, auc (null when a side is empty).
     """
     spark = scored.sparkSession
@@ -167,8 +179,7 @@ def ovr_auc(scored: DataFrame, classes: list, label_col: str = "label",
     sc = ex.groupBy("code", "score").agg(
         F.sum((F.col("__y") == F.col("code")).cast("long")).alias("pos"),
         F.sum((F.col("__y") != F.col("code")).cast("long")).alias("neg"))
-    sc = sc.withColumn("bucket", F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(0)),
-                                         F.lit(buckets - 1)).cast("long"))
+    sc = score_buckets(sc, buckets)
     hist = sc.groupBy("code", "bucket").agg(F.sum("neg").alias("bneg"))
     w_b = Window.partitionBy("code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("neg_before", F.coalesce(F.sum("bneg").over(w_b), F.lit(0))).drop("bneg")

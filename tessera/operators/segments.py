@@ -1,5 +1,5 @@
-"""Segmentation: k-means, Lloyd steps, PCA map, cluster profiles and naming
-(ML5, ML6, FE9, FE10, AG16, AG17, SG1-SG7, WN1, WN2, ME14).
+"""Segmentation: Lloyd steps, PCA map, cluster profiles and naming
+(ML6, FE9, FE10, AG16, AG17, SG1-SG7, WN1, WN2, ME14).
 
 Row-level work is column arithmetic against k literal centroids (k x d numbers on
 the driver, like a fitted Spark ML model); profiles and naming run on k-row
@@ -8,7 +8,6 @@ tables.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,24 +16,6 @@ from tessera.functions.exact import isclose, pct_1dp
 from tessera.operators.models import assemble
 
 
-# ---------------------------------------------------------------- ML5
-def kmeans_restarts(df: DataFrame, features: list[str], k: int = 3, seeds: int = 10,
-                    base_seed: int = 42, max_iter: int = 300):
-    """ML5: ``seeds`` k-means fits (k-means||, different seeds); keep the lowest cost.
-
-    Returns (model, cost). The frame should be cached by the caller.
-    """
-    data = assemble(df, features).select("features").cache()
-    best = None
-    for s in range(seeds):
-        m = KMeans(k=k, seed=base_seed + s, maxIter=max_iter, featuresCol="features").fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    data.unpersist()
-    return best
-
-
 # ---------------------------------------------------------------- ML6
 def _sqdist(xs: list[Column], c: list[float]) -> Column:
     d = None

@@ -41,6 +41,16 @@ def _io1(spark, sf):
     return IO.read_csv(spark, path, d.schema)
 
 
+# IO1: the same file with its types found ------------------------------------
+_INTEGERS = ("line_count", "has_return", "has_open", "neg_balance")
+
+
+@reg("io1_inferred_types", f"{W} SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' if c in _INTEGERS else c for c in ALL)} FROM order_profile")
+def _io1_types(spark, sf):
+    path = IO.write_csv(op(spark, sf).select(*ALL), IO.scratch_path(spark, "order_profile_csv"))
+    return IO.read_csv_inferred(spark, path)
+
+
 # IO2: split written partitioned by split, read back pruned ------------------
 @reg("io2_parquet_split_load", f"{WS} SELECT row_id, stage, acct_bal FROM split WHERE split = 'test'")
 def _io2(spark, sf):

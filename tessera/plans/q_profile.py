@@ -154,14 +154,12 @@ reg("ag22_histogram_strings", f"""{W} SELECT 'segment' AS column_name, segment A
 ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, segment) AS rank FROM order_profile GROUP BY segment""")(
     lambda spark, sf: P.value_counts(op(spark, sf), ["segment"]))
 
+# every point against every grid point
 reg("ag23_kde_curve", f"""{W}, b AS (SELECT CAST(part_size_max AS DOUBLE) AS x FROM order_profile WHERE part_size_max IS NOT NULL),
-st AS (SELECT COUNT(*) AS n, MIN(x) AS mn, MAX(x) AS mx, STDDEV_SAMP(x) AS sd FROM b),
-p AS (SELECT n, mn, mx, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw,
-             CASE WHEN mx > mn THEN (mx - mn) / 64 ELSE 1.0 END AS w FROM st),
-h AS (SELECT CAST(LEAST(FLOOR((x - mn) / w), 63) AS INTEGER) AS bin, COUNT(*) AS c FROM b CROSS JOIN p GROUP BY 1),
-g AS (SELECT UNNEST(generate_series(0, 199)) AS gi),
-e AS (SELECT gi, (mn - 3.0 * bw) + gi * ((mx - mn + 2 * 3.0 * bw) / 199) AS gx, c,
-             mn + (bin + 0.5) * w AS centre, bw, n FROM h CROSS JOIN p CROSS JOIN g)
-SELECT gi, gx, SUM(c * exp(-0.5 * ((gx - centre) / bw) * ((gx - centre) / bw))) / (ANY_VALUE(n) * ANY_VALUE(bw) * sqrt(2 * pi())) AS density
+p AS (SELECT n, mn, mx, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM (
+  SELECT COUNT(*) AS n, MIN(x) AS mn, MAX(x) AS mx, STDDEV_SAMP(x) AS sd FROM b) st),
+e AS (SELECT gi, (mn - 3.0 * bw) + gi * ((mx - mn + 2 * 3.0 * bw) / 199) AS gx, x, bw, n
+      FROM b CROSS JOIN p CROSS JOIN (SELECT CAST(UNNEST(generate_series(0, 199)) AS INTEGER) AS gi) g)
+SELECT gi, gx, SUM(exp(-0.5 * ((gx - x) / bw) * ((gx - x) / bw))) / (ANY_VALUE(n) * ANY_VALUE(bw) * sqrt(2 * pi())) AS density
 FROM e GROUP BY gi, gx""")(
-    lambda spark, sf: P.kde_curve(op(spark, sf), "part_size_max", 64, 200, 3.0))
+    lambda spark, sf: P.kde_curve(op(spark, sf), "part_size_max", 200, 3.0))

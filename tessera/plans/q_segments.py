@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import exact_quantiles
+from tessera.operators import kmeans as KM
 from tessera.operators import segments as SG
+from tessera.operators.blocks import packed
 from tessera.plans.order_rules import ORDER_RULES, ORDER_SEGMENT_COLORS, ORDER_SEGMENT_LABELS, ORDER_SEGMENTS
 from tessera.plans.q_core import op_split
 from tessera.plans.spec import ORDER_SPEC
@@ -240,3 +243,31 @@ def _sg6_sql():
 
 
 reg("sg6_cluster_meaning", _sg6_sql())(_sg6)
+
+
+# ML5: one step of ten restarts at once ----------------------------------------
+RESTARTS = 10
+
+
+def _kmeans_step(spark, sf):
+    """Ten restarts from the first 30 rows, three each: centroids after a step, rows of each and the cost before."""
+    ztr = clustered(spark, sf)[0].select("row_id", *Z)
+    rows = np.array(SG.first_rows_as_centroids(ztr, Z, "row_id", RESTARTS * K))
+    blocks = packed(ztr, Z, F.lit(0), F.col("row_id"), None)
+    new, n, cost = KM.step(blocks, len(Z), rows.reshape(RESTARTS, K, len(Z)))
+    out = [(r, c, f, float(new[r, c, i]), int(n[r, c]), float(cost[r])) for r in range(RESTARTS) for c in range(K) for i, f in enumerate(PROF)]
+    return spark.createDataFrame(out, "restart int, cluster int, feature string, value double, n long, cost double")
+
+
+_step_d = " + ".join(f"(ztr.z_{c} - s.z_{c}) * (ztr.z_{c} - s.z_{c})" for c in PROF)
+_step_out = " UNION ALL ".join(
+    f"SELECT restart, cl AS cluster, '{c}' AS feature, COALESCE(a_{c}, z_{c}) AS value, COALESCE(n, 0) AS n, cost FROM both_" for c in PROF)
+reg("ml5_kmeans_step", CLUSTER_SQL + f""",
+starts AS (SELECT CAST((rn - 1) // {K} AS INTEGER) AS restart, CAST((rn - 1) % {K} AS INTEGER) AS cl, {", ".join(Z)} FROM (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY row_id) AS rn FROM ztr) f WHERE rn <= {RESTARTS * K}),
+dist AS (SELECT ztr.*, restart, cl, {_step_d} AS d FROM ztr CROSS JOIN starts s),
+near AS (SELECT * FROM dist QUALIFY ROW_NUMBER() OVER (PARTITION BY restart, row_id ORDER BY d, cl) = 1),
+mean AS (SELECT restart, cl, COUNT(*) AS n, {", ".join(f"AVG(z_{c}) AS a_{c}" for c in PROF)} FROM near GROUP BY restart, cl),
+costs AS (SELECT restart, SUM(d) AS cost FROM near GROUP BY restart),
+both_ AS (SELECT s.*, mean.* EXCLUDE (restart, cl), cost FROM starts s LEFT JOIN mean USING (restart, cl) JOIN costs USING (restart))
+{_step_out}""")(_kmeans_step)

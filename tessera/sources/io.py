@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import checkpoint_dir
@@ -21,6 +22,50 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+#: Texts that count as missing when types are inferred.
+MISSING = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "#N/A")
+_WHOLE = r"^[+-]?[0-9]+$"
+_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|Infinity)$"
+_TRUTH = ("True", "False", "true", "false", "TRUE", "FALSE")
+
+
+def inferred_types(texts: DataFrame) -> dict[str, str]:
+    """Type of each text column, of all its values: the least of boolean, long, double, string that holds them.
+
+    Whole numbers beyond 64 bits are doubles; a column without values is a string. Each
+    column has one flag a type, and flags are merged by ``min`` over all rows in one
+    aggregate: boolean and long have no type in common but string, long widens to double.
+    """
+    if not texts.columns:
+        return {}
+    flags = []
+    for i, c in enumerate(texts.columns):
+        v = F.trim(F.col(f"`{c}`"))
+        some = v.isNotNull() & ~v.isin(*MISSING)
+        whole = v.rlike(_WHOLE) & v.try_cast("long").isNotNull()
+        for kind, holds in (("boolean", v.isin(*_TRUTH)), ("long", whole), ("double", v.rlike(_NUMBER))):
+            flags.append(F.min(F.when(some, holds)).alias(f"{kind}_{i}"))
+    found = texts.agg(*flags).first()
+    return {c: next((kind for kind in ("boolean", "long", "double") if found[f"{kind}_{i}"]), "string")
+            for i, c in enumerate(texts.columns)}
+
+
+def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """IO1: CSV with a header, types inferred from every row (not a sample); missing texts are null.
+
+    Two scans: one finds the types, the other reads with them. Columns stay in the file's
+    order; strings keep their blanks.
+    """
+    texts = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    kinds = inferred_types(texts)
+    out = []
+    for c in texts.columns:
+        v = F.col(f"`{c}`")
+        missing = F.trim(v).isin(*MISSING)
+        out.append((F.when(~missing, v) if kinds[c] == "string" else F.when(~missing, F.trim(v)).try_cast(kinds[c])).alias(c))
+    return texts.select(*out)
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """IO3/IO4: CSV table sink with header, no index column."""
     df.write.mode("overwrite").option("header", True).csv(path)
