@@ -114,3 +114,26 @@ def load_trees(spark: SparkSession, path: str) -> list[Tree]:
     column = lambda nodes, name, kind: np.array([r[name] for r in nodes], kind)
     return [Tree(column(n, "feature", np.int32), column(n, "threshold", float), column(n, "left", np.int32),
                  column(n, "right", np.int32), column(n, "value", float)) for _, n in sorted(rows.items())]
+
+
+_ARRAYS = {"feature": np.int32, "threshold": np.float64, "left": np.int32, "right": np.int32, "value": np.float64}
+
+
+def save_packed(spark: SparkSession, path: str, trees: list[Tree]) -> None:
+    """One row a tree, its arrays as binary columns, in parts of at most ``GROUP_BYTES``."""
+    schema = ", ".join(["tree int", *[f"`{c}` binary" for c in _ARRAYS]])
+    first = 0
+    for group in tree_groups(trees):
+        rows = [(first + i, *(bytearray(np.ascontiguousarray(getattr(t, c), k).tobytes()) for c, k in _ARRAYS.items())) for i, t in enumerate(group)]
+        first += len(group)
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+
+
+def load_packed(spark: SparkSession, path: str, outputs: int) -> list[Tree]:
+    """Trees as they were saved, in order; the model comes to the driver, as a fitted one is there."""
+    rows = sorted(spark.read.parquet(path).toLocalIterator(), key=lambda r: r["tree"])
+    out = []
+    for r in rows:
+        arrays = {c: np.frombuffer(bytes(r[c]), k) for c, k in _ARRAYS.items()}
+        out.append(Tree(**(arrays | {"value": arrays["value"].reshape(-1, outputs)})))
+    return out

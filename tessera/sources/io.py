@@ -83,9 +83,39 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in whatever store its scheme names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file in one step; False if there is one already, which stays."""
+    fs, target = _file_system(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.exists(target) and fs.rename(part, target):
+        return True
+    fs.delete(part, False)
+    return False
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if there is no such file."""
+    if not exists(spark, path):
+        return None
+    return spark.read.option("wholetext", True).text(path).first()[0]
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    fs, target = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
 
 def require_path(spark: SparkSession, path: str, hint: str) -> str:
