@@ -8,7 +8,12 @@ where it doesn't. Lengths are summed over windows of ``WINDOW`` lines: where the
 leaves 0 is a surge point, where it has come back to 0 a dive point, and the text between
 is kept. Where the page marks no article, stretches far smaller than the largest are left
 out, unless they share a block (the page itself only if it holds them or the block around
-them) or a heading level with it, or hold the page's first heading level.
+them) or a heading level with it, hold the page's first heading level, or hold prose (a
+line of ``PROSE_WORDS`` words that ends as a sentence does). Lines of prose also stay if
+they are mostly links.
+
+A class or id names boilerplate by whole names, not by single words of one: ``promo`` and
+``promo-box`` do, ``promo-code`` does not, as ``code`` says that it is something else.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read
 from tessera.llm.kernels import tidied
 
-WINDOW, LEAST_SHARE, MOST_LINKS = 3, 0.25, 0.5
+WINDOW, LEAST_SHARE, MOST_LINKS, PROSE_WORDS = 3, 0.25, 0.5, 5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S | re.X)
@@ -33,7 +38,9 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
+RAW = frozenset("script style noscript template iframe svg object canvas textarea title".split())
+#: Without an end they hold the rest of the page; others of RAW are then not there.
+ENDLESS = frozenset("script style textarea title template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr "
                   "ul".split())
@@ -50,6 +57,10 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising adbox ban
                   "comments respond reply replies disqus discussion share sharing social related recommended newsletter subscribe "
                   "subscription signup login popup modal overlay footer header masthead topbar toolbar pagination pager widget "
                   "copyright legal disclaimer paywall search form".split())
+#: Words that say where or how large something is, or what holds it, but not what it is.
+NEUTRAL = frozenset("site page main top bottom left right inner outer box block bar section area container wrapper wrap row col column "
+                    "content list item items link links button buttons widget module unit slot panel group holder primary secondary "
+                    "global user js mobile desktop sticky fixed small large big new the my id no".split())
 #: Inside an article some of them name the article's own parts.
 WITHIN_ARTICLE = MARKS - {"header", "related", "legal", "search", "form", "discussion"}
 
@@ -67,9 +78,11 @@ def _marked(attributes: str, inside: bool) -> bool:
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & (WITHIN_ARTICLE if inside else MARKS):
-                return True
+            marks = WITHIN_ARTICLE if inside else MARKS
+            for token in value.split():
+                words = {w.lower() for w in _PART.findall(token) if not w.isdigit()}
+                if words & marks and words <= MARKS | NEUTRAL:
+                    return True
     return False
 
 
@@ -138,7 +151,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, tuple]], bo
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if not attributes.rstrip().endswith("/"):
-                at = end.end() if end else size
+                at = end.end() if end else size if name in ENDLESS else at
             text.append(" " if name not in ("script", "style") else "")
             continue
         if name in BLOCK:
@@ -171,6 +184,11 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, tuple]], bo
     return out, found["article"], found["main"]
 
 
+def prose(line: str) -> bool:
+    """A sentence of some words."""
+    return line.rstrip("\"')]»”’ ")[-1:] in (".", "!", "?", "…", "。") and len(line.split()) >= PROSE_WORDS
+
+
 def main_text(page: str, window: int = WINDOW) -> str:
     """Lines between surge and dive points, joined by line ends."""
     rows, article, main = lines(page)
@@ -178,7 +196,7 @@ def main_text(page: str, window: int = WINDOW) -> str:
     for line, linked, dull, in_article, in_main, _ in rows:
         size = len(line.replace(" ", ""))
         home = in_article if article else in_main if main else True
-        links = not article and not main and linked > MOST_LINKS * size
+        links = not article and not main and linked > MOST_LINKS * size and not prose(line)
         lengths.append(0 if dull or not home or links else size)
     n = len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(n)]  # of the window that begins at the line
@@ -195,7 +213,8 @@ def main_text(page: str, window: int = WINDOW) -> str:
         kin = [{x for j in range(surge, dive) if lengths[j] for x in rows[j][5]} for surge, dive, _ in stretches]
         most = max(range(len(stretches)), key=lambda i: stretches[i][2])
         least, of = LEAST_SHARE * stretches[most][2], kin[most] | {"h1"}
-        stretches = [s for s, k in zip(stretches, kin) if s[2] >= least or k & of]
+        stretches = [s for s, k in zip(stretches, kin) if s[2] >= least or k & of or any(
+            lengths[j] and prose(rows[j][0]) for j in range(s[0], s[1]))]
     return "\n".join(rows[j][0] for surge, dive, _ in stretches for j in range(surge, dive) if lengths[j])
 
 
@@ -210,8 +229,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, plus text and n_chars.
 
-    A null or empty page has an empty text. Columns of ``pages`` named text or n_chars
-    are replaced; the others pass through.
+    A null or empty page has an empty text; very long pages are read whole; repeated rows
+    each come out alike. Columns of ``pages`` named text or n_chars are replaced; the
+    others pass through.
     """
     wide = pages.select(F.col(html_col).cast("string").alias("_html"),
                         *[c for c in pages.columns if c not in (html_col, "text", "n_chars")])

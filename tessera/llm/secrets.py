@@ -2,7 +2,10 @@
 
 A text is scanned, then every run that looks encoded is unwrapped and the result put on
 the worklist as a layer of its own: percent escapes, backslash-u and backslash-x escapes,
-base64 (either alphabet) and, below base64 or hex, zlib or gzip data. Layers are scanned
+numeric character references, base64 (either alphabet) and, below base64 or hex, zlib or
+gzip data and UTF-16 text. A run that is no base64 as a whole may have other letters before
+or after: it is decoded in all four alignments, and readable stretches and compressed
+data inside are layers. Layers are scanned
 in turn until none is left. A layer that was seen before is not opened again (cycles and
 repeats end there), and every layer is shorter than what it was unwrapped from except for
 decompression, whose cycles are found by a digest.
@@ -28,6 +31,7 @@ import io
 import re
 import tempfile
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -48,11 +52,15 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = (("assign", _ASSIGN, 2, 12), ("access", _ACCESS, 0, 18), ("hex", _HEX, 0, 16))
 _NAMES = ("password", "passwd", "secret", "token", "api")
 
-_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+"
+                      r"|(?:&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
+_CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: Readable stretches of decoded bytes that are no text as a whole: one byte or two a character.
+_STRETCH = re.compile(rb"[\t\r\n\x20-\x7e]{12,}|(?:[\t\r\n\x20-\x7e]\x00){12,}|(?:\x00[\t\r\n\x20-\x7e]){12,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Ends where no find or encoded run can go on, however often it is unwrapped: characters that none of
 #: them has, and a space between letters that aren't part of an escape.
-_BREAK = re.compile(r"""[^A-Za-z0-9+/_.=%\\"'\x20:-]|(?<=\x20)[A-Za-z]+\x20(?=[A-Za-z])""")
+_BREAK = re.compile(r"""[^A-Za-z0-9+/_.=%\\"'\x20:{}&#;-]|(?<=\x20)[A-Za-z]+\x20(?=[A-Za-z])""")
 _HEX_BLOB = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 
 
@@ -93,8 +101,9 @@ def _escaped(run: str) -> tuple[str, list[tuple[int, int]]]:
             at += width
         return "".join(chars), places
     chars, places = [], []
-    for m in re.finditer(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", run):
-        code = int(m[1] or m[2], 16)
+    for m in _CODE.finditer(run):
+        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5], 16)
+        code = code if code < 0x110000 else 0xFFFD
         low = chars and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(chars[-1]) < 0xDC00
         if low:
             chars[-1] = chr(0x10000 + ((ord(chars[-1]) - 0xD800) << 10) + code - 0xDC00)
@@ -106,12 +115,20 @@ def _escaped(run: str) -> tuple[str, list[tuple[int, int]]]:
 
 
 def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+    """Bytes as text, UTF-8 or (with a mark or every other byte mostly zero) UTF-16; None if they are none."""
+    codes = ["utf-8"]
+    if len(raw) % 2 == 0 and len(raw) > 2:
+        zero = raw[1::2].count(0) * 2 > len(raw) // 2, raw[::2].count(0) * 2 > len(raw) // 2
+        codes += ["utf-16"] if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else ["utf-16-le"] * zero[0] + ["utf-16-be"] * zero[1]
+    for code in codes:
+        try:
+            text = raw.decode(code)
+        except UnicodeDecodeError:
+            continue
+        odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
+        if text and odd * 20 <= len(text):
+            return text
+    return None
 
 
 def _compressed(raw: bytes) -> bool:
@@ -198,19 +215,37 @@ def _unpacked(raw: bytes) -> Iterator[str]:
         source, whole = inner, complete
 
 
-def _decoded(run: str) -> Iterator[str]:
+def _decoded(run: str) -> Iterator[tuple[str, int, int]]:
+    """Layers of a run of base64 letters, each with its place in the run."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    plain = False
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        for text in _unpacked(base64.b64decode(body + "=" * (-len(body) % 4), validate=True)):
+            plain = True
+            yield text, 0, len(run)
     except (binascii.Error, ValueError):
+        pass
+    if plain:
         return
-    yield from _unpacked(raw)
+    for skip in range(4):  # letters before or after belong to something else
+        part = body[skip:]
+        part = part[: len(part) - 1] if len(part) % 4 == 1 else part
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        for m in _STRETCH.finditer(raw):
+            text = _readable(m[0])
+            if text is not None:
+                yield text, skip + m.start() // 3 * 4, min(len(run), skip + -(-m.end() // 3) * 4)
+        at = raw.find(b"\x1f\x8b\x08")
+        while at >= 0:
+            for text in _unpacked(raw[at:]):
+                yield text, skip + at // 3 * 4, len(run)
+            at = raw.find(b"\x1f\x8b\x08", at + 1)
 
 
 class _Layer:
     """A text and, per code point, the span of the original text it comes from (None: the text itself)."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None,
+    def __init__(self, text: str, starts: array | None = None, ends: array | None = None,
                  whole: tuple[int, int] | None = None) -> None:
         self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
 
@@ -222,32 +257,33 @@ class _Layer:
 
 def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
-    if "%" in text or "\\" in text:
-        out, starts, ends, at, changed = [], [], [], 0, False
+    if "%" in text or "\\" in text or "&#" in text:
+        out, starts, ends, at, changed = [], array("q"), array("q"), 0, False
+
+        def kept(start: int, end: int) -> None:
+            """Characters that stay; a layer that is one span as a whole needs no places."""
+            out.append(text[start:end])
+            if layer.whole is None:
+                starts.extend(range(start, end) if layer.starts is None else layer.starts[start:end])
+                ends.extend(range(start + 1, end + 1) if layer.ends is None else layer.ends[start:end])
+
         for m in _ESCAPES.finditer(text):
             chars, places = _escaped(m[0])
             changed = True
-            out.append(text[at : m.start()])
-            for i in range(at, m.start()):
-                a, b = layer.origin(i, i + 1)
-                starts.append(a)
-                ends.append(b)
+            kept(at, m.start())
             out.append(chars)
-            for a, b in places:
-                a, b = layer.origin(m.start() + a, m.start() + b)
-                starts.append(a)
-                ends.append(b)
+            if layer.whole is None:
+                for a, b in places:
+                    a, b = layer.origin(m.start() + a, m.start() + b)
+                    starts.append(a)
+                    ends.append(b)
             at = m.end()
         if changed:
-            out.append(text[at:])
-            for i in range(at, len(text)):
-                a, b = layer.origin(i, i + 1)
-                starts.append(a)
-                ends.append(b)
+            kept(at, len(text))
             yield _Layer("".join(out), starts, ends, layer.whole)
     for m in _BASE64.finditer(text):
-        for inner in _decoded(m[0]):
-            yield _Layer(inner, whole=layer.origin(*m.span()))
+        for inner, a, b in _decoded(m[0]):
+            yield _Layer(inner, whole=layer.origin(m.start() + a, m.start() + b))
     for m in _HEX_BLOB.finditer(text):
         for inner in _unpacked(bytes.fromhex(m[0])):
             yield _Layer(inner, whole=layer.origin(*m.span()))
@@ -321,8 +357,9 @@ def _rows(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
 def scan_secrets(docs: DataFrame, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` without the text, plus counts of base finds, their digest, all spans and the redacted text.
 
-    Null and empty texts have no finds (a null stays null when redacted). Columns of
-    ``docs`` with the new columns' names are replaced; the others pass through.
+    Null and empty texts have no finds (a null stays null when redacted). Whole texts are
+    scanned, however long; repeated rows each come out alike. Columns of ``docs`` with the
+    new columns' names are replaced; the others pass through.
     """
     rest = [c for c in docs.columns if c != text_col and c not in NEW]
     wide = docs.select(F.col(text_col).cast("string").alias("_text"), *rest)
