@@ -57,8 +57,8 @@ def confusion_matrix_wide(counts: DataFrame, classes: list, names: list[str] | N
     return wide.select("actual", *[F.col(f"`{c}`").alias(n) for c, n in zip(classes, names)])
 
 
-def class_stats(counts: DataFrame) -> DataFrame:
-    """Per class in truth ∪ prediction: tp, support (true count), predicted count."""
+def class_stats(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per class in truth ∪ prediction: tp, support (true count), predicted count; apart for each value of ``by``."""
     n = F.col("n")
     z = F.lit(0).cast("long")
     rows = F.explode(F.array(
@@ -66,27 +66,27 @@ def class_stats(counts: DataFrame) -> DataFrame:
                  F.when(F.col("actual") == F.col("predicted"), n).otherwise(z).alias("tp")),
         F.struct(F.col("predicted").alias("cls"), z.alias("t"), n.alias("p"), z.alias("tp")),
     ))
-    return (counts.select(rows.alias("s")).select("s.*").groupBy("cls")
+    return (counts.select(*by, rows.alias("s")).select(*by, "s.*").groupBy(*by, "cls")
                   .agg(F.sum("tp").alias("tp"), F.sum("t").alias("support"),
                        F.sum("p").alias("predicted")))
 
 
-def _per_class(stats: DataFrame) -> DataFrame:
+def _per_class(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     tp, t, p = F.col("tp"), F.col("support"), F.col("predicted")
     return stats.select(
-        "cls", "tp", "support", "predicted",
+        *by, "cls", "tp", "support", "predicted",
         safe_div(tp, p).alias("precision"),
         F.when(t > 0, tp / t).alias("recall"),
         safe_div(F.lit(2) * tp, t + p).alias("f1"),
     )
 
 
-def label_metrics(counts: DataFrame) -> DataFrame:
-    """ME2-ME7 in one row: accuracy, balanced_accuracy, weighted_precision,
+def label_metrics(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """ME2-ME7 in one row (for each value of ``by``): accuracy, balanced_accuracy, weighted_precision,
     macro_precision, macro_f1, mcc. Macro averages run over classes present in
     truth ∪ prediction; balanced accuracy over classes present in truth."""
-    pc = _per_class(class_stats(counts))
-    agg = pc.agg(
+    pc = _per_class(class_stats(counts, by), by)
+    agg = pc.groupBy(*by).agg(
         F.sum("support").cast("double").alias("N"),
         F.sum("tp").cast("double").alias("C"),
         F.avg("recall").alias("balanced_accuracy"),
@@ -104,6 +104,7 @@ def label_metrics(counts: DataFrame) -> DataFrame:
     cov_tt = N * N - F.col("__tt")
     mcc = F.when(cov_pp * cov_tt == 0, F.lit(0.0)).otherwise(cov_tp / F.sqrt(cov_tt * cov_pp))
     return agg.select(
+        *by,
         (C / N).alias("accuracy"),
         F.col("balanced_accuracy"),
         (F.col("__wp") / N).alias("weighted_precision"),
@@ -149,17 +150,17 @@ def classification_report(counts: DataFrame, classes: list, names: list[str] | N
     return pc.drop("tp").unionByName(summary)
 
 
-def score_buckets(sc: DataFrame, buckets: int) -> DataFrame:
+def score_buckets(sc: DataFrame, buckets: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows (code, score, ...) with ``bucket``: ranges of the code's scores with about equally many rows."""
-    cuts = sc.groupBy("code").agg(F.array_sort(F.array_distinct(F.percentile_approx(
+    cuts = sc.groupBy(*by, "code").agg(F.array_sort(F.array_distinct(F.percentile_approx(
         "score", [i / buckets for i in range(1, buckets)], 10 * buckets))).alias("cuts"))
     # one row a class
-    return sc.join(F.broadcast(cuts), "code").withColumn(
+    return sc.join(F.broadcast(cuts), [*by, "code"]).withColumn(
         "bucket", F.coalesce(range_bucket(F.col("score"), F.col("cuts"), buckets), F.lit(0))).drop("cuts")
 
 
 def ovr_auc(scored: DataFrame, classes: list, label_col: str = "label",
-            prob_col: str = "probability", buckets: int = 4096) -> DataFrame:
+            prob_col: str = "probability", buckets: int = 4096, by: tuple[str, ...] = ()) -> DataFrame:
     """ME9: exact one-vs-rest ROC AUC per class (ties count 1/2).
 
     AUC_c = sum_s pos(s) * (neg_below(s) + neg(s)/2) / (P * N).
@@ -169,38 +170,41 @@ def ovr_auc(scored: DataFrame, classes: list, label_col: str = "label",
     are quantiles of each class's scores, give a small per-class histogram (prefix over
     buckets), and only scores inside one bucket are ordered together. So scores may lie
     anywhere, however close together. Null and NaN scores count as the least and greatest.
-    Output: cls, positives, negatives, auc (null when a side is empty).
+    Output: cls, positives, negatives, auc (null when a side is empty), for each value of ``by``.
     """
     spark = scored.sparkSession
     code_of = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
     # a label outside the list is negative for every class
     y = F.coalesce(F.try_element_at(code_of, F.col(label_col)), F.lit(-1))
-    ex = scored.select(y.alias("__y"), F.posexplode(F.col(prob_col)).alias("code", "score"))
-    sc = ex.groupBy("code", "score").agg(
+    ex = scored.select(*by, y.alias("__y"), F.posexplode(F.col(prob_col)).alias("code", "score"))
+    sc = ex.groupBy(*by, "code", "score").agg(
         F.sum((F.col("__y") == F.col("code")).cast("long")).alias("pos"),
         F.sum((F.col("__y") != F.col("code")).cast("long")).alias("neg"))
-    sc = score_buckets(sc, buckets)
-    hist = sc.groupBy("code", "bucket").agg(F.sum("neg").alias("bneg"))
-    w_b = Window.partitionBy("code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sc = score_buckets(sc, buckets, by)
+    hist = sc.groupBy(*by, "code", "bucket").agg(F.sum("neg").alias("bneg"))
+    w_b = Window.partitionBy(*by, "code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("neg_before", F.coalesce(F.sum("bneg").over(w_b), F.lit(0))).drop("bneg")
-    w_in = Window.partitionBy("code", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    sc = sc.join(hist, ["code", "bucket"], "inner").withColumn(
+    w_in = Window.partitionBy(*by, "code", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    sc = sc.join(hist, [*by, "code", "bucket"], "inner").withColumn(
         "neg_below", F.col("neg_before") + F.coalesce(F.sum("neg").over(w_in), F.lit(0)))
-    part = sc.groupBy("code").agg(
+    part = sc.groupBy(*by, "code").agg(
         F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("num"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     cls = _class_frame(spark, classes)
-    out = cls.join(part, "code", "left").select(
-        "code", "cls", F.coalesce("positives", F.lit(0)).alias("positives"),
+    if by:  # every class for every value, a row each
+        cls = part.select(*by).distinct().withColumn("__all", F.explode(F.array(*[F.struct(
+            F.lit(i).alias("code"), F.lit(c).alias("cls")) for i, c in enumerate(classes)]))).select(*by, "__all.*")
+    out = cls.join(part, [*by, "code"], "left").select(
+        *by, "code", "cls", F.coalesce("positives", F.lit(0)).alias("positives"),
         F.coalesce("negatives", F.lit(0)).alias("negatives"), "num")
     auc = F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
                  F.col("num") / (F.col("positives").cast("double") * F.col("negatives")))
-    return out.select("code", "cls", "positives", "negatives", auc.alias("auc"))
+    return out.select(*by, "code", "cls", "positives", "negatives", auc.alias("auc"))
 
 
-def weighted_auc(per_class: DataFrame) -> DataFrame:
+def weighted_auc(per_class: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """ME10: prevalence-weighted mean of the per-class AUCs."""
-    return per_class.agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives"))
+    return per_class.groupBy(*by).agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives"))
                          .alias("weighted_auc"))
 
 
@@ -231,6 +235,19 @@ def model_metrics(model_name: str, scored: DataFrame, classes: list,
                       "weighted_auc", "cv_mean", "cv_std")
 
 
+def models_metrics(scored: DataFrame, classes: list, model_col: str = "model", label_col: str = "label",
+                   pred_col: str = "prediction", prob_col: str = "probability") -> DataFrame:
+    """ME12 of many models in one pass: ``scored`` has a row for each row and model; one metrics row a model."""
+    by = ("model",)
+    rows = scored.withColumnRenamed(model_col, "model")
+    counts = rows.groupBy("model", F.col(label_col).alias("actual"), F.col(pred_col).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    auc = weighted_auc(ovr_auc(rows, classes, label_col, prob_col, by=by), by)
+    out = label_metrics(counts, by).join(F.broadcast(auc), "model", "left")  # one row a model
+    none = F.lit(None).cast("double")
+    return out.select("model", "macro_f1", "accuracy", "balanced_accuracy", "mcc", "macro_precision", "weighted_precision",
+                      "weighted_auc", none.alias("cv_mean"), none.alias("cv_std"))
+
+
 def _join1(a: DataFrame, b: DataFrame) -> DataFrame:
     """Join two single-row frames (keyed on a constant, not a cross product)."""
     return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").drop("__k")

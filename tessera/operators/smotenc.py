@@ -202,6 +202,22 @@ def knn_within_class(queries: DataFrame, points: DataFrame, cls: str, id_col: st
     return out.select(cls, "q_id", "nn_rank", "b_id", *[F.col("b_" + c).alias(c) for c in feats])
 
 
+def least_class(sizes: list[int]) -> int:
+    """AG18: the size of the smallest class; balancing needs two rows or more in each."""
+    if min(sizes) < 2:
+        raise ValueError("every class needs two rows or more to be oversampled")
+    return min(sizes)
+
+
+def balance_guard(df: DataFrame, cls: str) -> tuple[int, bool]:
+    """AG18: the smallest class and whether ``smotenc`` would go on."""
+    sizes = [r["n"] for r in df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()]  # one row a class
+    try:
+        return least_class(sizes), True
+    except ValueError:
+        return min(sizes, default=0), False
+
+
 def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str],
             k_max: int = 5, seed: int = 42, cell_points: int = 2048) -> DataFrame:
     """SM5: originals (synthetic=false) + synthetic rows up to the majority size per class.
@@ -213,10 +229,7 @@ def smotenc(df: DataFrame, cls: str, id_col: str, cont: list[str], cat: list[str
     counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
     if not counts:
         return df.withColumn("synthetic", F.lit(False))
-    n_min = min(r["n"] for r in counts)
-    if n_min < 2:
-        raise ValueError("every class needs two rows or more to be oversampled")
-    k = min(k_max, n_min - 1)
+    k = min(k_max, least_class([r["n"] for r in counts]) - 1)
     n_max = max(r["n"] for r in counts)
     smallest = sorted(counts, key=lambda r: (r["n"], str(r[cls])))[0][cls]
     sd = df.where(F.col(cls) == F.lit(smallest)).agg(*[F.stddev_pop(c).alias(c) for c in cont]).first()

@@ -155,8 +155,13 @@ for _m in RULE_MODELS:
 
 
 def _me13(spark, sf):
-    rows = [M.model_metrics(m, test_scored(spark, sf, m), STAGES) for m in RULE_MODELS]
-    return M.compare_models(rows)
+    """One scan: a row for each order and rule model."""
+    rows = op_split(spark, sf).where(F.col("split") == "test")
+    each = []
+    for m in RULE_MODELS:
+        rows = rule_scored(rows, m).withColumn(f"of_{m}", F.struct(F.lit(m).alias("model"), "label", "prediction", "probability"))
+        each.append(F.col(f"of_{m}"))
+    return M.compare_models(M.models_metrics(rows.select(F.explode(F.array(*each)).alias("s")).select("s.*"), STAGES))
 
 
 def _me13_sql() -> str:

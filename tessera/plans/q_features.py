@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features as FE
 from tessera.operators import sampling as SM
+from tessera.operators.smotenc import balance_guard
 from tessera.plans.q_core import op, op_split
 from tessera.plans.spec import ORDER_SPEC
 from tessera.plans.sqltext import OP_CTE, split_ctes
@@ -217,6 +218,6 @@ SELECT stage, false AS synthetic FROM tr UNION ALL SELECT stage, synthetic FROM
 # AG18 -------------------------------------------------------------------------
 reg("ag18_min_class_count_guard", f"""{WS} SELECT MIN(n) AS min_class_count, MIN(n) >= 2 AS balancing_possible
 FROM (SELECT stage, COUNT(*) AS n FROM split WHERE split = 'train' GROUP BY stage) c""")(
-    lambda spark, sf: op_split(spark, sf).where(F.col("split") == "train").groupBy("stage")
-    .agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("min_class_count"),
-                                           (F.min("n") >= 2).alias("balancing_possible")))
+    lambda spark, sf: spark.createDataFrame(
+        [balance_guard(op_split(spark, sf).where(F.col("split") == "train"), "stage")],
+        "min_class_count long, balancing_possible boolean"))

@@ -95,6 +95,16 @@ SELECT event_type, visitor, band, copies, UNNEST(generate_series(2, copies)) AS
     lambda spark, sf: P.duplicate_rows(read_table(spark, sf, "events").selectExpr(
         "event_type", "user_id % 7 AS visitor", "CAST(floor(value / 50) AS BIGINT) AS band")))
 
+# every column, and the table joined to a copy of a third of its rows, so that some rows do repeat
+_line_cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus", "l_shipdate"]
+reg("ag11_duplicate_line_rows", f"""
+WITH t AS (SELECT {", ".join(_line_cols)} FROM lineitem UNION ALL SELECT {", ".join(_line_cols)} FROM lineitem WHERE l_orderkey % 3 = 0),
+g AS (SELECT *, COUNT(*) AS copies FROM t GROUP BY ALL HAVING COUNT(*) > 1)
+SELECT *, UNNEST(generate_series(2, copies)) AS copy_no FROM g""")(
+    lambda spark, sf: P.duplicate_rows((lambda t: t.unionByName(t.where("l_orderkey % 3 = 0")))(
+        read_table(spark, sf, "lineitem").select(*_line_cols))))
+
 # AG12 ----------------------------------------------------------------------
 _corr_cols = NUM_COLS + list(S.binary)
 _pairs = [(a, b) for i, a in enumerate(_corr_cols) for b in _corr_cols[i:]]
