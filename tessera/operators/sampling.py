@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.ordering import exact_rank, exact_rank_global, hash_order, null_safe
+from tessera.functions.ordering import exact_rank, exact_rank_global, hash_order, null_safe, prefix_length
 
 
 def _group_quotas_train_first(counts: DataFrame, key: str, test_size: float) -> DataFrame:
@@ -40,14 +40,27 @@ def stratified_split(df: DataFrame, target: str, id_col: str, test_size: float =
     Per class the first test_quota rows in hash order go to test. Class proportions
     are preserved to within one row; no class is ever sorted in one task. Rows without a
     class are a class of their own, so every row comes out.
+
+    Only the last row that goes to test is looked for in each class: counts by prefix of the
+    hash say which prefix has it, and only rows of that prefix (ids and hashes) are sorted.
+    The split is then a comparison with one row a class; the rows themselves are not shuffled.
     """
-    ranked, counts = exact_rank(df.withColumn("__h", hash_order(id_col, seed)), [target], "__h", id_col,
-                                rank_col="__rank", with_counts=True)
-    quotas = _group_quotas_train_first(counts, target, test_size).select(target, "test_quota")
-    out = null_safe(ranked, quotas, [target])
-    return (out.withColumn(split_col, F.when(F.col("__rank") <= F.col("test_quota"), "test")
-                           .otherwise("train"))
-               .drop("__h", "__rank", "test_quota"))
+    hashed = df.withColumn("__h", hash_order(id_col, seed))
+    narrow = hashed.select(target, F.col(id_col).alias("__id"), "__h")
+    digits = prefix_length(narrow, [target], "__h")
+    hist = narrow.groupBy(target, F.substring("__h", 1, digits).alias("__b")).agg(F.count(F.lit(1)).alias("n"))
+    quotas = _group_quotas_train_first(hist.groupBy(target).agg(F.sum("n").alias("n")), target, test_size).select(target, "test_quota")
+    before = Window.partitionBy(target).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    places = hist.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    need = F.col("test_quota") - F.col("__before")
+    spot = null_safe(places, quotas, [target]).where((need > 0) & (need <= F.col("n"))).select(target, "__b", need.alias("__need"))
+    near = null_safe(narrow.withColumn("__b", F.substring("__h", 1, digits)), F.broadcast(spot), [target, "__b"])  # a row a class
+    order = Window.partitionBy(target).orderBy("__h", "__id")
+    cut = near.withColumn("__r", F.row_number().over(order)).where("__r = __need").select(
+        target, F.struct("__h", "__id").alias("__cut"))
+    out = null_safe(hashed, F.broadcast(cut), [target], "left")
+    test = F.struct(F.col("__h"), F.col(id_col).alias("__id")) <= F.col("__cut")
+    return out.withColumn(split_col, F.when(test, "test").otherwise("train")).drop("__h", "__cut")
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
