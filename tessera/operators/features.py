@@ -1,9 +1,10 @@
 """Feature encoding, scaling, imputation and projection (FE1-FE10).
 
-Fitting reads only small aggregates to the driver (category lists bounded by
-``max_categories``, one row of means/stds); transforms are pure column
+Fitting reads only small aggregates to the driver (category lists up to
+``MAX_LITERALS``, one row of means/stds); transforms are pure column
 expressions (``create_map`` lookups, arithmetic) inside whole-stage codegen, so
-scoring a 100 TB table is one narrow map stage.
+scoring a 100 TB table is one narrow map stage. A column of more categories has a
+``CodeTable`` instead of a list: ranked on the executors, written, and joined.
 """
 
 from __future__ import annotations
@@ -14,9 +15,32 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import exact_rank_global
 from tessera.plans.spec import TableSpec
+from tessera.sources.io import scratch_path
 
-MAX_CATEGORIES = 10_000
+#: Most categories of a column that become literals of an expression.
+MAX_LITERALS = 10_000
+#: Bytes of a code table that is sent to every executor.
+SENT_BYTES = 64 << 20
+
+
+@dataclass
+class CodeTable:
+    """Codes of a column with many categories, as a written table (value, code)."""
+
+    path: str
+    size: int
+    bytes: int
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path)
+
+    def codes(self, df: DataFrame, col: str) -> DataFrame:
+        """``df`` with ``__code``; null where the value has none."""
+        table = self.frame(df.sparkSession).withColumnsRenamed({"value": "__value", "code": "__code"})
+        table = F.broadcast(table) if self.bytes <= SENT_BYTES else table
+        return df.join(table, F.col(col).cast("string") == F.col("__value"), "left").drop("__value")
 
 
 def _map_expr(mapping: dict) -> Column:
@@ -25,10 +49,11 @@ def _map_expr(mapping: dict) -> Column:
     return F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(float(v)))])
 
 
-def fit_categories(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+def fit_categories(df: DataFrame, cols: list[str], max_literals: int = MAX_LITERALS) -> dict[str, list[str] | CodeTable]:
     """FE1/FE4 fit: sorted distinct non-null values per column (one pass, partial agg).
 
-    Only the distinct values reach the driver; their number is checked.
+    Lists of at most ``max_literals`` values reach the driver; a column of more has a
+    ``CodeTable``, whose codes are the same: the value's place among all, from 0.
     """
     if not cols:
         return {}
@@ -36,22 +61,32 @@ def fit_categories(df: DataFrame, cols: list[str], max_categories: int = MAX_CAT
                              for c in cols]))
     d = (df.select(kv.alias("kv")).select("kv.c", "kv.v").where(F.col("v").isNotNull())
            .distinct())
-    n = d.count()
-    if n > max_categories:
-        raise ValueError(f"{n} distinct categories exceed max_categories={max_categories}")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in d.collect():
+    sizes = {r["c"]: (r["n"], r["b"]) for r in d.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("v") + 32).alias("b")).collect()}  # one row a column
+    out: dict[str, list[str] | CodeTable] = {c: [] for c in cols}
+    few = [c for c in cols if sizes.get(c, (0, 0))[0] <= max_literals]
+    for r in d.where(F.col("c").isin(few)).collect():
         out[r["c"]].append(r["v"])
-    return {c: sorted(v) for c, v in out.items()}
+    out = {c: sorted(v) for c, v in out.items()}
+    for c in cols:
+        if c not in few:
+            path = scratch_path(df.sparkSession, "codes")
+            ranked = exact_rank_global(d.where(F.col("c") == c).select("v"), "v", "v")
+            ranked.select(F.col("v").alias("value"), (F.col("rank") - 1).cast("double").alias("code")).write.parquet(path)
+            out[c] = CodeTable(path, *sizes[c])
+    return out
 
 
-def encode_labels(df: DataFrame, col: str, classes: list[str], out_col: str | None = None,
+def encode_labels(df: DataFrame, col: str, classes: list[str] | CodeTable, out_col: str | None = None,
                   unknown: float | None = None, strict: bool = False) -> DataFrame:
     """FE1/FE4 transform: code = position in sorted class list (double).
 
     Unknown values -> ``unknown`` (null by default); ``strict`` raises instead.
     """
-    code = _map_expr({c: i for i, c in enumerate(classes)})[F.col(col).cast("string")]
+    if isinstance(classes, CodeTable):
+        df, code = classes.codes(df, col), F.col("__code")
+    else:
+        code = _map_expr({c: i for i, c in enumerate(classes)})[F.col(col).cast("string")]
     if strict:
         code = F.when(code.isNull() & F.col(col).isNotNull(),
                       F.raise_error(F.concat(F.lit(f"unknown label in {col}: "), F.col(col).cast("string")))
@@ -59,7 +94,7 @@ def encode_labels(df: DataFrame, col: str, classes: list[str], out_col: str | No
     if unknown is not None:
         code = F.when(F.col(col).isNull(), F.lit(None).cast("double")).otherwise(
             F.coalesce(code, F.lit(float(unknown))))
-    return df.withColumn(out_col or col, code.cast("double"))
+    return df.withColumn(out_col or col, code.cast("double")).drop("__code")
 
 
 def decode_labels(df: DataFrame, col: str, classes: list[str], out_col: str) -> DataFrame:
@@ -81,7 +116,7 @@ class Preprocessor:
 
     spec: TableSpec
     classes: list[str]
-    nominal: dict[str, list[str]]
+    nominal: dict[str, list[str] | CodeTable]
     means: dict[str, float] = field(default_factory=dict)
     stds: dict[str, float] = field(default_factory=dict)
     fill: dict[str, float] = field(default_factory=dict)
@@ -134,9 +169,14 @@ class Preprocessor:
     # ---------------------------------------------------------------- persistence (IO5)
     def save(self, path: str) -> None:
         """Written by Spark, so ``path`` may be in any store that the executors share."""
-        state = {"classes": self.classes, "nominal": self.nominal, "means": self.means,
-                 "stds": self.stds, "fill": self.fill}
         spark = SparkSession.active()
+        nominal = dict(self.nominal)
+        for c, v in nominal.items():
+            if isinstance(v, CodeTable):
+                v.frame(spark).write.mode("overwrite").parquet(f"{path}/codes/{c}")
+                nominal[c] = {"path": f"{path}/codes/{c}", "size": v.size, "bytes": v.bytes}
+        state = {"classes": self.classes, "nominal": nominal, "means": self.means,
+                 "stds": self.stds, "fill": self.fill}
         one = spark.createDataFrame([(json.dumps(state, sort_keys=True),)], "state string")
         one.coalesce(1).write.mode("overwrite").parquet(f"{path}/preprocessor")
 
@@ -146,7 +186,9 @@ class Preprocessor:
         spark, p = SparkSession.active(), f"{path}/preprocessor"
         if not exists(spark, p):
             raise FileNotFoundError(f"missing fitted preprocessor: {p}; run the fit step first")
-        return cls(spec=spec, **json.loads(spark.read.parquet(p).first()["state"]))
+        state = json.loads(spark.read.parquet(p).first()["state"])
+        state["nominal"] = {c: CodeTable(**v) if isinstance(v, dict) else v for c, v in state["nominal"].items()}
+        return cls(spec=spec, **state)
 
 
 def fit_preprocessor(train: DataFrame, spec: TableSpec) -> Preprocessor:

@@ -252,6 +252,10 @@ def fallback_texts(spec, fill: dict[str, float], means: dict[str, float],
 def allowed_values(spec, nominal: dict[str, list[str]], spark) -> DataFrame:
     """DR10: allowed values per categorical field, in code order."""
     rows = [(c, i, v) for c, lv in spec.ordinal for i, v in enumerate(lv)]
-    rows += [(c, i, v) for c in spec.nominal for i, v in enumerate(nominal[c])]
+    rows += [(c, i, v) for c in spec.nominal if isinstance(nominal[c], list) for i, v in enumerate(nominal[c])]
     rows += [(c, i, str(i)) for c in spec.binary for i in (0, 1)]
-    return spark.createDataFrame(rows, "feature string, code int, value string")
+    out = spark.createDataFrame(rows, "feature string, code int, value string")
+    for c in spec.nominal:
+        if not isinstance(nominal[c], list):  # many categories: a table of codes
+            out = out.unionByName(nominal[c].frame(spark).select(F.lit(c).alias("feature"), F.col("code").cast("int").alias("code"), "value"))
+    return out

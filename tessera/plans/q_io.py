@@ -202,7 +202,7 @@ def _jn3(spark, sf):
     d = op(spark, sf)
     cats = FE.fit_categories(d, ["segment"])["segment"]
     lookup = spark.createDataFrame([(c, float(i)) for i, c in enumerate(cats)], "segment string, segment_code double")
-    # the lookup has one row per distinct category (count checked in fit_categories)
+    # the lookup has one row per distinct category
     return d.select("row_id", "segment").join(F.broadcast(lookup), "segment", "left").select(
         "row_id", "segment", F.coalesce("segment_code", F.lit(-1.0)).alias("segment_code"))
 

@@ -167,3 +167,27 @@ def test_visits_grow_with_the_points_not_with_points_times_cells(spark, monkeypa
     assert few < 1500 * cells_few / 10 and many < 6 * few  # points times cells grow 16 fold
     monkeypatch.setattr(N, "SENT_NODES", 0)  # levels that are shuffled
     assert _visits(spark, 1500, 12, monkeypatch)[0] == few
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 30])
+def test_many_categories_have_the_same_codes(spark, tmp_path, monkeypatch, sent):
+    from tessera.operators import features as FE
+    from tessera.operators import rules as R
+    from tessera.plans.spec import TableSpec
+    monkeypatch.setattr(FE, "SENT_BYTES", sent)
+    values = [f"v{i * 7919 % 3000:04d}" for i in range(3000)] + ["é", "", None, "v0007", "v0007"]
+    df = spark.createDataFrame([(i, "ab"[i % 2], v, "x" if i % 3 else "y") for i, v in enumerate(values)], "id long, t string, n string, m string")
+    few, many = (FE.fit_categories(df, ["n", "m"], most) for most in (10_000, 100))
+    assert isinstance(many["n"], FE.CodeTable) and many["m"] == few["m"] == ["x", "y"] and many["n"].size == len(few["n"])
+    a, b = ({r["id"]: r["code"] for r in FE.encode_labels(df, "n", c["n"], "code", unknown=-1.0).collect()} for c in (few, many))
+    assert a == b and len(a) == len(values)
+    new = spark.createDataFrame([(1, "none such"), (2, None)], "id long, n string")
+    assert {r["id"]: r["n"] for r in FE.encode_labels(new, "n", many["n"], unknown=-1.0).collect()} == {1: -1.0, 2: None}
+    with pytest.raises(Exception, match="unknown label"):
+        FE.encode_labels(new, "n", many["n"], strict=True).collect()
+    spec = TableSpec(id_col="id", target="t", nominal=("n", "m"))
+    pre = FE.Preprocessor(spec=spec, classes=["a", "b"], nominal=many, means={"n": 0.0, "m": 0.0}, stds={}, fill={})
+    pre.save(f"file://{tmp_path}/pre")
+    back = FE.Preprocessor.load(f"file://{tmp_path}/pre", spec)
+    assert sorted(map(tuple, back.encode(df).collect()), key=str) == sorted(map(tuple, pre.encode(df).collect()), key=str)
+    assert R.allowed_values(spec, many, spark).count() == len(few["n"]) + 2
