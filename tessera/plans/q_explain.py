@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ordering import hash_order
 from tessera.operators import explain as X
+from tessera.operators.treewalk import tree_sums
 from tessera.plans.fixtures import STAGES
 from tessera.plans.q_core import op
 from tessera.plans.spec import ORDER_SPEC
@@ -336,3 +337,20 @@ reg("wn5_resorted_top_k", LOCAL_SQL + """,
 t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY abs_phi DESC, feature) AS r FROM loc)
 SELECT row_id, feature, phi, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY phi, feature) AS signed_order
 FROM t WHERE r <= 5""")(_wn5)
+
+
+# ML7: class scores and prediction of a literal tree, every order --------------------
+def _ml7(spark, sf):
+    d = op(spark, sf).select("row_id", *FEATS)
+    fx = tree_sums(d, FEATS, model("tree_b").trees, len(STAGES), "fx", closed=True)
+    pos = F.array_position("fx", F.array_max("fx"))
+    names = F.array(*[F.lit(c) for c in STAGES])
+    return fx.select("row_id", F.element_at(names, pos.cast("int")).alias("prediction"),
+                     *[F.element_at("fx", i + 1).alias(f"f_{c}") for i, c in enumerate(STAGES)])
+
+
+_fx = ", ".join(f"CAST({_f_sql('tree_b', i)} AS DOUBLE) AS f_{c}" for i, c in enumerate(STAGES))
+_all = ", ".join(f"f_{c}" for c in STAGES)
+_stage_names = "[" + ", ".join(f"'{c}'" for c in STAGES) + "]"
+reg("ml7_literal_tree", f"""WITH {OP_CTE}, s AS (SELECT row_id, {_fx} FROM order_profile)
+SELECT row_id, {_stage_names}[list_position([{_all}], greatest({_all}))] AS prediction, {_all} FROM s""")(_ml7)

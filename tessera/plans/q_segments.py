@@ -271,3 +271,25 @@ mean AS (SELECT restart, cl, COUNT(*) AS n, {", ".join(f"AVG(z_{c}) AS a_{c}" fo
 costs AS (SELECT restart, SUM(d) AS cost FROM near GROUP BY restart),
 both_ AS (SELECT s.*, mean.* EXCLUDE (restart, cl), cost FROM starts s LEFT JOIN mean USING (restart, cl) JOIN costs USING (restart))
 {_step_out}""")(_kmeans_step)
+
+
+# FE9: two columns, whose components have a closed form ------------------------
+PCA_COLS = ["disc_sum", "tax_sum"]
+
+
+def _pca(spark, sf):
+    """Loadings and explained share of both components of two columns of the train split."""
+    tr = op_split(spark, sf).where(F.col("split") == "train")
+    comps, ratio, _ = SG.fit_pca(tr, PCA_COLS, 2)
+    rows = [(i, float(c[0]), float(c[1]), float(r)) for i, (c, r) in enumerate(zip(comps, ratio))]
+    return spark.createDataFrame(rows, "component int, loading_a double, loading_b double, explained double")
+
+
+reg("fe9_pca_two_columns", f"""WITH {OP_CTE},{split_ctes()},
+m AS (SELECT var_samp({PCA_COLS[0]}) AS a, covar_samp({PCA_COLS[0]}, {PCA_COLS[1]}) AS b, var_samp({PCA_COLS[1]}) AS c
+      FROM split WHERE split = 'train'),
+e AS (SELECT 0 AS component, a, b, c, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l FROM m
+      UNION ALL SELECT 1, a, b, c, (a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2 FROM m),
+v AS (SELECT component, b / sqrt(b * b + (l - a) * (l - a)) AS x, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS y, l / (a + c) AS explained FROM e)
+SELECT component, CASE WHEN greatest(abs(x), abs(y)) = abs(x) THEN sign(x) ELSE sign(y) END * x AS loading_a,
+       CASE WHEN greatest(abs(x), abs(y)) = abs(x) THEN sign(x) ELSE sign(y) END * y AS loading_b, explained FROM v""")(_pca)
