@@ -115,10 +115,15 @@ def _leaf(value: np.ndarray, rows: np.ndarray, lost_x: np.ndarray, lost_z: np.nd
         return
     ux, of = np.unique(lost_x, return_inverse=True)
     uz, n = np.unique(lost_z, return_counts=True)
-    met = np.where(ux[:, None] & uz[None, :], 0, n)  # pairs without a feature that both have lost
     na, nb = np.bitwise_count(uz), np.bitwise_count(ux)
-    gain = (met * _IN_A[na[None, :], nb[:, None]]) @ ((uz[:, None] & bits) != 0).astype(float)
-    loss = (met * _IN_B[na[None, :], nb[:, None]]).sum(axis=1)
+    # by mask of z: its features and a one, times its rows
+    seen = np.column_stack([(uz[:, None] & bits) != 0, np.ones(len(uz))]) * n[:, None]
+    met = ((ux[:, None] & uz[None, :]) == 0).astype(float)  # pairs without a feature that both have lost
+    gain, loss = np.zeros((len(ux), len(bits))), np.zeros(len(ux))
+    for a in np.unique(na):
+        found = met[:, na == a] @ seen[na == a]
+        gain += _IN_A[a, nb][:, None] * found[:, :-1]
+        loss += _IN_B[a, nb] * found[:, -1]
     phi = gain - loss[:, None] * ((ux[:, None] & bits) != 0)
     out[rows] += phi[of][:, :, None] * value
 
@@ -152,7 +157,8 @@ def tree_shap(rows: DataFrame, background: DataFrame, features: list[str], model
     nz = background.count()
     parts = max(1, -(-nz // BACKGROUND_ROWS))
     back = background.select(*values, (F.monotonically_increasing_id() % parts).alias("part"))
-    wide = rows.select(F.col(id_col).alias("id"), *values)
+    # the walk is long for each row: a sample of rows is dealt out to all tasks
+    wide = rows.select(F.col(id_col).alias("id"), *values).repartition(spark.sparkContext.defaultParallelism)
     found = None
     for part in range(parts):
         z = back.where(F.col("part") == part).drop("part").toPandas().to_numpy(float)
