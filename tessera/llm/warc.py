@@ -25,7 +25,6 @@ import io
 import re
 import urllib.parse
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
