@@ -24,4 +24,4 @@ def oracle_sql() -> dict:
 
 #: Queries that wait for full fits; they come last.
 FULL_FITS = ("ml1_", "ml2_", "ml3_softmax", "ml4_", "ml7_", "ml8_", "ml10_", "ml11_cross_validation_balanced",
-             "sh1_fitted", "sh11_fitted", "io5_")
+             "io5_", "sh1_fitted", "sh11_fitted")
