@@ -23,5 +23,5 @@ def oracle_sql() -> dict:
 
 
 #: Queries that wait for full fits; they come last.
-FULL_FITS = ("ml1_", "ml2_", "ml3_softmax", "ml4_", "ml7_", "ml8_", "ml10_", "ml11_cross_validation_balanced",
+FULL_FITS = ("ml1_", "ml2_", "ml3_softmax", "ml4_", "ml7_predict", "ml8_", "ml10_", "ml11_cross_validation_balanced",
              "io5_", "sh1_fitted", "sh11_fitted")
