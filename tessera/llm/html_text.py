@@ -61,6 +61,9 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising adbox ban
 NEUTRAL = frozenset("site page main top bottom left right inner outer box block bar section area container wrapper wrap row col column "
                     "content list item items link links button buttons widget module unit slot panel group holder primary secondary "
                     "global user js mobile desktop sticky fixed small large big new the my id no".split())
+#: What readers write, and words for what they write about.
+READERS = frozenset("comment comments replies disqus".split())
+ABOUT = frozenset("post posts article story blog entry news reader readers".split())
 #: Inside an article some of them name the article's own parts.
 WITHIN_ARTICLE = MARKS - {"header", "related", "legal", "search", "form", "discussion"}
 
@@ -83,6 +86,8 @@ def _marked(attributes: str, inside: bool) -> bool:
                 words = {w.lower() for w in _PART.findall(token) if not w.isdigit()}
                 if words & marks and words <= MARKS | NEUTRAL:
                     return True
+                if words & marks & READERS and words <= MARKS | NEUTRAL | ABOUT:
+                    return True
     return False
 
 
