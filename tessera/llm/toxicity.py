@@ -1,7 +1,7 @@
 """Toxicity: class-conditional Kneser-Ney models with shared backoff counts.
 
-Two models, toxic and ordinary, over words as chains of two expressions: a word's first
-``PREFIX`` bytes, then the whole word. n_c counts the labelled texts of class c that have a
+Two models, toxic and ordinary, of words after the word before them. A word on its own is a
+chain of two expressions: its first ``PREFIX`` bytes, then the whole word. n_c counts the labelled texts of class c that have a
 word (of a prefix: pairs of text and word), so a word counts once in a text. An absolute
 discount ``D`` is taken from every count, and what it takes goes to a backoff that both
 classes share:
@@ -16,8 +16,17 @@ share of its pairs. Where a class has not seen h, p_c is q. An expression that n
 more than ``D`` times has the same factor q in both, which cancels out; all rare expressions
 of a prefix share one ratio.
 
-A text is scored by log-likelihood ratios per word, log p_toxic - log p_ordinary over the
-chain, less that of an unknown word: normalised by length over the whole text, over its
+A word w after a word v backs off to the chain of w. n_c(v, w) counts the texts where w stands
+next to v, n_c(v) adds them up over all w, and the discount is the same:
+
+    p_c(w | v) = (max(n_c(v, w) - D, 0) + L_c(v) * p_c(w)) / n_c(v)
+
+or p_c(w) where the class has not seen v, and for a text's first word. Pairs that no class has
+more than ``D`` times share one factor, L_c(v) / n_c(v), so n_c(v) is counted by history and
+only the other pairs are kept.
+
+A text is scored by log-likelihood ratios per word, log p_toxic - log p_ordinary after the
+word before it, less that of an unknown word: normalised by length over the whole text, over its
 windows (the best of 3 and of 20 words), and over its strongest words (the best 1 to 16). A
 toxic text of hundreds of words differs from others in a few of them only, which the mean
 of the whole text can't show alone. The score is a logistic function of these means, fitted
@@ -25,7 +34,8 @@ on texts put aside, with counts of the others; the counts that score are those o
 labelled texts, the ones put aside included.
 
 Counts are kept per expression (a hash of 64 bits) and grow with the vocabulary: a task adds
-its texts up, packs of sorted hashes go to buckets, and a bucket is added up in parts. What
+its texts up, packs of sorted hashes (their differences compressed) go to buckets, and a bucket
+is added up in parts. What
 has a ratio of its own is a table, sent to the tasks up to a counted number of rows
 (``BROADCAST_ROWS``); beyond it the words of the documents are joined to it.
 """
@@ -59,14 +69,49 @@ FEATURES = len(TOPS) + len(WINDOWS) + 2
 RIDGE = 1.0
 
 _U = np.uint64
-_PACK = "bucket int, part int, hashes binary, parents binary, counts binary"
-_TABLE = "hash long, parent long, c0 long, c1 long, c2 long, c3 long, types long"
+#: Set in the parents of pairs, clear in those of words.
+_PAIR = _U(1)
+#: Highest bits of a hash by which most that are not in a table are told.
+_MAYBE_BITS = 24
+_PACK = "bucket int, part int, n int, hashes binary, parents binary, counts binary"
+_TABLE = "hash long, parent long, word long, c0 long, c1 long, c2 long, c3 long, types long"
 _COLUMNS = [x.split()[0] for x in _TABLE.split(", ")]
 
 
 def _expressions(h: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """Hashes (prefix, word) of each word; a word that is its own prefix has two different ones."""
-    return mix(np.vstack([parts, h[None, :]]) ^ stream(LINKS, 31)[:, None])
+    out = mix(np.vstack([parts, h[None, :]]) ^ stream(LINKS, 31)[:, None])
+    out[0] &= ~_PAIR
+    return out
+
+
+def _histories(h: np.ndarray) -> np.ndarray:
+    """Hashes of words as what stands before others."""
+    return mix(h ^ stream(LINKS + 1, 31)[-1]) | _PAIR
+
+
+def _pairs(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of words after a history; the same turns a pair's hash into its word's."""
+    return words ^ mix(histories)
+
+
+def _inner(counts: np.ndarray) -> np.ndarray:
+    """Places of the words that are not the first of their text."""
+    inner = np.ones(int(counts.sum()), bool)
+    inner[(np.cumsum(counts) - counts)[counts > 0]] = False
+    return np.flatnonzero(inner)
+
+
+def _squeezed(a: np.ndarray) -> bytes:
+    """An array as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(a.reshape(len(a), -1).view(np.uint8).T), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: pa.Scalar, n: int, kind: type, width: int = 1) -> np.ndarray:
+    size = width * np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=n * size, codec="zstd"), np.uint8)
+    out = np.ascontiguousarray(planes.reshape(size, n).T).view(kind)
+    return out if width > 1 else out.ravel()
 
 
 def _distinct(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +123,16 @@ def _distinct(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[keep], owner[order[keep]]
 
 
+def _pairs_of(h: np.ndarray, parts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Histories, hashes and texts of each text's different pairs of adjoining words."""
+    at = _inner(counts)
+    history = _histories(h[at - 1])
+    pair = _pairs(history, _expressions(h[at], parts[:, at])[1])
+    owner = np.repeat(np.arange(len(counts)), counts)[at]
+    _, first = np.unique(pair ^ mix(owner.astype(np.uint64)), return_index=True)
+    return history[first], pair[first], owner[first]
+
+
 def _added(hashes: np.ndarray, parents: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different hashes in order, their parents and the sums of their counts."""
     order = np.argsort(hashes, kind="stable")
@@ -100,9 +155,11 @@ def _count(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         ends = np.flatnonzero(np.append(place[1:] != place[:-1], True)) + 1
         starts = np.append(0, ends[:-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[starts], pa.int32()), pa.array(part[starts], pa.int32()),
-             *(pa.array([a[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for a in (hashes, parents, counts))],
-            ["bucket", "part", "hashes", "parents", "counts"])
+            [pa.array(bucket[starts], pa.int32()), pa.array(part[starts], pa.int32()), pa.array(ends - starts, pa.int32()),
+             pa.array([_squeezed(np.diff(hashes[i:j], prepend=_U(0))) for i, j in zip(starts, ends)], pa.binary()),
+             pa.array([_squeezed(hashes[i:j] ^ parents[i:j]) for i, j in zip(starts, ends)], pa.binary()),
+             pa.array([_squeezed(counts[i:j]) for i, j in zip(starts, ends)], pa.binary())],
+            ["bucket", "part", "n", "hashes", "parents", "counts"])
 
     for batch in batches:
         label, aside = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)).astype(np.int64) for i in (1, 2))
@@ -110,10 +167,13 @@ def _count(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for lo, hi, h, counts, parts in word_chunks(batch.column(0), ALNUM_WORDS, PREFIXES):
             at, owner = _distinct(h, counts)
             prefix, word = _expressions(h[at], parts[:, at])
-            one = np.zeros((len(owner), 4), np.uint32)
-            one[np.arange(len(owner)), kind[lo:hi][owner]] = 1
-            # a prefix is its own parent
-            held.append(_added(np.concatenate([prefix, word]), np.concatenate([prefix, prefix]), np.tile(one, (LINKS, 1))))
+            history, pair, whose = _pairs_of(h, parts, counts)
+            one, other = (np.zeros((len(x), 4), np.uint32) for x in (owner, whose))
+            for x, texts in ((one, owner), (other, whose)):
+                x[np.arange(len(texts)), kind[lo:hi][texts]] = 1
+            # a prefix is its own parent, and so is a history
+            held.append(_added(np.concatenate([prefix, word, history, pair]), np.concatenate([prefix, prefix, history, history]),
+                               np.concatenate([one, one, other, other])))
             waiting += len(held[-1][0])
             if waiting > limit:
                 held = [_added(*(np.concatenate(x) for x in zip(*held)))]
@@ -127,31 +187,36 @@ def _count(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of at least ``LEAST`` texts, all prefixes, and for each prefix rows of how many different words it goes on to."""
+    """Words and histories of at least ``LEAST`` texts, all prefixes, pairs of as many texts of one class, and for each
+    prefix rows of how many different words it goes on to."""
     held: list[tuple] = []
     at = None
 
     def done() -> pa.RecordBatch:
         hashes, parents, counts = _added(*(np.concatenate(x) for x in zip(*held)))
-        word = hashes != parents
-        keep = ~word | (counts.sum(axis=1) >= LEAST)
-        of, types = np.unique(parents[word], return_counts=True)
+        after, of_pairs = hashes != parents, (parents & _PAIR) > 0
+        enough = np.maximum(counts[:, 0] + counts[:, 2], counts[:, 1] + counts[:, 3]) >= LEAST
+        keep = np.where(of_pairs & after, enough, (counts.sum(axis=1) >= LEAST) | ~(after | of_pairs))
+        of, types = np.unique(parents[after & ~of_pairs], return_counts=True)
         none = np.zeros(len(of), np.int64)
+        words = np.where(of_pairs & after, _pairs(parents, hashes), _U(0))
         columns = [np.concatenate([hashes[keep], of]).view(np.int64), np.concatenate([parents[keep], of]).view(np.int64),
+                   np.concatenate([words[keep].view(np.int64), none]),
                    *(np.concatenate([counts[keep, i], none]) for i in range(4)), np.concatenate([np.zeros(keep.sum(), np.int64), types])]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _COLUMNS)
 
     for batch in batches:
-        bucket, part, *arrays = (batch.column(i) for i in range(5))
+        bucket, part, size, *arrays = (batch.column(i) for i in range(6))
         for i in range(batch.num_rows):
             place = bucket[i].as_py(), part[i].as_py()
             if held and place != at:
                 yield done()
                 held = []
             at = place
-            hashes, parents, counts = (a[i].as_buffer() for a in arrays)
-            held.append((np.frombuffer(hashes, np.uint64), np.frombuffer(parents, np.uint64),
-                         np.frombuffer(counts, np.uint32).reshape(-1, 4).astype(np.int64)))
+            n = size[i].as_py()
+            hashes = np.cumsum(_unsqueezed(arrays[0][i], n, np.uint64), dtype=np.uint64)
+            held.append((hashes, hashes ^ _unsqueezed(arrays[1][i], n, np.uint64),
+                         _unsqueezed(arrays[2][i], n, np.uint32, 4).astype(np.int64)))
             if len(held) == 32:
                 held = [_added(*(np.concatenate(x) for x in zip(*held)))]
     if held:
@@ -159,16 +224,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(hash, parent, c0 to c3, types), written, for rows (_text, _label, _aside): counts by 2 * aside + label.
+    """(hash, parent, word, c0 to c3, types), written, for rows (_text, _label, _aside): counts by 2 * aside + label.
 
     Words of fewer than ``LEAST`` texts are left out of the table, but not of what their
-    prefix counts. Prefixes are their own parents; ``types`` are their different words.
+    prefix counts. Prefixes are their own parents; ``types`` are their different words. So
+    are histories, whose pairs (``word``: the word's hash) are left out if no class has as many texts.
     """
     buckets = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     packs = rows.mapInArrow(lambda it: tidied(_count(buckets, it)), _PACK)
     packs = packs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "part")
     merged = packs.mapInArrow(lambda it: tidied(_merge(it)), _TABLE)
-    return stored(merged.groupBy("hash", "parent").agg(*[F.sum(c).alias(c) for c in _COLUMNS[2:]]))
+    return stored(merged.groupBy("hash", "parent", "word").agg(*[F.sum(c).alias(c) for c in _COLUMNS[3:]]))
 
 
 def ratios(table: DataFrame, classes: tuple[str, str], d: float = D) -> DataFrame:
@@ -176,11 +242,13 @@ def ratios(table: DataFrame, classes: tuple[str, str], d: float = D) -> DataFram
 
     ``seen`` is the log ratio of the expression after what is before it. A prefix also has
     ``rest``, that of a word after it that is not in the table (0 for a prefix that is not
-    either). All are less the ratio of an unknown prefix.
+    either). A pair's ``seen`` is the whole ratio of its word after its history; a history's
+    ``rest`` is what it adds to the words of other pairs. All are less the ratio of an unknown prefix.
     """
-    n = table.select("hash", "parent", "types", *[F.expr(c).cast("double").alias(f"n{i}") for i, c in enumerate(classes)])
+    n = table.select("hash", "parent", "word", "types", *[F.expr(c).cast("double").alias(f"n{i}") for i, c in enumerate(classes)])
     over = [F.greatest(F.col(f"n{i}") - d, F.lit(0.0)) for i in range(2)]
-    prefixes, words = n.where("hash = parent"), n.where("hash != parent")
+    prefixes, words = n.where("hash = parent and (parent & 1) = 0"), n.where("hash != parent and (parent & 1) = 0")
+    histories, pairs = n.where("hash = parent and (parent & 1) = 1"), n.where("hash != parent and (parent & 1) = 1")
     top = prefixes.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(2)], *[F.sum(over[i]).alias(f"o{i}") for i in range(2)],
                        F.sum("types").alias("types")).first()
     size = [top["n0"] or 0.0, top["n1"] or 0.0]
@@ -204,11 +272,22 @@ def ratios(table: DataFrame, classes: tuple[str, str], d: float = D) -> DataFram
     first = heads.select(F.col("head").alias("hash"), (F.log(p[1]) - F.log(p[0]) - F.lit(shift)).alias("seen"), rest.alias("rest"),
                          (F.greatest("n0", "n1") > d).alias("own"))
     first = first.where("own or rest != 0").drop("own")
-    after = words.join(heads.select("head", *[F.col(c).alias(f"h_{c}") for c in ("n0", "n1", "k0", "k1")]), F.col("parent") == F.col("head"))
+    before = heads.select("head", *[F.col(c).alias(f"h_{c}") for c in ("n0", "n1", "k0", "k1")], *[p[i].alias(f"h_p{i}") for i in range(2)])
+    after = words.where("n0 + n1 > 0").join(before, F.col("parent") == F.col("head"))
     q = (F.col("n0") + F.col("n1")) / (F.col("h_n0") + F.col("h_n1"))
     w = [share(i, over[i], F.col(f"h_n{i}") - F.col(f"h_k{i}"), F.col(f"h_n{i}"), q) for i in range(2)]
     second = after.where(F.greatest("n0", "n1") > d).select("hash", (F.log(w[1]) - F.log(w[0])).alias("seen"), F.lit(None).cast("double").alias("rest"))
-    return first.unionByName(second)
+    pairs = pairs.where(F.greatest("n0", "n1") > d).select("hash", "parent", "word", "n0", "n1", *[over[i].alias(f"o{i}") for i in range(2)])
+    kept = pairs.groupBy("parent").agg(*[F.sum(f"o{i}").alias(f"k{i}") for i in range(2)])
+    # a history whose pairs are all discounted away gives its words the ratio of their chains
+    heads = histories.select("parent", *[F.col(f"n{i}").alias(f"h_n{i}") for i in range(2)]).join(kept, "parent")
+    left = [F.when(F.col(f"h_n{i}") > 0, (F.col(f"h_n{i}") - F.col(f"k{i}")) / F.col(f"h_n{i}")).otherwise(1.0) for i in range(2)]
+    third = heads.select(F.col("parent").alias("hash"), F.lit(None).cast("double").alias("seen"), (F.log(left[1]) - F.log(left[0])).alias("rest"))
+    alone = after.select(F.col("hash").alias("word"), *[(F.col(f"h_p{i}") * w[i]).alias(f"p{i}") for i in range(2)])
+    pairs = pairs.join(heads, "parent").join(alone, "word")
+    v = [share(i, F.col(f"o{i}"), F.col(f"h_n{i}") - F.col(f"k{i}"), F.col(f"h_n{i}"), F.col(f"p{i}")) for i in range(2)]
+    fourth = pairs.select("hash", (F.log(v[1]) - F.log(v[0]) - F.lit(shift)).alias("seen"), F.lit(None).cast("double").alias("rest"))
+    return first.unionByName(second).unionByName(third.where("rest != 0")).unionByName(fourth)
 
 
 class KneserNey:
@@ -217,7 +296,8 @@ class KneserNey:
     def __init__(self, hashes: np.ndarray, seen: np.ndarray, rest: np.ndarray) -> None:
         hashes = hashes.astype(np.int64).view(np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.seen, self.rest = hashes[order], seen[order], np.nan_to_num(rest[order])
+        self.hashes, self.seen, self.rest = hashes[order], np.nan_to_num(seen[order]), np.nan_to_num(rest[order])
+        self._maybe = None
 
     def _at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hashes):
@@ -225,13 +305,33 @@ class KneserNey:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
-    def ratios(self, h: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """log p_toxic - log p_ordinary of each word, less that of an unknown one."""
+    def _found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those of ``hashes`` that are in the table, and where they are there; most are not."""
+        if self._maybe is None:  # made by each worker that needs it
+            self._maybe = np.zeros(1 << _MAYBE_BITS, bool)
+            self._maybe[self.hashes >> _U(64 - _MAYBE_BITS)] = True
+        some = np.flatnonzero(self._maybe[hashes >> _U(64 - _MAYBE_BITS)])
+        at, known = self._at(hashes[some])
+        return some[known], at[known]
+
+    def ratios(self, h: np.ndarray, parts: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """log p_toxic - log p_ordinary of each word, less that of an unknown one.
+
+        With ``counts`` (words a text, one after the other) after the word before it, else of the word alone.
+        """
         prefix, word = _expressions(h, parts)
         (p, known), (w, own) = self._at(prefix), self._at(word)
         if not len(self.hashes):
             return np.zeros(len(h))
-        return np.where(known, self.seen[p], 0.0) + np.where(own, self.seen[w], np.where(known, self.rest[p], 0.0))
+        out = np.where(known, self.seen[p], 0.0) + np.where(own, self.seen[w], np.where(known, self.rest[p], 0.0))
+        if counts is not None:
+            inner = _inner(counts)
+            history = _histories(h[inner - 1])
+            some, at = self._found(history)
+            out[inner[some]] += self.rest[at]
+            some, at = self._found(_pairs(history, word[inner]))
+            out[inner[some]] = self.seen[at]
+        return out
 
 
 def features(ratio: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -275,20 +375,28 @@ def _feature_rows(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         out = np.zeros((batch.num_rows, FEATURES))
         for lo, hi, h, counts, parts in word_chunks(batch.column(0), ALNUM_WORDS, PREFIXES):
-            out[lo:hi] = features(kn.ratios(h, parts), counts)
+            out[lo:hi] = features(kn.ratios(h, parts, counts), counts)
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], _lists(out)], [*batch.schema.names[1:], "_f"])
 
 
+_HASHES = ["_prefix", "_word", "_history", "_pair"]
+
+
 def _words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Row number, place, prefix and word of each word of rows (text, number)."""
+    """Row number, place, prefix, word, history and pair of each word of rows (text, number); a text's first word has history 0."""
     for batch in batches:
         number = batch.column(1).to_numpy()
         for lo, hi, h, counts, parts in word_chunks(batch.column(0), ALNUM_WORDS, PREFIXES):
             prefix, word = _expressions(h, parts)
             place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+            inner = _inner(counts)
+            history, pair = np.zeros(len(h), np.uint64), ~word  # of a first word neither is in a table
+            history[inner] = _histories(h[inner - 1])
+            pair[inner] = _pairs(history[inner], word[inner])
+            hashes = (prefix, word, history, pair)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(number[lo:hi], counts)), pa.array(place), pa.array(prefix.view(np.int64)), pa.array(word.view(np.int64))],
-                ["_row", "_place", "_prefix", "_word"])
+                [pa.array(np.repeat(number[lo:hi], counts)), pa.array(place), *(pa.array(x.view(np.int64)) for x in hashes)],
+                ["_row", "_place", *_HASHES])
 
 
 def _features_of(ratio: pd.Series) -> pd.Series:
@@ -302,9 +410,10 @@ class _Shared:
         table = stored(table)
         self.table, self.sent = table, None
         if table.count() <= max_rows:
-            got = table.toPandas()
-            self.sent = table.sparkSession.sparkContext.broadcast(
-                KneserNey(got["hash"].to_numpy(), got["seen"].to_numpy(float), got["rest"].to_numpy(float)))
+            got = table.toArrow()
+            model = KneserNey(*(got[c].to_numpy() for c in ("hash", "seen", "rest")))
+            del got
+            self.sent = table.sparkSession.sparkContext.broadcast(model)
 
     def features(self, wide: DataFrame) -> DataFrame:
         """All columns but the text (the first), then _f."""
@@ -314,15 +423,18 @@ class _Shared:
             return wide.mapInArrow(lambda it: tidied(_feature_rows(model, it)), rest.add("_f", T.ArrayType(T.DoubleType())))
         rows = stored(wide.withColumn("_row", F.monotonically_increasing_id()))  # written once, so the numbers stay
         words = stored(rows.select("_text", "_row").mapInArrow(
-            lambda it: tidied(_words_out(it)), "_row long, _place long, _prefix long, _word long"))
-        # each different word is looked up once
-        each = words.select("_prefix", "_word").distinct()
+            lambda it: tidied(_words_out(it)), "_row long, _place long, " + ", ".join(f"{c} long" for c in _HASHES)))
+        # each different pair is looked up once
+        each = words.select(*_HASHES).distinct()
         heads = self.table.select(F.col("hash").alias("_prefix"), F.col("seen").alias("_s"), F.col("rest").alias("_r"))
         own = self.table.select(F.col("hash").alias("_word"), F.col("seen").alias("_w"))
+        before = self.table.where("rest is not null").select(F.col("hash").alias("_history"), F.col("rest").alias("_h"))
+        whole = self.table.select(F.col("hash").alias("_pair"), F.col("seen").alias("_p"))
         zero = F.lit(0.0)
-        known = each.join(heads, "_prefix", "left").join(own, "_word", "left").select(
-            "_word", (F.coalesce("_s", zero) + F.coalesce("_w", "_r", zero)).alias("_ratio"))
-        found = words.select("_row", "_place", "_word").join(known, "_word").groupBy("_row").agg(
+        alone = F.coalesce("_s", zero) + F.coalesce("_w", "_r", zero)
+        known = (each.join(heads, "_prefix", "left").join(own, "_word", "left").join(before, "_history", "left").join(whole, "_pair", "left")
+                 .select("_pair", F.coalesce("_p", alone + F.coalesce("_h", zero)).alias("_ratio")))
+        found = words.select("_row", "_place", "_pair").join(known, "_pair").groupBy("_row").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("_place", "_ratio"))), lambda x: x["_ratio"]).alias("_ratios"))
         found = found.select("_row", F.pandas_udf(_features_of, "array<double>")("_ratios").alias("_f"))
         none = F.array_repeat(zero, FEATURES)
