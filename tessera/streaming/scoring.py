@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 from tessera.sources.io import create_text, list_names, read_text
 
 
+def dealt(batch: DataFrame) -> DataFrame:
+    """The rows of a micro-batch over all cores; a file that arrives is often one task, however many rows it has."""
+    return batch.repartition(max(1, batch.sparkSession.sparkContext.defaultParallelism))
+
+
 def write_epoch(batch: DataFrame, epoch: int, score: Callable[[DataFrame, int], DataFrame], newest: Callable[[], int],
                 sink_dir: str) -> int:
     """Scores and writes an epoch unless it is complete; returns the version it was scored with."""
@@ -27,7 +32,7 @@ def write_epoch(batch: DataFrame, epoch: int, score: Callable[[DataFrame, int],
     held = read_text(spark, manifest)
     if held is None:
         version = newest()
-        rows = score(batch, version).withColumn("model_version", F.lit(version))
+        rows = score(dealt(batch), version).withColumn("model_version", F.lit(version))
         rows.write.mode("overwrite").parquet(os.path.join(sink_dir, "rows", f"epoch={epoch}"))
         create_text(spark, manifest, json.dumps({"epoch": epoch, "version": version}))
         held = read_text(spark, manifest)
