@@ -359,7 +359,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = large.filter("a <> b")  # at most a row an edge; equal ones go with the small star's
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         both = large.join(low, "a")
         now = stored(both.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

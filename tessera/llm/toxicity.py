@@ -414,6 +414,13 @@ class _Shared:
             model = KneserNey(*(got[c].to_numpy() for c in ("hash", "seen", "rest")))
             del got
             self.sent = table.sparkSession.sparkContext.broadcast(model)
+            del model
+            pa.default_memory_pool().release_unused()
+
+    def drop(self) -> None:
+        """Frees what was sent, also in the driver; rows must have been scored."""
+        if self.sent is not None:
+            self.sent.destroy()
 
     def features(self, wide: DataFrame) -> DataFrame:
         """All columns but the text (the first), then _f."""
@@ -492,8 +499,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", m
                            F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)")
     aside = F.pmod(F.xxhash64("_text"), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
     table = counted(rows.withColumn("_aside", aside.cast("int")))
-    held = _Shared(ratios(table, ("c0", "c1")), max_rows).features(rows.filter(aside))
-    held = held.orderBy(F.xxhash64("_f"), "_f", "_label").limit(CALIBRATION_ROWS).toPandas()
+    shared = _Shared(ratios(table, ("c0", "c1")), max_rows)
+    held = shared.features(rows.filter(aside)).orderBy(F.xxhash64("_f"), "_f", "_label").limit(CALIBRATION_ROWS).toPandas()
+    shared.drop()  # the driver would hold it as long as that of all texts
     y = held["_label"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         weights = _logistic(np.stack(held["_f"]), y)
