@@ -36,8 +36,9 @@ labelled texts, the ones put aside included.
 Counts are kept per expression (a hash of 64 bits) and grow with the vocabulary: a task adds
 its texts up, packs of sorted hashes (their differences compressed) go to buckets, and a bucket
 is added up in parts. What
-has a ratio of its own is a table, sent to the tasks up to a counted number of rows
-(``BROADCAST_ROWS``); beyond it the words of the documents are joined to it.
+has a ratio of its own is a table, sent to the tasks. Beyond ``BROADCAST_ROWS`` rows it is sent
+in groups by ranges of hashes; a task then looks the words of many texts up in one group after
+the other and holds one at a time, so no word of a document is ever written or shuffled.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,13 +67,15 @@ FLUSH, PART_BITS = 1 << 19, 3
 TOPS, WINDOWS, CLEAR = (1, 2, 3, 5, 8, 16), (3, 20), 1.0
 FEATURES = len(TOPS) + len(WINDOWS) + 2
 RIDGE = 1.0
+#: Words that a task holds to look them up in one group after the other; least rows of a group.
+GROUP_WORDS, GROUP_ROWS = 1 << 21, 100
 
 _U = np.uint64
 #: Set in the parents of pairs, clear in those of words.
 _PAIR = _U(1)
 #: Highest bits of a hash by which most that are not in a table are told.
 _MAYBE_BITS = 24
-_PACK = "bucket int, part int, n int, hashes binary, parents binary, counts binary"
+_PACK = "bucket int, part int, n int, m int, hashes binary, heads binary, parents binary, counts binary"
 _TABLE = "hash long, parent long, word long, c0 long, c1 long, c2 long, c3 long, types long"
 _COLUMNS = [x.split()[0] for x in _TABLE.split(", ")]
 
@@ -114,6 +116,23 @@ def _unsqueezed(data: pa.Scalar, n: int, kind: type, width: int = 1) -> np.ndarr
     return out if width > 1 else out.ravel()
 
 
+def _headed(hashes: np.ndarray, parents: np.ndarray) -> tuple[int, bytes, bytes]:
+    """The number of different parents, these, and the place of each hash's parent among them from 1; 0 is the hash itself."""
+    other = hashes != parents
+    heads, at = np.unique(parents[other], return_inverse=True)
+    place = np.zeros(len(hashes), np.uint32)
+    place[other] = at + 1
+    return len(heads), _squeezed(np.diff(heads, prepend=_U(0))) if len(heads) else b"", _squeezed(place)
+
+
+def _parents(hashes: np.ndarray, m: int, heads: pa.Scalar, places: pa.Scalar) -> np.ndarray:
+    if not m:
+        return hashes
+    heads = np.append(_U(0), np.cumsum(_unsqueezed(heads, m, np.uint64), dtype=np.uint64))
+    place = _unsqueezed(places, len(hashes), np.uint32)
+    return np.where(place > 0, heads[place], hashes)
+
+
 def _distinct(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of each text's different words, and their texts."""
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -154,12 +173,13 @@ def _count(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         place = part * buckets + bucket
         ends = np.flatnonzero(np.append(place[1:] != place[:-1], True)) + 1
         starts = np.append(0, ends[:-1])
+        m, heads, places = zip(*(_headed(hashes[i:j], parents[i:j]) for i, j in zip(starts, ends)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[starts], pa.int32()), pa.array(part[starts], pa.int32()), pa.array(ends - starts, pa.int32()),
+            [pa.array(bucket[starts], pa.int32()), pa.array(part[starts], pa.int32()), pa.array(ends - starts, pa.int32()), pa.array(m, pa.int32()),
              pa.array([_squeezed(np.diff(hashes[i:j], prepend=_U(0))) for i, j in zip(starts, ends)], pa.binary()),
-             pa.array([_squeezed(hashes[i:j] ^ parents[i:j]) for i, j in zip(starts, ends)], pa.binary()),
+             pa.array(heads, pa.binary()), pa.array(places, pa.binary()),
              pa.array([_squeezed(counts[i:j]) for i, j in zip(starts, ends)], pa.binary())],
-            ["bucket", "part", "n", "hashes", "parents", "counts"])
+            [x.split()[0] for x in _PACK.split(", ")])
 
     for batch in batches:
         label, aside = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)).astype(np.int64) for i in (1, 2))
@@ -206,7 +226,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _COLUMNS)
 
     for batch in batches:
-        bucket, part, size, *arrays = (batch.column(i) for i in range(6))
+        bucket, part, size, size_heads, *arrays = (batch.column(i) for i in range(8))
         for i in range(batch.num_rows):
             place = bucket[i].as_py(), part[i].as_py()
             if held and place != at:
@@ -215,8 +235,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = place
             n = size[i].as_py()
             hashes = np.cumsum(_unsqueezed(arrays[0][i], n, np.uint64), dtype=np.uint64)
-            held.append((hashes, hashes ^ _unsqueezed(arrays[1][i], n, np.uint64),
-                         _unsqueezed(arrays[2][i], n, np.uint32, 4).astype(np.int64)))
+            held.append((hashes, _parents(hashes, size_heads[i].as_py(), arrays[1][i], arrays[2][i]),
+                         _unsqueezed(arrays[3][i], n, np.uint32, 4).astype(np.int64)))
             if len(held) == 32:
                 held = [_added(*(np.concatenate(x) for x in zip(*held)))]
     if held:
@@ -379,73 +399,112 @@ def _feature_rows(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], _lists(out)], [*batch.schema.names[1:], "_f"])
 
 
-_HASHES = ["_prefix", "_word", "_history", "_pair"]
+def _group(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each hash: ranges of hashes of equal width."""
+    return ((hashes >> _U(32)) * _U(groups) >> _U(32)).astype(np.int64)
+
+
+def _places(hashes: np.ndarray, groups: int) -> list[np.ndarray]:
+    """The places of ``hashes`` by group."""
+    group = _group(hashes, groups)
+    return np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=groups))[:-1])
+
+
+def _ratios_by_group(models: list, h: np.ndarray, parts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``KneserNey.ratios`` of each word after the word before it, with one group of the table at a time."""
+    prefix, word = _expressions(h, parts)
+    inner = _inner(counts)
+    history = _histories(h[inner - 1])
+    pair = _pairs(history, word[inner])
+    first, left, own = np.zeros(len(h)), np.zeros(len(h)), np.full(len(h), np.nan)
+    more, whole = np.zeros(len(inner)), np.full(len(inner), np.nan)
+    places = [_places(x, len(models)) for x in (prefix, word, history, pair)]
+    for model, of_prefix, of_word, of_history, of_pair in zip(models, *places):
+        kn = model.value
+        at, known = kn._at(prefix[of_prefix])
+        first[of_prefix[known]], left[of_prefix[known]] = kn.seen[at[known]], kn.rest[at[known]]
+        at, known = kn._at(word[of_word])
+        own[of_word[known]] = kn.seen[at[known]]
+        some, at = kn._found(history[of_history])
+        more[of_history[some]] = kn.rest[at]
+        some, at = kn._found(pair[of_pair])
+        whole[of_pair[some]] = kn.seen[at]
+        if getattr(model, "_path", None):  # where it is read from again
+            vars(model).pop("_value", None)
+    out = first + np.where(np.isnan(own), left, own)
+    out[inner] = np.where(np.isnan(whole), out[inner] + more, whole)
+    return out
 
 
-def _words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Row number, place, prefix, word, history and pair of each word of rows (text, number); a text's first word has history 0."""
+def _feature_rows_by_group(models: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_feature_rows`` with a table in groups: about ``GROUP_WORDS`` words are looked up together."""
+    held: list[tuple] = []
+    waiting: list[tuple[pa.RecordBatch, np.ndarray]] = []
+    words = 0
+
+    def score() -> None:
+        if held:
+            counts = np.concatenate([x[4] for x in held])
+            ratio = _ratios_by_group(models, np.concatenate([x[3] for x in held]), np.concatenate([x[5] for x in held], axis=1), counts)
+            at = 0
+            for out, lo, hi, h, n, _ in held:
+                out[lo:hi] = features(ratio[at : at + len(h)], n)
+                at += len(h)
+            held.clear()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for batch, out in waiting:
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], _lists(out)], [*batch.schema.names[1:], "_f"])
+        waiting.clear()
+
     for batch in batches:
-        number = batch.column(1).to_numpy()
+        out = np.zeros((batch.num_rows, FEATURES))
         for lo, hi, h, counts, parts in word_chunks(batch.column(0), ALNUM_WORDS, PREFIXES):
-            prefix, word = _expressions(h, parts)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-            inner = _inner(counts)
-            history, pair = np.zeros(len(h), np.uint64), ~word  # of a first word neither is in a table
-            history[inner] = _histories(h[inner - 1])
-            pair[inner] = _pairs(history[inner], word[inner])
-            hashes = (prefix, word, history, pair)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(number[lo:hi], counts)), pa.array(place), *(pa.array(x.view(np.int64)) for x in hashes)],
-                ["_row", "_place", *_HASHES])
-
-
-def _features_of(ratio: pd.Series) -> pd.Series:
-    return pd.Series([features(np.asarray(r, float), np.array([len(r)]))[0] for r in ratio])
+            held.append((out, lo, hi, h, counts, parts))
+            words += len(h)
+            if words >= GROUP_WORDS:
+                score()
+                yield from rows()  # the batches before this one
+                words = 0
+        waiting.append((batch, out))
+    score()
+    yield from rows()
 
 
 class _Shared:
-    """The table of a model: sent to the tasks if it is small, else written."""
+    """The table of a model, sent to the tasks: as one, or in groups if it is large. The driver holds one group at a time."""
 
     def __init__(self, table: DataFrame, max_rows: int) -> None:
         table = stored(table)
-        self.table, self.sent = table, None
-        if table.count() <= max_rows:
-            got = table.toArrow()
-            model = KneserNey(*(got[c].to_numpy() for c in ("hash", "seen", "rest")))
-            del got
-            self.sent = table.sparkSession.sparkContext.broadcast(model)
-            del model
-            pa.default_memory_pool().release_unused()
+        self.table = table
+        n = table.count()
+        groups = 1 if n <= max_rows else -(-n // max(max_rows, GROUP_ROWS))
+        of = F.shiftright(F.shiftrightunsigned("hash", 32) * groups, 32)
+        self.groups = [self._send(table.where(of == g) if groups > 1 else table) for g in range(groups)]
+        self.sent = self.groups[0] if groups == 1 else None
+
+    @staticmethod
+    def _send(table: DataFrame):
+        got = table.toArrow()
+        model = KneserNey(*(got[c].to_numpy() for c in ("hash", "seen", "rest")))
+        del got
+        sent = table.sparkSession.sparkContext.broadcast(model)
+        del model
+        pa.default_memory_pool().release_unused()
+        return sent
 
     def drop(self) -> None:
         """Frees what was sent, also in the driver; rows must have been scored."""
-        if self.sent is not None:
-            self.sent.destroy()
+        for sent in self.groups:
+            sent.destroy()
 
     def features(self, wide: DataFrame) -> DataFrame:
         """All columns but the text (the first), then _f."""
-        rest = wide.drop("_text").schema
-        if self.sent is not None:
-            model = self.sent
-            return wide.mapInArrow(lambda it: tidied(_feature_rows(model, it)), rest.add("_f", T.ArrayType(T.DoubleType())))
-        rows = stored(wide.withColumn("_row", F.monotonically_increasing_id()))  # written once, so the numbers stay
-        words = stored(rows.select("_text", "_row").mapInArrow(
-            lambda it: tidied(_words_out(it)), "_row long, _place long, " + ", ".join(f"{c} long" for c in _HASHES)))
-        # each different pair is looked up once
-        each = words.select(*_HASHES).distinct()
-        heads = self.table.select(F.col("hash").alias("_prefix"), F.col("seen").alias("_s"), F.col("rest").alias("_r"))
-        own = self.table.select(F.col("hash").alias("_word"), F.col("seen").alias("_w"))
-        before = self.table.where("rest is not null").select(F.col("hash").alias("_history"), F.col("rest").alias("_h"))
-        whole = self.table.select(F.col("hash").alias("_pair"), F.col("seen").alias("_p"))
-        zero = F.lit(0.0)
-        alone = F.coalesce("_s", zero) + F.coalesce("_w", "_r", zero)
-        known = (each.join(heads, "_prefix", "left").join(own, "_word", "left").join(before, "_history", "left").join(whole, "_pair", "left")
-                 .select("_pair", F.coalesce("_p", alone + F.coalesce("_h", zero)).alias("_ratio")))
-        found = words.select("_row", "_place", "_pair").join(known, "_pair").groupBy("_row").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("_place", "_ratio"))), lambda x: x["_ratio"]).alias("_ratios"))
-        found = found.select("_row", F.pandas_udf(_features_of, "array<double>")("_ratios").alias("_f"))
-        none = F.array_repeat(zero, FEATURES)
-        return rows.drop("_text").join(found, "_row", "left").drop("_row").withColumn("_f", F.coalesce("_f", none))
+        kind = wide.drop("_text").schema.add("_f", T.ArrayType(T.DoubleType()))
+        model, models = self.sent, self.groups
+        if model is not None:
+            return wide.mapInArrow(lambda it: tidied(_feature_rows(model, it)), kind)
+        return wide.mapInArrow(lambda it: tidied(_feature_rows_by_group(models, it)), kind)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:
@@ -493,7 +552,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", m
     Texts are put aside for the logistic function by a hash of their content, so copies
     never stand on both sides; its weights then go with the counts of all texts. Without
     two classes the score is the share of toxic rows. Above ``max_rows`` expressions with a
-    ratio of their own, texts are scored by a join.
+    ratio of their own, these are sent in groups.
     """
     rows = labelled.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
                            F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)")
